@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwright.llm import decontaminate, langid, line_dedup, mixing, token_output
+from markwright.llm import decontaminate, langid, line_dedup, mixing, substring_dedup, suffix_dedup, token_output
 from markwright.llm.common import held_out_bucket, table
 
 
@@ -15,12 +15,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(docs, with_text=False)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs, with_text=False)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
@@ -40,12 +50,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op3_decontamination, op5_line_dedup, op7_token_output, op10_language_id]
+    named = [op1_mixing, op2_suffix_dedup, op3_decontamination, op4_substring_dedup, op5_line_dedup, op7_token_output, op10_language_id]
     return {f.__name__: f for f in named}
 
 
 SQL: dict[str, str] = {}
 
+SQL["op2_suffix_dedup"] = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+wins AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS k FROM t, range(0, greatest(length(x) // 2 - 99, 0)) r(i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM wins) WHERE rn > 1),
+opened AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS o FROM later),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM opened),
+spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
+cut AS (SELECT s.doc_id, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS head, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM gaps s JOIN t USING (doc_id) GROUP BY s.doc_id)
+SELECT t.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)
+"""
+
 SQL["op3_decontamination"] = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
@@ -68,6 +92,17 @@ SELECT d.doc_id, CAST(coalesce(len(words.w), 0) AS BIGINT) AS n_words, CAST(coal
 FROM documents d LEFT JOIN words USING (doc_id) LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+SQL["op4_substring_dedup"] = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+wins AS (SELECT doc_id, i, list_aggregate(w[i : i + 34], 'string_agg', ' ') AS k FROM t, range(1, greatest(len(w) - 33, 1)) r(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM wins) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM again, range(i, i + 35) u(j)),
+words AS (SELECT doc_id, j, w[j] AS word FROM t, range(1, len(w) + 1) u(j)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS k FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
 SQL["op5_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL),
 wins AS (SELECT doc_id, i, w[i : i + 2] AS k FROM l, range(1, len(w) - 1) t(i) WHERE len(w) >= 3),

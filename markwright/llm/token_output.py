@@ -1,11 +1,12 @@
 """Token-ID output: id blocks transposed into byte or bit planes, each plane compressed on its own.
 
-A written set is a folder with two Parquet tables:
+A written set is a folder with three Parquet tables:
 
 ``chunks``  one row for each chunk: ``part`` (range of doc_ids), ``chunk`` (number within it), ``first`` (ids of the
             part before it), ``n_ids``, ``block`` (ids in a block), ``planes`` (the compressed planes, one after the
             other, block by block), ``plane_bytes`` (their lengths), ``crc32`` of the raw ids, and for its documents
             ``doc_ids`` and ``doc_lengths``. A chunk holds whole documents, so that each one can be decoded alone.
+``parts``   one row for each part: ``part``, ``part_start`` (ids of the whole set before it).
 ``index``   one row for each chunk: ``part``, ``chunk``, ``start`` (ids of the whole set before it), ``n_ids``,
             ``n_docs``, ``min_doc_id``, ``max_doc_id``, ``n_bytes``.
 
@@ -19,13 +20,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markwright.llm.common import Scratch
+from markwright.llm.common import BROADCAST_LIMIT, Scratch
 
 END_ID = 2
 BLOCK = 4096
@@ -49,7 +51,7 @@ class WordIds(dict):
     tells whether that holds for a vocabulary file.
     """
 
-    LIMIT = 300_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -61,10 +63,10 @@ class WordIds(dict):
         self.by_word = whole == [i for w in sample.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, dtype="<u4").tobytes()
+        value = np.array(ids, dtype="<u4").tobytes()
+        if len(self) < self.LIMIT:
+            self[word] = value
         return value
 
     def encode(self, text: bytes) -> bytes:
@@ -73,6 +75,12 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """Kept by a Python worker from task to task."""
+    return WordIds(path)
+
+
 def to_planes(ids: np.ndarray, block: int, kind: str, level: int = 3) -> tuple[bytes, list[int]]:
     """Each block of ids as 4 byte planes or 32 bit planes, each compressed with zstandard."""
     import zstandard
@@ -108,7 +116,7 @@ def _write_task(path: str, end_id: int, block: int, chunk_ids: int, kind: str):
 
         from markwright.llm.common import as_bytes
 
-        words, end = WordIds(path), np.array([end_id], dtype="<u4").tobytes()
+        words, end = _word_ids(path), np.array([end_id], dtype="<u4").tobytes()
         part, chunk, first = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
@@ -151,13 +159,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     chunks = ordered.mapInArrow(_write_task(tokenizer, end_id, block, chunk_ids, kind), CHUNK_SCHEMA)
     chunks.write.mode("overwrite").option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
-    index = chunks.join(_part_starts(chunks), "part").select(
+    _part_starts(chunks).write.mode("overwrite").parquet(f"{path}/parts")
+    index = _with_start(spark, path, chunks).select(
         "part", "chunk", (F.col("part_start") + F.col("first")).alias("start"), "n_ids", F.size("doc_ids").alias("n_docs"),
         F.array_min("doc_ids").alias("min_doc_id"), F.array_max("doc_ids").alias("max_doc_id"), F.length("planes").alias("n_bytes"),
     )
     index.write.mode("overwrite").parquet(f"{path}/index")
 
 
+def _with_start(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
+    """Chunks with ``part_start``. The parts go to all tasks if they are few enough, and else by an ordinary join."""
+    parts = spark.read.parquet(f"{path}/parts")
+    return chunks.join(F.broadcast(parts) if parts.count() * 32 < BROADCAST_LIMIT else parts, "part")
+
+
 def _part_starts(chunks: DataFrame) -> DataFrame:
     """One row for each part, of which there are as many as the writing job had partitions."""
     sums = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -193,9 +208,8 @@ def _read_task(with_ids: bool):
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row for each document of the set: doc_id, start, n_tokens, ids_crc32, and on request its ids."""
-    index = spark.read.parquet(f"{path}/index").select("part", "chunk", "start")
-    chunks = spark.read.parquet(f"{path}/chunks").join(index, ["part", "chunk"])
-    columns = chunks.select("part", "chunk", "start", "n_ids", "block", "kind", "planes", "plane_bytes", "crc32", "doc_ids", "doc_lengths")
+    chunks = _with_start(spark, path, spark.read.parquet(f"{path}/chunks"))
+    columns = chunks.select("part", "chunk", (F.col("part_start") + F.col("first")).alias("start"), "n_ids", "block", "kind", "planes", "plane_bytes", "crc32", "doc_ids", "doc_lengths")
     return columns.mapInArrow(_read_task(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 

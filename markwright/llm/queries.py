@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwright.llm import decontaminate, langid, line_dedup, mixing, substring_dedup, suffix_dedup, token_output
+from markwright.llm import decontaminate, langid, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_output
 from markwright.llm.common import held_out_bucket, table
 
 
@@ -41,6 +41,11 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(docs, token_output.vocabulary("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_components(docs, size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = held_out_bucket(F.col("doc_id"), 4) == 2
@@ -50,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_suffix_dedup, op3_decontamination, op4_substring_dedup, op5_line_dedup, op7_token_output, op10_language_id]
+    named = [op1_mixing, op2_suffix_dedup, op3_decontamination, op4_substring_dedup, op5_line_dedup, op7_token_output, op9_ngram_join, op10_language_id]
     return {f.__name__: f for f in named}
 
 
@@ -115,5 +120,18 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
 
 
+SQL["op9_ngram_join"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(list_aggregate(w[i : i + 3], 'string_agg', ' ')) AS k FROM t, range(1, greatest(len(w) - 2, 2)) r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN both_ways e ON e.a = reach.r)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.r AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

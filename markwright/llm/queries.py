@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwright.llm import decontaminate, langid, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_output
+from markwright.llm import ann, decontaminate, html_extract, langid, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_output
 from markwright.llm.common import held_out_bucket, table
 
 
@@ -36,11 +36,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_output.round_trip(docs, token_output.vocabulary("word_bpe_49k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.ngram_components(docs, size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
@@ -55,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_suffix_dedup, op3_decontamination, op4_substring_dedup, op5_line_dedup, op7_token_output, op9_ngram_join, op10_language_id]
+    named = [op1_mixing, op2_suffix_dedup, op3_decontamination, op4_substring_dedup, op5_line_dedup, op6_nearest_neighbours, op7_token_output, op8_html_extraction, op9_ngram_join, op10_language_id]
     return {f.__name__: f for f in named}
 
 

@@ -9,9 +9,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest-matching-blocks ratio of normalised texts; 1 if one holds the other, 0 if one is empty."""
 
@@ -23,7 +24,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def tidy_prose(x: pd.Series) -> pd.Series:
     """Compatibility forms composed, curly quotes straight, no space before stops, one space between words."""
     quotes = str.maketrans("‘’“”", "''\"\"")
@@ -37,7 +38,7 @@ def tidy_prose(x: pd.Series) -> pd.Series:
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_mojibake(x: pd.Series) -> pd.Series:
     """UTF-8 that was read as cp1252 is read again, if that lowers the count of the tell-tale letters."""
 
@@ -56,7 +57,7 @@ def repair_mojibake(x: pd.Series) -> pd.Series:
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(x: pd.Series) -> pd.Series:
     """A JSON text from within fences and prose, without trailing commas, with missing closers added; else null."""
 
@@ -90,7 +91,7 @@ def repair_json(x: pd.Series) -> pd.Series:
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def visual_confusion(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two words differ by one pair of look-alikes only."""
     #: fixed values: letters and groups that scans confuse
@@ -105,7 +106,7 @@ def visual_confusion(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
 
 
-@F.pandas_udf("array<struct<label:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType())])))
 def inline_options(x: pd.Series) -> pd.Series:
     """The options A to D at the end of a question, from the last place where all four follow in order."""
     run = re.compile(r"(?s)\bA[).]?\s+(.*?)\s+B[).]?\s+(.*?)\s+C[).]?\s+(.*?)\s+D[).]?\s+(.*)")

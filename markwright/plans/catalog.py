@@ -33,8 +33,12 @@ def _ntz(text: str):
     return F.to_timestamp_ntz(F.lit(text))
 
 
-STATUS = F.when(F.col("o_orderstatus") == "O", "needs_review").when(F.col("o_orderstatus") == "F", "approved").otherwise("ocr_failed")
-CONFIDENCE = F.when(F.col("o_orderkey") % 10 == 0, None).otherwise(F.col("o_totalprice") / 500000)
+def _status():
+    return F.when(F.col("o_orderstatus") == "O", "needs_review").when(F.col("o_orderstatus") == "F", "approved").otherwise("ocr_failed")
+
+
+def _confidence():
+    return F.when(F.col("o_orderkey") % 10 == 0, None).otherwise(F.col("o_totalprice") / 500000)
 
 
 @query("""
@@ -45,7 +49,7 @@ SELECT count(*) FILTER (s = 'r' AND (c IS NULL OR c < 0.5)) AS low_confidence, c
        (SELECT count(*) FROM customer WHERE c_acctbal >= 0 AND c_custkey IN (SELECT o_custkey FROM d)) AS reviewed_unreleased FROM m
 """)
 def action_queue(spark: SparkSession, d: str) -> DataFrame:
-    marks = table(spark, d, "orders").select(F.col("o_custkey").alias("submission_id"), STATUS.alias("status"), CONFIDENCE.alias("confidence"))
+    marks = table(spark, d, "orders").select(F.col("o_custkey").alias("submission_id"), _status().alias("status"), _confidence().alias("confidence"))
     subs = table(spark, d, "customer").select(F.col("c_custkey").alias("submission_id"), F.when(F.col("c_acctbal") < 0, F.lit("released")).alias("released_at"))
     return analytics.action_queue(marks, subs, 0.5)
 
@@ -143,7 +147,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'
 """)
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("queue"))
-    marks = table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("mark_id"), CONFIDENCE.alias("confidence"))
+    marks = table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("mark_id"), _confidence().alias("confidence"))
     rows = analytics.review_queue(marks.join(people, F.col("o_custkey") == F.col("c_custkey")), "queue")
     return rows.select("queue", "mark_id", F.col("place").cast("long").alias("place"))
 

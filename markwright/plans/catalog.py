@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from markwright.functions import exprs as ex
 from markwright.functions import text as tx
 from markwright.functions import udfs
-from markwright.operators import analytics, corpus, matching, relational
+from markwright.operators import analytics, corpus, matching, relational, review
 from markwright.sources import readers
 from markwright.sources.readers import table
 from markwright.streaming import limits
@@ -577,3 +577,134 @@ def sequence_match(spark: SparkSession, d: str) -> DataFrame:
 def text_repair(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text with compatibility forms composed and wrong decodings undone."""
     return table(spark, d, "documents").select("doc_id", F.md5(udfs.tidy_prose(udfs.repair_mojibake("text"))).alias("tidy_md5"))
+
+
+# ---------------------------------------------------------------------------------------------------------
+# Access, assignments, review actions
+
+
+@query("""
+WITH r AS (SELECT s_nationkey AS class_id, s_suppkey AS teacher, 0 AS rank, true AS g FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_nationkey, s_suppkey, 1, s_suppkey % 2 = 0 FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT s_nationkey, s_suppkey, 2, false FROM supplier WHERE s_suppkey % 5 = 0)
+SELECT class_id, teacher, CASE min(rank) WHEN 0 THEN 'owner' WHEN 1 THEN 'co_teacher' ELSE 'granted' END AS role, arg_min(g, rank) AS can_grade FROM r GROUP BY ALL
+""")
+def access_roles(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("class_id"), F.col("s_suppkey").alias("teacher"), "s_acctbal")
+    owners = s.where("teacher % 3 = 0").select("class_id", F.col("teacher").alias("owner"))
+    return review.access_roles(owners, s.where("s_acctbal > 0").withColumn("can_grade", F.col("teacher") % 2 == 0), s.where("teacher % 5 = 0"))
+
+
+@query("""
+WITH a AS (SELECT n_nationkey AS assignment_id, n_nationkey AS class_id, n_nationkey % 2 = 0 AS target_all FROM nation),
+w AS (SELECT a.assignment_id, c_custkey AS student FROM a JOIN customer ON c_nationkey = class_id WHERE target_all AND c_acctbal >= 0 AND (c_custkey % 7 < 5 OR c_custkey % 11 = 0)),
+s AS (SELECT a.assignment_id, c_custkey FROM a JOIN customer ON c_custkey % 25 = a.assignment_id WHERE NOT target_all) SELECT DISTINCT * FROM (SELECT * FROM w UNION ALL SELECT * FROM s)
+""")
+def targeted_students(spark: SparkSession, d: str) -> DataFrame:
+    work = table(spark, d, "nation").select(F.col("n_nationkey").alias("assignment_id"), F.col("n_nationkey").alias("class_id"), (F.col("n_nationkey") % 2 == 0).alias("target_all"), F.lit(5).alias("created_at"))
+    people = table(spark, d, "customer").select(F.col("c_nationkey").alias("class_id"), F.col("c_custkey").alias("student"), F.when(F.col("c_acctbal") >= 0, "active").otherwise("removed").alias("status"), (F.col("c_custkey") % 7 + 1).alias("joined_at"), (F.col("c_custkey") % 11 == 0).alias("started"))
+    some = table(spark, d, "customer").select((F.col("c_custkey") % 25).cast("int").alias("assignment_id"), F.col("c_custkey").alias("student"))
+    return review.targeted_students(work, people, some)
+
+
+@query("""
+WITH c AS (SELECT o_orderpriority || o_custkey AS k, count(*) FILTER (o_orderstatus IN ('F', 'O')) AS submitted, count(*) FILTER (o_orderstatus = 'O') AS late, count(*) AS total FROM orders GROUP BY 1),
+a AS (SELECT o_custkey AS class_id, o_orderpriority || o_custkey AS assignment_id, max(CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END) AS dl FROM orders GROUP BY ALL)
+SELECT class_id, assignment_id, place, submitted, late, total FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY dl DESC NULLS LAST, assignment_id) AS place FROM a) JOIN c ON k = assignment_id WHERE place <= 3
+""")
+def active_assignments(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").withColumn("assignment_id", F.concat("o_orderpriority", F.col("o_custkey").cast("string")))
+    due = F.max(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")))
+    work = orders.groupBy(F.col("o_custkey").alias("class_id"), "assignment_id").agg(due.alias("deadline_at"))
+    subs = orders.select("assignment_id", F.when(F.col("o_orderstatus") == "F", "submitted").when(F.col("o_orderstatus") == "O", "late").otherwise("open").alias("status"))
+    return review.active_assignments(work, subs, 3).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS score, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN o_orderpriority END AS remark FROM orders
+""")
+def visible_results(spark: SparkSession, d: str) -> DataFrame:
+    show = F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("o_orderkey") % 2 == 0)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("remark"), (F.col("o_orderstatus") != "P").alias("show_score"), show.alias("show_remark"))
+    return review.visible_result(rows, {"score": "show_score", "remark": "show_remark"}).select("id", "score", "remark")
+
+
+@query("""
+WITH u AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type || (event_id % 50) ORDER BY ts DESC, event_id DESC) AS k FROM events), r AS (SELECT user_id, event_type || (event_id % 50) AS item, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM u WHERE k = 1)
+SELECT user_id, item, event_id, place FROM r WHERE place <= 30
+""")
+def newest_cap(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_id", F.concat("event_type", (F.col("event_id") % 50).cast("string")).alias("item"), F.struct("ts", "event_id").alias("at"))
+    return review.newest(rows, "user_id", "at", "item", 30).select("user_id", "item", "event_id", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER w = 1 THEN 'kept' WHEN l_returnflag = first_value(l_returnflag) OVER w THEN 'duplicate' ELSE 'conflict' END AS kind FROM lineitem
+WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey * 1000 + l_suppkey, l_returnflag)) GROUP BY kind
+""")
+def first_wins(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("key"), F.struct((F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("a"), "l_returnflag").alias("seq"), "l_returnflag")
+    return review.first_wins(line, "key", "seq", "l_returnflag").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS paper, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_linenumber END AS n FROM lineitem),
+s AS (SELECT paper, count(DISTINCT CASE WHEN n BETWEEN 1 AND 5 THEN n END) AS u, count(*) FILTER (n BETWEEN 1 AND 5) AS i, count(*) FILTER (n IS NULL) AS bad, count(*) FILTER (n NOT BETWEEN 1 AND 5) AS o FROM l GROUP BY paper)
+SELECT paper, u AS found, CAST(greatest(0, 5 - u) AS BIGINT) AS missing, CAST(u * 10 - greatest(0, 5 - u) * 10 - (bad + o) * 8 - (i - u) * 6 AS BIGINT) AS score FROM s
+""")
+def side_scores(spark: SparkSession, d: str) -> DataFrame:
+    number = F.when(F.col("l_partkey") % 13 == 0, "x").otherwise(F.col("l_linenumber").cast("string"))
+    return review.side_score(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper"), number.alias("number")), "paper", "number", F.lit(5))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents),
+q AS (SELECT *, CAST(least(length(c), 1200) - CASE WHEN c = '' THEN 1000 ELSE 0 END - CASE WHEN regexp_full_match(c, '\d{1,3}') THEN 300 ELSE 0 END - CASE WHEN contains(lower(c), 'page ') AND contains(lower(c), ' of ') THEN 300 ELSE 0 END - CASE WHEN contains(lower(c), 'question answer marks') OR contains(lower(c), 'general points') THEN 250 ELSE 0 END AS INTEGER) AS quality FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quality DESC, doc_id) AS k FROM q) SELECT source, doc_id, quality FROM r WHERE k = 1
+""")
+def best_of_group(spark: SparkSession, d: str) -> DataFrame:
+    return review.best_of_group(table(spark, d, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text").select("source", "doc_id", F.col("quality").cast("int").alias("quality"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(CASE WHEN sum(l_quantity) OVER (PARTITION BY l_orderkey) > 100 THEN l_quantity * (100 / sum(l_quantity) OVER (PARTITION BY l_orderkey)) ELSE l_quantity END, 1) AS scaled FROM lineitem
+""")
+def reconciled_marks(spark: SparkSession, d: str) -> DataFrame:
+    rows = review.reconcile(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", F.lit(100.0))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "scaled")
+
+
+@query("""
+WITH f AS (SELECT c_nationkey AS grp, CASE WHEN o_orderpriority < '2' THEN 'ok' WHEN o_orderpriority < '3' THEN 'low_confidence' WHEN o_orderpriority < '4' THEN 'unreadable' WHEN o_orderpriority < '5' THEN 'blank' ELSE 'not_found' END AS flag, o_orderkey % 5 AS marks FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT grp, count(*) FILTER (flag = 'ok') AS ok, count(*) FILTER (flag = 'low_confidence') AS low_confidence, count(*) FILTER (flag = 'unreadable') AS unreadable, count(*) FILTER (flag = 'blank') AS blank, count(*) FILTER (flag = 'not_found') AS not_found, CAST(sum(CASE WHEN flag IN ('unreadable', 'not_found') THEN marks ELSE 0 END) AS BIGINT) AS withheld FROM f GROUP BY grp
+""")
+def flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("grp"))
+    p = F.col("o_orderpriority")
+    flag = F.when(p < "2", "ok").when(p < "3", "low_confidence").when(p < "4", "unreadable").when(p < "5", "blank").otherwise("not_found")
+    rows = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select("grp", flag.alias("flag"), (F.col("o_orderkey") % 5).alias("marks"))
+    return review.flag_counts(rows, "grp")
+
+
+@query("""
+SELECT o_custkey AS owner, sha256(string_agg(sha256(o_orderkey || chr(1) || o_orderstatus || chr(1) || o_orderpriority), '' ORDER BY o_orderkey)) AS signature, count(*) AS records FROM orders GROUP BY o_custkey
+""")
+def record_signature(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), "o_orderkey", F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus", "o_orderpriority")
+    return review.signature(rows, "owner", "o_orderkey", ["id", "o_orderstatus", "o_orderpriority"])
+
+
+@query("""
+WITH o AS (SELECT c_custkey, c_acctbal, o_totalprice, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey AS id, round(o_totalprice / 10000, 6) AS before, round(greatest(0.0, least(4.0, c_acctbal / 1000)), 5) AS after FROM o WHERE round(o_totalprice / 10000, 6) <> greatest(0.0, least(4.0, c_acctbal / 1000))
+""")
+def override_log(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    rows = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    proposed = F.array(F.struct(F.lit(4.0).alias("marks_available"), F.round(F.col("o_totalprice") / 10000, 6).alias("marks_awarded")))
+    logged = rows.select(F.col("o_orderkey").alias("id"), F.explode(review.changes(review.override(proposed, F.array(F.col("c_acctbal") / 1000)))).alias("c"))
+    return logged.select("id", F.col("c.before").alias("before"), F.round("c.after", 5).alias("after"))
+
+
+@query()
+def prose_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The longest run of prose lines of every document, in words."""
+    return table(spark, d, "documents").select("doc_id", review.prose_run(F.split("text", "\n", -1)).alias("words"))

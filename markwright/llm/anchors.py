@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwright.llm.common import Scratch, as_bytes, mix64
+from markwright.llm.common import Scratch, as_bytes, free, mix64
 
 NULL_ID = -(1 << 63)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -115,14 +115,15 @@ def pack(columns: dict[str, np.ndarray], docs: list[tuple[int, int]]) -> bytes:
 
     ids = np.array(docs, dtype="<i8").reshape(-1, 2)
     body = b"".join([ids.tobytes(), *(columns[name].astype(kind).tobytes() for name, kind in FIELDS)])
-    return struct.pack("<II", len(ids), len(columns["h"])) + zstandard.compress(body, 1)
+    small = len(body) < 512
+    return struct.pack("<IIB", len(ids), len(columns["h"]), small) + (body if small else zstandard.compress(body, 1))
 
 
 def unpack(data: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
     import zstandard
 
-    n_docs, n = struct.unpack_from("<II", data)
-    body = zstandard.decompress(data[8:])
+    n_docs, n, small = struct.unpack_from("<IIB", data)
+    body = data[9:] if small else zstandard.decompress(data[9:])
     ids = np.frombuffer(body, "<i8", 2 * n_docs).reshape(-1, 2)
     out, offset = {}, 16 * n_docs
     for name, kind in FIELDS:
@@ -411,11 +412,12 @@ def spans_by_doc(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     return marked.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
 
 
-def with_spans(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """``docs`` with the column ``_spans``: an array of binary stretches, null where there are none."""
-    spans = spans_by_doc(docs, plan, scratch).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
-    return docs.join(spans, same, "left").drop("_d", "_k")
+def with_spans(docs: DataFrame, plan: Plan, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` with a column of binary stretches (null where there are none), and that column's name."""
+    d, k, name = (free(n, docs.columns) for n in ("_doc", "_key", "_spans"))
+    spans = spans_by_doc(docs, plan, scratch).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(name))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(k))
+    return docs.join(spans, same, "left").drop(d, k), name
 
 
 def merge_spans(spans: list[bytes] | None) -> np.ndarray:

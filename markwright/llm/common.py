@@ -64,6 +64,14 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def free(name: str, taken: list[str]) -> str:
+    """A column name that is not among ``taken``, whatever the input's own columns are called."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

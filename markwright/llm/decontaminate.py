@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from markwright.llm.common import BROADCAST_LIMIT, as_bytes
+from markwright.llm.common import BROADCAST_LIMIT, as_bytes, free
 
 #: byte -> itself in lower case if it is part of a word, else a space
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20) for b in range(256))
@@ -138,11 +138,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     spark = docs.sparkSession
     new = [x.split()[0] for x in RESULT.split(", ")]
     kept = [c for c in docs.columns if c not in new]
-    out = docs.select(*kept, F.lit(None).cast("binary").alias("_marks"), F.array().cast("array<string>").alias("_items"))
+    marks, items, copy = (free(n, kept) for n in ("_marks", "_items", "_text"))
+    out = docs.select(*kept, F.lit(None).cast("binary").alias(marks), F.array().cast("array<string>").alias(items))
     for block in _blocks(benchmark, block_bytes):
         rows = [(r["item"], r["text"]) for r in block.collect()]
         shared = spark.sparkContext.broadcast(Matcher(rows, window))
-        out = out.select("*", F.col("text").alias("_text")).mapInArrow(_scan_task(shared, len(kept)), out.schema)
+        out = out.select("*", F.col("text").alias(copy)).mapInArrow(_scan_task(shared, len(kept)), out.schema)
     schema = StructType(docs.select(*kept).schema.fields + StructType.fromDDL(RESULT).fields)
     return out.mapInArrow(_finish_task(kept, new), schema)
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markwright.llm.common import free
+
 WINDOW = 3
 
 
@@ -41,13 +43,14 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     place = F.struct("doc_id", "key", "at")
     again = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     later = every.join(again.select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
-    covered = later.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("at").alias("starts"))
     named = docs.drop("n_lines", "n_removed", "kept_text", "kept_sha256")
-    joined = named.join(covered, named["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64(named["text"]) == F.col("k")), "left")
+    d, k, starts, gone = (free(n, named.columns) for n in ("_doc", "_key", "_starts", "_gone"))
+    covered = later.groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.collect_set("at").alias(starts))
+    joined = named.join(covered, named["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(named["text"]) == F.col(k)), "left")
     lines = F.split("text", "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + size - 1))))
-    removed = F.when(F.col("starts").isNull(), F.array().cast("array<int>")).otherwise(gone)
-    marked = joined.withColumn("_gone", F.map_from_arrays(removed, F.transform(removed, lambda i: F.lit(True))))
-    kept = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.map_contains_key("_gone", i)), "\n"))
-    out = marked.withColumn("kept_text", kept).withColumn("n_removed", F.size("_gone").cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    return out.withColumn("kept_sha256", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)).drop("d", "k", "starts", "_gone")
+    spread = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + size - 1))))
+    removed = F.when(F.col(starts).isNull(), F.array().cast("array<int>")).otherwise(spread)
+    marked = joined.withColumn(gone, F.map_from_arrays(removed, F.transform(removed, lambda i: F.lit(True))))
+    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.map_contains_key(gone, i)), "\n"))
+    out = marked.withColumn("kept_text", kept).withColumn("n_removed", F.size(gone).cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    return out.withColumn("kept_sha256", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)).drop(d, k, starts, gone)

@@ -181,10 +181,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     """``docs`` with n_words, n_removed, kept_sha256 and, on request, kept (the words that stay, by one space)."""
     new = [x.split()[0] for x in RESULT.split(", ")]
     named = docs.drop(*new)
-    marked = anchors.with_spans(named, plan(length, gram), Scratch(docs.sparkSession, "substring"))
+    marked, spans_name = anchors.with_spans(named, plan(length, gram), Scratch(docs.sparkSession, "substring"))
     names = named.columns if with_text else [c for c in named.columns if c != "text"]
     fields = StructType.fromDDL(RESULT).fields[: None if with_text else -1]
-    at_text, at_spans = marked.columns.index("text"), marked.columns.index("_spans")
+    at_text, at_spans = marked.columns.index("text"), marked.columns.index(spans_name)
     kept_at = [marked.columns.index(c) for c in names]
 
     def run(batches: Iterator):

@@ -41,7 +41,10 @@ def texts():
 
 
 def frame(spark, rows=None):
-    return spark.createDataFrame(texts() if rows is None else rows, SCHEMA).repartition(3)
+    frame = spark.createDataFrame(texts() if rows is None else rows, SCHEMA).repartition(3)
+    for name in ("_doc", "_key", "_spans", "_starts", "_gone", "_marks", "_items", "_text", "key", "at", "h1", "starts", "bucket"):
+        frame = frame.withColumn(name, F.lit("clash"))  # names that an operator may use inside
+    return frame
 
 
 def distinct(rows):

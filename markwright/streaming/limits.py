@@ -14,21 +14,26 @@ def rate_limit(events: DataFrame, key: str, at: str, id_: str, window_s: int, mo
     """Marks each event allowed or not. A key's window opens at its first event and holds ``window_s`` seconds; the
     next event after that opens another. Events above ``most`` in a window are refused.
 
-    The windows depend on each other in turn, so a key's times are folded in order; keys are independent tasks.
+    Each window depends on the one before, so a key's events are passed in order, as a stream: a task holds one batch
+    and the state of one key, however many events a key has.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    ordered = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(id_).alias("id")))).alias("es"))
     span = window_s * 1_000_000
-    kind = "array<struct<id:bigint,n:int,opened:bigint>>"
 
-    def step(state, e):
-        fresh = state["opened"].isNull() | (e["t"] >= state["opened"] + span)
-        opened, n = F.when(fresh, e["t"]).otherwise(state["opened"]), F.when(fresh, 1).otherwise(state["n"] + 1)
-        return F.struct(opened.alias("opened"), n.alias("n"), F.array_append(state["out"], F.struct(e["id"].alias("id"), n.alias("n"), opened.alias("opened"))).alias("out"))
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, opened, n = object(), 0, 0
+        for rows in frames:
+            counts = []
+            for k, t in zip(rows[key].tolist(), rows["_t"].tolist(), strict=True):
+                if k != current or t >= opened + span:
+                    current, opened, n = k, t, 0
+                n += 1
+                counts.append(n)
+            yield rows[[id_, key]].assign(n=counts, allowed=[c <= most for c in counts])
 
-    start = F.struct(F.lit(None).cast("bigint").alias("opened"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-    marked = ordered.select(key, F.explode(F.aggregate("es", start, step)["out"]).alias("o"))
-    return marked.select(F.col("o.id").alias(id_), key, F.col("o.n").alias("n"), (F.col("o.n") <= most).alias("allowed"))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    ordered = events.select(id_, key, micros.alias("_t")).repartition(key).sortWithinPartitions(key, "_t", id_)
+    schema = events.select(id_, key).schema.add("n", "int").add("allowed", "boolean")
+    return ordered.mapInPandas(fold, schema)
 
 
 def throttle(events: DataFrame, key: str, at: str, id_: str, gap_s: int) -> DataFrame:

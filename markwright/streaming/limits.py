@@ -32,7 +32,7 @@ def rate_limit(events: DataFrame, key: str, at: str, id_: str, window_s: int, mo
 
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     ordered = events.select(id_, key, micros.alias("_t")).repartition(key).sortWithinPartitions(key, "_t", id_)
-    schema = events.select(id_, key).schema.add("n", "int").add("allowed", "boolean")
+    schema = events.select(id_, key).schema.add("n", "integer").add("allowed", "boolean")
     return ordered.mapInPandas(fold, schema)
 
 

@@ -28,10 +28,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwright.llm.common import Scratch, as_bytes, free, mix64
+from markwright.llm.common import Scratch, as_bytes, free, mix64, powers
 
 NULL_ID = -(1 << 63)
-BASE = np.uint64(0x9E3779B97F4A7C15)
 POSITION_BITS = 22
 BUFFER = 1 << 21  # symbols worked on at once; longer texts go in overlapping pieces
 BUCKET_BYTES = 12 << 20  # text for each shuffle bucket
@@ -40,20 +39,12 @@ BUCKET_BYTES = 12 << 20  # text for each shuffle bucket
 FIELDS = (("h", "<u8"), ("ctx", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("back", "u1"), ("front", "u1"), ("many", "u1"))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 class Finder:
     """Finds the anchors of joined pieces. ``length``: symbols of a window; ``gram``: symbols of an anchor's gram."""
 
     def __init__(self, length: int, gram: int):
         self.length, self.gram, self.span = length, gram, length - gram + 1
-        self.up, self.down = _powers(BUFFER + 4 * length + 1)
+        self.up, self.down = powers(BUFFER + 4 * length + 1)
 
     def find(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         """``symbols``: 64-bit hashes of all symbols; pieces at ``begins`` with ``sizes``. One row for each run."""

@@ -97,21 +97,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered up to a bound; the bound only affects speed."""
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: dict[str, np.ndarray] = {}
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a fixed odd base modulo 2**64, and of its inverse."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        for name, base in (("up", _BASE), ("down", np.uint64(pow(int(_BASE), -1, 1 << 64)))):
+            row = np.full(size, base, np.uint64)
+            row[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS[name] = np.multiply.accumulate(row)
+    return _POWERS["up"], _POWERS["down"]
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def hash_words(texts: list[bytes | None], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` of the texts in turn, and how many each text has.
+
+    ``table`` translates bytes before. A hash is a polynomial over the word's bytes, from differences of prefix sums.
+    """
+    joined = b" ".join(t or b"" for t in texts) + b" "
+    raw = np.frombuffer(joined.translate(table) if table else joined, np.uint8)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = powers(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * up[: len(raw)], out=prefix[1:])
+        hashes = mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = np.array([len(t or b"") + 1 for t in texts], dtype=np.int64)
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+    return hashes, counts
+
+
+def chunks(texts: list[bytes | None], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of texts with about ``most`` bytes each, to bound a task's memory."""
+    out, lo, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or b"")
+        if held >= most:
+            out.append((lo, i + 1))
+            lo, held = i + 1, 0
+    return out + ([(lo, len(texts))] if lo < len(texts) else [])
 
 
 def as_bytes(column) -> list[bytes | None]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from markwright.llm.common import BROADCAST_LIMIT, as_bytes, free
+from markwright.llm.common import BROADCAST_LIMIT, as_bytes, chunks, free
 
 #: byte -> itself in lower case if it is part of a word, else a space
 FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20) for b in range(256))
@@ -157,7 +157,7 @@ def _scan_task(shared, n_kept: int):
             texts = as_bytes(batch.column(n_kept + 2))
             marks, items = [], []
             before, listed = batch.column(n_kept).to_pylist(), batch.column(n_kept + 1).to_pylist()
-            for lo, hi in _spans(texts):
+            for lo, hi in chunks(texts, 4 << 20):
                 for (hit, found), old, ids in zip(matcher.scan(texts[lo:hi]), before[lo:hi], listed[lo:hi], strict=True):
                     if old is not None:
                         hit = hit | np.unpackbits(np.frombuffer(old, np.uint8)[4:], count=len(hit)).astype(bool)
@@ -169,17 +169,6 @@ def _scan_task(shared, n_kept: int):
     return run
 
 
-def _spans(texts: list[bytes | None], most: int = 4 << 20) -> list[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes each, to bound a task's memory."""
-    out, lo, held = [], 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or b"")
-        if held >= most:
-            out.append((lo, i + 1))
-            lo, held = i + 1, 0
-    return out + ([(lo, len(texts))] if lo < len(texts) else [])
-
-
 def _finish_task(kept: list[str], new: list[str]):
     def run(batches: Iterator):
         import pyarrow as pa

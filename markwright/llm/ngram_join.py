@@ -9,8 +9,10 @@ A document's set holds the hashes of its distinct shingles of ``size`` words (A-
    ``t = ceil(num/den * n)`` tokens to share, of the first ``n - t + LEVEL`` at least ``min(LEVEL, t)`` are common).
 2. Groups of similar documents: each document is tried against the leaders (the smallest ids) of the tokens that it
    shares most, and what proves to be linked is one group. This repeats while groups still merge.
-3. The token-group matrix: for each token the groups whose union of tokens holds it. A document's overlap with a
-   group is bounded by the number of its tokens in the group's union; groups that reach the bound are opened.
+3. The token-group matrix: for each token the groups whose union of tokens holds it. Documents of whose tokens too
+   few are held by other groups at all are set aside: no partner can reach what a link needs. Of the others, a document's overlap with any
+   member of a group is bounded by how many of its first tokens the group's union holds, and by how many tokens
+   follow the first of them; only groups whose bounds reach what a link needs are opened.
 4. Opened groups: the document against each member of fitting size, on the whole sets. Nothing is capped.
 
 Pairs inside a group are never listed, so copies in thousands cost as much as their number; links between groups are
@@ -26,10 +28,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markwright.llm.common import Scratch, WordHashes, as_bytes, mix64
+from markwright.llm.common import Scratch, as_bytes, chunks, hash_words, mix64
 from markwright.llm.components import components
 
 LEVEL = 3
@@ -37,19 +39,33 @@ ROUNDS = 3
 BUCKET_BYTES = 12 << 20
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SLICES = 64
-
-
-def shingles(text: bytes | None, size: int, known: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = text.translate(LOWER).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h, k = known.array(words), min(size, len(words))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-    return np.unique(mix64(out))
+LANES = 64  # sums of counters meet in two steps
+
+
+def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def combined(h: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(k):
+                out = out * step + h[j : j + len(out)]
+        return mix64(out)
+
+    for lo, hi in chunks(texts):
+        hashes, counts = hash_words(texts[lo:hi], LOWER)
+        rolled, at = combined(hashes, size), 0
+        for n in counts.tolist():
+            own = rolled[at : at + n - size + 1] if n >= size else combined(hashes[at : at + n], n) if n else hashes[:0]
+            at += n
+            own = np.sort(own)
+            if len(own) > 1:
+                new = np.empty(len(own), bool)
+                new[0] = True
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                own = own[new]
+            yield own
 
 
 def _sketch_task(size: int, bits: int):
@@ -59,10 +75,10 @@ def _sketch_task(size: int, bits: int):
         import pyarrow as pa
         import zstandard
 
-        counts, known = np.zeros(1 << bits, np.uint8), WordHashes()
+        counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                at = (shingles(text, size, known) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            for tokens in shingle_sets(as_bytes(batch.column(0)), size):
+                at = (tokens & np.uint64((1 << bits) - 1)).astype(np.int64)
                 counts[at] += counts[at] < 255
         rows = [zstandard.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "counts"])
@@ -70,17 +86,34 @@ def _sketch_task(size: int, bits: int):
     return run
 
 
-def _heavy_task(limit: int):
-    def run(table):
+def _sum_task(kind: str, limit: int | None):
+    """Rows sorted by (slice, lane): one row of sums for each, or with a limit one bit for each counter above it.
+
+    A task holds one sum and one row at a time.
+    """
+
+    def run(batches: Iterator):
         import pyarrow as pa
         import zstandard
 
-        total = None
-        for data in table.column("counts").to_pylist():
-            x = np.frombuffer(zstandard.decompress(data), np.uint8).astype(np.uint32)
-            total = x if total is None else total + x
-        bits = np.packbits(total > limit).tobytes()
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+        key, total = None, None
+
+        def row():
+            body = zstandard.compress(total.tobytes(), 1) if limit is None else np.packbits(total > limit).tobytes()
+            columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([body], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["slice", "lane", "counts"])
+
+        for batch in batches:
+            for piece, lane, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x = np.frombuffer(zstandard.decompress(data), kind).astype(np.uint32)
+                if key != (piece, lane):
+                    if key is not None:
+                        yield row()
+                    key, total = (piece, lane), x
+                else:
+                    total = np.minimum(total + x, 1 << 31)
+        if key is not None:
+            yield row()
 
     return run
 
@@ -88,8 +121,11 @@ def _heavy_task(limit: int):
 def heavy_tokens(docs: DataFrame, size: int, bits: int, limit: int) -> bytes:
     """One bit for each counter, on if more than ``limit`` documents count there. 2**bits bits, whatever the input."""
     slices = docs.select("text").mapInArrow(_sketch_task(size, bits), "slice int, counts binary")
-    rows = slices.groupBy("slice").applyInArrow(_heavy_task(limit), "slice int, bits binary").collect()
-    found = {r["slice"]: r["bits"] for r in rows}
+    kind = "slice int, lane int, counts binary"
+    lanes = slices.select("slice", F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"), "counts")
+    sums = lanes.repartition("slice", "lane").sortWithinPartitions("slice", "lane").mapInArrow(_sum_task("u1", None), kind)
+    ends = sums.select("slice", F.lit(0).alias("lane"), "counts").repartition("slice").sortWithinPartitions("slice").mapInArrow(_sum_task("<u4", limit), kind)
+    found = {r["slice"]: r["counts"] for r in ends.collect()}
     return b"".join(found.get(i, bytes((1 << bits) // SLICES // 8)) for i in range(SLICES))
 
 
@@ -103,11 +139,10 @@ def _sets_task(size: int, num: int, den: int, heavy, bits: int):
         import pyarrow as pa
         import xxhash
 
-        flags, known = np.unpackbits(np.frombuffer(heavy.value, np.uint8)), WordHashes()
+        flags = np.unpackbits(np.frombuffer(heavy.value, np.uint8))
         for batch in batches:
             n, sig1, sig2, prefix = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                tokens = shingles(text, size, known)
+            for tokens in shingle_sets(as_bytes(batch.column(1)), size):
                 raw = tokens.tobytes()
                 n.append(len(tokens))
                 sig1.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
@@ -121,7 +156,7 @@ def _sets_task(size: int, num: int, den: int, heavy, bits: int):
     return run
 
 
-POSTING = np.dtype([("t", "<u8"), ("id", "<i8"), ("group", "<i8"), ("n", "<u4")])
+POSTING = np.dtype([("t", "<u8"), ("id", "<i8"), ("group", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
 def _postings_task(buckets: int):
@@ -156,7 +191,7 @@ def _postings_task(buckets: int):
             for i, n, prefix, group in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 t = np.frombuffer(prefix, "<u8")
                 p = np.empty(len(t), POSTING)
-                p["t"], p["id"], p["group"], p["n"] = t, i, group, n
+                p["t"], p["id"], p["group"], p["n"], p["at"] = t, i, group, n, np.arange(len(t))
                 held.append(p)
                 size += len(t)
                 if size > 1_500_000:
@@ -195,8 +230,8 @@ def _buckets(batches: Iterator, work) -> Iterator:
         yield from work(_unpack(bodies))
 
 
-def _counted(a: np.ndarray, b: np.ndarray, names: tuple[str, str]):
-    """A batch of the distinct pairs and how often each occurs."""
+def _counted(a: np.ndarray, b: np.ndarray, bound: np.ndarray, least: np.ndarray, most: np.ndarray, names: tuple[str, str]):
+    """A batch of the distinct pairs: how often each occurs, its largest bound, and the range of the partners' sizes."""
     import pyarrow as pa
 
     order = np.lexsort((b, a))
@@ -204,7 +239,25 @@ def _counted(a: np.ndarray, b: np.ndarray, names: tuple[str, str]):
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
-    return pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(np.diff(np.append(at, len(a))), pa.int64())], names=[*names, "shared"])
+    if len(at):
+        bound, least, most = np.maximum.reduceat(bound[order], at), np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at)
+    columns = [a[at], b[at], np.diff(np.append(at, len(a))), bound, least, most]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "shared", "bound", "least", "most"])
+
+
+def may_link(n: Column, num: int, den: int) -> Column:
+    """Whether a set of ``n`` can link with a partner of least..most tokens, by ``shared`` and ``bound``.
+
+    Tokens to share with a partner of m: t(m) = num * (n + m) / (num + den). All common tokens follow the first common
+    one, so ``bound`` must reach t(least). The common tokens beyond the ones that travelled are fewer than
+    max(needed(n), needed(m)) - LEVEL + 1, so ``shared`` must reach t(m) less that, for the least or the most m.
+    """
+    alone = lambda m: F.ceil(m * num / den)
+    low, high = F.greatest(F.col("least"), alone(n)), F.least(F.col("most"), F.floor(n * den / num))
+    together = lambda m: F.ceil((n + m) * num / (num + den) - 1e-9)
+    rest = lambda m: F.greatest(alone(n), alone(m)) - LEVEL
+    enough = F.least(together(low) - rest(low), together(high) - rest(high)) - F.when(low < high, 1).otherwise(0)  # rounding in between
+    return (low <= high) & (F.col("bound") >= together(low)) & (F.col("shared") >= F.least(F.greatest(enough, F.lit(1)), alone(n)))
 
 
 def _lists(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,12 +289,26 @@ def _star_work(turn: int):
         use = p["group"] != p["group"][full]
         a, b = leader[use], p["id"][use]
         n_a, n_b = p["n"][full][use].astype(np.int64), p["n"][use].astype(np.int64)
-        fit = 100 * np.minimum(n_a, n_b) >= 50 * np.maximum(n_a, n_b)
-        yield _counted(a[fit], b[fit], ("a", "b"))
+        bound = np.minimum(n_a - p["at"][full][use], n_b - p["at"][use])
+        yield _counted(b, a, bound, n_a, n_a, ("q", "g"))
 
     return work
 
 
+def _live_work(p: np.ndarray):
+    """Documents with how many of their tokens other groups hold too, and the sizes that those lists reach."""
+    p, begin, end = _lists(p)
+    p = p[p["group"][begin] != p["group"][end - 1]]
+    if not len(p):
+        return
+    new = np.ones(len(p), bool)
+    new[1:] = p["t"][1:] != p["t"][:-1]
+    at, token = np.flatnonzero(new), np.cumsum(new) - 1
+    n, room = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["at"]
+    least, most, reach = np.minimum.reduceat(n, at)[token], np.maximum.reduceat(n, at)[token], np.maximum.reduceat(room, at)[token]
+    yield _counted(p["id"], np.zeros(len(p), np.int64), np.minimum(room, reach), least, most, ("q", "g"))
+
+
 def _matrix_work(p: np.ndarray):
     """Documents with each later group in their tokens' lists: (document, group, how many tokens)."""
     p, begin, end = _lists(p)
@@ -255,11 +322,13 @@ def _matrix_work(p: np.ndarray):
     token_end = np.searchsorted(p["t"][heads], p["t"], side="right")  # in heads
     own = np.cumsum(head) - 1
     later = token_end - own - 1
+    n, room = p["n"].astype(np.int64), p["n"].astype(np.int64) - p["at"]
+    least, most, reach = (np.minimum.reduceat(n, heads), np.maximum.reduceat(n, heads), np.maximum.reduceat(room, heads))
     for lo, hi in _ranges(later, 4_000_000):
         count = later[lo:hi]
         query = np.repeat(np.arange(lo, hi), count)
         target = np.repeat(own[lo:hi] + 1, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        yield _counted(p["id"][query], p["group"][heads[target]], ("q", "g"))
+        yield _counted(p["id"][query], p["group"][heads[target]], np.minimum(room[query], reach[target]), least[target], most[target], ("q", "g"))
 
 
 def _ranges(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -278,11 +347,11 @@ def _verify_task(size: int, num: int, den: int):
     def run(batches: Iterator):
         import pyarrow as pa
 
-        known, lead, own = WordHashes(), None, np.zeros(0, np.uint64)
+        lead, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             out: tuple[list, list] = ([], [])
-            for a, salt, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(3)), strict=True):
-                tokens = shingles(text, size, known)
+            sets = shingle_sets(as_bytes(batch.column(3)), size)
+            for a, salt, doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets, strict=True):
                 if (a, salt) != lead:
                     lead, own = (a, salt), tokens
                     continue
@@ -306,7 +375,8 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
     salted = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / 128)).alias("salt"), "b")
     asked = salted.select("a", "salt", F.col("b").alias("doc"), F.lit(1).alias("follows"))
     asked = asked.unionByName(salted.select("a", "salt", F.col("a").alias("doc"), F.lit(0).alias("follows")).distinct())
-    texts = asked.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    # by a sort-merge join at every size, so that the plan of a small run is that of a large one
+    texts = asked.join(docs.select(F.col("doc_id").alias("doc"), "text").hint("merge"), "doc")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "follows")
     return dealt.select("a", "salt", "doc", "text").mapInArrow(_verify_task(size, num, den), "a long, b long")
 
@@ -326,17 +396,18 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     bare = nodes.select("id", "n")
     texts = named.where(F.col("doc_id").isNotNull())
 
-    def postings(groups: DataFrame | None, work):
+    def postings(groups: DataFrame | None, work, nodes: DataFrame = nodes):
         rows = nodes.select("id", "n", "prefix", F.col("id").alias("group")) if groups is None else nodes.join(groups, "id", "left").select("id", "n", "prefix", F.coalesce("component", "id").alias("group"))
         dealt = rows.mapInArrow(_postings_task(buckets), "bucket int, body binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        names = "a long, b long, shared long" if work is not _matrix_work else "q long, g long, shared long"
-        return dealt.mapInArrow(lambda batches: _buckets(batches, work), names)
+        rows = dealt.mapInArrow(lambda batches: _buckets(batches, work), "q long, g long, shared long, bound long, least long, most long")
+        sums = rows.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.max("bound").alias("bound"), F.min("least").alias("least"), F.max("most").alias("most"))
+        return sums.join(bare.select(F.col("id").alias("q"), F.col("n").alias("q_n")), "q").where(may_link(F.col("q_n"), num, den))
 
-    links, groups, before = None, None, -1
+    links, groups = None, None
     for turn in range(rounds):
-        stars = postings(groups, _star_work(turn)).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-        best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-        tried = scratch.save(stars.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b"), f"tried{turn}")
+        best = Window.partitionBy("q").orderBy(F.desc("shared"), "g")
+        stars = postings(groups, _star_work(turn)).withColumn("r", F.row_number().over(best)).where("r <= 2")
+        tried = scratch.save(stars.select(F.col("g").alias("a"), F.col("q").alias("b")), f"tried{turn}")
         scratch.release()
         proven = scratch.save(verify(texts, tried, size, num, den), f"proven{turn}")
         scratch.release()
@@ -344,13 +415,12 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
         links = proven if links is None else links.unionByName(proven)
         if new:
             groups = components(links, scratch, f"groups{turn}_")
-        if new == 0 or new == before:
+        if new * 20 < tried.count():
             break
-        before = new
-    reach = postings(groups, _matrix_work).groupBy("q", "g").agg(F.sum("shared").alias("shared"))
-    sizes = bare.select(F.col("id").alias("q"), F.col("n").alias("q_n"))
-    least = F.ceil(F.col("q_n") * num / den)
-    opened = scratch.save(reach.where(F.col("shared") >= 1).join(sizes, "q").where(F.col("shared") >= F.least(F.lit(LEVEL), least)).select("q", "g", "q_n"), "opened")
+    # a document whose own tokens are too rarely shared can link with nothing outside its group
+    live = scratch.save(postings(groups, _live_work).select(F.col("q").alias("id")), "live")
+    scratch.release()
+    opened = scratch.save(postings(groups, _matrix_work, nodes.join(live, "id", "left_semi")).select("q", "g", "q_n"), "opened")
     scratch.release()
     members = bare.select("id", "n", F.col("id").alias("group")) if groups is None else bare.join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("group"))
     fits = F.col("n").between(F.ceil(F.col("q_n") * num / den), F.floor(F.col("q_n") * den / num))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from markwright.llm import anchors
-from markwright.llm.common import Scratch, WordHashes, as_bytes
+from markwright.llm.common import Scratch, as_bytes, hash_words
 
 LENGTH = 35
 GRAM = 10
@@ -166,8 +166,7 @@ def repeated_windows(c: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_symbols():
-    known = WordHashes()
-    return lambda text: known.array(text.split())
+    return lambda text: hash_words([text])[0]
 
 
 def plan(length: int = LENGTH, gram: int = GRAM) -> anchors.Plan:

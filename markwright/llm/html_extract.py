@@ -25,7 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 TRAINING_PAGES = 320
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|math|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>", re.S | re.I)
+#: attributes up to the tag's end; a quote opens a value only after an equals sign
+_REST = r"""((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?)>"""
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|math|object)\b" + _REST + r".*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)" + _REST + "|<[!?][^>]*>", re.S | re.I
+)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -96,20 +100,20 @@ def blocks(html: str | None) -> list[Block]:
     for m in TOKEN.finditer(html):
         add(html[at : m.start()])
         at = m.end()
-        name = m.group(3)
+        name = m.group(4)
         if name is None:
             if m.group(1):
                 add(" ")
             continue
         name = name.lower()
         if name == "a":
-            state["link"] = 0 if m.group(2) else 1
+            state["link"] = 0 if m.group(3) else 1
             continue
         if name in INLINE:
             if name == "br":
                 add(" ")
             continue
-        if m.group(2):
+        if m.group(3):
             if name == "head":
                 state["head"] = 0
             for i in range(len(stack) - 1, -1, -1):
@@ -141,11 +145,11 @@ def blocks(html: str | None) -> list[Block]:
         close_block()
         if name not in VOID:
             tags, hints = (stack[-1][1], stack[-1][2]) if stack else (none, none)
-            attributes = m.group(4)
+            attributes = m.group(5)
             stack.append((name, tags | {name}, hints | _hints(attributes) if attributes else hints))
             if len(stack) > 500:
                 del stack[100:400]
-    add(html[at:])
+    add(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", html[at:]))  # a tag that the page's end cuts off
     close_block()
     return out
 

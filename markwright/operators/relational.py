@@ -101,3 +101,23 @@ def missing_and_extra(seen: DataFrame, by: str, number: str, expected: Column) -
     got = seen.groupBy(by).agg(F.sort_array(F.collect_set(number)).alias("got"), F.max(expected).alias("expected"))
     want = F.when(F.col("expected") >= 1, F.sequence(F.lit(1), F.col("expected").cast("int"))).otherwise(F.array().cast("array<int>"))
     return got.select(by, F.array_except(want, F.col("got")).alias("missing"), F.array_except(F.col("got"), want).alias("extra"))
+
+
+def stratified_pack(rows: DataFrame, id_: str, flag: str, wanted: int, total: int, seed: int) -> DataFrame:
+    """A pack of ``total`` rows, ``wanted`` of them with the flag; where one kind falls short the other fills up."""
+    order = seeded_order(F.col(id_), seed)
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(flag).orderBy(order, id_)))
+    due = F.when(F.col(flag), F.col("_r") <= wanted).otherwise(F.col("_r") <= total - wanted)
+    return ranked.orderBy(due.desc(), order, id_).limit(total).drop("_r")
+
+
+def regroup(rows: DataFrame, outer: str, inner: str, item: str) -> DataFrame:
+    """Items in two levels: for each outer value an array of (inner value, sorted items)."""
+    lists = rows.groupBy(outer, inner).agg(F.sort_array(F.collect_set(item)).alias("items"))
+    return lists.groupBy(outer).agg(F.array_sort(F.collect_list(F.struct(inner, "items"))).alias("groups"))
+
+
+def folder_order(name: str, kind: str) -> list[Column]:
+    """Folders before papers before other files, then by name without regard to case."""
+    rank = F.when(F.col(kind) == "folder", 0).when(F.col(kind) == "paper", 1).otherwise(2)
+    return [rank, F.lower(F.col(name)), F.col(name)]

@@ -109,3 +109,26 @@ def test_streams_agree_with_batch(spark, tmp_path):
     run = once.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("once").count() == 6
+
+
+def test_stratified_pack_fills_up(spark):
+    rows = spark.createDataFrame([(i, i < 3) for i in range(20)], "id int, mcq boolean")
+    got = relational.stratified_pack(rows, "id", "mcq", 5, 8, 1).collect()
+    again = relational.stratified_pack(rows.repartition(3), "id", "mcq", 5, 8, 1).collect()
+    assert len({r["id"] for r in got}) == 8 and sum(r["mcq"] for r in got) == 3
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_regroup_and_order(spark):
+    rows = spark.createDataFrame([(2019, "June", "p2"), (2019, "June", "p1"), (2019, "Nov", "p1"), (2019, "June", "p1")], "year int, session string, paper string")
+    assert [(g["session"], g["items"]) for g in relational.regroup(rows, "year", "session", "paper").first()["groups"]] == [("June", ["p1", "p2"]), ("Nov", ["p1"])]
+    files = spark.createDataFrame([("b", "file"), ("Z", "folder"), ("a", "paper")], "name string, kind string")
+    assert [r["name"] for r in files.orderBy(*relational.folder_order("name", "kind")).collect()] == ["Z", "a", "b"]
+
+
+def test_files_and_backfill(spark, tmp_path):
+    (tmp_path / "top" / "x").mkdir(parents=True)
+    (tmp_path / "top" / "x" / "f.txt").write_text("hi")
+    assert [(r["length"], r["parts"]) for r in readers.list_files(spark, str(tmp_path / "top")).collect()] == [(2, ["x", "f.txt"])]
+    docs = spark.createDataFrame([("s", [(1, 10, "old"), (1, 20, "new"), (None, 5, "x")])], "owner string, items array<struct<id:int,at:int,v:string>>")
+    assert [(r["id"], r["v"]) for r in readers.backfill_items(docs, "owner", "items", "id", "at").collect()] == [(1, "new")]

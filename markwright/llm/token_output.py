@@ -44,11 +44,18 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A-Z in lower case; other bytes as they are
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+SAMPLE = "a\tB c  it's\n1 , x The, END.### (ok)! co-op's Été. x_y=3; don't' «q» 5% a.b a1! -"
+
+
 class WordIds(dict):
     """word -> its ids as little-endian 32-bit bytes, remembered up to a bound.
 
-    The tokenizer never joins pieces over white space, so that a text's ids are those of its words in turn; ``probe``
-    tells whether that holds for a vocabulary file.
+    Of a vocabulary whose pre-tokenizer never joins pieces over white space, nor letters with the marks after them, and
+    that ignores case, a text's ids are those of its words in turn, and a word's those of its letters and its marks.
+    ``SAMPLE`` tells whether that holds; other vocabularies get whole texts.
     """
 
     LIMIT = 1_000_000
@@ -57,22 +64,27 @@ class WordIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        sample = "a\tB c  it's\n1 , x"
-        whole = self.tokenizer.encode(sample, add_special_tokens=False).ids
-        self.by_word = whole == [i for w in sample.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), True
+        self.by_word = self.encode(SAMPLE.encode()) == self._ids(SAMPLE)
+        self.clear()
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = np.array(ids, dtype="<u4").tobytes()
+        stem = word.rstrip(MARKS)
+        if stem and len(stem) < len(word) and stem[-1:].isalpha():
+            value = self[stem] + self[word[len(stem) :]]
+        else:
+            value = self._ids(word.decode("utf-8", "replace"))
         if len(self) < self.LIMIT:
             self[word] = value
         return value
 
     def encode(self, text: bytes) -> bytes:
         if self.by_word:
-            return b"".join(map(self.__getitem__, text.split()))
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return b"".join(map(self.__getitem__, text.translate(LOWER).split()))
+        return self._ids(text.decode("utf-8", "replace"))
 
 
 @lru_cache(maxsize=1)

@@ -55,7 +55,8 @@ class WordIds(dict):
 
     Of a vocabulary whose pre-tokenizer never joins pieces over white space, nor letters with the marks after them, and
     that ignores case, a text's ids are those of its words in turn, and a word's those of its letters and its marks.
-    ``SAMPLE`` tells whether that holds; other vocabularies get whole texts.
+    ``SAMPLE`` tells whether that holds; other vocabularies get whole texts. The vocabulary's added tokens are matched in
+    the raw text, before it is split and in their own case, so a text that holds one in any case is encoded whole.
     """
 
     LIMIT = 1_000_000
@@ -65,6 +66,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.encode().translate(LOWER) for token in added if token.content]
         self.by_word = self.encode(SAMPLE.encode()) == self._ids(SAMPLE)
         self.clear()
 
@@ -83,7 +86,9 @@ class WordIds(dict):
 
     def encode(self, text: bytes) -> bytes:
         if self.by_word:
-            return b"".join(map(self.__getitem__, text.translate(LOWER).split()))
+            lower = text.translate(LOWER)
+            if not any(content in lower for content in self.added):
+                return b"".join(map(self.__getitem__, lower.split()))
         return self._ids(text.decode("utf-8", "replace"))
 
 

@@ -186,6 +186,22 @@ def test_token_output(spark, file):
     assert token_output.round_trip(docs.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_matched_in_the_raw_text(spark, file):
+    path = token_output.vocabulary(file)
+    tokenizer = Tokenizer.from_file(path)
+    contents = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    assert contents
+    forms = [f for c in contents for f in (c, c.upper(), c.title())]
+    texts = forms + [f"{a}{f}{b}" for f in forms for a, b in (("x", ""), ("", "x"), ("Some words, ", "."), ("a\n", " b."), ("(", ")!"))]
+    texts += [c[:-1] for c in contents] + [contents[0] * 3, "One " + " Two. ".join(forms), contents[0][:4] + " " + contents[0][4:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_output.round_trip(docs, path).collect()}
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -3,10 +3,12 @@
 A text is lower-cased and cut into runs of letters. Each run gives itself and its character n-grams (2 to 4, with
 word-boundary marks) as features, hashed into ``BUCKETS`` rows of an embedding table. A text is the mean of its
 features' rows; a linear softmax over that mean gives the languages. As the mean is linear, each distinct word's sum
-of logits is worked out once and a whole text is a sum over its words.
+of logits is worked out once and a whole text is a sum over its words. Runs of any length count whole; new ones are
+worked through in batches of ``BYTES_AT_ONCE``, a longer one in parts.
 
 Training reads a bounded sample (``per_language`` rows of each label at most in expectation, chosen by a hash of the
-id; this is the documented bound), cut into spans of various lengths so that short texts are covered. A fifth of the
+id; this is the documented bound), cut into spans of various lengths so that short texts are covered, of which a text
+gives 12 at most, picked at random. A fifth of the
 sample is kept out of the gradient steps; on it a temperature is fitted, so that scores are probabilities, and the
 rejection threshold is set to the score below which at most ``reject_rate`` of right answers fall (``REJECT_BELOW`` at most).
 
@@ -31,6 +33,10 @@ BUCKETS = 1 << 16
 DIM = 16
 PER_LANGUAGE = 400
 ROWS_AT_ONCE = 1000
+BYTES_AT_ONCE = 1 << 17
+LONGEST = 5
+LONG_RUN = 64
+PIECE = 16
 REJECT_BELOW = 0.35
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -46,27 +52,36 @@ class Model:
     threshold: float = 0.0
 
 
+def _grams(raw: np.ndarray, left: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, where n-grams begin before ``upto`` and their buckets. ``left``: bytes to the end of the word."""
+    h = np.zeros(len(raw), dtype=np.uint64)
+    for n in range(1, LONGEST + 1):
+        part = np.zeros(len(raw), dtype=np.uint64)
+        part[: max(0, len(raw) - n + 1)] = raw[n - 1 :]
+        h = h * np.uint64(0x100000001B3) + part + np.uint64(n)
+        if n >= 2:
+            keep = np.flatnonzero(left[:upto] >= n)
+            yield keep, (mix64(h[keep]) & np.uint64(BUCKETS - 1)).astype(np.int32)
+
+
+def _marked(word: str) -> bytes:
+    return b"<" + word.encode("utf-8", "replace") + b">"
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each feature of each word, and where each word's features begin."""
-    marked = [b"<" + w.encode()[:64] + b">" for w in words]
+    marked = [_marked(w) for w in words]
     sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     raw = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
     ends = np.cumsum(sizes)
     word = np.repeat(np.arange(len(words)), sizes)
-    left = ends[word] - np.arange(len(raw))  # bytes to the end of the word
+    left = ends[word] - np.arange(len(raw))
     buckets, owner = [], []
     with np.errstate(over="ignore"):
-        h = np.zeros(len(raw), dtype=np.uint64)
-        for n in range(1, 6):
-            part = np.zeros(len(raw), dtype=np.uint64)
-            part[: max(0, len(raw) - n + 1)] = raw[n - 1 :]
-            h = h * np.uint64(0x100000001B3) + part + np.uint64(n)
-            if n >= 2:
-                keep = np.flatnonzero(left >= n)
-                buckets.append((mix64(h[keep]) & np.uint64(BUCKETS - 1)).astype(np.int32))
-                owner.append(word[keep])
-        power = np.concatenate([np.arange(k, 0, -1, dtype=np.uint64) for k in sizes]) if len(sizes) else np.zeros(0, np.uint64)
-        whole = np.add.reduceat(mix64(raw + power * np.uint64(256)), ends - sizes) if len(sizes) else np.zeros(0, np.uint64)
+        for keep, found in _grams(raw, left, len(raw)):
+            buckets.append(found)
+            owner.append(word[keep])
+        whole = np.add.reduceat(mix64(raw + left.astype(np.uint64) * np.uint64(256)), ends - sizes) if len(sizes) else np.zeros(0, np.uint64)
     buckets.append((mix64(whole) & np.uint64(BUCKETS - 1)).astype(np.int32))
     owner.append(np.arange(len(words)))
     own = np.concatenate(owner)
@@ -75,8 +90,25 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets)[order], starts
 
 
+def long_subwords(word: str, at_once: int) -> Iterator[np.ndarray]:
+    """The buckets that ``subwords`` gives for one word, in parts of ``at_once`` bytes of it."""
+    data = _marked(word)
+    whole = np.zeros(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), at_once):
+            raw = np.frombuffer(data[at : at + at_once + LONGEST - 1], dtype=np.uint8).astype(np.uint64)
+            left, own = len(data) - at - np.arange(len(raw)), min(at_once, len(data) - at)
+            yield np.concatenate([found for _, found in _grams(raw, left, own)])
+            whole += mix64(raw[:own] + left[:own].astype(np.uint64) * np.uint64(256)).sum(dtype=np.uint64)
+        yield (mix64(whole) & np.uint64(BUCKETS - 1)).astype(np.int32)
+
+
 def _spans(words: list[str], rng: np.random.Generator) -> list[list[str]]:
-    """Cuts a text's words into spans of 1 to 64, so that all of it is used and short texts are practised."""
+    """Cuts a text's words into spans of 1 to 64, so that all of it is used and short texts are practised.
+
+    A run of over ``LONG_RUN`` letters, as scripts without spaces have, counts as consecutive words of ``PIECE`` letters.
+    """
+    words = [part for w in words for part in ([w] if len(w) <= LONG_RUN else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
     out, at = [], 0
     while at < len(words):
         n = int(2 ** rng.uniform(0, 6))
@@ -144,31 +176,60 @@ def _calibrate(model: Model, check: list[tuple[np.ndarray, int]], reject_rate: f
 
 
 class WordLogits(dict):
-    """word -> row in a table of summed logits and numbers of features; filled in batches, bounded by ``LIMIT``."""
+    """word -> row in a table of summed logits and numbers of features; filled in batches, bounded by the two limits."""
 
     LIMIT = 150_000
+    LETTERS_LIMIT = 8_000_000
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
         self.pending: list[str] = []
+        self.letters = 0
         self.rows = np.zeros((1024, len(model.languages) + 1), dtype=np.float64)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         self.pending.append(word)
+        self.letters += len(word)
         return at
 
+    def full(self) -> bool:
+        return len(self) > self.LIMIT or self.letters > self.LETTERS_LIMIT
+
+    def clear(self) -> None:
+        super().clear()
+        self.letters = 0
+
+    def _batches(self) -> Iterator[tuple[int, int]]:
+        """Ranges of pending words of ``BYTES_AT_ONCE`` in all, or of one longer word."""
+        low = held = 0
+        for at, word in enumerate(self.pending):
+            size = len(word.encode("utf-8", "replace")) + 2
+            if at > low and held + size > BYTES_AT_ONCE:
+                yield low, at
+                low, held = at, 0
+            held += size
+        if self.pending:
+            yield low, len(self.pending)
+
     def settle(self) -> None:
         if len(self) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((len(self), self.rows.shape[1]))])
         first = len(self) - len(self.pending)
-        for at in range(0, len(self.pending), 20_000):
-            ids, starts = subwords(self.pending[at : at + 20_000])
-            sums = np.add.reduceat(self.model.embedding[ids].astype(np.float64), starts)
-            part = self.rows[first + at : first + at + len(starts)]
+        for low, high in self._batches():
+            part = self.rows[first + low : first + high]
+            if high - low == 1:
+                sums, n = np.zeros((1, self.model.embedding.shape[1])), 0
+                for ids in long_subwords(self.pending[low], BYTES_AT_ONCE):
+                    sums += self.model.embedding[ids].sum(0, dtype=np.float64)
+                    n += len(ids)
+                counts = np.array([n])
+            else:
+                ids, starts = subwords(self.pending[low:high])
+                sums, counts = np.add.reduceat(self.model.embedding[ids].astype(np.float64), starts), np.diff(np.append(starts, len(ids)))
             part[:, :-1] = sums @ self.model.weights
-            part[:, -1] = np.diff(np.append(starts, len(ids)))
+            part[:, -1] = counts
         self.pending = []
 
 
@@ -177,7 +238,7 @@ def predict(model: Model, texts: list[str | None], words: WordLogits | None = No
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if not model.languages:
         return langs, scores
-    if len(words) > words.LIMIT:
+    if words.full():
         words.clear()
     waiting: list[tuple[int, np.ndarray]] = []
     held = 0
@@ -199,10 +260,10 @@ def predict(model: Model, texts: list[str | None], words: WordLogits | None = No
             continue
         waiting.append((i, np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found))))
         held += len(found)
-        if held > 100_000:
+        if held > 100_000 or words.full():
             settle()
             held = 0
-            if len(words) > words.LIMIT:
+            if words.full():
                 words.clear()
     settle()
     return langs, scores

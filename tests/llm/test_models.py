@@ -36,6 +36,32 @@ def test_language_id_without_labels(spark):
     assert langid.identify(rows.limit(0), model).count() == 0
 
 
+def _two_scripts():
+    rng = np.random.default_rng(3)
+    def text(letters, breaks):
+        return "".join(letters[i] + ("." if b else "") for i, b in zip(rng.integers(0, len(letters), 300), rng.random(300) < breaks, strict=True))
+    left, right = "日本語文章言葉世界学校時間", "คนไทยภาษากลาง"
+    return text, left, right, langid.fit([(text(left, 0.02), "aa") for _ in range(30)] + [(text(right, 0.02), "bb") for _ in range(30)])
+
+
+def test_language_of_a_long_run_is_that_of_the_whole_run(monkeypatch):
+    text, left, right, model = _two_scripts()
+    runs = [left[:10] * 3 + text(right, 0) * 5, right[:8] * 3 + text(left, 0) * 5]
+    assert langid.predict(model, runs)[0] == ["bb", "aa"]
+    same = [left * 13, left * 10 + right * 40]
+    assert langid.predict(model, same)[0] == ["aa", "bb"]
+    words = runs + same + ["a", "日本", "b" * 700]
+    ids, starts = langid.subwords(words)
+    for size in (7, 64, 1000):
+        for word, want in zip(words, np.split(ids, starts[1:]), strict=True):
+            assert sorted(np.concatenate(list(langid.long_subwords(word, size))).tolist()) == sorted(want.tolist())
+    want = langid.predict(model, words)
+    monkeypatch.setattr(langid, "BYTES_AT_ONCE", 50)
+    monkeypatch.setattr(langid.WordLogits, "LETTERS_LIMIT", 100)
+    got = langid.predict(model, words)
+    assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+
 def test_html_blocks():
     page = "<html><head><title>t</title></head><body><p>a &amp; b<br>c<p><b>d</b> e&nbsp;f<script>x('</p>')</script><ul><li>g<li>h</ul><!-- <p>no</p> -->"
     assert [b.text for b in html_extract.blocks(page)] == ["a & b c", "d e f", "g", "h"]

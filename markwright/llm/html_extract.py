@@ -2,7 +2,8 @@
 
 A page is read as a stream of tags with a stack of open elements. The text between two block-level tags is a leaf
 block; it knows its ancestor tags, the words in their class and id attributes, and how much of it is link text.
-Scripts, styles, the head and comments give no blocks. Each block has features of its ancestors and of its text; a CRF
+Scripts, styles, text areas, inner frames, the head and comments give no blocks; drawings, formulas, objects and
+templates are read as ordinary elements. Each block has features of its ancestors and of its text; a CRF
 with the two states boilerplate and main text scores blocks and neighbours, and Viterbi decodes the page.
 
 The CRF is trained here, on labelled pages from ``training_pages``: pages of various layouts whose main-text blocks
@@ -27,16 +28,18 @@ from pyspark.sql.types import StructType
 TRAINING_PAGES = 320
 #: attributes up to the tag's end; a quote opens a value only after an equals sign
 _REST = r"""((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?)>"""
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|math|object)\b" + _REST + r".*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)" + _REST + "|<[!?][^>]*>", re.S | re.I
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)" + _REST + "|<[!?][^>]*>", re.S)
+#: elements whose content is no markup: it goes up to the close tag, or to the page's end
+RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
+FOREIGN = frozenset(("svg", "math"))
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ANCESTORS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "dl", "table", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "div", "button", "select", "address", "dialog", "menu", "body", "fieldset", "details")
+ANCESTOR_SET = frozenset(ANCESTORS)
 HINTS = {
     "advert": ("ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promoted", "banner", "adbox"),
     "menu": ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "crumbs", "tabs", "pagination", "pager", "toc"),
@@ -68,13 +71,18 @@ def _hints(attributes: str) -> frozenset:
     return frozenset(out)
 
 
+def _self_closed(attributes: str) -> bool:
+    """Whether a slash ends the tag, and not a value without quotes."""
+    return attributes.endswith("/") and not re.search(r"=\s*[^\s\"'=]+/\Z", attributes)
+
+
 def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
     stack: list[tuple[str, frozenset, frozenset]] = []  # tag, all tags up to it, all hints up to it
     parts: list[str] = []
-    state = {"linked": 0, "link": 0, "head": 0}
+    state = {"linked": 0, "link": 0, "head": 0, "foreign": 0}
     none = frozenset()
 
     def close_block() -> None:
@@ -97,23 +105,34 @@ def blocks(html: str | None) -> list[Block]:
                 state["linked"] += len(text)
 
     at = 0
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         add(html[at : m.start()])
         at = m.end()
-        name = m.group(4)
+        name = m.group(2)
         if name is None:
-            if m.group(1):
-                add(" ")
             continue
-        name = name.lower()
+        name, closing, whole_name = name.lower(), bool(m.group(1)), html[m.end(2)] in " \t\n\r\f\v/>"
+        if name in RAW_END and whole_name and not closing:
+            if not _self_closed(m.group(3)):
+                end = RAW_END[name].search(html, at)
+                at = end.end() if end else len(html)
+            add(" ")
+            continue
+        if name in FOREIGN and whole_name:
+            state["foreign"] = 0 if closing or _self_closed(m.group(3)) else 1
+            continue
         if name == "a":
-            state["link"] = 0 if m.group(3) else 1
+            state["link"] = 0 if closing else 1
             continue
         if name in INLINE:
             if name == "br":
                 add(" ")
             continue
-        if m.group(3):
+        if state["foreign"]:
+            if name not in ANCESTOR_SET and name not in CLOSES_P and name not in SELF_CLOSING:
+                continue
+            state["foreign"] = 0  # a tag of the page itself ends a drawing or formula that was left open
+        if closing:
             if name == "head":
                 state["head"] = 0
             for i in range(len(stack) - 1, -1, -1):
@@ -145,7 +164,7 @@ def blocks(html: str | None) -> list[Block]:
         close_block()
         if name not in VOID:
             tags, hints = (stack[-1][1], stack[-1][2]) if stack else (none, none)
-            attributes = m.group(5)
+            attributes = m.group(3)
             stack.append((name, tags | {name}, hints | _hints(attributes) if attributes else hints))
             if len(stack) > 500:
                 del stack[100:400]

@@ -68,6 +68,22 @@ def test_html_blocks():
     assert html_extract.blocks(None) == [] and html_extract.blocks("<p>open <b") != []
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>a</p><svg width='1'/><p>b</p><math/><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><noscript><p>b</p><object><p>c</p>", ["a", "b", "c"]),
+        ("<svg-icon><p>a</p></svg-icon><p>b</p><title-block>c</title-block><script-x>d</script-x>", ["a", "b", "c", "d"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg><g><path d='M0'/></g></svg>so</p><object data=x>d</object>", ["Let x=1 be so", "d"]),
+        ("<p>a<svg><path d='M0'/><p>b<template><p>c</p></template>", ["a", "b", "c"]),
+        ("<p>a</p><script src='x'/><p>b</p><script src=x/>no</script><p>c</p><style>no", ["a", "b", "c"]),
+        ("<p>a</p><TEXTAREA>no <p>no</p></textarea ><iframe>no</iframe><title>no</title>b", ["a", "b"]),
+    ],
+)
+def test_html_drops_raw_text_only(page, want):
+    assert [b.text for b in html_extract.blocks(page)] == want
+
+
 def test_html_held_out_pages():
     crf = html_extract.trained()
     wrong = total = 0

@@ -2,8 +2,8 @@
 
 A page is read as a stream of tags with a stack of open elements. The text between two block-level tags is a leaf
 block; it knows its ancestor tags, the words in their class and id attributes, and how much of it is link text.
-Scripts, styles, text areas, inner frames, the head and comments give no blocks; drawings, formulas, objects and
-templates are read as ordinary elements. Each block has features of its ancestors and of its text; a CRF
+Scripts, styles, text areas, inner frames, the head and comments give no blocks. The head ends at its close tag or at the
+first tag or text that can't stand in it; drawings, formulas, objects and templates are read as ordinary elements. Each block has features of its ancestors and of its text; a CRF
 with the two states boilerplate and main text scores blocks and neighbours, and Viterbi decodes the page.
 
 The CRF is trained here, on labelled pages from ``training_pages``: pages of various layouts whose main-text blocks
@@ -32,6 +32,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)" + _REST + "
 #: elements whose content is no markup: it goes up to the close tag, or to the page's end
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
 FOREIGN = frozenset(("svg", "math"))
+IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+HIDDEN_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("noscript", "template")}
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,9 +82,11 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, frozenset, frozenset]] = []  # tag, all tags up to it, all hints up to it
+    stack: list[tuple[str, frozenset, frozenset]] = []  # tag, all of ANCESTORS up to it, all hints up to it
+    opened: dict[str, list[int]] = {}  # tag -> its places in the stack
     parts: list[str] = []
-    state = {"linked": 0, "link": 0, "head": 0, "foreign": 0}
+    state = {"linked": 0, "link": 0, "head": 0, "hidden": 0, "foreign": 0}
+    unclosed: set[str] = set()
     none = frozenset()
 
     def close_block() -> None:
@@ -94,29 +98,46 @@ def blocks(html: str | None) -> list[Block]:
             parts.clear()
         state["linked"] = 0
 
+    def last(names) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
     def pop_to(i: int) -> None:
         close_block()
-        del stack[i:]
-
-    def add(text: str) -> None:
-        if text and not state["head"]:
+        while len(stack) > i:
+            opened[stack.pop()[0]].pop()
+
+    def add(text: str, start: int) -> None:
+        if state["head"]:
+            if start < state["hidden"] or not text.strip():
+                return
+            state["head"] = 0  # text can't stand in the head
+        if text:
             parts.append(text)
             if state["link"]:
                 state["linked"] += len(text)
 
     at = 0
     while m := TOKEN.search(html, at):
-        add(html[at : m.start()])
+        add(html[at : m.start()], at)
         at = m.end()
         name = m.group(2)
         if name is None:
             continue
         name, closing, whole_name = name.lower(), bool(m.group(1)), html[m.end(2)] in " \t\n\r\f\v/>"
+        if state["head"]:
+            if closing and name in ("head", "body", "html") or not closing and m.start() >= state["hidden"] and not (name in IN_HEAD and whole_name):
+                state["head"] = 0
+            elif not closing and name in HIDDEN_END and whole_name and name not in unclosed and m.start() >= state["hidden"]:
+                end = HIDDEN_END[name].search(html, at)
+                if end:
+                    state["hidden"] = end.end()
+                else:
+                    unclosed.add(name)
         if name in RAW_END and whole_name and not closing:
             if not _self_closed(m.group(3)):
                 end = RAW_END[name].search(html, at)
                 at = end.end() if end else len(html)
-            add(" ")
+            add(" ", m.start())
             continue
         if name in FOREIGN and whole_name:
             state["foreign"] = 0 if closing or _self_closed(m.group(3)) else 1
@@ -126,49 +147,39 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if name in INLINE:
             if name == "br":
-                add(" ")
+                add(" ", m.start())
             continue
         if state["foreign"]:
             if name not in ANCESTOR_SET and name not in CLOSES_P and name not in SELF_CLOSING:
                 continue
             state["foreign"] = 0  # a tag of the page itself ends a drawing or formula that was left open
         if closing:
-            if name == "head":
-                state["head"] = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+            i = last((name,))
+            if i >= 0:
+                pop_to(i)
             else:
                 close_block()
             continue
         if name == "head":
             state["head"] = 1
             continue
-        if name == "body":
-            state["head"] = 0
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] in ("td", "th", "button", "object"):
-                    break
+            i = last(("p",))
+            if i > last(("td", "th", "button", "object")):
+                pop_to(i)
         if name in SELF_CLOSING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SCOPES[name]:
-                    break
-                if stack[i][0] in SELF_CLOSING[name]:
-                    pop_to(i)
-                    break
+            i = last(SELF_CLOSING[name])
+            if i > last(SCOPES[name]):
+                pop_to(i)
         close_block()
         if name not in VOID:
             tags, hints = (stack[-1][1], stack[-1][2]) if stack else (none, none)
             attributes = m.group(3)
-            stack.append((name, tags | {name}, hints | _hints(attributes) if attributes else hints))
-            if len(stack) > 500:
-                del stack[100:400]
-    add(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", html[at:]))  # a tag that the page's end cuts off
+            if name in ANCESTOR_SET and name not in tags:
+                tags = tags | {name}
+            opened.setdefault(name, []).append(len(stack))
+            stack.append((name, tags, hints | _hints(attributes) if attributes else hints))
+    add(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", html[at:]), at)  # a tag that the page's end cuts off
     close_block()
     return out
 

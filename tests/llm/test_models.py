@@ -84,6 +84,28 @@ def test_html_drops_raw_text_only(page, want):
     assert [b.text for b in html_extract.blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><article><p>text", ["text"]),
+        ("<head><meta charset=x><link rel=y><style>s</style><a href=z>text</a> more", ["text more"]),
+        ("<head><title>t</title>text", ["text"]),
+        ("<head><noscript>no</noscript><template><p>no</p></template><script>no</script></head><p>text", ["text"]),
+        ("<head><template><p>text", ["text"]),
+    ],
+)
+def test_html_head_that_is_left_open(page, want):
+    assert [b.text for b in html_extract.blocks(page)] == want
+
+
+def test_html_depth_has_no_cap():
+    page = "<nav class=menu>" + "<div>" * 300 + "<section>" + "<span><div>" * 700 + "<p>deep</p>" + "</div>" * 700 + "</section><p>mid</p>" + "</div>" * 300 + "</nav><p>out</p>"
+    deep, mid, out = html_extract.blocks(page)
+    assert deep.tags == {"nav", "div", "section", "p"} and mid.tags == {"nav", "div", "p"} and out.tags == {"p"} and not out.hints
+    unclosed = html_extract.blocks("<article>" + "".join(f"<x-{i}>" for i in range(20000)) + "<p>a</p></article><p>b</p>")
+    assert [(b.text, set(b.tags)) for b in unclosed] == [("a", {"article", "p"}), ("b", {"p"})]
+
+
 def test_html_held_out_pages():
     crf = html_extract.trained()
     wrong = total = 0

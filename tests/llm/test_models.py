@@ -290,3 +290,41 @@ def test_pipeline(spark):
         assert before[r["doc_id"]][0].startswith(r["text"])
     assert got == {i: n for i, n in want.items() if n}
     assert ids.count() == mixed.count()
+
+
+def _twins(spark):
+    rows = [(i, f"w{i} " * (1 + i * 7 % 40), "abcde"[i % 5]) for i in range(100)]
+    rows += [(None, f"n{i} " * (5 + i % 3), "a" if i % 2 else None) for i in range(40)]
+    rows += [(7, "long " * 60, "c"), (7, "short " * 3, "c"), (7, "alike " * 3, "c"), (8, "w8 " * 17, "d"), (None, None, "a"), (9, "", "e")]
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_mixing_stage_keeps_rows_apart(spark):
+    import corpus_pipeline
+
+    docs = _twins(spark)
+    got = corpus_pipeline.mixing_stage(spark, docs, DATA).collect()
+    want = {}
+    for r in mixing.taken(docs).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["taken"]
+    known = {(r["text"] or "").split()[0]: r for r in docs.collect() if (r["text"] or "").split()}
+    found = {}
+    for r in got:
+        of = known[r["text"].split()[0]]
+        assert (r["doc_id"], r["source"]) == (of["doc_id"], of["source"]) and of["text"].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+        key = (r["doc_id"], r["source"], len(of["text"].split()))
+        found[key] = found.get(key, 0) + len(r["text"].split())
+    assert found == {k: n for k, n in want.items() if n}
+    assert any(k[0] is None for k in found)
+
+
+def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (1, text("b")), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("a")), (3, text("d")), (4, text("d") + " x"), (None, text("e")), (5, None), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], (r["text"] or "")[:2]) for r in corpus_pipeline.ngram_join_stage(spark, docs, DATA).collect()]
+    want = [(1, "a0"), (2, "b0"), (None, "c0"), (3, "d0"), (None, "e0"), (5, ""), (5, ""), (None, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))

@@ -9,8 +9,11 @@ worked through in batches of ``BYTES_AT_ONCE``, a longer one in parts.
 Training reads a bounded sample (``per_language`` rows of each label at most in expectation, chosen by a hash of the
 id; this is the documented bound), cut into spans of various lengths so that short texts are covered, of which a text
 gives 12 at most, picked at random. A fifth of the
-sample is kept out of the gradient steps; on it a temperature is fitted, so that scores are probabilities, and the
-rejection threshold is set to the score below which at most ``reject_rate`` of right answers fall (``REJECT_BELOW`` at most).
+sample is kept out of the gradient steps; on its spans a temperature is fitted, so that scores are probabilities.
+Rejection is calibrated on its whole documents, and on their spans for short texts, in groups of similar length: a text
+is rejected if its score, or the familiarity of its features (their mean log frequency in training, which tells
+other languages and letter junk even where one language is learned), is below what all but ``reject_rate`` of the right
+answers of its length reach. Samples of under 20 rows have no calibration, and reject only texts without letters.
 
 Results: a text that is null or has no letter is ``und`` with score 0 and is rejected. Repeated rows get equal
 results; an empty table gives an empty result; without labelled rows every text is ``und``. Columns other than those
@@ -37,7 +40,7 @@ BYTES_AT_ONCE = 1 << 17
 LONGEST = 5
 LONG_RUN = 64
 PIECE = 16
-REJECT_BELOW = 0.35
+GROUP = 300  # right answers, of similar length, that share a threshold
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -49,7 +52,16 @@ class Model:
     weights: np.ndarray  # dim x languages
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    familiar: np.ndarray | None = None  # buckets: log frequency in training
+    lengths: np.ndarray | None = None  # each group's least number of features
+    least_score: np.ndarray | None = None
+    least_familiar: np.ndarray | None = None
+
+    def rejects(self, score: float, familiar: float, n: float) -> bool:
+        if self.lengths is None:
+            return False
+        group = max(0, int(np.searchsorted(self.lengths, n, side="right")) - 1)
+        return bool(score < self.least_score[group] or familiar < self.least_familiar[group])
 
 
 def _grams(raw: np.ndarray, left: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,8 +140,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate: float
     model.weights += rng.normal(0, 0.1, model.weights.shape).astype(np.float32)
     train: list[tuple[np.ndarray, int]] = []
     check: list[tuple[np.ndarray, int]] = []
+    kept_out: list[tuple[str, str]] = []
     for i, (text, lang) in enumerate(rows):
         spans = _spans(LETTERS.findall((text or "").lower()), rng)
+        if spans and i % 5 == 0 and len(rows) >= 20:
+            kept_out += [(text, lang), *((" ".join(span), lang) for span in spans[:4])]
         if len(spans) > 12:
             spans = [spans[j] for j in rng.permutation(len(spans))[:12]]
         for span in spans:
@@ -153,11 +168,16 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate: float
             model.bias -= step * p.sum(0) / 8
             np.add.at(model.embedding, ids, (-step * back).astype(np.float32)[owner])
     if check:
-        _calibrate(model, check, reject_rate)
+        counts = np.zeros(BUCKETS)
+        for ids, _ in train:
+            counts += np.bincount(ids, minlength=BUCKETS)
+        model.familiar = np.log((counts + 0.5) / (counts.sum() + 0.5 * BUCKETS))
+        _fit_temperature(model, check)
+        _calibrate(model, kept_out, reject_rate)
     return model
 
 
-def _calibrate(model: Model, check: list[tuple[np.ndarray, int]], reject_rate: float) -> None:
+def _fit_temperature(model: Model, check: list[tuple[np.ndarray, int]]) -> None:
     logits = np.array([model.embedding[x].mean(0) @ model.weights + model.bias for x, _ in check])
     truth = np.array([y for _, y in check])
 
@@ -167,16 +187,19 @@ def _calibrate(model: Model, check: list[tuple[np.ndarray, int]], reject_rate: f
         return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
 
     model.temperature = float(min(np.geomspace(0.05, 10, 80), key=loss))
-    z = logits / model.temperature
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    right = p.max(1)[p.argmax(1) == truth]
+
+def _calibrate(model: Model, kept_out: list[tuple[str, str]], reject_rate: float) -> None:
+    found = judge(model, [text for text, _ in kept_out])
+    right = np.array([(n, score, familiar) for (lang, score, familiar, n), (_, truth) in zip(found, kept_out, strict=True) if lang == truth])
     if len(right):
-        model.threshold = float(min(REJECT_BELOW, np.quantile(right, reject_rate)))
+        groups = np.array_split(right[np.argsort(right[:, 0], kind="stable")], max(1, len(right) // GROUP))
+        model.lengths = np.array([g[0, 0] for g in groups])
+        model.least_score = np.array([np.quantile(g[:, 1], reject_rate) for g in groups])
+        model.least_familiar = np.array([np.quantile(g[:, 2], reject_rate) for g in groups])
 
 
 class WordLogits(dict):
-    """word -> row in a table of summed logits and numbers of features; filled in batches, bounded by the two limits."""
+    """word -> row in a table of summed logits, summed familiarity and numbers of features; filled in batches, bounded by the two limits."""
 
     LIMIT = 150_000
     LETTERS_LIMIT = 8_000_000
@@ -186,7 +209,7 @@ class WordLogits(dict):
         self.model = model
         self.pending: list[str] = []
         self.letters = 0
-        self.rows = np.zeros((1024, len(model.languages) + 1), dtype=np.float64)
+        self.rows = np.zeros((1024, len(model.languages) + 2), dtype=np.float64)
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -217,27 +240,37 @@ class WordLogits(dict):
         if len(self) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((len(self), self.rows.shape[1]))])
         first = len(self) - len(self.pending)
+        familiar = np.zeros(BUCKETS) if self.model.familiar is None else self.model.familiar
         for low, high in self._batches():
             part = self.rows[first + low : first + high]
             if high - low == 1:
-                sums, n = np.zeros((1, self.model.embedding.shape[1])), 0
+                sums, known, n = np.zeros((1, self.model.embedding.shape[1])), 0.0, 0
                 for ids in long_subwords(self.pending[low], BYTES_AT_ONCE):
                     sums += self.model.embedding[ids].sum(0, dtype=np.float64)
+                    known += familiar[ids].sum()
                     n += len(ids)
                 counts = np.array([n])
             else:
                 ids, starts = subwords(self.pending[low:high])
                 sums, counts = np.add.reduceat(self.model.embedding[ids].astype(np.float64), starts), np.diff(np.append(starts, len(ids)))
-            part[:, :-1] = sums @ self.model.weights
+                known = np.add.reduceat(familiar[ids], starts)
+            part[:, :-2] = sums @ self.model.weights
+            part[:, -2] = known
             part[:, -1] = counts
         self.pending = []
 
 
 def predict(model: Model, texts: list[str | None], words: WordLogits | None = None) -> tuple[list[str], list[float]]:
+    found = judge(model, texts, words)
+    return [f[0] for f in found], [f[1] for f in found]
+
+
+def judge(model: Model, texts: list[str | None], words: WordLogits | None = None) -> list[tuple[str, float, float, float]]:
+    """Each text's language, score, familiarity and number of features."""
     words = WordLogits(model) if words is None else words
-    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    out = [(UNDETERMINED, 0.0, 0.0, 0.0)] * len(texts)
     if not model.languages:
-        return langs, scores
+        return out
     if words.full():
         words.clear()
     waiting: list[tuple[int, np.ndarray]] = []
@@ -247,11 +280,11 @@ def predict(model: Model, texts: list[str | None], words: WordLogits | None = No
         words.settle()
         for i, ids in waiting:
             total = words.rows[ids].sum(0)
-            z = (total[:-1] / total[-1] + model.bias) / model.temperature
+            z = (total[:-2] / total[-1] + model.bias) / model.temperature
             p = np.exp(z - z.max())
             p /= p.sum()
             best = int(p.argmax())
-            langs[i], scores[i] = model.languages[best], float(p[best])
+            out[i] = model.languages[best], float(p[best]), float(total[-2] / total[-1]), float(total[-1])
         waiting.clear()
 
     for i, text in enumerate(texts):
@@ -266,7 +299,7 @@ def predict(model: Model, texts: list[str | None], words: WordLogits | None = No
             if words.full():
                 words.clear()
     settle()
-    return langs, scores
+    return out
 
 
 def sample(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, seed: int = 11) -> list[tuple[str, str]]:
@@ -298,8 +331,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(lo, ROWS_AT_ONCE)
-                langs, scores = predict(known, batch.column(at).to_pylist(), words)
-                flags = [lang == UNDETERMINED or score < known.threshold for lang, score in zip(langs, scores, strict=True)]
+                found = judge(known, batch.column(at).to_pylist(), words)
+                langs, scores = [f[0] for f in found], [f[1] for f in found]
+                flags = [lang == UNDETERMINED or known.rejects(*rest) for lang, *rest in found]
                 new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(batch.columns + new, names=[*kept, "lang_pred", "score", "rejected"])
 

@@ -62,6 +62,24 @@ def test_language_of_a_long_run_is_that_of_the_whole_run(monkeypatch):
     assert got[0] == want[0] and np.allclose(got[1], want[1])
 
 
+@pytest.mark.parametrize("learned", [1, 2, 4])
+def test_language_id_rejects_what_it_has_not_learned(spark, learned):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["text"], r["lang"]) for r in documents.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").collect())
+    names = sorted({lang for _, lang in rows})[:learned]
+    mine = [r for r in rows if r[1] in names]
+    model = langid.fit([r for k, r in enumerate(mine) if k % 4 != 2])
+    rejects = lambda texts: [lang == "und" or model.rejects(*rest) for lang, *rest in langid.judge(model, texts)]
+    clean = rejects([text for k, (text, _) in enumerate(mine) if k % 4 == 2])
+    assert sum(clean) <= 0.05 * len(clean)
+    rng = np.random.default_rng(1)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(40)) for _ in range(50)]
+    assert sum(rejects(junk)) >= 45
+    other = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."]
+    other += [text for text, lang in rows if lang not in names and len(text.split()) >= 40][:50]
+    assert sum(rejects(other)) >= 0.9 * len(other)
+
+
 def test_html_blocks():
     page = "<html><head><title>t</title></head><body><p>a &amp; b<br>c<p><b>d</b> e&nbsp;f<script>x('</p>')</script><ul><li>g<li>h</ul><!-- <p>no</p> -->"
     assert [b.text for b in html_extract.blocks(page)] == ["a & b c", "d e f", "g", "h"]

@@ -5,13 +5,15 @@ leftmost of equal ones. Equal windows pick the same place, so all windows that c
 hash, and only one anchor for some thirty windows is shuffled. The windows of a document that share an anchor are a
 run of consecutive starts; the symbols that they span are the anchor's context.
 
-1. ``scan``: anchors with the hash of their gram and of their context. Anchors with equal contexts are one class and
-   combine before the shuffle, so copies cost a shuffled entry for each task at most.
-2. ``meet``: by gram hash. A class with several members is settled by itself. A gram with several classes needs the
-   contexts of one member of each: their windows may be equal in part.
+1. ``scan``: anchors with the hash of their gram and of their context. Anchors with equal contexts are one class. Of
+   its members in a task only the first and the last are shuffled, so copies cost two entries for each task at most.
+2. ``meet``: by gram hash. A class with several members needs the contexts of its first and its last; a gram with several
+   classes needs those of each, as their windows may be equal in part.
 3. ``gather``: those contexts are cut from the texts and dealt to shards by gram hash, where an index over them (the
    operator's own: suffix sorting, or an FM-index) finds the windows that occur again.
-4. ``spans_by_doc``: the marked stretches of each document.
+4. The index decides each class: it has to find all windows of the last member in the first. What lies between the two
+   follows them. Should it refute a class (unequal contexts of equal hash), all starts over with other hashes.
+5. ``spans_by_doc``: the marked stretches of each document.
 
 Anchors travel in binary batches of columns, dealt by a bucket of the gram hash, so that Spark moves few large rows.
 A document is known by (doc_id, hash of its text): rows that repeat both are one document and get equal results. A
@@ -33,18 +35,19 @@ from markwright.llm.common import Scratch, as_bytes, free, mix64, powers
 NULL_ID = -(1 << 63)
 POSITION_BITS = 22
 BUFFER = 1 << 21  # symbols worked on at once; longer texts go in overlapping pieces
-BUCKET_BYTES = 12 << 20  # text for each shuffle bucket
+FLUSH = 600_000  # anchors that a task gathers before it passes them on
+BUCKET_BYTES = 8 << 20  # text for each shuffle bucket
 
 #: fields of an anchor in a batch: name, type
-FIELDS = (("h", "<u8"), ("ctx", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("back", "u1"), ("front", "u1"), ("many", "u1"))
+FIELDS = (("h", "<u8"), ("ctx", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("back", "u1"), ("front", "u1"))
 
 
 class Finder:
     """Finds the anchors of joined pieces. ``length``: symbols of a window; ``gram``: symbols of an anchor's gram."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.span = length, gram, length - gram + 1
-        self.up, self.down = powers(BUFFER + 4 * length + 1)
+    def __init__(self, length: int, gram: int, seed: int = 0, buffer: int = BUFFER):
+        self.length, self.gram, self.span, self.seed = length, gram, length - gram + 1, np.uint64(seed)
+        self.up, self.down = powers(buffer + 4 * length + 1)
 
     def find(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         """``symbols``: 64-bit hashes of all symbols; pieces at ``begins`` with ``sizes``. One row for each run."""
@@ -52,6 +55,8 @@ class Finder:
         starts = n - w + 1
         if starts <= 0:
             return {k: np.zeros(0, np.int64) for k in ("h", "ctx", "piece", "at", "low", "high")}
+        if self.seed:
+            symbols = mix64(symbols ^ self.seed)
         with np.errstate(over="ignore"):
             prefix = np.zeros(n + 1, np.uint64)
             np.cumsum(symbols * self.up[:n], out=prefix[1:])
@@ -99,6 +104,8 @@ class Plan:
     keep_first: bool  # the first occurrence of a repeated window stays
     symbols: Callable[[], Callable[[bytes], np.ndarray]]
     index: Callable[[dict, int], np.ndarray]  # contexts of a shard -> (context, start) of windows to mark
+    buffer: int = BUFFER
+    flush: int = FLUSH
 
 
 def pack(columns: dict[str, np.ndarray], docs: list[tuple[int, int]]) -> bytes:
@@ -134,6 +141,12 @@ def _classes(c: dict[str, np.ndarray], order: np.ndarray) -> tuple[np.ndarray, n
     return place[new], opens[new]
 
 
+def _ends(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sorted places are the first or the last of their class, and whether the class has several members."""
+    last = np.append(opens[1:], True)[: len(opens)]
+    return opens | last, ~(opens & last)
+
+
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping or touching stretches of a document become one."""
     if not len(doc):
@@ -168,9 +181,9 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "doc_id", "key", "spans", "body"])
 
 
-def _scan_task(plan: Plan, buckets: int):
+def _scan_task(plan: Plan, buckets: int, seed: int):
     def run(batches: Iterator):
-        finder, to_symbols = Finder(plan.length, plan.gram), plan.symbols()
+        finder, to_symbols = Finder(plan.length, plan.gram, seed, plan.buffer), plan.symbols()
         docs: list[tuple[int, int]] = []  # (doc_id, key) of the documents since the last flush
         found: list[dict[str, np.ndarray]] = []
         pieces: list[tuple[int, int, np.ndarray]] = []  # document, offset, symbols
@@ -197,12 +210,9 @@ def _scan_task(plan: Plan, buckets: int):
                 ids, number = np.unique(np.array(docs, dtype=np.int64).reshape(-1, 2), axis=0, return_inverse=True)
                 c["doc"] = number.ravel()[c["doc"]]
                 place, opens = _classes(c, (c["doc"] << 32) + c["at"])
-                size = np.diff(np.append(np.flatnonzero(opens), len(place)))
-                kept = place[opens]
-                c["many"] = np.zeros(len(c["h"]), np.uint8)
-                c["many"][kept] = size > 1
-                settled = place[~opens] if plan.keep_first else place[np.repeat(size > 1, size)]
-                rows += _span_rows(c, ids, settled, plan.length)
+                ends, _ = _ends(opens)
+                kept = place[ends]
+                rows += _span_rows(c, ids, place[~ends], plan.length)
                 bucket = (c["h"][kept] >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 for b, mine in _by_doc(bucket[order], kept[order]):
@@ -219,14 +229,14 @@ def _scan_task(plan: Plan, buckets: int):
                 if len(symbols) < plan.length:
                     continue
                 docs.append((NULL_ID if doc_id is None else doc_id, key))
-                step = BUFFER - plan.length + 1
+                step = plan.buffer - plan.length + 1
                 for lo in range(0, len(symbols) - plan.length + 1, step):
-                    piece = symbols[lo : lo + BUFFER]
-                    if held + len(piece) > BUFFER:
+                    piece = symbols[lo : lo + plan.buffer]
+                    if held + len(piece) > plan.buffer:
                         work()
                     pieces.append((len(docs) - 1, lo, piece))
                     held += len(piece)
-                if total > 600_000:
+                if total > plan.flush:
                     work()
                     yield _batch(flush())
         work()
@@ -243,7 +253,7 @@ def _span_rows(c: dict[str, np.ndarray], ids: np.ndarray, places: np.ndarray, le
     return [(d % 1024, int(ids[d, 0]), int(ids[d, 1]), np.stack([s, e], axis=1).astype("<u4").tobytes(), None) for d, s, e in _by_doc(doc, start, end)]
 
 
-NEED = np.dtype([("h", "<u8"), ("at", "<u4"), ("back", "u1"), ("front", "u1"), ("many", "u1")])
+NEED = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("at", "<u4"), ("back", "u1"), ("front", "u1"), ("pair", "u1")])
 
 
 def _joined(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -263,23 +273,21 @@ def _joined(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
 def _meet_bucket(plan: Plan, blobs: list[bytes]) -> list[tuple]:
     c, ids = _joined(blobs)
     place, opens = _classes(c, (c["doc"].astype(np.int64) << 32) + c["at"])
-    at = np.flatnonzero(opens)
-    size = np.diff(np.append(at, len(place)))
-    many = (size > 1) | (np.maximum.reduceat(c["many"][place], at) > 0)
-    settled = place[~opens] if plan.keep_first else place[np.repeat(many, size)]
-    rows = _span_rows(c, ids, settled, plan.length)
-    first, h = place[at], c["h"][place[at]]
-    same = np.zeros(len(h), bool)
-    same[1:] |= h[1:] == h[:-1]
-    same[:-1] |= h[1:] == h[:-1]
-    first, many = first[same], many[same]
-    order = np.argsort(c["doc"][first], kind="stable")
-    first, many = first[order], many[order]
-    need = np.empty(len(first), NEED)
-    for k in ("h", "at", "back", "front"):
-        need[k] = c[k][first]
-    need["many"] = many
-    for d, part in _by_doc(c["doc"][first], need):
+    ends, several = _ends(opens)
+    rows = _span_rows(c, ids, place[~ends], plan.length)
+    h, heads = c["h"][place], np.flatnonzero(opens)
+    rivals = np.zeros(len(heads), bool)
+    rivals[1:] |= h[heads[1:]] == h[heads[:-1]]
+    rivals[:-1] |= h[heads[1:]] == h[heads[:-1]]
+    asked = ends & (several | rivals[np.cumsum(opens) - 1])
+    chosen, pair = place[asked], several[asked]
+    order = np.argsort(c["doc"][chosen], kind="stable")
+    chosen = chosen[order]
+    need = np.empty(len(chosen), NEED)
+    for k in ("h", "ctx", "at", "back", "front"):
+        need[k] = c[k][chosen]
+    need["pair"] = pair[order]
+    for d, part in _by_doc(c["doc"][chosen], need):
         rows.append((0, int(ids[d, 0]), int(ids[d, 1]), None, part.tobytes()))
     return rows
 
@@ -368,14 +376,18 @@ def _index_bucket(plan: Plan, blobs: list[bytes]) -> list[tuple]:
     need, ids = c["need"], c["ids"]
     sizes = need["back"].astype(np.int64) - need["front"] + plan.length
     begins = np.cumsum(sizes) - sizes
-    order = np.lexsort((need["at"], ids[:, 1], ids[:, 0]))
+    # a run that the edge of a piece divides has one anchor and several contexts
+    columns = (need["front"], need["back"], need["at"], ids[:, 1], ids[:, 0])
+    order = np.lexsort(columns)
     new = np.ones(len(order), bool)
-    new[1:] = (ids[order[1:]] != ids[order[:-1]]).any(axis=1) | (need["at"][order[1:]] != need["at"][order[:-1]])
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in columns], axis=0)
     order = order[new]
     symbols = np.concatenate([c["symbols"][begins[i] : begins[i] + sizes[i]] for i in order.tolist()])
     need, ids, sizes = need[order], ids[order], sizes[order]
-    contexts = {"symbols": symbols, "begins": np.cumsum(sizes) - sizes, "sizes": sizes, "h": need["h"], "back": need["back"].astype(np.int64), "front": need["front"].astype(np.int64), "many": need["many"] > 0}
+    contexts = {"symbols": symbols, "begins": np.cumsum(sizes) - sizes, "sizes": sizes, "h": need["h"], "back": need["back"].astype(np.int64), "front": need["front"].astype(np.int64)}
     which, offset = plan.index(contexts, plan.length)
+    if _refuted(plan, need, np.bincount(which, minlength=len(need))):
+        return [(REFUTED, None, None, None, b"")]
     if not len(which):
         return []
     known, doc = np.unique(ids, axis=0, return_inverse=True)
@@ -384,21 +396,38 @@ def _index_bucket(plan: Plan, blobs: list[bytes]) -> list[tuple]:
     return [(0, int(known[d, 0]), int(known[d, 1]), np.stack([s, e], axis=1).astype("<u4").tobytes(), None) for d, s, e in _by_doc(doc, start, end)]
 
 
-def spans_by_doc(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
+REFUTED = -1
+
+
+def _refuted(plan: Plan, need: np.ndarray, hits: np.ndarray) -> bool:
+    """Whether the index does not bear out a class: not all windows of its last member (or of both) were found again."""
+    pairs = np.flatnonzero(need["pair"])
+    pairs = pairs[np.lexsort((pairs, need["ctx"][pairs], need["h"][pairs]))]
+    first, last = pairs[::2], pairs[1::2]
+    if len(first) != len(last) or (need["ctx"][first] != need["ctx"][last]).any() or (need["h"][first] != need["h"][last]).any():
+        return True
+    whole = hits == need["back"].astype(np.int64) - need["front"] + 1
+    return not (whole[last].all() and (plan.keep_first or whole[first].all()))
+
+
+def spans_by_doc(docs: DataFrame, plan: Plan, scratch: Scratch, seed: int = 0) -> DataFrame:
     """(doc_id, key, spans): the marked stretches of each document that has any, as pairs of 32-bit symbol places."""
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text").where(F.col("text").isNotNull())
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + int(total // BUCKET_BYTES)
-    scanned = named.mapInArrow(_scan_task(plan, buckets), ROWS)
+    scanned = named.mapInArrow(_scan_task(plan, buckets, seed), ROWS)
     met = scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, lambda blobs: _meet_bucket(plan, blobs)), ROWS)
-    met = scratch.save(met, "met")
+    met = scratch.save(met, f"met{seed}")
     scratch.release()
     needs = met.where(F.col("body").isNotNull()).groupBy("doc_id", "key").agg(F.collect_list("body").alias("needs"))
     wanted = named.join(needs, ["doc_id", "key"])
     contexts = wanted.select("doc_id", "key", "text", "needs").mapInArrow(_gather_task(plan, buckets), ROWS)
     indexed = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, lambda blobs: _index_bucket(plan, blobs)), ROWS)
-    indexed = scratch.save(indexed, "indexed")
+    indexed = scratch.save(indexed, f"indexed{seed}")
     scratch.release()
+    if indexed.where(F.col("bucket") == REFUTED).limit(1).count():
+        scratch.drop(f"met{seed}", f"indexed{seed}")
+        return spans_by_doc(docs, plan, scratch, seed + 1)
     marked = met.where(F.col("spans").isNotNull()).unionByName(indexed.where(F.col("spans").isNotNull()))
     return marked.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
 

@@ -137,6 +137,27 @@ def hash_words(texts: list[bytes | None], table: bytes | None = None) -> tuple[n
     return hashes, counts
 
 
+def tidy(task):
+    """A task of ``mapInArrow`` that gives freed memory back to the machine when it ends, as Python workers are reused."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return run
+
+
 def chunks(texts: list[bytes | None], most: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts with about ``most`` bytes each, to bound a task's memory."""
     out, lo, held = [], 0, 0

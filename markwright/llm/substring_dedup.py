@@ -31,17 +31,25 @@ GRAM = 10
 
 
 class BitVector:
-    """Packed bits; ``rank`` counts the ones before each of many places."""
+    """Packed bits; ``rank`` counts the ones before each of many places.
+
+    Counts are kept for blocks of 512 bits (32 bits each), and from there for words of 64 (16 bits each).
+    """
 
     def __init__(self, bits: np.ndarray):
-        padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
+        padded = np.zeros(-(-(len(bits) + 1) // 512) * 512, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words))]).astype(np.int64)
+        counts = np.bitwise_count(self.words).astype(np.int64)
+        before = np.cumsum(counts) - counts
+        self.ones = int(counts.sum())
+        self.blocks = before[::8].astype(np.uint32)
+        self.inside = (before - np.repeat(before[::8], 8)).astype(np.uint16)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         word, bit = at >> 6, (at & 63).astype(np.uint64)
-        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+        ones = np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+        return self.blocks[word >> 3].astype(np.int64) + self.inside[word] + ones
 
 
 class WaveletTree:
@@ -52,7 +60,7 @@ class WaveletTree:
         for b in range(max(1, int(top).bit_length()) - 1, -1, -1):
             bits = ((values >> b) & 1).astype(np.uint8)
             vector = BitVector(bits)
-            self.levels.append((b, vector, len(values) - int(vector.before[-1])))
+            self.levels.append((b, vector, len(values) - vector.ones))
             values = np.concatenate([values[bits == 0], values[bits == 1]])
 
     def rank(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -84,7 +92,10 @@ def suffix_array(text: np.ndarray, most: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Over ``text`` (numbers from ``marks`` on; smaller ones are end marks, each of which occurs once)."""
+    """Over ``text`` (numbers from ``marks`` on; smaller ones are end marks, each of which occurs once).
+
+    ``most`` is the longest match that counts (below 2**15): the passages are short, whatever the documents are.
+    """
 
     def __init__(self, text: np.ndarray, most: int):
         n, top = len(text), int(text.max())
@@ -93,7 +104,7 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))]).astype(np.int64)
         self.size = n
         # common prefixes of neighbours, symbol by symbol for all that still agree
-        common, live = np.zeros(n + 1, np.int64), np.arange(1, n)
+        common, live = np.zeros(n + 1, np.int16), np.arange(1, n)
         for d in range(most):
             a, b = suffixes[live] + d, suffixes[live - 1] + d
             inside = (a < n) & (b < n)
@@ -104,8 +115,8 @@ class FMIndex:
                 break
         common[0] = common[n] = -1
         self.common = common
-        self.left, self.right = np.zeros(n + 1, np.int64), np.full(n + 1, n, np.int64)
-        places = np.arange(n + 1)
+        self.left, self.right = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
+        places = np.arange(n + 1, dtype=np.int32)
         for value in np.unique(common[1:n]).tolist():
             here = np.flatnonzero(common == value)
             below = common < value
@@ -119,7 +130,7 @@ class FMIndex:
 
     def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.where(self.common[low] >= self.common[high], low, high)
-        return self.left[at], self.right[at], np.maximum(self.common[at], 0)
+        return self.left[at].astype(np.int64), self.right[at].astype(np.int64), np.maximum(self.common[at], 0).astype(np.int64)
 
 
 def matching_statistics(index: FMIndex, text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -161,7 +172,7 @@ def repeated_windows(c: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
     starts = c["sizes"] - length + 1
     which = np.repeat(np.arange(n), starts)
     offset = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
-    hit = (stats[begins[which] + offset] >= length) & ~c["many"][which]
+    hit = stats[begins[which] + offset] >= length
     return which[hit], offset[hit]
 
 
@@ -169,18 +180,21 @@ def _word_symbols():
     return lambda text: hash_words([text])[0]
 
 
-def plan(length: int = LENGTH, gram: int = GRAM) -> anchors.Plan:
-    return anchors.Plan(length, gram, False, _word_symbols, repeated_windows)
+def plan(length: int = LENGTH, gram: int = GRAM, **options: int) -> anchors.Plan:
+    return anchors.Plan(length, gram, False, _word_symbols, repeated_windows, **options)
 
 
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """``docs`` with n_words, n_removed, kept_sha256 and, on request, kept (the words that stay, by one space)."""
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, **options: int) -> DataFrame:
+    """``docs`` with n_words, n_removed, kept_sha256 and, on request, kept (the words that stay, by one space).
+
+    ``options``: ``buffer`` and ``flush`` of ``anchors.Plan``, which bound a task's memory and change no result.
+    """
     new = [x.split()[0] for x in RESULT.split(", ")]
     named = docs.drop(*new)
-    marked, spans_name = anchors.with_spans(named, plan(length, gram), Scratch(docs.sparkSession, "substring"))
+    marked, spans_name = anchors.with_spans(named, plan(length, gram, **options), Scratch(docs.sparkSession, "substring"))
     names = named.columns if with_text else [c for c in named.columns if c != "text"]
     fields = StructType.fromDDL(RESULT).fields[: None if with_text else -1]
     at_text, at_spans = marked.columns.index("text"), marked.columns.index(spans_name)

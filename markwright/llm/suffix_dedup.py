@@ -33,23 +33,37 @@ SHALLOW = 4  # characters of 8 bytes
 SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def shallow_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of rows of 64-bit characters: the order, and where a row differs from the one before.
+def shallow_sort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of rows of 64-bit characters within groups: the order, and where a row differs from the one
+    before.
 
-    Each round sorts by one more character within the groups that agree so far, all groups at once.
+    A segment splits into the rows whose character is below, at, or above its pivot (the median of three rows); the
+    middle part goes on to the next character. All segments of a round split at once.
     """
     n, depth = words.shape
-    order, opens = np.arange(n), np.zeros(n, bool)
-    if n:
-        opens[0] = True
-    for d in range(depth):
-        group = np.cumsum(opens)
-        order = order[np.lexsort((words[order, d], group))]
-        column = words[order, d]
-        opens[1:] |= column[1:] != column[:-1]
-        if opens.all():
-            break
-    return order, opens
+    order, opens = np.argsort(group, kind="stable"), np.ones(n, bool)
+    opens[1:] = group[order[1:]] != group[order[:-1]]
+    low = np.flatnonzero(opens)
+    high, at = np.append(low[1:], n), np.zeros(len(low), np.int64)
+    while True:
+        many = (high - low > 1) & (at < depth)
+        low, high, at = low[many], high[many], at[many]
+        if not len(low):
+            return order, opens
+        size = high - low
+        segment = np.repeat(np.arange(len(low)), size)
+        place = low[segment] + np.arange(len(segment)) - (np.cumsum(size) - size)[segment]
+        rows = order[place]
+        character = words[rows, at[segment]]
+        three = np.stack([words[order[k], at] for k in (low, (low + high) // 2, high - 1)])
+        pivot = np.sort(three, axis=0)[1][segment]
+        side = 3 * segment + 1 + (character > pivot) - (character < pivot)
+        order[place] = rows[np.argsort(side, kind="stable")]
+        count = np.bincount(side, minlength=3 * len(low)).reshape(-1, 3)
+        end = low[:, None] + np.cumsum(count, axis=1)
+        begin = end - count
+        opens[begin[count > 0]] = True
+        low, high, at = begin.ravel(), end.ravel(), (at[:, None] + np.array([0, 1, 0])).ravel()
 
 
 class BlindTrie:
@@ -127,7 +141,7 @@ def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, n
     n = len(strings)
     width = 8 * SHALLOW
     raw = np.frombuffer(b"".join(s[:width].ljust(width, b"\0") for s in strings), dtype=">u8").reshape(n, SHALLOW).astype(np.uint64)
-    order, opens = shallow_sort(np.column_stack([group.astype(np.uint64), raw]))
+    order, opens = shallow_sort(raw, group)
     common = np.zeros(n, np.int64)
     edges = np.append(np.flatnonzero(opens), n)
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -184,18 +198,21 @@ def _byte_symbols():
     return lambda text: SYMBOLS[np.frombuffer(text, np.uint8)]
 
 
-def plan(length: int = LENGTH, gram: int = GRAM) -> anchors.Plan:
-    return anchors.Plan(length, gram, True, _byte_symbols, repeated_windows)
+def plan(length: int = LENGTH, gram: int = GRAM, **options: int) -> anchors.Plan:
+    return anchors.Plan(length, gram, True, _byte_symbols, repeated_windows, **options)
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept (the bytes that stay)."""
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, **options: int) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept (the bytes that stay).
+
+    ``options``: ``buffer`` and ``flush`` of ``anchors.Plan``, which bound a task's memory and change no result.
+    """
     new = [x.split()[0] for x in RESULT.split(", ")]
     named = docs.drop(*new)
-    marked, spans_name = anchors.with_spans(named, plan(length, gram), Scratch(docs.sparkSession, "suffix"))
+    marked, spans_name = anchors.with_spans(named, plan(length, gram, **options), Scratch(docs.sparkSession, "suffix"))
     names = named.columns if with_text else [c for c in named.columns if c != "text"]
     fields = StructType.fromDDL(RESULT).fields[: None if with_text else -1]
     at_text, at_spans = marked.columns.index("text"), marked.columns.index(spans_name)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markwright.llm import decontaminate, line_dedup, ngram_join, substring_dedup, suffix_dedup
+from markwright.llm import anchors, decontaminate, line_dedup, ngram_join, substring_dedup, suffix_dedup
 from markwright.llm.anchors import Finder
 from markwright.llm.common import mix64
 
@@ -52,10 +52,14 @@ def distinct(rows):
     return sorted({(i, t or "") for i, t, *_ in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
-@pytest.mark.parametrize("length,gram", [(100, 32), (20, 8)])
-def test_suffix_dedup(spark, length, gram):
+#: pieces shorter than most texts, and tasks that pass on anchors all the time
+SMALL = {"buffer": 250, "flush": 40}
+
+
+@pytest.mark.parametrize("length,gram,options", [(100, 32, {}), (20, 8, {}), (100, 32, SMALL), (20, 8, SMALL), (20, 8, {"buffer": 33, "flush": 1})])
+def test_suffix_dedup(spark, length, gram, options):
     rows = texts()
-    got = {(r["doc_id"], r["text"] or ""): r for r in suffix_dedup.dedup(frame(spark), length, gram).collect()}
+    got = {(r["doc_id"], r["text"] or ""): r for r in suffix_dedup.dedup(frame(spark), length, gram, **options).collect()}
     seen = set()
     for i, t in distinct(rows):
         b = t.encode()
@@ -72,10 +76,10 @@ def test_suffix_dedup(spark, length, gram):
         assert bytes(r["kept"]) == kept and r["spans"] == "clash"
 
 
-@pytest.mark.parametrize("length,gram", [(35, 10), (8, 3)])
-def test_substring_dedup(spark, length, gram):
+@pytest.mark.parametrize("length,gram,options", [(35, 10, {}), (8, 3, {}), (35, 10, {"buffer": 60, "flush": 10}), (8, 3, {"buffer": 13, "flush": 1})])
+def test_substring_dedup(spark, length, gram, options):
     rows = texts()
-    got = {(r["doc_id"], r["text"] or ""): r for r in substring_dedup.dedup(frame(spark), length, gram).collect()}
+    got = {(r["doc_id"], r["text"] or ""): r for r in substring_dedup.dedup(frame(spark), length, gram, **options).collect()}
     docs = [(i, t, t.split()) for i, t in distinct(rows)]
     counts = {}
     for _, _, w in docs:
@@ -91,6 +95,50 @@ def test_substring_dedup(spark, length, gram):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), (i, t[:50])
 
 
+def test_passage_over_the_edge_of_a_piece(spark):
+    rng = np.random.default_rng(8)
+    words = [f"{x:x}" for x in rng.integers(1 << 24, 1 << 28, 1 << 19).tolist()]  # 7 letters, with the space 8
+    text = " ".join(words)[: (1 << 21) + 4000]
+    rows = [(1, text)] + [(200 + k, text[(1 << 21) + 110 - 400 + k : (1 << 21) + 110 + k]) for k in range(-90, 91, 20)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()}
+    assert got == {i: 0 if i == 1 else len(t) for i, t in rows}
+    many = [f"{x:x}" for x in rng.integers(0, 1 << 28, (1 << 21) + 500).tolist()]
+    at = (1 << 21) - 40
+    rows = [(1, " ".join(many)), (2, " ".join(many[at : at + 60])), (3, " ".join(many[:60]))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()}
+    assert got == {1: 120, 2: 60, 3: 60}
+
+
+def test_index_that_refutes_a_class():
+    need = np.zeros(4, anchors.NEED)
+    need["h"], need["ctx"], need["back"], need["pair"] = [1, 1, 1, 2], [5, 5, 6, 5], 3, [1, 1, 0, 0]
+    plan = suffix_dedup.plan()
+    assert not anchors._refuted(plan, need, np.array([0, 4, 1, 0]))
+    assert anchors._refuted(plan, need, np.array([0, 3, 1, 0])) and anchors._refuted(substring_dedup.plan(), need, np.array([0, 4, 1, 0]))
+
+
+def test_start_over_with_other_hashes(spark, monkeypatch):
+    plain = {(r["doc_id"], r["text"]): r["n_removed"] for r in suffix_dedup.dedup(frame(spark), 20, 8).collect()}
+    first = anchors.spans_by_doc
+    monkeypatch.setattr(anchors, "spans_by_doc", lambda docs, plan, scratch: first(docs, plan, scratch, 3))
+    assert {(r["doc_id"], r["text"]): r["n_removed"] for r in suffix_dedup.dedup(frame(spark), 20, 8).collect()} == plain
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(5)
+    words, group = rng.integers(0, 3, (500, 4)).astype(np.uint64), rng.integers(0, 5, 500)
+    order, opens = suffix_dedup.shallow_sort(words, group)
+    rows = [(group[i], *words[i].tolist()) for i in order]
+    assert rows == sorted(rows) and opens.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(500)]
+    assert len(suffix_dedup.shallow_sort(words[:0], group[:0])[0]) == 0
+
+
+def test_bit_vector():
+    bits = (np.random.default_rng(1).random(5000) < 0.3).astype(np.uint8)
+    at = np.arange(5001)
+    assert (substring_dedup.BitVector(bits).rank(at) == np.concatenate([[0], np.cumsum(bits)])).all()
+
+
 def test_windows_share_anchors():
     rng = np.random.default_rng(3)
     symbols = mix64(rng.integers(0, 4, 3000).astype(np.uint64))
@@ -155,12 +203,23 @@ def test_decontamination(spark):
                     found |= ids
         ids = sorted(str(x) for x in found if x is not None)
         want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
-    for limit in (1 << 20, 40):  # one block, and several
-        got = decontaminate.decontaminate(frame(spark, rows), benchmark, block_bytes=limit)
+    for options in ({}, {"block_bytes": 40}, {"limit": 5000}):  # one block, and several
+        got = decontaminate.decontaminate(frame(spark, rows), benchmark, **options)
         assert "spans" in got.columns
         assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())) == sorted(want)
 
 
+def test_tables_of_patterns_stay_sparse():
+    rng = np.random.default_rng(3)
+    items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 3000, 60)).encode()) for k in range(800)]
+    found = decontaminate.matchers(items, 10)
+    assert len(found) == 1 and all((g.shift == 0).mean() < 0.1 for g in found[0].groups)
+    hit, ids = found[0].scan([b"x " + items[5][1] + b" y", items[7][1][:20]])[0]
+    assert hit.sum() == 60 and ids == {"5"}
+    halves = decontaminate.matchers(items, 10, found[0].nbytes() // 3)
+    assert len(halves) >= 3 and sorted(i for m in halves for i in m.ids) == sorted(i for i, _ in items)
+
+
 def test_lines(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "a\nb"), (4, None), (5, ""), (6, "a\nb\nc\na\nb\nc\nd"), (7, "b\nc\nd\nb\nc\nd"), (None, "q\na\nb\nc"), (1, "a\nb\nc\nd")]
     rows = [(i, t, "clash", 1) for i, t in rows]

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 TRAINING_PAGES = 320
-#: attributes up to the tag's end; a quote opens a value only after an equals sign
-_REST = r"""((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?)>"""
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)" + _REST + "|<[!?][^>]*>", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9-]*+))")
+#: attributes up to the tag's end; a quote opens a value only after an equals sign. Nothing is tried twice
+REST = re.compile(r"""((?>=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""")
 #: elements whose content is no markup: it goes up to the close tag, or to the page's end
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
 FOREIGN = frozenset(("svg", "math"))
@@ -78,6 +78,38 @@ def _self_closed(attributes: str) -> bool:
     return attributes.endswith("/") and not re.search(r"=\s*[^\s\"'=]+/\Z", attributes)
 
 
+class Tags:
+    """Finds tags, comments and declarations, in time that grows with the page.
+
+    Where quotes hide every further ``>``, tags end at the next one, quoted or not, from there on; past the last ``>``
+    only comments are looked for.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """The next one's start and end, whether it closes, its lower-case name if it has one, its attributes."""
+        html = self.html
+        while m := OPENING.search(html, at):
+            start, name, at = m.start(), m.group(2), m.end()
+            if html.startswith("<!--", start):
+                end = html.find("-->", at)
+                return start, len(html) if end < 0 else end + 3, False, None, ""
+            if start > self.last:
+                continue
+            if name is None:
+                return start, html.index(">", start) + 1, False, None, ""
+            rest = REST.match(html, at) if self.quotes else None
+            if rest:
+                return start, rest.end(), bool(m.group(1)), name.lower(), rest.group(1)
+            self.quotes = False
+            end = html.find(">", at)
+            if end >= 0:
+                return start, end + 1, bool(m.group(1)), name.lower(), html[at:end]
+        return None
+
+
 def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
@@ -116,38 +148,38 @@ def blocks(html: str | None) -> list[Block]:
             if state["link"]:
                 state["linked"] += len(text)
 
-    at = 0
-    while m := TOKEN.search(html, at):
-        add(html[at : m.start()], at)
-        at = m.end()
-        name = m.group(2)
+    at, tags_of = 0, Tags(html)
+    while found := tags_of.after(at):
+        start, end_of_tag, closing, name, attributes = found
+        add(html[at:start], at)
+        at = end_of_tag
         if name is None:
             continue
-        name, closing, whole_name = name.lower(), bool(m.group(1)), html[m.end(2)] in " \t\n\r\f\v/>"
+        whole_name = not attributes or attributes[0] in " \t\n\r\f\v/"
         if state["head"]:
-            if closing and name in ("head", "body", "html") or not closing and m.start() >= state["hidden"] and not (name in IN_HEAD and whole_name):
+            if closing and name in ("head", "body", "html") or not closing and start >= state["hidden"] and not (name in IN_HEAD and whole_name):
                 state["head"] = 0
-            elif not closing and name in HIDDEN_END and whole_name and name not in unclosed and m.start() >= state["hidden"]:
+            elif not closing and name in HIDDEN_END and whole_name and name not in unclosed and start >= state["hidden"]:
                 end = HIDDEN_END[name].search(html, at)
                 if end:
                     state["hidden"] = end.end()
                 else:
                     unclosed.add(name)
         if name in RAW_END and whole_name and not closing:
-            if not _self_closed(m.group(3)):
+            if not _self_closed(attributes):
                 end = RAW_END[name].search(html, at)
                 at = end.end() if end else len(html)
-            add(" ", m.start())
+            add(" ", start)
             continue
         if name in FOREIGN and whole_name:
-            state["foreign"] = 0 if closing or _self_closed(m.group(3)) else 1
+            state["foreign"] = 0 if closing or _self_closed(attributes) else 1
             continue
         if name == "a":
             state["link"] = 0 if closing else 1
             continue
         if name in INLINE:
             if name == "br":
-                add(" ", m.start())
+                add(" ", start)
             continue
         if state["foreign"]:
             if name not in ANCESTOR_SET and name not in CLOSES_P and name not in SELF_CLOSING:
@@ -174,7 +206,6 @@ def blocks(html: str | None) -> list[Block]:
         close_block()
         if name not in VOID:
             tags, hints = (stack[-1][1], stack[-1][2]) if stack else (none, none)
-            attributes = m.group(3)
             if name in ANCESTOR_SET and name not in tags:
                 tags = tags | {name}
             opened.setdefault(name, []).append(len(stack))

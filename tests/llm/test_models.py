@@ -116,6 +116,32 @@ def test_html_head_that_is_left_open(page, want):
     assert [b.text for b in html_extract.blocks(page)] == want
 
 
+def test_html_scans_in_linear_time():
+    import time
+
+    cut = "<p>a</p><a " + 'b="c" ' * 200
+    for page in (cut, "<p>a</p>" + "<a " * 100_000, "<p>a</p>" + '<a b="' * 100_000 + ">", "<p>a</p>" + "<!" * 100_000, "<p>a</p><x " + "= " * 100_000, "<p>a</p>" + "<b c='d' " * 50_000 + "<p>"):
+        began = time.perf_counter()
+        assert html_extract.blocks(page)[0].text == "a"
+        assert time.perf_counter() - began < 1
+    began = time.perf_counter()
+    html_extract.blocks(cut)
+    assert time.perf_counter() - began < 0.01
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title='a>b'>c</p>", ["c"]),
+        ('<p title="a>b>c</p><p>d</p>', ["b>c", "d"]),
+        ("<p>1 < 2 and 3 > 2</p><!-- <p>no</p> --><p>b<!-- no", ["1 < 2 and 3 > 2", "b"]),
+        ("<P CLASS=x>a<BR/>b</P><!DOCTYPE x><?php y ?>c", ["a b", "c"]),
+    ],
+)
+def test_html_tags(page, want):
+    assert [b.text for b in html_extract.blocks(page)] == want
+
+
 def test_html_depth_has_no_cap():
     page = "<nav class=menu>" + "<div>" * 300 + "<section>" + "<span><div>" * 700 + "<p>deep</p>" + "</div>" * 700 + "</section><p>mid</p>" + "</div>" * 300 + "</nav><p>out</p>"
     deep, mid, out = html_extract.blocks(page)
@@ -160,7 +186,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000 + i, vectors[7].tolist()) for i in range(60)]
     rows += [(2000, None), (2020, [0.0] * 12), (2040, [float("nan")] * 12), (2060, [1.0]), (None, vectors[0].tolist()), (2080, [None] + [1.0] * 11)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    got = ann.nearest(docs, F.col("id") % 20 == 0, k=20, shard_rows=200).collect()
+    got = ann.nearest(docs, F.col("id") % 20 == 0, k=20, pack_rows=200).collect()
     ids = np.array([i for i, v in rows if i is not None and v is not None and len(v) == 12 and None not in v and np.isfinite(v).all() and any(v)])
     table = np.array([v for i, v in rows if i in set(ids.tolist()) and v is not None])
     found = hits = 0
@@ -180,6 +206,63 @@ def test_neighbours(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3]
 
 
+def test_neighbours_that_tie(spark):
+    rng = np.random.default_rng(2)
+    table = np.unique(rng.integers(0, 2, (3000, 11)), axis=0).astype(float)
+    table = table[table.any(1)]
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(docs, F.col("id") % 50 == 0, k=20, pack_rows=300, sure=1 - 1e-12).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == -(-len(table) // 50)
+    for q, rows in got.items():
+        s = table @ table[q]
+        order = [int(i) for i in np.lexsort((np.arange(len(table)), -s)) if i != q][:20]
+        assert [(r, i, x) for r, i, x in sorted(rows)] == [(r + 1, i, s[i]) for r, i in enumerate(order)]
+
+
+@pytest.mark.parametrize("kind", ["given", "clustered"])
+def test_recall_and_cells_seen(spark, kind):
+    if kind == "given":
+        docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+        pairs = sorted((r["vec_id"], r["embedding"]) for r in docs.collect())
+        table = np.array([v for _, v in pairs])
+    else:
+        rng = np.random.default_rng(4)
+        centres = rng.normal(size=(40, 32)) * 4
+        table = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.3
+        docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(docs, F.col("id") % 20 == 0, pack_rows=250).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        s = table @ table[q]
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == -(-len(table) // 20) and hits >= 0.9 * 20 * len(got)
+    if kind == "clustered":  # where there is something to skip, most cells are skipped
+        longest = float(np.sqrt((table**2).sum(1)).max())
+        axes = ann.directions(32)
+        cells = ann.Cells(ann.projected(table, longest, axes), 16)
+        own = cells.of(ann.projected(table, longest, axes))
+        points = ann.projected(table, longest, axes)
+        low, high = (np.array([f(points[own == c], 0) for c in range(cells.count)]) for f in (np.min, np.max))
+        queries = table[::20]
+        scores = np.sort(queries @ table.T, axis=1)[:, -21]
+        kth = scores * longest / np.sqrt((queries**2).sum(1))
+        bounds = ann.box_bounds(low, high, ann.stretched(queries, longest) @ axes[:-1])
+        assert (~ann.settled(bounds, kth[:, None], longest, ann.M, ann.SURE)).mean() < 0.7
+
+
+def test_cells_cut_at_medians():
+    points = np.random.default_rng(1).normal(size=(1000, 3))
+    cells = ann.Cells(points, 7)
+    sizes = np.bincount(cells.of(points), minlength=7)
+    assert cells.count == 7 and sizes.min() > 100
+    assert ann.Cells(np.zeros((5, 3)), 4).count == 1 and ann.Cells(points[:0], 1).of(points).tolist() == [0] * 1000
+
+
 def test_chi_square():
     assert abs(float(ann.chi_square_cdf(np.array([15.507]), 8)[0]) - 0.95) < 1e-4
 
@@ -284,6 +367,21 @@ def test_added_tokens_are_matched_in_the_raw_text(spark, file):
         assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
 
 
+def test_words_are_encoded_as_the_library_does():
+    words = token_output.WordIds(token_output.vocabulary("word_bpe_49k.json"))
+    assert words.by_word and not token_output.WordIds(token_output.vocabulary("byte_bpe_50k.json")).by_word
+    rng = np.random.default_rng(6)
+    letters = [*"abcXYZ", *"éßÿñÉÀ÷ ×", *"'.,-#|<>", *"019", "\u0301", "J\u030c", "h\u0331", "İ", "Σ", "ς", "ǅ", "日本", "\u00a0", "\u2028", "\x1c", "\n", "\t", "'s", "'t", "'LL", "ﬁ", "\U0001f600", "한", "\u1112\u1161"]
+    texts = ["".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(0, 30))) for _ in range(4000)]
+    texts += [a + b for a in letters for b in letters]
+    whole = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, want in zip(texts, whole, strict=True):
+        assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == want.ids, repr(text)
+    small = token_output.WordIds(token_output.vocabulary("word_bpe_49k.json"))
+    small.LIMIT, small.BYTES = 3, 50
+    assert all(small.encode(t.encode()) == words.encode(t.encode()) for t in texts[:500]) and len(small) <= 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwright.llm.common import Scratch, as_bytes, free, mix64, powers
+from markwright.llm.common import Scratch, as_bytes, free, mix64, powers, tidy
 
 NULL_ID = -(1 << 63)
 POSITION_BITS = 22
@@ -415,14 +415,14 @@ def spans_by_doc(docs: DataFrame, plan: Plan, scratch: Scratch, seed: int = 0) -
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text").where(F.col("text").isNotNull())
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + int(total // BUCKET_BYTES)
-    scanned = named.mapInArrow(_scan_task(plan, buckets, seed), ROWS)
-    met = scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, lambda blobs: _meet_bucket(plan, blobs)), ROWS)
+    scanned = named.mapInArrow(tidy(_scan_task(plan, buckets, seed)), ROWS)
+    met = scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(lambda batches: _grouped(batches, lambda blobs: _meet_bucket(plan, blobs))), ROWS)
     met = scratch.save(met, f"met{seed}")
     scratch.release()
     needs = met.where(F.col("body").isNotNull()).groupBy("doc_id", "key").agg(F.collect_list("body").alias("needs"))
     wanted = named.join(needs, ["doc_id", "key"])
-    contexts = wanted.select("doc_id", "key", "text", "needs").mapInArrow(_gather_task(plan, buckets), ROWS)
-    indexed = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _grouped(batches, lambda blobs: _index_bucket(plan, blobs)), ROWS)
+    contexts = wanted.select("doc_id", "key", "text", "needs").mapInArrow(tidy(_gather_task(plan, buckets)), ROWS)
+    indexed = contexts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(lambda batches: _grouped(batches, lambda blobs: _index_bucket(plan, blobs))), ROWS)
     indexed = scratch.save(indexed, f"indexed{seed}")
     scratch.release()
     if indexed.where(F.col("bucket") == REFUTED).limit(1).count():

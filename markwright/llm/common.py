@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Broadcasts are built only from data that was measured to be below this many bytes.
@@ -72,6 +72,28 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
+#: the column that ``row_ids`` adds
+ROW = "_row"
+
+
+def row_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``ROW``: the doc_id, but a new id above all others for null ids and for later rows of an id."""
+    columns = docs.columns
+    rows, ids, most = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.max("doc_id"), F.lit(-1))).first()
+    if rows == ids:
+        return docs.withColumn(ROW, F.col("doc_id"))
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", salt).orderBy(*[c for c in columns if c != "doc_id"]))
+    numbered = docs.withColumn("_new", F.col("doc_id").isNull() | (nth > 1)).withColumn("_at", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    numbered = Scratch(docs.sparkSession, "rows").save(numbered, "rows")
+    # one row for each partition of the table
+    sizes = numbered.groupBy(F.col("_part").alias("_p")).agg((F.max("_at") + 1).alias("_n"))
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    fresh = F.lit(most + 1).cast("long") + F.col("_start") + F.col("_at")
+    return numbered.join(starts, F.col("_part") == F.col("_p")).select(*columns, F.when(F.col("_new"), fresh).otherwise(F.col("doc_id")).alias(ROW))
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
-A text is lower-cased and cut into runs of letters. Each run gives itself and its character n-grams (2 to 4, with
+A text is lower-cased and cut into runs of letters. Each run gives itself and its byte n-grams (2 to 5, with
 word-boundary marks) as features, hashed into ``BUCKETS`` rows of an embedding table. A text is the mean of its
 features' rows; a linear softmax over that mean gives the languages. As the mean is linear, each distinct word's sum
 of logits is worked out once and a whole text is a sum over its words. Runs of any length count whole; new ones are
@@ -8,8 +8,9 @@ worked through in batches of ``BYTES_AT_ONCE``, a longer one in parts.
 
 Training reads a bounded sample (``per_language`` rows of each label at most in expectation, chosen by a hash of the
 id; this is the documented bound), cut into spans of various lengths so that short texts are covered, of which a text
-gives 12 at most, picked at random. A fifth of the
-sample is kept out of the gradient steps; on its spans a temperature is fitted, so that scores are probabilities.
+gives ``SPANS`` at most, picked at random (both are bounds of the training sample alone; of more than ``MOST_LABELS``
+labels the most frequent ones are learned). A fifth of the sample is kept out of the gradient steps; on its spans a
+temperature is fitted, so that scores are probabilities.
 Rejection is calibrated on its whole documents, and on their spans for short texts, in groups of similar length: a text
 is rejected if its score, or the familiarity of its features (their mean log frequency in training, which tells
 other languages and letter junk even where one language is learned), is below what all but ``reject_rate`` of the right
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markwright.llm.common import mix64
+from markwright.llm.common import mix64, tidy
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -38,6 +39,8 @@ PER_LANGUAGE = 400
 ROWS_AT_ONCE = 1000
 BYTES_AT_ONCE = 1 << 17
 LONGEST = 5
+SPANS = 12
+MOST_LABELS = 1000
 LONG_RUN = 64
 PIECE = 16
 GROUP = 300  # right answers, of similar length, that share a threshold
@@ -145,8 +148,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate: float
         spans = _spans(LETTERS.findall((text or "").lower()), rng)
         if spans and i % 5 == 0 and len(rows) >= 20:
             kept_out += [(text, lang), *((" ".join(span), lang) for span in spans[:4])]
-        if len(spans) > 12:
-            spans = [spans[j] for j in rng.permutation(len(spans))[:12]]
+        if len(spans) > SPANS:
+            spans = [spans[j] for j in rng.permutation(len(spans))[:SPANS]]
         for span in spans:
             (check if i % 5 == 0 and len(rows) >= 20 else train).append((subwords(span)[0], label[lang]))
     epochs = max(epochs, min(40, 60_000 // max(1, len(train))))  # small samples are passed more often
@@ -188,6 +191,7 @@ def _fit_temperature(model: Model, check: list[tuple[np.ndarray, int]]) -> None:
 
     model.temperature = float(min(np.geomspace(0.05, 10, 80), key=loss))
 
+
 def _calibrate(model: Model, kept_out: list[tuple[str, str]], reject_rate: float) -> None:
     found = judge(model, [text for text, _ in kept_out])
     right = np.array([(n, score, familiar) for (lang, score, familiar, n), (_, truth) in zip(found, kept_out, strict=True) if lang == truth])
@@ -308,7 +312,7 @@ def sample(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE
     sizes = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
     share = F.least(F.lit(1.0), per_language / F.col("_n"))
     spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(sizes.orderBy(F.desc("_n"), "_lang").limit(1000)), F.col("lang") == F.col("_lang")).where(spread < share)
+    chosen = rows.join(F.broadcast(sizes.orderBy(F.desc("_n"), "_lang").limit(MOST_LABELS)), F.col("lang") == F.col("_lang")).where(spread < share)
     return sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect())
 
 
@@ -338,4 +342,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(batch.columns + new, names=[*kept, "lang_pred", "score", "rejected"])
 
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)

@@ -45,12 +45,17 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     later = every.join(again.select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
     named = docs.drop("n_lines", "n_removed", "kept_text", "kept_sha256")
     d, k, starts, gone = (free(n, named.columns) for n in ("_doc", "_key", "_starts", "_gone"))
-    covered = later.groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.collect_set("at").alias(starts))
+    covered = later.groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.sort_array(F.collect_set("at")).alias(starts))
     joined = named.join(covered, named["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(named["text"]) == F.col(k)), "left")
     lines = F.split("text", "\n", -1)
-    spread = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + size - 1))))
-    removed = F.when(F.col(starts).isNull(), F.array().cast("array<int>")).otherwise(spread)
-    marked = joined.withColumn(gone, F.map_from_arrays(removed, F.transform(removed, lambda i: F.lit(True))))
-    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.map_contains_key(gone, i)), "\n"))
-    out = marked.withColumn("kept_text", kept).withColumn("n_removed", F.size(gone).cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    # stay and go in turn: what lies before a window's start and after the one before it, then what the window adds
+    past = lambda j: F.when(j == 0, 0).otherwise(F.get(starts, j - 1) + size)
+    turn = lambda j: F.concat(F.array_repeat(F.lit(True), F.get(starts, j) - past(j)), F.array_repeat(F.lit(False), F.get(starts, j) + size - F.greatest(past(j), F.get(starts, j))))
+    stays = F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 1), turn))
+    tail = F.array_repeat(F.lit(True), F.size(lines) - F.element_at(starts, -1) - size)
+    marked = joined.withColumn(gone, F.when(F.col(starts).isNotNull(), F.concat(stays, tail)))
+    shown = F.transform(F.filter(F.arrays_zip(lines.alias("line"), F.col(gone).alias("stays")), lambda z: z["stays"]), lambda z: z["line"])
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(shown, "\n"))
+    n_removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.filter(gone, lambda x: ~x)))
+    out = marked.withColumn("kept_text", kept).withColumn("n_removed", n_removed.cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
     return out.withColumn("kept_sha256", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)).drop(d, k, starts, gone)

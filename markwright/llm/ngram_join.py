@@ -18,8 +18,9 @@ A document's set holds the hashes of its distinct shingles of ``size`` words (A-
 Pairs inside a group are never listed, so copies in thousands cost as much as their number; links between groups are
 all found, so the components are exact.
 
-Results: null, empty and blank texts have no shingles and link with nothing. A null doc_id is no node: its row has
-its own size and a null component. Rows with equal ids should not occur; they count as one node for links.
+Results: null, empty and blank texts have no shingles and link with nothing. Each row is a document of its own: rows
+that repeat an id have each its own links, and its component is the smallest id that they reach. A row with a null id
+links nothing: it has its own size and a null component.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markwright.llm.common import Scratch, as_bytes, chunks, hash_words, mix64
+from markwright.llm.common import ROW, Scratch, as_bytes, chunks, hash_words, mix64, row_ids, tidy
 from markwright.llm.components import components
 
 LEVEL = 3
@@ -120,7 +121,7 @@ def _sum_task(kind: str, limit: int | None):
 
 def heavy_tokens(docs: DataFrame, size: int, bits: int, limit: int) -> bytes:
     """One bit for each counter, on if more than ``limit`` documents count there. 2**bits bits, whatever the input."""
-    slices = docs.select("text").mapInArrow(_sketch_task(size, bits), "slice int, counts binary")
+    slices = docs.select("text").mapInArrow(tidy(_sketch_task(size, bits)), "slice int, counts binary")
     kind = "slice int, lane int, counts binary"
     lanes = slices.select("slice", F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"), "counts")
     sums = lanes.repartition("slice", "lane").sortWithinPartitions("slice", "lane").mapInArrow(_sum_task("u1", None), kind)
@@ -378,11 +379,27 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
     # by a sort-merge join at every size, so that the plan of a small run is that of a large one
     texts = asked.join(docs.select(F.col("doc_id").alias("doc"), "text").hint("merge"), "doc")
     dealt = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "follows")
-    return dealt.select("a", "salt", "doc", "text").mapInArrow(_verify_task(size, num, den), "a long, b long")
+    return dealt.select("a", "salt", "doc", "text").mapInArrow(tidy(_verify_task(size, num, den)), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row; n_links: proven links of its node that the join kept."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return _components(docs, size, num, den, rounds)
+    known = row_ids(docs.where(F.col("doc_id").isNotNull()))
+    known = Scratch(docs.sparkSession, "repeats").save(known, "rows")
+    found = _components(known.select(F.col(ROW).alias("doc_id"), "text"), size, num, den, rounds)
+    named = known.select("doc_id", F.col(ROW).alias("r")).join(found.withColumnRenamed("doc_id", "r"), "r")
+    least = named.groupBy(F.col("component_id").alias("c")).agg(F.min("doc_id").alias("least"))
+    out = named.join(least, F.col("component_id") == F.col("c")).select("doc_id", "n_shingles", F.col("least").alias("component_id"), "n_links")
+    nameless = _components(docs.where(F.col("doc_id").isNull()), size, num, den, 0)
+    return out.unionByName(nameless)
+
+
+def _components(docs: DataFrame, size: int, num: int, den: int, rounds: int) -> DataFrame:
+    """The same where no id comes twice."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -390,7 +407,7 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     buckets = 1 + int(total // BUCKET_BYTES)
     bits = int(min(26, max(16, np.ceil(np.log2(1 + total / 48)))))  # about eight tokens a counter, up to 2**26 counters
     heavy = spark.sparkContext.broadcast(heavy_tokens(named, size, bits, limit=24 + 2 * int(total / 6 / (1 << bits))))
-    sets = scratch.save(named.mapInArrow(_sets_task(size, num, den, heavy, bits), "doc_id long, n long, s1 long, s2 long, prefix binary"), "sets")
+    sets = scratch.save(named.mapInArrow(tidy(_sets_task(size, num, den, heavy, bits)), "doc_id long, n long, s1 long, s2 long, prefix binary"), "sets")
     nodes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
     nodes = scratch.save(nodes, "nodes")
     bare = nodes.select("id", "n")
@@ -398,8 +415,8 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     def postings(groups: DataFrame | None, work, nodes: DataFrame = nodes):
         rows = nodes.select("id", "n", "prefix", F.col("id").alias("group")) if groups is None else nodes.join(groups, "id", "left").select("id", "n", "prefix", F.coalesce("component", "id").alias("group"))
-        dealt = rows.mapInArrow(_postings_task(buckets), "bucket int, body binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        rows = dealt.mapInArrow(lambda batches: _buckets(batches, work), "q long, g long, shared long, bound long, least long, most long")
+        dealt = rows.mapInArrow(tidy(_postings_task(buckets)), "bucket int, body binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        rows = dealt.mapInArrow(tidy(lambda batches: _buckets(batches, work)), "q long, g long, shared long, bound long, least long, most long")
         sums = rows.groupBy("q", "g").agg(F.sum("shared").alias("shared"), F.max("bound").alias("bound"), F.min("least").alias("least"), F.max("most").alias("most"))
         return sums.join(bare.select(F.col("id").alias("q"), F.col("n").alias("q_n")), "q").where(may_link(F.col("q_n"), num, den))
 

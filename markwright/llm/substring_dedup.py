@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from markwright.llm import anchors
-from markwright.llm.common import Scratch, as_bytes, hash_words
+from markwright.llm.common import Scratch, as_bytes, hash_words, tidy
 
 LENGTH = 35
 GRAM = 10
@@ -221,4 +221,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
             columns = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())] + [pa.array(kept, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept_at] + columns, names=names + [f.name for f in fields])
 
-    return marked.mapInArrow(run, StructType(named.select(*names).schema.fields + fields))
+    return marked.mapInArrow(tidy(run), StructType(named.select(*names).schema.fields + fields))

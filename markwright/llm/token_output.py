@@ -18,6 +18,8 @@ first; rows that repeat an id follow each other in the order of their texts. Ext
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from markwright.llm.common import BROADCAST_LIMIT, Scratch
+from markwright.llm.common import BROADCAST_LIMIT, Scratch, tidy
 
 END_ID = 2
 BLOCK = 4096
@@ -47,41 +49,67 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 #: A-Z in lower case; other bytes as they are
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
-SAMPLE = "a\tB c  it's\n1 , x The, END.### (ok)! co-op's Été. x_y=3; don't' «q» 5% a.b a1! -"
+#: small letters of Latin-1, in UTF-8: single, lower-case, composed
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: fixed values: a normaliser and a pre-tokenizer under which words can be encoded one by one
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: how the byte level writes bytes that are no printed character of their own
+_PLAIN = {**{b: b + 0xA2 for b in range(0x80, 0xA1)}, 0xAD: 0x143}
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes, remembered up to a bound.
-
-    Of a vocabulary whose pre-tokenizer never joins pieces over white space, nor letters with the marks after them, and
-    that ignores case, a text's ids are those of its words in turn, and a word's those of its letters and its marks.
-    ``SAMPLE`` tells whether that holds; other vocabularies get whole texts. The vocabulary's added tokens are matched in
-    the raw text, before it is split and in their own case, so a text that holds one in any case is encoded whole.
+    """word -> its ids as little-endian 32-bit bytes, for a bounded number of words; more start anew.
+
+    By its definition ``WORDWISE``, white space is cut before anything else, so a text's ids are those of its words in
+    turn. Letters and the marks after them are separate pieces, as none of the patterns goes on from a letter to a mark
+    (the one of marks holds no letter, and those with an apostrophe begin with it). A word of ``LETTERS`` alone is one
+    piece that the normaliser leaves as it is, so it goes to the library's model at once. Case is folded first: that
+    may only meet the normaliser's composing where marks of U+0300 to U+036F stand, and texts with these, as texts that
+    hold an added token in any case (it is matched in the raw text, in its own case), are encoded whole. So is
+    everything by files of another definition.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
+    BYTES = 16_000_000
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), True
+        self.tokenizer, self.held = Tokenizer.from_file(path), 0
+        with open(path, encoding="utf-8") as file:
+            defined = json.load(file)
+        self.by_word = all(defined.get(k) == v for k, v in WORDWISE.items()) and defined["model"]["type"] == "BPE"
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.added = [token.content.encode().translate(LOWER) for token in added if token.content]
-        self.by_word = self.encode(SAMPLE.encode()) == self._ids(SAMPLE)
-        self.clear()
+        self.added = [token.content.encode().translate(LOWER) for token in added if token.content] + [b"\xcc", b"\xcd"]
+        self.piece = self.tokenizer.model.tokenize
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(MARKS)
-        if stem and len(stem) < len(word) and stem[-1:].isalpha():
-            value = self[stem] + self[word[len(stem) :]]
+        if LETTERS.fullmatch(stem):
+            if len(stem) < len(word):
+                value = self[stem] + self[word[len(stem) :]]
+            else:
+                value = np.array([t.id for t in self.piece(stem.decode("latin-1").translate(_PLAIN))], dtype="<u4").tobytes()
         else:
             value = self._ids(word.decode("utf-8", "replace"))
-        if len(self) < self.LIMIT:
-            self[word] = value
+        if len(self) >= self.LIMIT or self.held > self.BYTES:
+            self.clear()
+            self.held = 0
+        self[word] = value
+        self.held += len(word) + len(value)
         return value
 
     def encode(self, text: bytes) -> bytes:
@@ -94,7 +122,7 @@ class WordIds(dict):
 
 @lru_cache(maxsize=1)
 def _word_ids(path: str) -> WordIds:
-    """Kept by a Python worker from task to task."""
+    """Kept by a Python worker from task to task, within the bounds of ``WordIds``."""
     return WordIds(path)
 
 
@@ -173,7 +201,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         raise ValueError(f"kind is 'byte' or 'bit', not {kind!r}")
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    chunks = ordered.mapInArrow(_write_task(tokenizer, end_id, block, chunk_ids, kind), CHUNK_SCHEMA)
+    chunks = ordered.mapInArrow(tidy(_write_task(tokenizer, end_id, block, chunk_ids, kind)), CHUNK_SCHEMA)
     chunks.write.mode("overwrite").option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
     _part_starts(chunks).write.mode("overwrite").parquet(f"{path}/parts")
@@ -227,7 +255,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     """One row for each document of the set: doc_id, start, n_tokens, ids_crc32, and on request its ids."""
     chunks = _with_start(spark, path, spark.read.parquet(f"{path}/chunks"))
     columns = chunks.select("part", "chunk", (F.col("part_start") + F.col("first")).alias("start"), "n_ids", "block", "kind", "planes", "plane_bytes", "crc32", "doc_ids", "doc_lengths")
-    return columns.mapInArrow(_read_task(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return columns.mapInArrow(tidy(_read_task(with_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Language ID, HTML extraction, nearest neighbours, mixing, token output and the pipeline."""
 
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -160,6 +161,41 @@ def test_html_held_out_pages():
     assert wrong <= 0.02 * total
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_html_of_the_given_pages(size):
+    """The article of each given page, read by another parser: what stands in <article>, a block for each h1 and p."""
+    import pyarrow.parquet as pq
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.parts = False, [], []
+
+        def cut(self):
+            text = " ".join("".join(self.parts).split())
+            self.blocks += [text] if text else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.parts.append(" ") if tag == "br" else self.cut() if tag != "b" else None
+
+        def handle_endtag(self, tag):
+            self.cut() if tag != "b" else None
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            self.parts += [data] if self.inside else []
+
+    crf = html_extract.trained()
+    for r in pq.read_table(f"/root/testdata/{size}/pages.parquet").to_pylist():
+        page = Article()
+        page.feed(r["html"])
+        page.close()
+        page.cut()
+        assert html_extract.extract_text(r["html"], crf) == "\n".join(page.blocks), r["page_id"]
+
+
 def test_html_extract(spark):
     body = "<article><h1>Title here</h1><p>Some   long text, with words.</p></article>"
     page = f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{body}<div class='ad'>Buy now</div><footer>&copy; site</footer></body>"
@@ -310,11 +346,40 @@ def test_shards_get_equal_blocks(spark):
     assert set(words) == set(range(4)) and len({(r["number"], r["pos"], r["pass"]) for r in rows}) == len(rows)
 
 
-def test_splitting_tree_uses_quotas_up(spark):
+def test_permutation(spark):
+    for size in (1, 2, 7, 1000, 4096):
+        rows = spark.range(size).select("id", mixing.permuted(F.col("id"), F.lit(size), F.lit(9)).alias("to"), mixing.permuted(F.col("id"), F.lit(size), F.lit(10)).alias("other")).collect()
+        assert sorted(r["to"] for r in rows) == list(range(size))
+    steps = {(b["to"] - a["to"]) % size for a, b in zip(rows, rows[1:], strict=False)}
+    assert len(steps) > 2000 and sum(r["to"] == r["other"] for r in rows) < 20
+
+
+def test_mixed_shards_are_shuffled(spark, tmp_path):
+    docs = _mix_docs(spark)
+    got = mixing.mixed(docs, shards=4, block_words=100)
+    rows = got.withColumn("part", F.spark_partition_id()).collect()
+    assert got.columns == [*docs.columns, "shard", "place"]
+    for shard in range(4):
+        mine = [r for r in rows if r["shard"] == shard]
+        assert len({r["part"] for r in mine}) == 1 and [r["place"] for r in mine] == sorted(r["place"] for r in mine)
+        assert [r["doc_id"] or 0 for r in mine] != sorted(r["doc_id"] or 0 for r in mine)
+    taken = {}
+    for r in mixing.taken(docs, shards=4, block_words=100).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    words = {}
+    for r in rows:
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert words == {s: n for s, n in taken.items() if n}
+    mixing.write_shards(docs, str(tmp_path / "out"), shards=4, block_words=100)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+@pytest.mark.parametrize("subtrees", [2, 4096])
+def test_splitting_tree_uses_quotas_up(spark, subtrees):
     from markwright.llm.common import Scratch
 
     quotas = spark.createDataFrame([(0, 100), (1, 7), (2, 0), (3, 33)], "number int, quota long")
-    leaves = mixing.splitting_tree(quotas, 8, Scratch(spark, "test")).collect()
+    leaves = mixing.splitting_tree(quotas, 8, Scratch(spark, "test"), subtrees=subtrees).collect()
     for number, quota in ((0, 100), (1, 7), (3, 33)):
         mine = sorted((r["before"], r["quota"]) for r in leaves if r["number"] == number)
         assert sum(q for _, q in mine) == quota

@@ -221,7 +221,7 @@ def test_tables_of_patterns_stay_sparse():
 
 
 def test_lines(spark):
-    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "a\nb"), (4, None), (5, ""), (6, "a\nb\nc\na\nb\nc\nd"), (7, "b\nc\nd\nb\nc\nd"), (None, "q\na\nb\nc"), (1, "a\nb\nc\nd")]
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "a\nb"), (4, None), (5, ""), (6, "a\nb\nc\na\nb\nc\nd"), (7, "b\nc\nd\nb\nc\nd"), (None, "q\na\nb\nc"), (1, "a\nb\nc\nd"), (8, "\n".join(f"l{i}" for i in range(3000))), (9, "\n".join(f"l{i}" for i in range(1, 3000, 1)))]
     rows = [(i, t, "clash", 1) for i, t in rows]
     got = {(r["doc_id"], r["text"]): (r["n_lines"], r["n_removed"], r["kept_text"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     seen = set()
@@ -286,6 +286,14 @@ def test_ngram_components(spark, size, num, den):
             assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), find(r["doc_id"])), r
 
 
+def test_ngram_components_of_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (3, text("b")), (7, text("a") + " x"), (9, text("c")), (9, text("c")), (None, text("c")), (2, None), (2, "d")]
+    got = ngram_join.ngram_components(frame(spark, [(i, t, "c", 1) for i, t in rows])).collect()
+    want = [(5, 36, 5), (5, 36, 3), (3, 36, 3), (7, 37, 5), (9, 36, 9), (9, 36, 9), (None, 36, None), (2, 0, 2), (2, 1, 2)]
+    assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("work", ["suffix", "substring", "lines", "ngrams", "decontaminate"])
 def test_empty_tables(spark, work):
     none = spark.createDataFrame([], SCHEMA)

@@ -6,75 +6,66 @@ one's ``docs``. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwright.llm import decontaminate, langid, mixing, ngram_join, token_output
-from markwright.llm.common import Scratch, held_out_bucket, table
+from markwright.llm.common import ROW, Scratch, held_out_bucket, row_ids, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the classifier tells with enough certainty."""
-    model = langid.train(docs, held_out_bucket(F.col("doc_id"), 4) != 2)
-    return langid.identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
-
+    """Keeps documents whose language the classifier tells with enough certainty.
 
-def _row_ids(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``: the doc_id, but a new id above all others for null ids and for later rows of an id."""
-    rows, ids, most = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.coalesce(F.max("doc_id"), F.lit(-1))).first()
-    if rows == ids:
-        return docs.withColumn("_row", F.col("doc_id"))
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", salt).orderBy("text", "lang", "source", "n_chars"))
-    new = F.col("doc_id").isNull() | (nth > 1)
-    numbered = docs.withColumn("_new", new).withColumn("_at", F.monotonically_increasing_id())
-    numbered = Scratch(docs.sparkSession, "rows").save(numbered.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "rows")
-    # one row for each partition of the table
-    sizes = numbered.groupBy(F.col("_part").alias("_p")).agg((F.max("_at") + 1).alias("_n"))
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    fresh = F.lit(most + 1).cast("long") + F.col("_start") + F.col("_at")
-    return numbered.join(starts, F.col("_part") == F.col("_p")).select(*COLUMNS, F.when(F.col("_new"), fresh).otherwise(F.col("doc_id")).alias("_row"))
+    Null, empty and letterless texts have no language and go. Equal rows get equal decisions; null ids are ids like
+    others (their rows are learned from); labels are used in training alone. Without labelled rows all documents go. An
+    empty table gives an empty result. Columns other than those of documents, whatever their names, are dropped.
+    """
+    model = langid.train(docs, F.coalesce(held_out_bucket(F.col("doc_id"), 4) != 2, F.lit(True)))
+    return langid.identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of the smallest id, of each group of near duplicates (five words, similarity 0.8).
 
-    Rows that repeat an id and rows without one are documents of their own, after those with an id.
+    Rows that repeat an id and rows without one are documents of their own, after those with an id. Null, empty and
+    blank texts are near nothing and stay. An empty table gives an empty result; other columns are dropped.
     """
-    rows = _row_ids(docs.select(*COLUMNS))
-    groups = ngram_join.ngram_components(rows.select(F.col("_row").alias("doc_id"), "text"), size=5, num=80, den=100)
+    rows = row_ids(docs.select(*COLUMNS))
+    groups = ngram_join.ngram_components(rows.select(F.col(ROW).alias("doc_id"), "text"), size=5, num=80, den=100)
     copies = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("copy")).distinct()
-    return rows.join(copies, F.col("_row") == F.col("copy"), "left_anti").select(*COLUMNS)
+    return rows.join(copies, F.col(ROW) == F.col("copy"), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which no window of a benchmark item occurs."""
+    """Keeps documents in which no window of a benchmark item occurs.
+
+    Null and empty texts hold no window and stay, as all do where the benchmark is empty. Equal rows get equal
+    decisions, whatever their ids. An empty table gives an empty result; other columns are dropped.
+    """
     found = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that the sources come to their weights; a source's last document may be cut."""
-    drawn, placed = mixing.mix(docs)
-    # mix() knows rows by number and pos; of equal id, source and size, the n-th place is the n-th row's
-    same = ["doc_id", "source", "_size"]
-    nth = lambda *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order))
-    places = placed.where("size > 0").withColumnRenamed("size", "_size").withColumn("nth", nth("pos")).select(*[F.col(c).alias(f"u_{c}") for c in [*same, "nth", "number", "pos"]])
-    units = drawn.select("number", "pos", "words").join(places, (F.col("number") == F.col("u_number")) & (F.col("pos") == F.col("u_pos")))
-    sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("_size")).where("_size > 0").withColumn("_nth", nth("text", "lang", "n_chars"))
-    on = (F.col("_size") == F.col("u__size")) & (F.col("_nth") == F.col("u_nth")) & F.col("doc_id").eqNullSafe(F.col("u_doc_id")) & F.col("source").eqNullSafe(F.col("u_source"))
-    mixed = sized.join(units, on)
-    cut = F.col("words") < F.col("_size")
-    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(cut, F.array_join(F.slice(parts, 1, F.col("words").cast("int")), "")).otherwise(F.col("text"))
-    out = mixed.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*COLUMNS)
+    """Repeats and drops documents so that the sources come to their weights, in shuffled shards.
+
+    A source's last document may be cut to its first words; its n_chars is then the cut text's. Texts without words
+    (null, empty, blank) can't be drawn and go. Null sources are a source; rows that repeat an id and rows without one
+    are documents of their own. An empty table gives an empty result; other columns are dropped.
+    """
+    mixed = mixing.mixed(docs.select(*COLUMNS, F.length("text").alias("_length")))
+    cut = F.length("text") < F.col("_length")
+    return mixed.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the ids of all documents and returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the ids of all documents and returns what the files hold: doc_id, start, n_tokens, ids_crc32.
+
+    Every row is a document, in the order of ids, null ids first, then of texts; null text counts as empty, and each
+    document ends in the end id. An empty table gives an empty result; other columns are ignored.
+    """
     return token_output.round_trip(docs.select("doc_id", "text"), token_output.vocabulary("word_bpe_49k.json"))
 
 

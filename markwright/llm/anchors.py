@@ -384,9 +384,14 @@ def _index_bucket(plan: Plan, blobs: list[bytes]) -> list[tuple]:
     order = order[new]
     symbols = np.concatenate([c["symbols"][begins[i] : begins[i] + sizes[i]] for i in order.tolist()])
     need, ids, sizes = need[order], ids[order], sizes[order]
-    contexts = {"symbols": symbols, "begins": np.cumsum(sizes) - sizes, "sizes": sizes, "h": need["h"], "back": need["back"].astype(np.int64), "front": need["front"].astype(np.int64)}
+    pairs = _pairs(need)
+    if pairs is None:
+        return [(REFUTED, None, None, None, b"")]
+    first = np.full(len(need), -1)
+    first[pairs[1]] = pairs[0]  # of a class's last member
+    contexts = {"symbols": symbols, "begins": np.cumsum(sizes) - sizes, "sizes": sizes, "h": need["h"], "back": need["back"].astype(np.int64), "front": need["front"].astype(np.int64), "first": first}
     which, offset = plan.index(contexts, plan.length)
-    if _refuted(plan, need, np.bincount(which, minlength=len(need))):
+    if _refuted(plan, need, pairs, np.bincount(which, minlength=len(need))):
         return [(REFUTED, None, None, None, b"")]
     if not len(which):
         return []
@@ -399,15 +404,20 @@ def _index_bucket(plan: Plan, blobs: list[bytes]) -> list[tuple]:
 REFUTED = -1
 
 
-def _refuted(plan: Plan, need: np.ndarray, hits: np.ndarray) -> bool:
-    """Whether the index does not bear out a class: not all windows of its last member (or of both) were found again."""
+def _pairs(need: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The first and the last members of classes; None if they don't come in pairs of equal width."""
     pairs = np.flatnonzero(need["pair"])
     pairs = pairs[np.lexsort((pairs, need["ctx"][pairs], need["h"][pairs]))]
     first, last = pairs[::2], pairs[1::2]
-    if len(first) != len(last) or (need["ctx"][first] != need["ctx"][last]).any() or (need["h"][first] != need["h"][last]).any():
-        return True
+    if len(first) != len(last) or any((need[k][first] != need[k][last]).any() for k in ("h", "ctx", "back", "front")):
+        return None
+    return first, last
+
+
+def _refuted(plan: Plan, need: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], hits: np.ndarray) -> bool:
+    """Whether the index does not bear out a class: not all windows of its last member (or of both) were found again."""
     whole = hits == need["back"].astype(np.int64) - need["front"] + 1
-    return not (whole[last].all() and (plan.keep_first or whole[first].all()))
+    return not (whole[pairs[1]].all() and (plan.keep_first or whole[pairs[0]].all()))
 
 
 def spans_by_doc(docs: DataFrame, plan: Plan, scratch: Scratch, seed: int = 0) -> DataFrame:

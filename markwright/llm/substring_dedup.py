@@ -6,7 +6,7 @@ or another. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on
 Anchors (see ``anchors``) bring the passages that could be equal to one shard, each window start in one passage only.
 A shard's passages form one text. Its FM-index is the Burrows-Wheeler transform in a wavelet tree over the shard's
 word numbers (packed bit vectors with block ranks, one for each bit of a number) with the lengths of common prefixes.
-The passages then stream through it backwards, all at once: the state of each is the interval of suffixes that start
+Passages then stream through it backwards, all at once: the state of each is the interval of suffixes that start
 with its current match; a step that leaves fewer than two occurrences first falls back to the parent interval. This
 gives for each place the longest match that occurs at least twice; windows whose match is long enough are reported.
 
@@ -74,54 +74,64 @@ class WaveletTree:
         return high - low
 
 
-def suffix_array(text: np.ndarray, most: int) -> np.ndarray:
-    """By prefix doubling, to ``most`` symbols; the text's end marks differ from each other."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+def suffix_array(text: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """By prefix doubling, to ``most`` symbols; the text's end marks differ from each other. Also the ranks by the first k."""
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int32)
     n, k = len(text), 1
+    ranks = [(1, rank)]
     while True:
-        key = rank * (n + 1)
+        key = rank.astype(np.int64) * (n + 1)
         key[: n - k] += rank[k:] + 1
         order = np.argsort(key, kind="stable")
-        fresh = np.ones(n, np.int64)
+        fresh = np.ones(n, np.int32)
         fresh[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(fresh, dtype=np.int32) - 1
         k *= 2
+        ranks.append((k, rank))
         if k >= most or rank.max() == n - 1:
-            return order
+            return order, ranks
+
+
+def _smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value (the first has none and points to itself)."""
+    back = np.maximum(np.arange(len(values), dtype=np.int32) - 1, 0)
+    live = np.arange(len(values))
+    while True:
+        live = live[(values[back[live]] >= values[live]) & (back[live] > 0)]
+        if not len(live):
+            return back
+        back[live] = back[back[live]]
 
 
 class FMIndex:
-    """Over ``text`` (numbers from ``marks`` on; smaller ones are end marks, each of which occurs once).
+    """Over ``text`` (numbers up to ``top``; its end marks occur once each): the Burrows-Wheeler transform in a wavelet
+    tree, and the intervals of common prefixes of neighbours.
 
     ``most`` is the longest match that counts (below 2**15): the passages are short, whatever the documents are.
     """
 
-    def __init__(self, text: np.ndarray, most: int):
-        n, top = len(text), int(text.max())
-        suffixes = suffix_array(text, most)
+    def __init__(self, text: np.ndarray, most: int, top: int | None = None):
+        n, top = len(text), int(text.max()) if top is None else top
+        suffixes, ranks = suffix_array(text, most)
+        self.place = np.empty(n, np.int32)
+        self.place[suffixes] = np.arange(n, dtype=np.int32)
         self.tree = WaveletTree(text[suffixes - 1], top)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))]).astype(np.int64)
         self.size = n
-        # common prefixes of neighbours, symbol by symbol for all that still agree
-        common, live = np.zeros(n + 1, np.int16), np.arange(1, n)
-        for d in range(most):
-            a, b = suffixes[live] + d, suffixes[live - 1] + d
-            inside = (a < n) & (b < n)
-            live, a, b = live[inside], a[inside], b[inside]
-            live = live[text[a] == text[b]]
-            common[live] += 1
-            if not len(live):
-                break
+        # common prefixes of neighbours, in steps of halved length
+        a, b = suffixes[:-1].copy(), suffixes[1:].copy()
+        common = np.zeros(n + 1, np.int16)
+        for k, rank in reversed(ranks):
+            same = (a < n) & (b < n)
+            same[same] = rank[a[same]] == rank[b[same]]
+            common[1:n] += (k * same).astype(np.int16)
+            a += k * same
+            b += k * same
         common[0] = common[n] = -1
         self.common = common
-        self.left, self.right = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
-        places = np.arange(n + 1, dtype=np.int32)
-        for value in np.unique(common[1:n]).tolist():
-            here = np.flatnonzero(common == value)
-            below = common < value
-            self.left[here] = np.maximum.accumulate(np.where(below, places, 0))[here]
-            self.right[here] = np.minimum.accumulate(np.where(below, places, n)[::-1])[::-1][here]
+        self.left = _smaller_before(common)
+        self.right = (n - _smaller_before(common[::-1])[::-1]).astype(np.int32)
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes that start with the symbol, then with the interval's match."""
@@ -133,46 +143,65 @@ class FMIndex:
         return self.left[at].astype(np.int64), self.right[at].astype(np.int64), np.maximum(self.common[at], 0).astype(np.int64)
 
 
-def matching_statistics(index: FMIndex, text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each place of the streamed passages, the longest match from there on with two occurrences or more."""
-    out = np.zeros(len(text), np.int64)
-    lane = np.arange(len(begins))
-    at = begins + sizes - 1
+def matching_statistics(index: FMIndex, text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, least: np.ndarray | int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of the streamed passages the longest match from there on that the index holds ``least`` times (a
+    number for each passage), and the interval of its suffixes."""
+    out, lows, highs = np.zeros(len(text), np.int16), np.zeros(len(text), np.int32), np.zeros(len(text), np.int32)
+    lane = np.flatnonzero(sizes > 0)
+    least = np.broadcast_to(least, len(begins))
+    at = (begins + sizes - 1)[lane]
     low, high, matched = np.zeros(len(lane), np.int64), np.full(len(lane), index.size, np.int64), np.zeros(len(lane), np.int64)
     while len(lane):
         a, b = index.step(text[at], low, high)
-        good = b - a >= 2
+        good = b - a >= least[lane]
         stuck = ~good & (matched == 0)
         moved = good | stuck
-        p_low, p_high, p_matched = index.parent(low, high)
-        low = np.where(good, a, np.where(stuck, low, p_low))
-        high = np.where(good, b, np.where(stuck, high, p_high))
-        matched = np.where(good, matched + 1, np.where(stuck, 0, p_matched))
-        root = ~moved & (matched == 0)
-        low, high = np.where(root, 0, low), np.where(root, index.size, high)
-        out[at[moved]] = matched[moved]
+        low, high, matched = np.where(good, a, low), np.where(good, b, high), matched + good
+        back = np.flatnonzero(~moved)
+        if len(back):
+            low[back], high[back], matched[back] = index.parent(low[back], high[back])
+            root = back[matched[back] == 0]
+            low[root], high[root] = 0, index.size
+        done = at[moved]
+        out[done], lows[done], highs[done] = matched[moved], low[moved], high[moved]
         at = at - moved
         live = at >= begins[lane]
         lane, at, low, high, matched = lane[live], at[live], low[live], high[live], matched[live]
-    return out
+    return out, lows, highs
 
 
 def repeated_windows(c: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, start in it) of the windows that start elsewhere too."""
-    n = len(c["sizes"])
+    """(context, start in it) of the windows that start elsewhere too.
+
+    The index holds one context of each class. All contexts stream through it: a class's last member needs one
+    occurrence, which is another document's; the others need two, as one is their own. Where a last member's interval
+    holds its first member's suffix, the two windows are each other's.
+    """
+    n, first, sizes = len(c["sizes"]), c["first"], c["sizes"]
     _, words = np.unique(c["symbols"], return_inverse=True)
-    # each passage ends in a mark of its own; marks come before all words
-    text = np.empty(len(words) + n, np.int64)
-    ends = c["begins"] + c["sizes"] + np.arange(n)
-    inside = np.ones(len(text), bool)
-    inside[ends] = False
-    text[inside], text[ends] = words.ravel() + n, np.arange(n)
-    begins = c["begins"] + np.arange(n)
-    stats = matching_statistics(FMIndex(text, int(c["sizes"].max()) + 1), text, begins, c["sizes"])
-    starts = c["sizes"] - length + 1
+    words, held = words.ravel(), np.flatnonzero(first < 0)
+    top = int(words.max()) + len(held)
+    # the index's text: each passage ends in a mark of its own; marks come before all words
+    own = sizes[held]
+    where = np.cumsum(own + 1) - own - 1
+    text, inside = np.empty(int(own.sum()) + len(held), np.int64), np.ones(int(own.sum()) + len(held), bool)
+    inside[where + own] = False
+    source = np.repeat(c["begins"][held] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    text[inside], text[~inside] = words[source] + len(held), np.arange(len(held))
+    index = FMIndex(text, int(sizes.max()) + 1, top)
+    stats, low, high = matching_statistics(index, words + len(held), c["begins"], sizes, np.where(first < 0, 2, 1))
+    starts = sizes - length + 1
     which = np.repeat(np.arange(n), starts)
     offset = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
-    hit = stats[begins[which] + offset] >= length
+    at = c["begins"][which] + offset
+    hit = stats[at] >= length
+    begin = np.zeros(n, np.int64)
+    begin[held] = where
+    last = np.flatnonzero(hit & (first[which] >= 0))
+    place = index.place[begin[first[which[last]]] + offset[last]]
+    mutual = last[(low[at[last]] <= place) & (place < high[at[last]])]
+    row = np.cumsum(starts) - starts  # where a context's windows begin among all
+    hit[row[first[which[mutual]]] + offset[mutual]] = True
     return which[hit], offset[hit]
 
 

@@ -112,9 +112,12 @@ def test_passage_over_the_edge_of_a_piece(spark):
 def test_index_that_refutes_a_class():
     need = np.zeros(4, anchors.NEED)
     need["h"], need["ctx"], need["back"], need["pair"] = [1, 1, 1, 2], [5, 5, 6, 5], 3, [1, 1, 0, 0]
-    plan = suffix_dedup.plan()
-    assert not anchors._refuted(plan, need, np.array([0, 4, 1, 0]))
-    assert anchors._refuted(plan, need, np.array([0, 3, 1, 0])) and anchors._refuted(substring_dedup.plan(), need, np.array([0, 4, 1, 0]))
+    plan, pairs = suffix_dedup.plan(), anchors._pairs(need)
+    assert [x.tolist() for x in pairs] == [[0], [1]]
+    assert not anchors._refuted(plan, need, pairs, np.array([0, 4, 1, 0]))
+    assert anchors._refuted(plan, need, pairs, np.array([0, 3, 1, 0])) and anchors._refuted(substring_dedup.plan(), need, pairs, np.array([0, 4, 1, 0]))
+    need["back"][1] = 2
+    assert anchors._pairs(need) is None
 
 
 def test_start_over_with_other_hashes(spark, monkeypatch):
@@ -168,13 +171,20 @@ def test_matching_statistics():
     inside[ends] = False
     text[inside], text[ends] = words + n, np.arange(n)
     begins = ends - sizes
-    got = substring_dedup.matching_statistics(substring_dedup.FMIndex(text, 30), text, begins, sizes)
+    got, low, high = substring_dedup.matching_statistics(substring_dedup.FMIndex(text, 30), text, begins, sizes)
     parts = [tuple(text[b : b + s]) for b, s in zip(begins, sizes, strict=True)]
     count = lambda p: sum(q[i : i + len(p)] == p for q in parts for i in range(len(q) - len(p) + 1))
     for b, part in zip(begins, parts, strict=True):
         for i in range(len(part)):
             longest = max((m for m in range(1, len(part) - i + 1) if count(part[i : i + m]) >= 2), default=0)
-            assert got[b + i] == longest
+            assert got[b + i] == longest and (not longest or high[b + i] - low[b + i] == count(part[i : i + longest]))
+
+
+def test_nearest_smaller_values():
+    values = np.random.default_rng(3).integers(0, 5, 300)
+    values[0] = -1
+    want = [max((j for j in range(i) if values[j] < values[i]), default=0) for i in range(300)]
+    assert substring_dedup._smaller_before(values).tolist() == want
 
 
 def test_decontamination(spark):

@@ -44,7 +44,8 @@ GRADE = [(90.0, "A*"), (80.0, "A"), (70.0, "B"), (60.0, "C"), (50.0, "D"), (40.0
 ANSWER_LABEL = [(0.85, "fully_correct"), (0.45, "partially_correct")]
 MATCH_STATUS = [(0.82, "accepted"), (0.65, "review_required")]
 SEARCH_STATUS = [(0.78, "accepted"), (0.62, "review_required")]
-RATING = [(0.85, "excellent"), (0.70, "good"), (0.50, "fair")]
+SCORE_STATUS = [(0.75, "accepted"), (0.4, "review_required")]
+RATING = [(0.85, "Excellent"), (0.70, "Good"), (0.50, "Average")]
 
 
 def grade_band(percent_: Column) -> Column:
@@ -55,6 +56,53 @@ def verdict(share: Column, answered: Column) -> Column:
     return F.when(~answered, "unanswered").otherwise(bands(share, VERDICT, "weak"))
 
 
+def match_status(score: Column) -> Column:
+    return bands(score, MATCH_STATUS, "failed")
+
+
+def search_status(score: Column) -> Column:
+    return bands(score, SEARCH_STATUS, "failed")
+
+
+def score_status(score: Column) -> Column:
+    return bands(score, SCORE_STATUS, "failed")
+
+
+def rating(score: Column, most: Column) -> Column:
+    return bands(F.when(most > 0, score / most).otherwise(0.0), RATING, "Weak")
+
+
+def length_status(original: Column, required: Column, written: Column) -> Column:
+    """Whether an answer's words are within five percent of what was asked for."""
+    low, high = F.bround(required * 0.95), F.bround(required * 1.05)
+    return F.when((original <= 0) | (required <= 0), "Unknown").when(written.between(low, high), "Within +/-5%").when(written < low, "Too Short").otherwise("Too Long")
+
+
+def clamp_int(x: Column, low: int, high: int, default: int) -> Column:
+    """A lenient whole number: what can't be read is the default, parts of one are cut off, and it keeps to its bounds."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.floor(x.try_cast("double")).cast("long"), F.lit(default))))
+
+
+def safe_key(key: Column) -> Column:
+    """A key as a file name: other characters become underscores."""
+    return F.regexp_replace(key, "[^A-Za-z0-9._-]", "_")
+
+
+#: fixed values: names for subjects, and the subject they stand for
+SUBJECT_ALIASES = {
+    "chemistry": "Chemistry 1011", "chem": "Chemistry 1011", "english": "English 1012", "eng": "English 1012", "islamiyat": "Islamiyat 1013", "islamic studies": "Islamiyat 1013",
+    "mathematics": "Mathematics 1014", "math": "Mathematics 1014", "maths": "Mathematics 1014", "pakistan studies": "Pakistan Studies 1015", "pak studies": "Pakistan Studies 1015", "pst": "Pakistan Studies 1015",
+    "physics": "Physics 1016", "phy": "Physics 1016",
+}
+
+
+def subject_of(x: Column) -> Column:
+    """The subject that a name stands for; an unknown name stays; a blank one is null."""
+    key = F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+    known = F.create_map(*[F.lit(z) for pair in SUBJECT_ALIASES.items() for z in pair])
+    return F.coalesce(F.try_element_at(known, key), F.nullif(F.trim(x), F.lit("")))
+
+
 def effective_deadline(base: Column, extension: Column) -> Column:
     """The later of the two; nulls are skipped."""
     return F.greatest(base, extension)
@@ -130,3 +178,33 @@ def rect_overlap(a: Column, b: Column) -> Column:
     both = w * h
     area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
     return ratio(both, area(a) + area(b) - both, 0.0)
+
+
+def utc_time(x: Column) -> Column:
+    """A time of day and year from a text; null if it is none."""
+    return F.try_to_timestamp(x).cast("timestamp_ntz")
+
+
+def scaffold(criteria: Column) -> Column:
+    """Criteria (criterion_text, marks_available) as a marker finds them: nothing awarded, no reason, no confidence."""
+    blank = lambda c: F.struct(c["criterion_text"].alias("criterion_text"), c["marks_available"].alias("marks_available"), F.lit(0.0).alias("marks_awarded"), F.lit(False).alias("awarded"), F.lit("").alias("reasoning"), F.lit(None).cast("double").alias("confidence"))
+    return F.transform(criteria, blank)
+
+
+def total_marks(questions: Column) -> Column:
+    """The marks of all questions (marks_available, excluded) that count; what is no number counts as none."""
+    return F.aggregate(F.filter(questions, lambda q: ~q["excluded"]), F.lit(0.0), lambda a, q: a + F.coalesce(F.nanvl(q["marks_available"], F.lit(0.0)), F.lit(0.0)))
+
+
+#: fixed values: pairs of letters that scans confuse, either way
+CONFUSABLE = ["bk", "ao", "i1", "l1", "0o", "s5", "gq", "uv", "ce", "tf", "aq", "pg", "ji", "f7"]
+
+
+def confusable(bad: Column, good: Column) -> Column:
+    """Whether two words differ by one pair of look-alikes only, or are rn and m."""
+    x, y = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in (bad, good))
+    pairs = F.array(*[F.lit(p) for pair in CONFUSABLE for p in (pair, pair[::-1])])
+    letters = F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: F.concat(a, b))
+    unlike = F.filter(letters, lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
+    one = (F.length(x) == F.length(y)) & (F.size(unlike) == 1) & F.array_contains(pairs, F.coalesce(F.get(unlike, F.lit(0)), F.lit("")))
+    return F.coalesce((x != "") & (y != "") & (one | ((x == "rn") & (y == "m")) | ((x == "m") & (y == "rn"))), F.lit(False))

@@ -18,15 +18,37 @@ def word_estimate(x: Column) -> Column:
 
 
 def middle(values: Column) -> Column:
-    """The middle one of the positive values (the upper of two)."""
+    """The median of the positive values: the middle one, or the rounded mean of two; 0 if there is none."""
     good = F.array_sort(F.filter(values, lambda v: v > 0))
-    return F.get(good, F.floor(F.size(good) / 2).cast("int"))
+    n, at = F.size(good), F.floor(F.size(good) / 2).cast("int")
+    return F.when(n == 0, 0).when(n % 2 == 1, F.get(good, at)).otherwise(F.bround((F.get(good, at - 1) + F.get(good, at)) / 2.0)).cast("int")
+
+
+def passage_words(segment: Column, lines: Column, region: Column, band: Column, text: Column) -> Column:
+    """Words of a passage from six estimates: its prose run, lines, region, band (80 %), characters (90 %), count (75 %).
+
+    A passage that comes out small though its characters tell of many words has 85 % of these at least.
+    """
+    by_length = F.round(F.length(F.trim(text)) / 5.2).cast("int")
+    count = F.size(words(text))
+    part = lambda n, share: F.bround(n * F.lit(share)).cast("int")
+    picked = middle(F.array(segment, lines, region, part(band, 0.80), part(by_length, 0.90), part(count, 0.75)))
+    return F.when((picked < 80) & (by_length >= 100), F.greatest(picked, part(by_length, 0.85))).otherwise(picked)
+
+
+#: fixed values: what examiners write around a scheme, in this order
+FURNITURE = [
+    r"(?i)\b(any\s+)?(one|two|three|four|five|six|1|2|3|4|5|6)\s+from:?", r"(?i)\bworking space\b", r"(?i)\badditional guidance\b",
+    r"(?i)\bmark scheme\b", r"(?i)\b(?:max|maximum)\s+\d+\s+from\b",
+]
 
 
 def scheme_usable(x: Column, least: int = 16) -> Column:
-    """A marking scheme with enough letters and digits left once its page furniture is gone."""
-    bare = F.regexp_replace(F.lower(x), r"page \d+ of \d+|question\s+answer\s+marks|©.*?\d{4}", " ")
-    return F.length(F.regexp_replace(bare, r"[^a-z0-9]", "")) >= least
+    """A marking scheme with enough letters and digits left once examiners' furniture is gone."""
+    bare = x
+    for pattern in FURNITURE:
+        bare = F.regexp_replace(bare, pattern, " ")
+    return F.length(F.regexp_replace(bare, "(?i)[^a-z0-9]", "")) >= least
 
 
 def strip_controls(x: Column) -> Column:
@@ -41,26 +63,57 @@ def name_slug(x: Column, most: int = 20) -> Column:
     return F.substring(F.regexp_replace(plain, r"[^a-z0-9]", ""), 1, most)
 
 
-def common_log(x: Column) -> Column:
-    """log without a base is the common logarithm."""
-    return F.regexp_replace(x, r"(?i)(?<![a-z])log\s*(?:_?\{?10\}?)?\s*(?=[\(a-z0-9])(?!_)", "log10 ")
-
-
 def mcq_layout(x: Column) -> Column:
     """Options A to D in order somewhere in the text."""
     return x.rlike(r"(?s)\bA\b.+\bB\b.+\bC\b.+\bD\b")
 
 
+#: fixed values: lines of papers that carry no content
+LINE_NOISE = r"(?i)\bturn\s+over\b|\bcambridge\b|\bcuc?les\b|\bpage\s+\d+\s+of\s+\d+\b|\b(?:syllabus|published|candidate number|centre number)\b|\b\d{4}/\d{2}\b|\b\d{1,2}/\d{2}/[A-Z]/[A-Z]/\d{2}\b"
+MCQ_NOISE = r"(?i)\bturn\s+over\b|\bcambridge\s+international\b|\bcuc?les\b|\bpage\s+\d+\s+of\s+\d+\b|\b(?:syllabus|mark scheme|published|copyright acknowledgements)\b|\b\d{4}/\d{2}\b|\b\d{1,2}/\d{2}/[A-Z]/[A-Z]/\d{2}\b"
+#: fixed values: what shows that a page holds no questions, in this order
+EXCLUDED = [("read these instructions first", "instructions_page"), ("periodic table of the elements", "periodic_table_page"), ("data sheet", "data_sheet_page"), ("blank page", "blank_page")]
+#: fixed values: subjects that a printed header may name, in this order
+HEADERS = [
+    "additional mathematics", "english language", "pakistan studies", "business studies", "computer science", "environmental management", "art and design", "islamiyat", "islamiat", "chemistry", "biology", "physics",
+    "mathematics", "economics", "accounting", "commerce", "history", "geography", "sociology",
+]
+
+
 def mcq_stem(x: Column) -> Column:
-    """Reads like the stem of a multiple-choice question."""
-    return x.rlike(r"(?i)^\s*(which|what|how|why|when|where|who)\b") | x.rlike(r"\?\s*$") | mcq_layout(x)
+    """Reads like the stem of a multiple-choice question: three words or more with letters, and options, a question or a start."""
+    y = F.trim(F.regexp_replace(x, r"\s+", " "))
+    n = F.size(words(y))
+    told = F.lower(y).rlike("which|what|how|statement|explain|describe")
+    return ~y.rlike(MCQ_NOISE) & (n >= 3) & y.rlike("[A-Za-z]") & (y.rlike(r"(?i)\bA\b.*\bB\b.*\bC\b.*\bD\b") | y.contains("?") | told | (n >= 5) | y.rlike("^[A-Z]"))
+
+
+def page_excluded(lines: Column) -> Column:
+    """Why a page (its lines) holds no questions: a hint in its text, or little more than footers; null if it may."""
+    text = F.lower(F.array_join(lines, "\n"))
+    reason = None
+    for hint, name in EXCLUDED:
+        reason = F.when(text.contains(hint), name) if reason is None else reason.when(text.contains(hint), name)
+    full = F.filter(lines, lambda s: F.trim(s) != "")
+    noisy, letters = F.size(F.filter(full, lambda s: s.rlike(LINE_NOISE))), F.size(F.filter(full, lambda s: s.rlike("[A-Za-z]")))
+    heavy = (F.size(lines) >= 8) & (noisy / F.greatest(F.size(lines), F.lit(1)) >= 0.85) & (letters <= 2)
+    return reason.when(heavy, "footer_heavy_page")
 
 
-def anchor(line: Column) -> Column:
-    """(number, part) at the start of a line: 1(a) ..., 1. ..., (b) ...; null if there is none."""
-    number = F.nullif(F.regexp_extract(line, r"^\s*(\d{1,2})(?:[.)]|\s|\()", 1), F.lit(""))
-    part = F.nullif(F.lower(F.regexp_extract(line, r"^\s*(?:\d{1,2}\s*)?\(([a-zA-Z]{1,4})\)", 1)), F.lit(""))
-    return F.when(number.isNotNull() | part.isNotNull(), F.struct(number.cast("int").alias("number"), part.alias("part")))
+def ocr_noise(text: Column, width: Column, height: Column, least: float = 10.0) -> Column:
+    """Texts of two characters at most, and boxes too small to hold any."""
+    return F.coalesce((F.length(F.trim(text)) <= 2) | (width < least) | (height < least), F.lit(True))
+
+
+def subject_from_header(header: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(header).contains(s), s) for s in HEADERS])
+
+
+def header_conflicts(header: Column, chosen: Column) -> Column:
+    """Whether a printed header names another subject than the chosen one; neither may be part of the other."""
+    bare = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z]+", " "))
+    a, b = bare(subject_from_header(header)), bare(chosen)
+    return F.coalesce((F.trim(chosen) != "") & ~a.contains(b) & ~b.contains(a), F.lit(False))
 
 
 def anchored(text: Column, quoted: Column, least_words: int = 2) -> Column:
@@ -82,14 +135,6 @@ def on_page(page: Column, text: Column, probe: int = 48, short: int = 24) -> Col
     return (t != "") & (p.contains(F.substring(t, 1, probe)) | p.contains(F.substring(t, 1, short)))
 
 
-def footer_heavy(lines: Column, noise: str, least: int = 8, share: float = 0.85, most_alpha: int = 2) -> Column:
-    """A page of at least ``least`` lines that are nearly all noise."""
-    full = F.filter(lines, lambda s: F.trim(s) != "")
-    noisy = F.filter(full, lambda s: s.rlike(noise))
-    alpha = F.filter(full, lambda s: ~s.rlike(noise) & s.rlike("[A-Za-z]{3}"))
-    return (F.size(full) >= least) & (F.size(noisy) >= F.size(full) * share) & (F.size(alpha) <= most_alpha)
-
-
 def in_main_band(y: Column, height: Column, top: float = 0.08, bottom: float = 0.92) -> Column:
     return (y / height).between(top, bottom)
 
@@ -162,9 +207,3 @@ def escalate(is_pdf: Column, confidence: Column, flags: Column, ambiguous: list[
 def repair_accepted(before: Column, after: Column, rivals: Column) -> Column:
     """A repaired reading counts only if its score did not fall and still leads."""
     return (after >= before) & (after >= F.coalesce(F.array_max(rivals), F.lit(0.0)))
-
-
-def math_words(x: Column) -> Column:
-    """Powers and roots spelled out for matching."""
-    plain = F.regexp_replace(fold(x), r"\^\{?(-?\w+)\}?", " to the power $1 ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"sqrt\s*\(?([^()]*)\)?", "square root of $1 "), r"\s+", " "))

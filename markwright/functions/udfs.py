@@ -91,21 +91,6 @@ def repair_json(x: pd.Series) -> pd.Series:
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf(T.BooleanType())
-def visual_confusion(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two words differ by one pair of look-alikes only."""
-    #: fixed values: letters and groups that scans confuse
-    pairs = [("0", "o"), ("1", "l"), ("1", "i"), ("i", "l"), ("5", "s"), ("8", "b"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("u", "v"), ("e", "c")]
-
-    def one(x: str | None, y: str | None) -> bool:
-        if not x or not y or x == y:
-            return False
-        x, y = x.lower(), y.lower()
-        return any(x[:i] + q + x[i + len(p) :] == y for p, q in [*pairs, *((q, p) for p, q in pairs)] for i in range(len(x) - len(p) + 1) if x[i : i + len(p)] == p)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
-
-
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType())])))
 def inline_options(x: pd.Series) -> pd.Series:
     """The options A to D at the end of a question, from the last place where all four follow in order."""
@@ -119,3 +104,15 @@ def inline_options(x: pd.Series) -> pd.Series:
         return []
 
     return x.map(one)
+
+
+@F.pandas_udf(T.DoubleType())
+def plain_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest-matching-blocks ratio of two lines."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.StringType())
+def straight_quotes(x: pd.Series) -> pd.Series:
+    """Typographic quotes and apostrophes as plain ones."""
+    return x.str.translate(str.maketrans("‘’“”", "''\"\""))

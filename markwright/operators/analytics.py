@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markwright.functions.exprs import half_up, percent
+from markwright.functions.exprs import GRADE, bands, half_up, percent
+from markwright.operators.relational import placed
 
 REVIEWED = ["auto_approved", "approved", "overridden"]
 HANDED_IN = ["submitted", "late"]
@@ -41,8 +42,13 @@ def mastery(marks: DataFrame, *by: str) -> DataFrame:
     return sums.select(*by, "topic", percent(F.col("e"), F.col("a"), 0).alias("mastery"), "n_marks")
 
 
-def heatmap(marks: DataFrame, topics: list[str]) -> DataFrame:
-    """Students by topics, null where nothing is available, and a row ``average`` of the rounded cells."""
+def heatmap(marks: DataFrame, topics: list[str] | None = None) -> DataFrame:
+    """Students by topics in their order, null where nothing is available, and a row ``average`` of the rounded cells.
+
+    The topics are the table's own, a column each (t1, t2, ...), unless they are given.
+    """
+    if topics is None:
+        topics = sorted(r[0] for r in marks.select("topic").where("topic IS NOT NULL").distinct().collect())  # as many as there are columns
     cells = marks.groupBy("student", "topic").agg(percent(F.sum("earned"), F.sum("available")).alias("cell"))
     names = [f"t{i + 1}" for i in range(len(topics))]
     wide = cells.groupBy("student").pivot("topic", topics).agg(F.first("cell"))
@@ -68,8 +74,11 @@ def class_pulse(submissions: DataFrame, marks: DataFrame, as_of: Column, days: i
     return seen.join(average, "class_id", "left").join(low, "class_id", "left").select("class_id", "avg_pct", "weakest", "topics")
 
 
-def needs_attention(students: DataFrame, assignments: DataFrame, submissions: DataFrame, as_of: Column, days: int = 7, missed_from: int = 2) -> DataFrame:
-    """Students who missed closed assignments, or else have not handed in for ``days``; missed ones come first."""
+def needs_attention(students: DataFrame, assignments: DataFrame, submissions: DataFrame, as_of: Column, days: int = 7, missed_from: int = 2, most: int | None = None, by: str | None = None) -> DataFrame:
+    """Students who missed closed assignments, or else have not handed in for ``days``.
+
+    ``most``: only so many of each class (``by``), in the order of the students.
+    """
     closed = assignments.where(F.col("deadline_at") <= as_of)
     handed = submissions.where(F.col("status").isin(HANDED_IN))
     expected = closed.agg(F.count("*").alias("expected"))
@@ -78,7 +87,10 @@ def needs_attention(students: DataFrame, assignments: DataFrame, submissions: Da
     rows = students.join(got, "student", "left").join(last, "student", "left").crossJoin(F.broadcast(expected))  # one row
     missed = (F.col("expected") - F.coalesce("got", F.lit(0))).cast("long")
     reason = F.when(missed >= missed_from, F.concat(F.lit("Missed "), missed.cast("string"), F.lit(" assignments"))).when(F.col("last_at").isNull() | (F.col("last_at") < as_of - F.make_dt_interval(F.lit(days))), F.lit(f"No practice in {days}+ days"))
-    return rows.select("student", missed.alias("missed"), reason.alias("reason")).where(F.col("reason").isNotNull())
+    found = rows.select(*([by] if by else []), "student", missed.alias("missed"), reason.alias("reason")).where(F.col("reason").isNotNull())
+    if most is None:
+        return found
+    return found.withColumn("_r", F.row_number().over(Window.partitionBy(*([by] if by else [])).orderBy("student"))).where(F.col("_r") <= most).drop("_r")
 
 
 def predicted_grade(results: DataFrame, boundaries: DataFrame, least_done: int = 4, least_topics: int = 3) -> DataFrame:
@@ -98,7 +110,18 @@ def predicted_grade(results: DataFrame, boundaries: DataFrame, least_done: int =
 
 def review_queue(marks: DataFrame, by: str) -> DataFrame:
     """Place of each mark in its queue: unknown confidence first, then the least certain."""
-    return marks.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.col("confidence").asc_nulls_first(), "mark_id")))
+    bucket = F.coalesce(F.least(F.greatest(F.floor(F.col("confidence") * 1000), F.lit(0)), F.lit(1000)), F.lit(-1)).cast("int")
+    return placed(marks, by, bucket, F.col("confidence").asc_nulls_first(), F.col("mark_id"))
+
+
+def review_counters(marks: DataFrame, by: str, threshold: float) -> DataFrame:
+    """The eight counters of each queue. Unknown confidence is neither below the threshold nor ready here."""
+    waits, c = F.col("status") == "needs_review", F.col("confidence")
+    return marks.groupBy(by).agg(
+        F.count("*").alias("total"), F.count_if(waits).alias("needs_review"), F.count_if(waits & (c < threshold)).alias("below_threshold"), F.count_if(waits & (c >= threshold)).alias("ready_bulk"),
+        F.count_if(F.col("status") == "ocr_failed").alias("ocr_failed"), F.count_if(F.col("status") == "overridden").alias("overridden"),
+        F.count_if(F.col("status").isin("approved", "auto_approved")).alias("approved"), F.count_if("flagged").alias("flagged"),
+    )
 
 
 def latest_attempt(submissions: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,14 +168,15 @@ def strongest_and_weakest(topics: DataFrame, by: str, at: float = 0.6, most: int
 
 
 def report_totals(rows: DataFrame, by: str) -> DataFrame:
-    """Totals without withheld rows, their percent, and how much is withheld."""
+    """Totals without withheld rows, their percent and band, and how much is withheld."""
     held = F.col("withheld")
-    return rows.groupBy(by).agg(
+    totals = rows.groupBy(by).agg(
         F.sum(F.when(~held, F.col("earned")).otherwise(0.0)).alias("earned"),
         F.sum(F.when(~held, F.col("available")).otherwise(0.0)).alias("available"),
         F.count_if(held).alias("n_withheld"),
         percent(F.sum(F.when(~held, F.col("earned")).otherwise(0.0)), F.sum(F.when(~held, F.col("available")).otherwise(0.0)), 0).alias("pct"),
     )
+    return totals.withColumn("band", bands(F.col("pct"), GRADE, "U"))
 
 
 def progress_points(submissions: DataFrame) -> DataFrame:
@@ -170,3 +194,17 @@ def histogram(values: DataFrame, column: str, edges: list[float]) -> DataFrame:
         name = f"{lo:.2f}+" if hi is None else f"{lo:.2f}-{hi:.2f}"
         label = F.when(hit, name) if label is None else label.when(hit, name)
     return values.withColumn("bin", label).where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def most_frequent(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The values that come most often, the first by name of equal ones."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(most)
+
+
+def mean_confidence(confidence: Column) -> Column:
+    """The mean of those that are known, 0 if none is."""
+    return F.coalesce(F.round(F.avg(confidence), 4), F.lit(0.0))
+
+
+def active_students(enrollments: DataFrame, by: str, student: str) -> DataFrame:
+    return enrollments.groupBy(by).agg(F.count_distinct(student).alias("seats"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markwright.functions import pages as pg
 from markwright.functions import text as tx
+from markwright.functions import udfs
 
 
 def dedup_groups(docs: DataFrame) -> DataFrame:
@@ -53,21 +55,50 @@ def question_chunks(pages: DataFrame) -> DataFrame:
     return owned.groupBy("doc", "question").agg(F.min_by("page", "at").alias("page"), F.array_join(F.transform(sorted_lines, lambda x: x["line"]), "\n").alias("chunk"))
 
 
-def validation_flags(rows: DataFrame, question: Column, answer: Column, confidence: Column, threshold: float) -> DataFrame:
-    """Flags in a fixed order, each once, as one text; and whether a person has to look."""
-    q, a = tx.token_set(question), tx.token_set(answer)
-    raw = F.coalesce(question, F.lit(""))
+#: fixed values: when a reading's confidences are low
+LOW = {"ocr": 0.85, "split": 0.90, "classification": 0.80}
+ERRORS = ["missing_question", "missing_answer", "question_answer_overlap"]
+
+
+def _log_bases(x: Column) -> Column:
+    found = [F.regexp_extract_all(x, F.lit(p), 1) for p in (r"(?i)log\s*_\s*([A-Za-z0-9]+)", r"(?i)\blog([A-Za-z0-9])(?=[A-Za-z(])", r"(?i)\blog([0-9]+)\b")]
+    return F.array_distinct(F.transform(F.concat(*found), lambda b: F.lower(b)))
+
+
+def _long_chain(line: Column) -> Column:
+    """A line of equations full of logarithms and without a division: a fraction may have been read as one line."""
+    marks = [r"(?i)(?<![\w.])log\s*\(", r"(?i)(?<![\w.])log\s*_\s*", r"(?i)(?<=\d)log\s*\(", r"(?i)(?<![\w.])ln\s*\("]
+    logs = sum((F.regexp_count(line, F.lit(p)) for p in marks), F.lit(0))
+    return (F.length(F.trim(line)) >= 24) & (F.regexp_count(line, F.lit("=")) >= 2) & (logs >= 3) & ~line.contains("/") & ~F.lower(line).contains("\\frac")
+
+
+def validation_flags(rows: DataFrame) -> DataFrame:
+    """``rows(whole, question, answer, subject, ocr, split, classification)`` with ``flags`` in a fixed order, ``overall`` (the
+    least of the three confidences) and ``needs_review``."""
+    c, whole = F.col, F.coalesce("whole", F.lit(""))
+    q, a = tx.one_line(F.lower("question")), tx.one_line(F.lower("answer"))
+    overlap = (q != "") & (a != "") & ((q == a) | ((F.length(q) >= 20) & a.contains(q)) | ((F.length(a) >= 20) & q.contains(a)))
+    subject = F.lower("subject")
+    math = (subject == "mathematics") | F.concat_ws(" ", whole, "question", "answer").rlike(r"(?i)(log|=|\^|sqrt|sin|cos|tan|integral|fraction|/)")
+    bq, ba = _log_bases(F.coalesce("question", F.lit(""))), _log_bases(F.coalesce("answer", F.lit("")))
+    uneven = (tx.excess_of_pair(whole, "(", ")") > 0) | (tx.excess_of_pair(whole, "[", "]") > 0) | (tx.excess_of_pair(whole, "{", "}") > 0)
+    odd = lambda mark: (F.length(whole) - F.length(F.replace(whole, F.lit(mark), F.lit("")))) % 2 == 1
     flags = F.array_compact(F.array(
-        F.when(F.size(q) == 0, "missing_question"),
-        F.when(F.size(a) == 0, "missing_answer"),
-        F.when(tx.jaccard(q, a) >= 0.85, "question_answer_overlap"),
-        F.when(confidence < threshold, "low_confidence"),
-        F.when((tx.excess_of_pair(raw, "(", ")") > 0) | (tx.excess_of_pair(raw, "[", "]") > 0), "unbalanced_brackets"),
-        F.when(raw.rlike(r"\d[Oo]\d|[A-Za-z]0[A-Za-z]"), "letter_digit_confusion"),
-        F.when((F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))) % 2 == 1, "odd_quotes"),
+        F.when(q == "", "missing_question"), F.when(a == "", "missing_answer"), F.when(overlap, "question_answer_overlap"),
+        *[F.when(c(n) < least, f"low_{n}_confidence") for n, least in LOW.items()],
+        F.when(math & (F.size(bq) > 0) & (F.size(ba) > 0) & ~F.arrays_overlap(bq, ba), "potential_log_base_mismatch"),
+        F.when(math & whole.rlike(r"\blog[0-9A-Za-z]"), "potential_subscript_loss"), F.when(math & whole.rlike(r"\b[a-zA-Z][0-9]\b"), "potential_superscript_loss"),
+        F.when(math & uneven, "potential_equation_structure_loss"),
+        F.when(math & ((whole.contains("0") & whole.contains("O")) | (whole.contains("1") & whole.rlike("[Il]"))), "potential_symbol_ambiguity"),
+        F.when(math & F.exists(F.split(F.coalesce("answer", F.lit("")), "\n"), _long_chain), "potential_fraction_or_chain_ambiguity"),
+        F.when((subject == "chemistry") & whole.rlike(r"\b[A-Z][a-z]?[0O][A-Za-z0-9()]*\b"), "potential_chemistry_formula_ambiguity"),
+        F.when((subject == "physics") & whole.rlike(r"\b\d+\s*(hz|pa|j|v|w|n|c)\b"), "potential_physics_unit_ambiguity"),
+        F.when((subject == "biology") & whole.rlike(r"\b(dna|rna|atp)\b"), "potential_biology_term_casing"),
+        F.when((subject == "english") & (odd('"') | odd("'")), "potential_english_punctuation_loss"),
     ))
-    review = F.exists(flags, lambda f: f.isin("missing_question", "missing_answer", "question_answer_overlap")) | (F.size(flags) >= 2)
-    return rows.withColumn("flags", F.array_join(flags, ",")).withColumn("needs_review", review)
+    low = (c("ocr") < LOW["ocr"]) | (c("split") < LOW["split"]) | (c("classification") < LOW["classification"])
+    out = rows.withColumn("flags", flags).withColumn("overall", F.least("ocr", "split", "classification"))
+    return out.withColumn("needs_review", low | F.exists("flags", lambda f: f.isin(ERRORS) | f.startswith("potential_")))
 
 
 def assemble_lines(lines: DataFrame, by: str, order: str, opens: Column) -> DataFrame:
@@ -81,28 +112,76 @@ def fold_fragments(fragments: DataFrame) -> DataFrame:
     """Handwritten pieces of one answer in page order; confidence is the least certain piece's."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: F.trim(x["text"])), "\n")
     out = fragments.groupBy("question", "part").agg(text.alias("text"), F.min("confidence").alias("confidence"), F.bool_and("legible").alias("legible"))
-    flag = F.when(F.trim("text") == "", "blank").when(~F.col("legible") | (F.col("confidence") < 0.3), "unreadable").when(F.col("confidence") < 0.55, "low_confidence").otherwise("ok")
+    flag = F.when(~F.col("text").rlike(r"\S"), "blank").when(~F.col("legible") | (F.col("confidence") < 0.3), "unreadable").when(F.col("confidence") < 0.55, "low_confidence").otherwise("ok")
     return out.withColumn("flag", flag)
 
 
-def fragment_question(fragments: DataFrame, questions: DataFrame) -> DataFrame:
+def fragment_question(fragments: DataFrame, questions: DataFrame, by: str | None = None) -> DataFrame:
     """A fragment's number against question numbers: equal, or the number followed by letters only (3a, not 10)."""
     f, q = F.lower(F.trim("fragment_number")), F.lower(F.trim("question_number"))
     rest = F.substr(f, F.length(q) + 1)
     keyed = fragments.withColumn("_n", F.regexp_extract(f, r"^(\d+)", 1))
-    joined = keyed.join(questions.withColumn("_n", F.regexp_extract(q, r"^(\d+)", 1)), "_n")  # both begin with the same number
+    # a fragment of number 10 may start with question 1's number too, but never with its whole number
+    joined = keyed.join(questions.withColumn("_n", F.regexp_extract(q, r"^(\d+)", 1)), ["_n", *([by] if by else [])])
     return joined.where(f.startswith(q) & ((rest == "") | rest.rlike("^[a-z]+$"))).drop("_n")
 
 
-def canonical_topic(raw: DataFrame, topics: DataFrame) -> DataFrame:
-    """``raw(id, topic)`` to the listed topics ``(pos, name)``, a short list: equal first, else containing either way."""
-    a, b = tx.normalize(F.col("topic")), tx.normalize(F.col("name"))
-    joined = raw.join(F.broadcast(topics), (a == b) | a.contains(b) | b.contains(a))
-    order = Window.partitionBy("id").orderBy(F.when(a == b, 0).otherwise(1), "pos")
-    return joined.withColumn("r", F.row_number().over(order)).where("r = 1").select("id", "name")
+def canonical_topic(raw: DataFrame, topics: list[str]) -> DataFrame:
+    """``raw(id, topic)`` to the listed topics: an equal one first, else the first that contains the name or is within it."""
+    x = tx.normalize(F.col("topic"))
+    names = [tx.normalize(F.lit(t)) for t in topics]
+    equal = [F.when(x == n, t) for n, t in zip(names, topics, strict=True)]
+    near = [F.when(x.contains(n) | n.contains(x), t) for n, t in zip(names, topics, strict=True)]
+    return raw.select("id", F.coalesce(*equal, *near).alias("name")).where(F.col("name").isNotNull())
+
+
+#: fixed values: what makes a difference between readings one of mathematics
+MATH_MARKS = r"log|[\^_/=+-]"
 
 
-def disagreements(left: DataFrame, right: DataFrame, similarity: Column, at: float = 0.995) -> DataFrame:
-    """Lines of two readings, by page and line, that differ."""
+def disagreements(left: DataFrame, right: DataFrame, at: float = 0.995) -> DataFrame:
+    """Lines of two readings (page, line, text) that differ: alike by less than ``at``, or different in mathematics."""
     l, r = left.withColumnRenamed("text", "left_text"), right.withColumnRenamed("text", "right_text")  # noqa: E741
-    return l.join(r, ["page", "line"], "full").withColumn("similarity", similarity).where(F.coalesce("similarity", F.lit(0.0)) < at)
+    a, b = tx.one_line(F.lower("left_text")), tx.one_line(F.lower("right_text"))
+    both = l.join(r, ["page", "line"]).where((a != "") & (b != "") & (a != b))
+    rows = both.withColumn("similarity", udfs.plain_ratio(a, b)).withColumn("math", F.col("left_text").rlike(MATH_MARKS) | F.col("right_text").rlike(MATH_MARKS))
+    return rows.where(F.col("math") | (F.col("similarity") < at))
+
+
+def rebuilt(lines: DataFrame, page: str, line: str) -> DataFrame:
+    """Pages' texts from their lines, in order."""
+    return lines.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line, "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def anchored_lines(lines: DataFrame, by: str, at: str, text: str) -> DataFrame:
+    """Lines with the question and part that they open, and the marks they name.
+
+    1(a) rest, 1. rest or A1 rest open a question, (b) rest a part of the last one; an anchor needs a rest. Other lines
+    belong to the last question (``number``), and ``anchored`` is false.
+    """
+    x = F.trim(text)
+    sub, only = r"^\s*(\d{1,3})\s*\(([A-Za-zivxIVX]{1,6})\)\s*(.*)$", r"^\s*(\d{1,3})\s*[).:-]?\s*(.*)$"
+    section, part = r"^\s*[A-Da-d]\s*(\d{1,3})\s*[).:-]?\s*(.*)$", r"^\s*\(([A-Za-zivxIVX]{1,6})\)\s*(.*)$"
+    fits = lambda pattern, rest: x.rlike(pattern) & (F.trim(F.regexp_extract(x, pattern, rest)) != "")
+    number = F.when(fits(sub, 3), F.regexp_extract(x, sub, 1)).when(fits(only, 2), F.regexp_extract(x, only, 1)).when(fits(section, 2), F.regexp_extract(x, section, 1))
+    label = F.when(fits(sub, 3), F.regexp_extract(x, sub, 2)).when(number.isNull() & fits(part, 2), F.regexp_extract(x, part, 1))
+    w = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumns({"_own": number.try_cast("int").cast("string"), "_sub": F.when(label.isNotNull(), F.concat(F.lit("("), F.lower(label), F.lit(")")))})
+    rows = rows.withColumn("number", F.last("_own", ignorenulls=True).over(w))
+    opens = F.col("_own").isNotNull() | (F.col("_sub").isNotNull() & F.col("number").isNotNull())
+    rows = rows.withColumn("anchored", opens).withColumn("sub", F.when(opens, F.col("_sub"))).withColumn("marks", tx.marks_in(F.col(text)))
+    return rows.drop("_own", "_sub")
+
+
+def paper_items(lines: DataFrame, by: str, at: str, page: str, text: str) -> DataFrame:
+    """A paper's items: a line that opens a question starts one, those that follow are appended, noise is left out.
+
+    An item has its first page and the largest of the marks that its lines name; marks go from its text.
+    """
+    kept = lines.where(~F.col(text).rlike(pg.LINE_NOISE))
+    own = F.regexp_extract(text, r"^\s*\d{1,3}\s*[).:-]?\s*(\S.*)$", 1)
+    w = Window.partitionBy(by).orderBy(at)
+    numbered = kept.withColumn("item", F.sum(F.when(own != "", 1).otherwise(0)).over(w)).where("item > 0")
+    bare = F.trim(F.regexp_replace(F.when(own != "", own).otherwise(F.col(text)), r"\[\d{1,3}\]", ""))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), bare.alias("t")))), lambda x: x["t"]), " ")
+    return numbered.groupBy(by, "item").agg(texts.alias("text"), F.min(page).alias("page"), F.max(tx.marks_in(F.col(text))).alias("marks"))

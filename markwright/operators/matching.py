@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +13,121 @@ from markwright.functions import text as tx
 from markwright.functions.exprs import ANSWER_LABEL, bands, clamp
 
 
-def token_pairs(queries: DataFrame, records: DataFrame, id_q: str, id_r: str, text: str = "text") -> DataFrame:
-    """Pairs that share a token, with the sizes: an equi-join on tokens, whose pair counts combine before the shuffle."""
-    q = queries.select(F.col(id_q).alias("q"), tx.token_set(F.col(text)).alias("t")).select("q", F.size("t").alias("n_q"), F.explode("t").alias("token"))
-    r = records.select(F.col(id_r).alias("r"), tx.token_set(F.col(text)).alias("t")).select("r", F.size("t").alias("n_r"), F.explode("t").alias("token"))
-    return q.join(r, "token").groupBy("q", "r", "n_q", "n_r").agg(F.count("*").alias("shared"))
+INDEX_TOKENS = 2_000_000  # postings of one broadcast block of items
+
+
+class TokenIndex:
+    """Items by token: for each token the items that hold it."""
+
+    def __init__(self, rows: list[tuple]):
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.sizes = np.array([len(r[1]) for r in rows], np.int64)
+        tokens: dict[str, list[int]] = {}
+        for k, (_, held) in enumerate(rows):
+            for t in held:
+                tokens.setdefault(t, []).append(k)
+        self.postings = {t: np.array(v, np.int32) for t, v in tokens.items()}
 
+    def shared(self, tokens: list[str]) -> np.ndarray:
+        """How many of the tokens each item holds."""
+        found = [p for p in map(self.postings.get, tokens) if p is not None]
+        return np.bincount(np.concatenate(found), minlength=len(self.ids)) if found else np.zeros(len(self.ids), np.int64)
 
-def best_jaccard(pairs: DataFrame) -> DataFrame:
-    scored = pairs.withColumn("score", F.round(F.col("shared") / (F.col("n_q") + F.col("n_r") - F.col("shared")), 4))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where("place = 1")
+
+def _indexes(items: DataFrame) -> list:
+    """Broadcast indexes over ``items(id, t)``, in blocks of some ``INDEX_TOKENS`` postings by a measured total."""
+    spark = items.sparkSession
+    total = items.agg(F.sum(F.size("t"))).first()[0] or 0
+    blocks = 1 + 2 * int(total // INDEX_TOKENS)
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    return [spark.sparkContext.broadcast(TokenIndex(sorted((r["id"], r["t"]) for r in items.where(part == k).collect()))) for k in range(blocks)]
+
+
+def ranked_items(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, k: int, by: str, larger_id: bool = False, text: str = "text") -> DataFrame:
+    """(q, r, n_q, n_r, shared): for each document the ``k`` items that share most with it, by ``overlap`` (the share of the
+    document's tokens) or ``jaccard`` (rounded to four places), ties to the smaller or larger id.
+
+    ``items`` is the stated side (a question bank): its index is broadcast in blocks, documents pass it where they are,
+    so that frequent tokens make no pairs to shuffle.
+    """
+    asked = docs.select(F.col(id_q).alias("q"), tx.token_set(F.col(text)).alias("t"))
+    schema = "q long, r long, n_q int, n_r int, shared int"
+    out = None
+    for shared in _indexes(items.select(F.col(id_r).cast("long").alias("id"), tx.token_set(F.col(text)).alias("t"))):
+        found = asked.select(F.col("q").cast("long").alias("q"), "t").mapInArrow(_rank_task(shared, k, by, larger_id), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _rank_task(shared, k: int, by: str, larger_id: bool):
+    def run(batches):
+        index = shared.value
+        ties = -index.ids if larger_id else index.ids
+        for batch in batches:
+            rows: list[tuple] = []
+            for q, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                common = index.shared(tokens)
+                some = np.flatnonzero(common)
+                score = common[some] / (len(tokens) if by == "overlap" else len(tokens) + index.sizes[some] - common[some])
+                if by == "jaccard":
+                    score = np.floor(score * 10_000 + 0.5) / 10_000
+                for i in some[np.lexsort((ties[some], -score))[:k]].tolist():
+                    rows.append((q, int(index.ids[i]), len(tokens), int(index.sizes[i]), int(common[i])))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["q", "r", "n_q", "n_r", "shared"])
+
+    return run
+
+
+def ranked_docs(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, k: int, text: str = "text") -> DataFrame:
+    """(q, r, score): for each item the ``k`` documents of highest Jaccard (four places), ties to the smaller id.
+
+    Each task keeps the best ``k`` of what it reads; the rest is a merge of some k rows for each item and task.
+    """
+    asked = docs.select(F.col(id_r).cast("long").alias("r"), tx.token_set(F.col(text)).alias("t"))
+    out = None
+    for shared in _indexes(items.select(F.col(id_q).cast("long").alias("id"), tx.token_set(F.col(text)).alias("t"))):
+        found = asked.mapInArrow(_docs_task(shared, k), "q long, r long, score double")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("p", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("p") <= k).drop("p")
+
+
+def _docs_task(shared, k: int):
+    def run(batches):
+        index = shared.value
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # item, document, score
+        for batch in batches:
+            parts = [best]
+            for r, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                common = index.shared(tokens)
+                some = np.flatnonzero(common)
+                score = np.floor(common[some] / (len(tokens) + index.sizes[some] - common[some]) * 10_000 + 0.5) / 10_000
+                parts.append([some, np.full(len(some), r), score])
+                if len(parts) > 500:
+                    best = _best(parts, k)
+                    parts = [best]
+            best = _best(parts, k)
+        yield pa.RecordBatch.from_arrays([pa.array(index.ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["q", "r", "score"])
+
+    return run
+
+
+def _best(parts: list, k: int) -> list:
+    item, doc, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((doc, -score, item))
+    item, doc, score = item[order], doc[order], score[order]
+    new = np.ones(len(item), bool)
+    new[1:] = item[1:] != item[:-1]
+    at = np.flatnonzero(new)
+    keep = np.arange(len(item)) - np.repeat(at, np.diff(np.append(at, len(item)))) < k
+    return [item[keep], doc[keep], score[keep]]
+
+
+def best_jaccard(docs: DataFrame, items: DataFrame, id_q: str, id_r: str) -> DataFrame:
+    """(q, r, score): each document's item of highest Jaccard, the smaller id of equal ones."""
+    pairs = ranked_items(docs, items, id_q, id_r, 1, "jaccard")
+    scored = pairs.select("q", "r", F.round(F.col("shared") / (F.col("n_q") + F.col("n_r") - F.col("shared")), 4).alias("score"))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where("place = 1").drop("place")
 
 
 def match_score(overlap: Column, sequence: Column, number_bonus: Column) -> Column:
@@ -40,25 +149,87 @@ def two_stage(pairs: DataFrame, shortlist: int = 10, keep: int = 4) -> DataFrame
 
 
 def hash_embedding(rows: DataFrame, id_: str, text: str = "text", slots: int = 384) -> DataFrame:
-    """Sparse rows (id, slot, value): each token adds a signed one to a hashed slot; values are scaled to length 1."""
-    each = rows.select(F.col(id_), F.explode(tx.tokens(F.col(text))).alias("token")).withColumn("h", F.sha2("token", 256))
-    slot = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % slots
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    raw = each.groupBy(id_, slot.cast("int").alias("slot")).agg(F.sum(sign).alias("raw")).where("raw <> 0")
-    norm = F.sqrt(F.sum((F.col("raw") * F.col("raw")).cast("double")).over(Window.partitionBy(id_)))
-    return raw.select(id_, "slot", F.round(F.col("raw") / norm, 6).alias("value"))
+    """Sparse rows (id, slot, value): each token adds a signed one to a hashed slot; values are scaled to length 1.
+
+    Tokens are counted and hashed where their text is read, each distinct one of a task once; nothing is shuffled.
+    """
+
+    def run(batches):
+        known: dict[str, tuple[int, int]] = {}
 
+        def place(token: str) -> tuple[int, int]:
+            if token not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                h = hashlib.sha256(token.encode()).digest()
+                known[token] = int.from_bytes(h[:4]) % slots, 1 - 2 * (h[4] % 2)
+            return known[token]
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        for batch in batches:
+            ids, columns, values = [], [], []
+            for i, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = np.zeros(slots, np.int64)
+                for token in tokens:
+                    slot, sign = place(token)
+                    raw[slot] += sign
+                some = np.flatnonzero(raw)
+                norm = np.sqrt(float((raw * raw).sum()))
+                ids += [i] * len(some)
+                columns += some.tolist()
+                values += (raw[some] / norm).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(columns, pa.int32()), pa.array(values, pa.float64())], names=["id", "slot", "value"])
 
+    kind = rows.schema[id_].dataType.simpleString()
+    found = rows.select(F.col(id_), tx.tokens(F.col(text)).alias("tokens")).mapInArrow(run, f"id {kind}, slot int, value double")
+    return found.select(F.col("id").alias(id_), "slot", F.round("value", 6).alias("value"))
 
-def top_k(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
-    """``(q, qv)`` against ``(r, rv)``: the ``k`` largest (cosine + 1) / 2 for each query. ``queries`` is a stated block."""
-    scored = records.crossJoin(F.broadcast(queries)).where("q <> r").withColumn("score", F.round(clamp((dot(F.col("qv"), F.col("rv")) + 1) / 2), 4))
+
+def top_k(queries: DataFrame, records: DataFrame, k: int, block: int = 2048, slice_rows: int = 16_384) -> DataFrame:
+    """``(q, qv)`` against ``(r, rv)``: the ``k`` largest (cosine + 1) / 2 for each query, its own row left out.
+
+    Queries go in blocks, records in slices; each pair of both is one task's matrix product, of which ``k`` rows for each
+    query stay. Vectors are unit vectors of one length.
+    """
+    blocks, slices = 1 + queries.count() // block, 1 + records.count() // slice_rows
+    left = records.withColumn("s", F.pmod(F.xxhash64("r"), F.lit(slices)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if l.num_rows and r.num_rows:
+            ids, asked = l.column("r").to_numpy(), r.column("q").to_numpy()
+            score = np.floor(np.clip((matrix(r, "qv") @ matrix(l, "rv").T + 1) / 2, 0, 1) * 10_000 + 0.5) / 10_000
+            score[asked[:, None] == ids[None, :]] = -1
+            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+            value = np.take_along_axis(score, order, axis=1)
+            keep = value >= 0
+            out = [np.broadcast_to(asked[:, None], order.shape)[keep], ids[order][keep], value[keep]]
+        return pa.table({"q": pa.array(out[0], pa.int64()), "r": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    scored = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, "q long, r long, score double")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("place") <= k).select("q", "r", "score", "place")
 
 
+def exact_hits(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, words: int = 6, text: str = "text") -> DataFrame:
+    """(q, r): documents that hold an item's whole normalised text, at word edges.
+
+    Such a document holds the item's first words, so candidates come from an equi-join on shingles of that many words;
+    the whole texts decide.
+    """
+    tokens = tx.tokens(F.col(text))
+    heads = items.select(F.col(id_q).alias("q"), tx.normalize(F.col(text)).alias("whole"), tokens.alias("t")).where("size(t) > 0")
+    heads = heads.select("q", "whole", F.least(F.size("t"), F.lit(words)).alias("n"), F.array_join(F.slice("t", 1, words), " ").alias("head"))
+    lengths = [r["n"] for r in heads.select("n").distinct().collect()]  # ``words`` rows at most
+    cut = docs.select(F.col(id_r).alias("r"), tokens.alias("w"))
+    none = F.array().cast("array<string>")
+    shingles = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(none)
+    grams = cut.select("r", F.explode(F.array_distinct(F.concat(none, *[shingles(n) for n in lengths]))).alias("head"))
+    pairs = grams.join(heads, "head").select("q", "r", "whole").distinct()
+    bodies = docs.select(F.col(id_r).alias("r"), F.concat(F.lit(" "), tx.normalize(F.col(text)), F.lit(" ")).alias("body"))
+    return pairs.join(bodies, "r").where(F.col("body").contains(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")))).select("q", "r")
+
+
 def hybrid_search(semantic: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """All exact hits, verified; semantic ones fill up to ``k`` in the order of their score."""
     hits = exact.select("q", "r", F.lit(True).alias("verified"), F.lit(1.0).alias("score"))
@@ -90,5 +261,74 @@ def point_coverage(answers: DataFrame, at: float, or_shared: int | None, most_po
     return out.withColumn("label", bands(F.col("score"), ANSWER_LABEL, "weak"))
 
 
+def evaluate(answers: DataFrame) -> DataFrame:
+    """``answers(id, answer, scheme)`` marked by rule: n_points, score, percent, label, chosen and right option, missing, feedback.
+
+    Where the scheme names an option, the answer's option decides. Otherwise the share of expected points counts that
+    the answer covers (40 percent of a point's words, or two of them).
+    """
+    said, right, chosen = tx.weighty(tx.bare_answer(F.col("answer"))), tx.scheme_option(F.col("scheme")), tx.student_option(F.col("answer"))
+    points = tx.expected_points(F.col("scheme"))
+
+    def covered(p: Column) -> Column:
+        wanted = tx.weighty(p)
+        shared = F.size(F.array_intersect(wanted, said))
+        return (shared >= 2) | (F.when(F.size(wanted) == 0, 0.0).otherwise(shared / F.size(wanted)) >= 0.4)
+
+    rows = answers.withColumns({"right_option": right, "option": chosen, "_points": points, "_missing": F.filter(points, lambda p: ~covered(p))})
+    mcq, n = F.col("right_option").isNotNull(), F.size("_points")
+    share = F.when(n == 0, 0.0).otherwise((n - F.size("_missing")) / n)
+    score = F.when(mcq, F.when(F.col("option").eqNullSafe(F.col("right_option")), 1.0).otherwise(0.0)).otherwise(share)
+    missed = F.when(mcq, F.when(score == 1.0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Select option "), F.col("right_option"), F.lit("."))))).otherwise(F.col("_missing"))
+    rows = rows.withColumns({"score": F.round(score, 4), "label": bands(score, ANSWER_LABEL, "weak"), "missing": missed, "n_points": F.when(mcq, F.lit(1)).otherwise(n)})
+    rows = rows.withColumn("percent", F.round(F.col("score") * 100, 2)).withColumn("option", F.when(mcq, F.col("option")))
+    return rows.drop("_points", "_missing")
+
+
+def first_source(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
+    """Rows of the primary source unless their status is failed; else the fallback's; if both fail, the fallback's row with
+    the higher confidence of the two."""
+    second = fallback.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in fallback.columns if c != key])
+    both = primary.join(second, key, "left")
+    other = (F.col("status") == "failed") & F.col("_status").isNotNull()
+    merged = {c: F.when(other, F.col(f"_{c}")).otherwise(F.col(c)) for c in primary.columns if c not in (key, "confidence")}
+    confidence = F.when(other & (F.col("_status") == "failed"), F.greatest("confidence", "_confidence")).when(other, F.col("_confidence")).otherwise(F.col("confidence"))
+    return both.select(key, *[c.alias(n) for n, c in merged.items()], confidence.alias("confidence"), other.alias("fallback_used"))
+
+
 def auto_accept(confidence: Column, warnings: Column, match: Column, margin: Column) -> Column:
     return (confidence >= 0.92) & (F.size(warnings) == 0) & (match >= 0.85) & (margin >= 0.05)
+
+
+def given_filters(rows: DataFrame, filters: dict, clean: dict | None = None) -> DataFrame:
+    """Rows by those filters that have a value, without regard to case; lists allow any of theirs.
+
+    None, and texts that stand for nothing, filter nothing. ``clean``: what is done to a column's values first.
+    """
+    nothing = {"", "string", "none", "null", "undefined", "n/a", "na"}
+    for column, wanted in filters.items():
+        every = [w for w in (wanted if isinstance(wanted, list) else [wanted]) if w is not None and str(w).strip().lower() not in nothing]
+        if every:
+            change = (clean or {}).get(column, lambda c: c)
+            hits = [F.lower(F.col(column).cast("string")) == F.lower(change(F.lit(str(w)))) for w in every]
+            rows = rows.where(F.exists(F.array(*hits), lambda h: h))
+    return rows
+
+
+def _recent(hits: DataFrame, as_of_year: int, years: int) -> DataFrame:
+    """Hits that are questions, of the last calendar years."""
+    return hits.where(F.col("number").isNotNull() & (F.coalesce("year", F.lit(0)) >= as_of_year - years + 1))
+
+
+def occurrences(hits: DataFrame, keys: list[str], as_of_year: int, years: int) -> DataFrame:
+    """Where each query's topic was asked: its verified hits if it has any, else all; each question once."""
+    some = hits.groupBy("q").agg(F.bool_or("verified").alias("_some"))
+    kept = hits.join(some, "q").where(F.col("verified") | ~F.col("_some")).drop("_some")
+    return _recent(kept, as_of_year, years).dropDuplicates(["q", *keys])
+
+
+def examples(hits: DataFrame, keys: list[str], as_of_year: int, years: int, most: int) -> DataFrame:
+    """The first questions of each query, each once: verified ones first, then by score."""
+    order = [F.desc("verified"), F.desc("score"), "hit"]
+    once = _recent(hits, as_of_year, years).withColumn("_u", F.row_number().over(Window.partitionBy("q", *keys).orderBy(*order))).where("_u = 1")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("place") <= most).drop("_u")

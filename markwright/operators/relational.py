@@ -46,13 +46,30 @@ def seeded_order(id_: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", id_.cast("string"), F.lit(str(seed))))
 
 
+def placed(rows: DataFrame, by: str, bucket: Column, *order: Column | str) -> DataFrame:
+    """``rows`` with ``place``: the rank within ``by``, in the order of ``bucket`` (a whole number) and then of ``order``.
+
+    Ranks are worked out within buckets, to which the sizes of those before are added, so that a group of any size is
+    many tasks' work. The table of buckets is small: one row for each group and bucket.
+    """
+    known = rows.withColumn("_b", bucket)
+    sizes = known.groupBy(F.col(by).alias("_g"), F.col("_b").alias("_k")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order))
+    ranked = known.withColumn("_r", inner).join(sizes.withColumn("_before", before), F.col(by).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_k")))
+    return ranked.withColumn("place", (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_g", "_k", "_n", "_before", "_r")
+
+
 def seeded_sample(rows: DataFrame, id_: str, stratum: str, rate: float, seed: int) -> DataFrame:
-    """From each stratum max(1, ceil(n * rate)) rows without replacement; the rate is kept between 0.01 and 1."""
+    """From each stratum max(1, ceil(n * rate)) rows without replacement; the rate is kept between 0.01 and 1.
+
+    Rows are ranked by a hash of their id, within buckets of its first three digits.
+    """
     rate = min(1.0, max(0.01, rate))
-    sizes = rows.groupBy(stratum).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(rate))).cast("long").alias("quota"))
-    order = Window.partitionBy(stratum).orderBy(seeded_order(F.col(id_), seed), id_)
-    ranked = rows.withColumn("pick", F.row_number().over(order))
-    return ranked.join(F.broadcast(sizes), stratum).where(F.col("pick") <= F.col("quota")).drop("quota")
+    sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(rate))).cast("long").alias("_quota"))
+    h = seeded_order(F.col(id_), seed)
+    ranked = placed(rows, stratum, F.conv(F.substring(h, 1, 3), 16, 10).cast("int"), h, F.col(id_))
+    return ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("place") <= F.col("_quota")).withColumnRenamed("place", "pick").drop("_s", "_quota")
 
 
 def renumber(rows: DataFrame, groups: list[str], order: list[Column], id_: str) -> DataFrame:
@@ -64,11 +81,11 @@ def renumber(rows: DataFrame, groups: list[str], order: list[Column], id_: str)
 
 
 def top_two_margin(scored: DataFrame, by: str, score: str) -> DataFrame:
-    """Best score and its lead over the second; the lead is 1 if there is no second."""
-    order = Window.partitionBy(by).orderBy(F.desc(score))
+    """Best score and its lead over the second; the lead is 1 if there is no second, and 0 if there is no score at all."""
+    order = Window.partitionBy(by).orderBy(F.desc_nulls_last(score))
     ranked = scored.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     first, second = F.max(F.when(F.col("_r") == 1, F.col(score))), F.max(F.when(F.col("_r") == 2, F.col(score)))
-    return ranked.groupBy(by).agg(first.alias("best"), F.when(second.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), first - second)).alias("margin"))
+    return ranked.groupBy(by).agg(first.alias("best"), F.when(first.isNull(), 0.0).when(second.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), first - second)).alias("margin"))
 
 
 def pair_once(questions: DataFrame, entries: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -77,6 +94,83 @@ def pair_once(questions: DataFrame, entries: DataFrame, key: list[str], order: s
     return nth(questions).join(nth(entries).drop(order), [*key, "_n"], "full")
 
 
+def pair_with_fallback(questions: DataFrame, entries: DataFrame, paper: str) -> DataFrame:
+    """``questions(paper, number, sub, pos)`` with ``entries(paper, number, sub, pos)``, each entry used once.
+
+    First the n-th question of a key with its n-th entry (``exact_key``). A question without a part that is left over takes
+    the only entry left of its number, if it is the only such question (``same_question_unique_sub_safe``). Several entries
+    left over are an issue (``ambiguous``). The result holds every row of both sides once: q_pos, e_pos, method, ambiguous.
+    """
+    nth = lambda d, name: d.select(paper, "number", "sub", F.col("pos").alias(name), F.row_number().over(Window.partitionBy(paper, "number", "sub").orderBy("pos")).alias("_n"))
+    exact = nth(questions, "q_pos").join(nth(entries, "e_pos"), [paper, "number", "sub", "_n"], "full").drop("_n")
+    whole = exact.where("q_pos IS NOT NULL AND e_pos IS NOT NULL").withColumn("method", F.lit("exact_key")).withColumn("ambiguous", F.lit(False))
+    left = exact.where("e_pos IS NULL").withColumn("turn", F.when(F.col("sub") == "", F.row_number().over(Window.partitionBy(paper, "number").orderBy(F.col("sub") != "", "q_pos"))))
+    right = exact.where("q_pos IS NULL").select(paper, "number", F.col("sub").alias("e_sub"), "e_pos")
+    rest = right.groupBy(paper, "number").agg(F.count("*").alias("n"), F.min("e_pos").alias("only"))
+    tried = left.drop("e_pos").join(rest, [paper, "number"], "left")
+    safe = (F.col("turn") == 1) & (F.col("n") == 1)
+    tried = tried.withColumn("e_pos", F.when(safe, F.col("only"))).withColumn("method", F.when(safe, "same_question_unique_sub_safe")).withColumn("ambiguous", F.coalesce(F.col("n") > 1, F.lit(False)))
+    used = tried.where("e_pos IS NOT NULL").select(paper, "number", "e_pos")
+    unused = right.join(used, [paper, "number", "e_pos"], "left_anti").select(paper, "number", F.col("e_sub").alias("sub"), F.lit(None).cast("long").alias("q_pos"), "e_pos", F.lit(None).cast("string").alias("method"), F.lit(False).alias("ambiguous"))
+    columns = [paper, "number", "sub", "q_pos", "e_pos", "method", "ambiguous"]
+    return whole.select(*columns).unionByName(tried.select(*columns)).unionByName(unused.select(*columns))
+
+
+#: counts of a paper that speak against its structure, and the reason that each gives
+STRUCTURE = {
+    "invalid_qp": "invalid_qp_ids_detected", "invalid_ms": "invalid_ms_ids_detected", "duplicate_qp": "duplicate_qp_ids_detected", "duplicate_ms": "duplicate_ms_ids_detected",
+    "conflicts": "parse_conflicts_detected", "issues": "pairing_issues_detected",
+}
+
+
+def pair_status(papers: DataFrame, confidence: float = 0.75, coverage: float = 0.80) -> DataFrame:
+    """``papers`` with status and its reasons in alphabetical order.
+
+    Columns: n_qp, n_ms, matched, qp_confidence, ms_confidence, mcq, missing_qp, missing_ms and those of ``STRUCTURE``.
+    """
+    c, zero = F.col, F.lit(0)
+    balanced = c("matched") / F.greatest(c("n_qp"), c("n_ms"), F.lit(1))
+    hard = F.array_compact(F.array(F.when(c("n_qp") == 0, "no_qp_items"), F.when(c("n_ms") == 0, "no_ms_items"), F.when(c("matched") == 0, "no_matches")))
+    soft = F.array_compact(F.array(
+        F.when(c("qp_confidence") < confidence, "low_qp_confidence"), F.when(c("ms_confidence") < confidence, "low_ms_confidence"), F.when(balanced < coverage, "low_match_coverage"),
+        *[F.when(c(n) > zero, reason) for n, reason in STRUCTURE.items()],
+        F.when(c("mcq") & (c("missing_ms") > zero), "missing_expected_ms_questions"), F.when(c("mcq") & (c("missing_qp") > zero), "missing_expected_qp_questions"),
+    ))
+    failed = F.size(hard) > 0
+    status = F.when(failed, "failed").when(F.size(soft) > 0, "review_required").otherwise("accepted")
+    return papers.withColumn("reasons", F.array_sort(F.when(failed, hard).otherwise(soft))).withColumn("status", status).withColumn("coverage", F.when(failed, 0.0).otherwise(F.round(balanced, 4)))
+
+
+def repair_triggers(papers: DataFrame) -> Column:
+    """Why a paper is worth a repair, in alphabetical order; other reasons for multiple choice than for structured papers."""
+    c = F.col
+    both = {"duplicate_qp": "duplicate_qp_ids", "duplicate_ms": "duplicate_ms_ids", "conflicts": "parser_conflicts", "issues": "pairing_issues", "unmatched_qp": "unmatched_qp", "unmatched_ms": "unmatched_ms"}
+    mcq = {"missing_qp": "missing_qp_questions", "missing_ms": "missing_ms_questions"}
+    structured = {"invalid_qp": "invalid_qp_ids", "invalid_ms": "invalid_ms_ids"}
+    low = ~c("mcq") & (c("matched") / F.greatest(c("n_qp"), c("n_ms"), F.lit(1)) < 0.8)
+    reasons = [F.when(c(n) > 0, r) for n, r in both.items()] + [F.when(c("mcq") & (c(n) > 0), r) for n, r in mcq.items()] + [F.when(~c("mcq") & (c(n) > 0), r) for n, r in structured.items()]
+    return F.array_sort(F.array_compact(F.array(*reasons, F.when(low, "low_coverage_balanced"))))
+
+
+def repair_score() -> Column:
+    """What a repaired pairing is worth: 10 for each match, less for all that is missing, left over, in conflict or invalid."""
+    weights = {"matched": 10, "missing_qp": -8, "missing_ms": -8, "unmatched_qp": -4, "unmatched_ms": -4, "conflicts": -6, "issues": -6, "invalid_qp": -10, "invalid_ms": -10}
+    return sum((F.col(n) * w for n, w in weights.items()), F.lit(0)).cast("long")
+
+
+def is_ambiguous(papers: DataFrame) -> Column:
+    """Whether a reading has to be looked at again: n_items, n_words, n_keys (distinct), mcq, n_numbers, expected."""
+    c = F.col
+    few = c("n_numbers") < F.greatest(F.lit(5), F.floor(c("expected") * 0.9))
+    return (c("n_items") == 0) | F.when(c("mcq"), few).otherwise(((c("n_items") == 1) & (c("n_words") > 250)) | (1 - c("n_keys") / F.greatest(c("n_items"), F.lit(1)) > 0.35))
+
+
+def status_totals(rows: DataFrame, status: str = "status") -> DataFrame:
+    """One row: how many are accepted, review_required and failed, and their total."""
+    kinds = ("accepted", "review_required", "failed")
+    return rows.agg(*[F.count_if(F.col(status) == k).alias(k) for k in kinds], F.count_if(F.col(status).isin(*kinds)).alias("total"))
+
+
 def pairing_quality(pairs: DataFrame, by: str, left: str, right: str) -> DataFrame:
     """Coverage of both sides, the balanced one, and the status with its reasons in order."""
     m = F.count_if(F.col(left).isNotNull() & F.col(right).isNotNull())
@@ -96,19 +190,24 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def missing_and_extra(seen: DataFrame, by: str, number: str, expected: Column) -> DataFrame:
-    """Numbers of 1..expected that are absent, and those beyond."""
-    got = seen.groupBy(by).agg(F.sort_array(F.collect_set(number)).alias("got"), F.max(expected).alias("expected"))
-    want = F.when(F.col("expected") >= 1, F.sequence(F.lit(1), F.col("expected").cast("int"))).otherwise(F.array().cast("array<int>"))
+def missing_and_extra(seen: DataFrame, by: str, number: str, expected: Column, discounted: Column | None = None) -> DataFrame:
+    """Numbers of 1..expected that are absent, and those beyond. Discounted ones are not expected."""
+    got = seen.groupBy(by).agg(F.sort_array(F.collect_set(number)).alias("got"), F.max(expected).alias("expected"), F.first(F.array().cast("array<int>") if discounted is None else discounted).alias("off"))
+    want = F.when(F.col("expected") >= 1, F.array_except(F.sequence(F.lit(1), F.col("expected").cast("int")), "off")).otherwise(F.array().cast("array<int>"))
     return got.select(by, F.array_except(want, F.col("got")).alias("missing"), F.array_except(F.col("got"), want).alias("extra"))
 
 
-def stratified_pack(rows: DataFrame, id_: str, flag: str, wanted: int, total: int, seed: int) -> DataFrame:
-    """A pack of ``total`` rows, ``wanted`` of them with the flag; where one kind falls short the other fills up."""
-    order = seeded_order(F.col(id_), seed)
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(flag).orderBy(order, id_)))
+def ordered(by: str, *order: Column | str):
+    return Window.partitionBy(by).orderBy(*order)
+
+
+def stratified_packs(rows: DataFrame, by: str, id_: str, flag: str, wanted: int, total: int, seed: int) -> DataFrame:
+    """For each ``by`` a pack of ``total`` rows, ``wanted`` of them with the flag; where one kind falls short the other fills up."""
+    order = [seeded_order(F.col(id_), seed), F.col(id_)]
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by, flag).orderBy(*order)))
     due = F.when(F.col(flag), F.col("_r") <= wanted).otherwise(F.col("_r") <= total - wanted)
-    return ranked.orderBy(due.desc(), order, id_).limit(total).drop("_r")
+    # no more than ``total`` of a kind can be picked
+    return ranked.where(F.col("_r") <= total).withColumn("_p", F.row_number().over(Window.partitionBy(by).orderBy(due.desc(), *order))).where(F.col("_p") <= total).drop("_r", "_p")
 
 
 def regroup(rows: DataFrame, outer: str, inner: str, item: str) -> DataFrame:
@@ -117,7 +216,22 @@ def regroup(rows: DataFrame, outer: str, inner: str, item: str) -> DataFrame:
     return lists.groupBy(outer).agg(F.array_sort(F.collect_list(F.struct(inner, "items"))).alias("groups"))
 
 
+def nested(rows: DataFrame, top: list[str], levels: list[str], item: str) -> DataFrame:
+    """Items in levels below ``top``: the innermost are sorted sets, each level above an array in its order (names in plural)."""
+    out, column = rows.groupBy(*top, *levels).agg(F.sort_array(F.collect_set(item)).alias(f"{item}s")), f"{item}s"
+    for k in range(len(levels) - 1, -1, -1):
+        out = out.groupBy(*top, *levels[:k]).agg(F.array_sort(F.collect_list(F.struct(levels[k], column))).alias(f"{levels[k]}s"))
+        column = f"{levels[k]}s"
+    return out
+
+
 def folder_order(name: str, kind: str) -> list[Column]:
     """Folders before papers before other files, then by name without regard to case."""
     rank = F.when(F.col(kind) == "folder", 0).when(F.col(kind) == "paper", 1).otherwise(2)
     return [rank, F.lower(F.col(name)), F.col(name)]
+
+
+def paper_order(subject: str, year: str, session: str, paper: str, variant: str) -> list[Column]:
+    """The five keys that papers are sorted by; what is missing comes first."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return [text(subject), F.coalesce(F.col(year), F.lit(0)), text(session), text(paper), text(variant)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.functions import text as tx
-from markwright.functions.exprs import clamp, ratio
+from markwright.functions.exprs import clamp, ratio, scope_allows
 
 
 def access_roles(classes: DataFrame, co_teachers: DataFrame, grants: DataFrame) -> DataFrame:
@@ -20,6 +20,18 @@ def access_roles(classes: DataFrame, co_teachers: DataFrame, grants: DataFrame)
     return best.select("class_id", "teacher", role.alias("role"), F.col("b.can_grade").alias("can_grade"))
 
 
+def granted(areas: DataFrame, grants: DataFrame, name: str) -> DataFrame:
+    """``areas`` that some grant covers, with how many do and what they allow together. An empty scope covers all.
+
+    Grants are grouped by what they cover first: equal scopes are one row, so that few rows meet the areas.
+    """
+    every = F.array().cast("array<string>")
+    kinds = grants.groupBy(F.array_sort(F.coalesce("scope", every)).alias("scope")).agg(F.count("*").alias("n"), F.bool_or("can_view").alias("v"), F.bool_or("can_edit").alias("e"))
+    rows = areas.join(kinds, scope_allows(F.col("scope"), F.col(name)))
+    sums = rows.groupBy(*areas.columns).agg(F.sum("n").alias("n_grants"), F.bool_or("v").alias("can_view"), F.bool_or("e").alias("can_edit"))
+    return sums
+
+
 def targeted_students(assignments: DataFrame, enrollments: DataFrame, recipients: DataFrame) -> DataFrame:
     """Whole-class work goes to active students who had joined before it, or have started it; other work to its recipients."""
     whole = assignments.where("target_all").join(enrollments.where("status = 'active'"), "class_id").where((F.col("joined_at") <= F.col("created_at")) | F.coalesce("started", F.lit(False)))
@@ -32,13 +44,18 @@ def visible_result(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
     return rows.withColumns({c: F.when(F.coalesce(F.col(f), F.lit(True)), F.col(c)) for c, f in flags.items()})
 
 
-def active_assignments(assignments: DataFrame, submissions: DataFrame, most: int = 5) -> DataFrame:
-    """The ``most`` assignments of latest deadline (without one last) per class, with their counts."""
-    counts = submissions.groupBy("assignment_id").agg(F.count_if(F.col("status").isin("submitted", "late")).alias("submitted"), F.count_if(F.col("status") == "late").alias("late"), F.count("*").alias("total"))
+def active_assignments(assignments: DataFrame, submissions: DataFrame, active: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` assignments of latest deadline (without one last) per class, with their counts.
+
+    ``total``: of whole-class work the class's active students (``active(class_id, n_active)``), else its submissions.
+    """
+    counts = submissions.groupBy("assignment_id").agg(F.count_if(F.col("status").isin("submitted", "late")).alias("submitted"), F.count_if(F.col("status") == "late").alias("late"), F.count("*").alias("n"))
     order = Window.partitionBy("class_id").orderBy(F.desc_nulls_last("deadline_at"), "assignment_id")
     top = assignments.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    rows = top.join(counts, "assignment_id", "left").join(active, "class_id", "left")
     zero = F.lit(0).cast("long")
-    return top.join(counts, "assignment_id", "left").select("class_id", "assignment_id", "place", *[F.coalesce(c, zero).alias(c) for c in ("submitted", "late", "total")])
+    total = F.when(F.col("target_all"), F.col("n_active")).otherwise(F.col("n"))
+    return rows.select("class_id", "assignment_id", "place", F.coalesce("submitted", zero).alias("submitted"), F.coalesce("late", zero).alias("late"), F.coalesce(total, zero).alias("total"))
 
 
 def fully_reviewed(marks: DataFrame, reviewed: list[str]) -> DataFrame:
@@ -118,9 +135,36 @@ def item_quality(text: Column) -> Column:
 
 
 def best_of_group(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Of each key the row of best quality, the earliest of equal ones."""
-    w = Window.partitionBy(key).orderBy(F.desc("quality"), order)
-    return rows.withColumn("quality", item_quality(F.col(text))).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """Of each key the row of best quality (its ``order`` and quality), the earliest of equal ones; texts stay where they are."""
+    rated = rows.select(key, order, item_quality(F.col(text)).alias("quality"))
+    best = rated.groupBy(key).agg(F.min_by(F.struct(order, "quality"), F.struct(-F.col("quality"), F.col(order))).alias("_b"))
+    return best.select(key, "_b.*")
+
+
+#: fixed values: what shows that symbols and mathematics of a page were read
+SYMBOL = r"[=+\-/*^_()\[\]{}|]"
+MATH_TOKEN = r"(log|sqrt|sin|cos|tan|[A-Za-z]\^\d+|[A-Za-z]_\d+|\d+[A-Za-z]|[A-Za-z]+\d+)"
+
+
+def balanced(x: Column) -> Column:
+    even = lambda a, b: tx.excess_of_pair(x, a, b) == 0
+    return even("(", ")") & even("[", "]") & even("{", "}")
+
+
+def symbol_score(x: Column) -> Column:
+    share = F.regexp_count(x, F.lit(SYMBOL)) / F.greatest(F.length(x), F.lit(1))
+    return F.when(F.trim(x) == "", 0.0).otherwise(F.least(F.lit(1.0), share * 20 + F.when(balanced(x), 0.1).otherwise(0.0) + 0.35))
+
+
+def math_score(x: Column) -> Column:
+    distinct = F.size(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(MATH_TOKEN), 1), lambda t: F.lower(t))))
+    return F.when(F.trim(x) == "", 0.0).when(distinct == 0, 0.5).otherwise(F.least(F.lit(1.0), 0.4 + distinct / 10.0))
+
+
+def anchor_score(x: Column) -> Column:
+    """How well a page's question and answer are marked off."""
+    q, a = x.rlike(r"(?i)(^|\n)\s*(q[.)]|question[:.]?)"), x.rlike(r"(?i)(^|\n)\s*(a[.)]|answer[:.]?)")
+    return F.when(q & a, 1.0).when(q | a, 0.75).when(x.rlike(r"(?i)solve|find|prove|show that|explain|state"), 0.55).otherwise(0.3)
 
 
 def candidate_score(confidence: Column, symbols: Column, math: Column, anchors: Column, agreement: Column, uncertain: Column, fragments: Column) -> Column:
@@ -177,20 +221,30 @@ def signature(rows: DataFrame, by: str, order: str, columns: list[str]) -> DataF
 
 
 def companions(files: DataFrame, most: int = 2) -> DataFrame:
-    """``files(name, folder, kind)``: question papers with their best mark schemes of the same folder, by shared words."""
-    words = files.select("name", "folder", "kind", tx.token_set(F.col("name")).alias("t"))
-    q = words.where("kind = 'qp'").select(F.col("name").alias("paper"), "folder", F.col("t").alias("tq"))
-    s = words.where("kind = 'ms'").select(F.col("name").alias("scheme"), "folder", F.col("t").alias("ts"))
-    shared = F.size(F.array_intersect("tq", "ts"))
-    scored = q.join(s, "folder").withColumn("score", shared * 2 + F.when(shared >= F.size("tq") - 1, 10).otherwise(-4)).where("score >= 10")
-    order = Window.partitionBy("paper").orderBy(F.desc("score"), "scheme")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("paper", "scheme", "score", "place")
-
-
-def reconcile(criteria: DataFrame, by: str, awarded: str, cap: Column) -> DataFrame:
-    """Criteria scaled in proportion so that their sum keeps to the cap; one decimal."""
+    """``files(name, folder)``: for each file the best companions of its folder.
+
+    Inserts and sources score 10, question papers lose 4 and mark schemes 10; each word of two letters or more that the
+    names share adds 1, as often as the file has it. Ten points are needed. Files that are no inserts are never paired.
+    """
+    low = F.lower("name")
+    words = F.regexp_extract_all(low, F.lit(r"([a-z]+|\d+)"), 1)
+    rows = files.select("folder", low.alias("name"), words.alias("t"))
+    points = lambda c: F.when(c.rlike("insert|source|passage|reading|text|resource"), 10).otherwise(0) + F.when(c.rlike("qp|question"), -4).otherwise(0) + F.when(c.rlike("ms|mark|scheme|er|examiner"), -10).otherwise(0)
+    other = rows.where(F.col("name").endswith(".pdf")).select("folder", F.col("name").alias("companion"), F.col("t").alias("tc"), points(F.col("name")).alias("base"))
+    own = rows.select("folder", F.col("name").alias("file"), F.filter("t", lambda w: F.length(w) >= 2).alias("tf"))
+    scored = own.join(other.where("base >= 0"), "folder").where("file <> companion").withColumn("score", F.col("base") + F.size(F.filter("tf", lambda w: F.array_contains("tc", w)))).where("score >= 10")
+    order = Window.partitionBy("folder", "file").orderBy(F.desc("score"), "companion")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("folder", "file", "companion", "score", "place")
+
+
+def reconcile(criteria: DataFrame, by: str, awarded: str, cap: Column, stated: Column | None = None, tolerance: float = 0.1) -> DataFrame:
+    """Criteria scaled in proportion so that their sum keeps to the cap, one decimal; with a stated total, also ``total``: the
+    stated one if the criteria bear it out within the tolerance, else their sum, neither above the cap."""
     total = F.sum(awarded).over(Window.partitionBy(by))
-    return criteria.withColumn("scaled", F.round(F.when(total > cap, F.col(awarded) * ratio(cap, total, 0.0)).otherwise(F.col(awarded)), 1))
+    out = criteria.withColumn("scaled", F.round(F.when(total > cap, F.col(awarded) * ratio(cap, total, 0.0)).otherwise(F.col(awarded)), 1))
+    if stated is None:
+        return out
+    return out.withColumn("total", F.round(F.least(cap, F.when(F.abs(stated - total) <= tolerance, stated).otherwise(total)), 1))
 
 
 def flag_counts(rows: DataFrame, by: str) -> DataFrame:
@@ -208,3 +262,20 @@ def reclaim_leaks(rows: DataFrame, paper: str, order: str) -> DataFrame:
     first = Window.partitionBy(paper, "need_at").orderBy("from_at")
     picked = found.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("tail", F.substr("scheme", F.position(marker, F.col("scheme")) + 1))
     return picked.select(paper, "need_at", "need", "from_at", F.trim(F.regexp_replace("tail", r"^\d+ ", "")).alias("tail"))
+
+
+def with_names(rows: DataFrame, people: DataFrame, parts: dict[str, str | None]) -> DataFrame:
+    """``rows`` with people's names in place of their keys, ``people(person, name)`` joined once for each part that they play."""
+    for part, unknown in parts.items():
+        known = people.select(F.col("person").alias(f"_{part}"), F.col("name").alias("_name"))
+        named = F.col("_name") if unknown is None else F.coalesce("_name", F.lit(unknown))
+        rows = rows.join(known, F.col(part) == F.col(f"_{part}"), "left").withColumn(part, named).drop(f"_{part}", "_name")
+    return rows
+
+
+def single(asked: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """For each key how many rows it has, its one row's value, and whether it is one, absent or several."""
+    got = rows.groupBy(key).agg(F.count("*").alias("n"), F.max(value).alias(value))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    outcome = F.when(n == 0, "absent").when(n == 1, "one").otherwise("several")
+    return asked.join(got, key, "left").select(key, n.alias("n"), outcome.alias("outcome"), F.when(n == 1, F.col(value)).alias(value))

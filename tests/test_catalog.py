@@ -1,6 +1,10 @@
 """Every query that has SQL against that SQL, on the smallest tables."""
 
+import difflib
+import hashlib
 import math
+import re
+import unicodedata
 from pathlib import Path
 
 import duckdb
@@ -41,3 +45,71 @@ def test_query(spark, duck, name):
         want = duck.sql(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def _rows(spark, name):
+    return QUERIES[name](spark, DATA).collect()
+
+
+def _table(name):
+    return pd.read_parquet(f"{DATA}/{name}.parquet")
+
+
+def test_sequences_match_as_the_library_says(spark):
+    asked = {int(r.conv_id) * 1000 + int(r.turn): r.text for r in _table("conversations").itertuples() if r.role == "user"}
+    items = dict(zip(_table("benchmark")["item_id"], _table("benchmark")["text"], strict=True))
+    plain = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    got = _rows(spark, "sequence_match")
+    assert len(got) == len(asked)
+    for r in got:
+        a, b = plain(asked[r["id"]]), plain(items[r["item_id"]])
+        share = lambda i: len(set(a.split()) & set(plain(items[i]).split())) / len(set(a.split()) | set(plain(items[i]).split()))
+        assert round(max(map(share, items)), 4) == round(share(r["item_id"]), 4)
+        assert abs(r["sequence"] - (1.0 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio())) < 1e-4
+
+
+def test_prose_runs_by_hand(spark):
+    def run(lines):
+        best = cur = 0
+        gap = False
+        for n in (len(x.split()) for x in lines):
+            if n >= 4 or cur and not gap and 1 <= n <= 2:
+                cur, gap = cur + n, n < 4
+                best = max(best, cur)
+            else:
+                cur, gap = 0, False
+        return best
+
+    want = {r.doc_id: run(r.text.split("\n")) for r in _table("documents").itertuples()}
+    assert {r["doc_id"]: r["words"] for r in _rows(spark, "prose_runs")} == want
+
+
+def test_text_repair_by_hand(spark):
+    def one(x):
+        bad = lambda s: sum(map(s.count, "âÂÃ"))
+        try:
+            again = x.encode("cp1252").decode("utf-8") if bad(x) else x
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            again = x
+        x = again if bad(again) < bad(x) else x
+        x = unicodedata.normalize("NFKC", x).translate(str.maketrans("‘’“”", "''\"\""))
+        return hashlib.md5(re.sub(r"\s+([,.;:!?])", r"\1", " ".join(x.split())).encode()).hexdigest()
+
+    assert {r["doc_id"]: r["tidy_md5"] for r in _rows(spark, "text_repair")} == {r.doc_id: one(r.text) for r in _table("documents").itertuples()}
+
+
+def test_options_and_confusions_by_hand(spark):
+    pairs = {frozenset(p) for p in ("bk", "ao", "i1", "l1", "0o", "s5", "gq", "uv", "ce", "tf", "aq", "pg", "ji", "f7")}
+
+    def confused(x, y):
+        unlike = [(a, b) for a, b in zip(x, y, strict=False) if a != b]
+        return len(x) == len(y) and len(unlike) == 1 and frozenset(unlike[0]) in pairs
+
+    words = {r.doc_id: re.sub("[^a-z0-9]+", " ", r.text.lower().translate(str.maketrans("–−", "--"))).split() for r in _table("documents").itertuples()}
+    change = [lambda w: re.sub("[ae]", "o", w), lambda w: w.replace("u", "v"), lambda w: w + "x"]
+    got = {r["doc_id"]: (r["confused"], r["n"]) for r in _rows(spark, "visual_confusions")}
+    assert got == {i: (sum(confused(x, change[k % 3](x)) for k, x in enumerate(w)), len(w)) for i, w in words.items() if w}
+    options = {r["doc_id"]: r["options"] for r in _rows(spark, "inline_options")}
+    plain = lambda w: [*w, *["none"] * 4][:4]
+    clear = {i: ";".join(f"{a}={b}" for a, b in zip("ABCD", plain(w), strict=True)) for i, w in words.items() if not {"a", "b", "c", "d"} & set(plain(w))}
+    assert {i: options[i] for i in clear} == clear

@@ -74,9 +74,58 @@ def test_question_number(spark, x, want):
     assert one(spark, tx.question_number(F.col("a")), a=x) == want
 
 
-@pytest.mark.parametrize("x,want", [("(b)", "B"), ("the answer is C", "C"), ("nothing", None)])
-def test_option(spark, x, want):
-    assert one(spark, tx.option_letter(F.col("a")), a=x) == want
+@pytest.mark.parametrize("x,want", [("b", "B"), ("Ans: c", "C"), ("I think D fits", "D"), ("a. b", "B"), ("nothing", None), ("", None)])
+def test_student_option(spark, x, want):
+    assert one(spark, tx.student_option(F.col("a")), a=x) == want
+
+
+@pytest.mark.parametrize("x,want", [(" b ", "B"), ("The correct answer is C", "C"), ("answer - d", "D"), ("Option a is correct", "A"), ("A gas that burns", None), ("", None)])
+def test_scheme_option(spark, x, want):
+    assert one(spark, tx.scheme_option(F.col("a")), a=x) == want
+
+
+@pytest.mark.parametrize(
+    "x,want",
+    [
+        ("solve log x = 2", "solve log base 10 x = 2"), ("lg 5", "log base 10 5"), ("logic and logarithm", "logic and logarithm"), ("log base 2 x", "log base 2 x"), ("log_3 x", "log_3 x"), ("ln x", "ln x"),
+        ("log base 10 y", "log base 10 y"), ("log(base=10,arg=x)", "log base 10 x"), ("log(base=2,arg=x)", "log(base=2,arg=x)"), ("log(x)", "log base 10(x)"), ("catalog 3", "catalog 3"),
+    ],
+)
+def test_common_log(spark, x, want):
+    assert one(spark, tx.common_log(F.col("a")), a=x) == want
+    assert one(spark, tx.common_log(F.col("a")), a=want) == want
+
+
+@pytest.mark.parametrize(
+    "x,display,canonical",
+    [("log₂(x)", "log_2 (x)", "log(base=2,arg=x)"), ("log₁₀100", "log_10 100", "log(base=10,arg=100)"), ("x² +y³", "x^2 + y^3", "x^2 + y^3"), ("log_2(x + 1)=3", "log_2 (x + 1) = 3", "log(base=2,arg=x+1) = 3"), ("H₂O", "H₂O", "H₂O")],
+)
+def test_math_display_and_canonical_form(spark, x, display, canonical):
+    assert one(spark, tx.display_math(F.col("a")), a=x) == display
+    assert one(spark, tx.canonical_math(F.col("a")), a=display) == canonical
+
+
+@pytest.mark.parametrize(
+    "x,subject,kind,family",
+    [
+        ("Choose the right gas", "", "mcq_structured", "prose_or_structured"), ("Find x if 2x = 4", "", "symbolic", "generic_equation"), ("H2O is formed", "Chemistry 1011", "science_notation", "science_formula_units"),
+        ("Mass of 5kg = 5", "", "science_notation", "science_formula_units"), ("log x = 2", "", "symbolic", "logarithmic"), ("f(x) is given", "", "symbolic", "function_expression"), ("because water always boils under lower pressure", "", "prose", "prose_or_structured"), ("B", "", "mcq_structured", "prose_or_structured"),
+    ],
+)
+def test_content_type(spark, x, subject, kind, family):
+    assert one(spark, tx.content_type(F.col("a"), None, F.col("b")), a=x, b=subject) == kind
+    assert one(spark, tx.question_family(F.col("a"), F.lit(kind)), a=x) == family
+
+
+@pytest.mark.parametrize("bad,good,want", [("bat", "kat", True), ("cat", "cot", True), ("rn", "m", True), ("s0", "so", True), ("bat", "cat", False), ("gqq", "qgg", False), ("vv", "w", False), ("", "a", False), ("same", "same", False)])
+def test_confusable(spark, bad, good, want):
+    assert one(spark, ex.confusable(F.col("a"), F.col("b")), a=bad, b=good) is want
+
+
+def test_question_about_papers(spark):
+    q = "Which years was photosynthesis asked in Biology in past 8 years?"
+    assert [one(spark, c, a=q) for c in (tx.intent(F.col("a")), tx.subject_in(F.col("a")), tx.years_asked(F.col("a")), tx.core_topic(F.col("a"), tx.subject_in(F.col("a"))))] == ["paper_lookup", "Biology", 8, "photosynthesis"]
+    assert one(spark, tx.acronyms(F.col("a")), a="Explain SSL and GDP") == ["SSL", "GDP"]
 
 
 def test_expected_points(spark):
@@ -94,5 +143,4 @@ def test_udfs(spark):
     assert one(spark, udfs.tidy_prose(F.col("a")), a="“A ﬁne  day” .") == '"A fine day".'
     assert one(spark, udfs.repair_mojibake(F.col("a")), a="cafÃ©") == "café"
     assert one(spark, udfs.repair_json(F.col("a")), a='```json\n{"a": [1, 2,], "b": {"c": 3') == '{"a": [1, 2], "b": {"c": 3}}'
-    assert one(spark, udfs.visual_confusion(F.col("a"), F.col("b")), a="modern", b="modem") is True
     assert [o["label"] for o in one(spark, udfs.inline_options(F.col("a")), a="Pick A red B blue C green D grey")] == list("ABCD")

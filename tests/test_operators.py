@@ -21,7 +21,7 @@ def test_accepted_pairs(spark):
 def test_file_names(spark):
     names = ["Physics_2019_May_June_Paper_1_Variant_2_QP.pdf", "Add_Maths_2020_Oct_Nov_Paper_2_ms_1.pdf", "Art_2018_Oct_Nov_ER.pdf", "notes.pdf"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(readers.file_name_fields(F.col("n")).alias("f")).collect()
-    assert [tuple(r["f"]) if r["f"] else None for r in rows] == [("exam_paper", "Physics", 2019, "May_June", 1, 2, "QP"), ("exam_paper", "Add Maths", 2020, "Oct_Nov", 2, None, "MS"), ("session_doc", "Art", 2018, "Oct_Nov", None, None, "ER"), None]
+    assert [tuple(r["f"]) if r["f"] else None for r in rows] == [("exam_paper", "Physics", 2019, "May_June", 1, 2, "QP", None), ("exam_paper", "Add Maths", 2020, "Oct_Nov", 2, None, "MS", None), ("session_doc", "Art", 2018, "Oct_Nov", None, None, "ER", None), None]
 
 
 def test_crawl(spark):
@@ -58,6 +58,33 @@ def test_no_positional_fallback(spark):
     assert [r["n"] for r in got] == ["1"]
 
 
+def test_safe_fallback_of_pairing(spark):
+    kinds = "paper string, number string, sub string, pos long"
+    q = spark.createDataFrame([("p", "1", "", 1), ("p", "2", "", 2), ("p", "3", "a", 3), ("p", "4", "", 4)], kinds)
+    e = spark.createDataFrame([("p", "1", "", 1), ("p", "2", "a", 2), ("p", "3", "b", 3), ("p", "4", "a", 4), ("p", "4", "b", 5)], kinds)
+    got = {r["q_pos"]: (r["e_pos"], r["method"], r["ambiguous"]) for r in relational.pair_with_fallback(q, e, "paper").where("q_pos IS NOT NULL").collect()}
+    assert got == {1: (1, "exact_key", False), 2: (2, "same_question_unique_sub_safe", False), 3: (None, None, False), 4: (None, None, True)}
+    assert relational.pair_with_fallback(q, e, "paper").count() == 7
+
+
+def test_places_within_buckets(spark):
+    rows = spark.createDataFrame([(g, x) for g in (1, 2, None) for x in (5, 3, 3, 9, 14, 27)], "g int, x int")
+    got = sorted((r["g"] or 0, r["place"], r["x"]) for r in relational.placed(rows, "g", F.floor(F.col("x") / 10).cast("int"), "x").collect())
+    assert got == [(g, k + 1, x) for g in (0, 1, 2) for k, x in enumerate((3, 3, 5, 9, 14, 27))]
+
+
+def test_both_stores(spark, tmp_path):
+    _events(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("event_id long, user_id long, s int, ts timestamp").parquet(str(tmp_path / "in"))
+    limits.write_both(source, str(tmp_path / "a"), str(tmp_path / "b"), F.col("user_id") == 7, str(tmp_path / "c")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 6 and spark.read.parquet(str(tmp_path / "b")).count() == 5
+
+
+def test_json_lines_skip_blank_ones(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n   \n{"a": 2}\n')
+    assert sorted(r["a"] for r in readers.json_lines(spark, str(tmp_path), "a int").collect()) == [1, 2]
+
+
 def test_interval_conflicts_touching(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, 1, TIMESTAMP'2024-01-01 00:00', TIMESTAMP'2024-01-01 01:00'), (2, 1, TIMESTAMP'2024-01-01 01:00', TIMESTAMP'2024-01-01 03:30'), (3, 1, TIMESTAMP'2024-01-01 02:59', TIMESTAMP'2024-01-01 04:00') AS t(id, k, s, e)")
     assert [(r["id_a"], r["id_b"]) for r in relational.interval_conflicts(rows, "k", "id", "s", "e").collect()] == [(2, 3)]
@@ -83,7 +110,7 @@ def test_fragment_numbers(spark):
 
 def test_canonical_topic(spark):
     raw = spark.createDataFrame([(1, "Waves"), (2, "light and optics"), (3, "zzz")], "id int, topic string")
-    topics = spark.createDataFrame([(0, "optics"), (1, "waves and sound"), (2, "waves")], "pos int, name string")
+    topics = ["optics", "waves and sound", "waves"]
     assert {r["id"]: r["name"] for r in corpus.canonical_topic(raw, topics).collect()} == {1: "waves", 2: "optics"}
 
 
@@ -112,9 +139,9 @@ def test_streams_agree_with_batch(spark, tmp_path):
 
 
 def test_stratified_pack_fills_up(spark):
-    rows = spark.createDataFrame([(i, i < 3) for i in range(20)], "id int, mcq boolean")
-    got = relational.stratified_pack(rows, "id", "mcq", 5, 8, 1).collect()
-    again = relational.stratified_pack(rows.repartition(3), "id", "mcq", 5, 8, 1).collect()
+    rows = spark.createDataFrame([(i, i < 3, "s") for i in range(20)], "id int, mcq boolean, s string")
+    got = relational.stratified_packs(rows, "s", "id", "mcq", 5, 8, 1).collect()
+    again = relational.stratified_packs(rows.repartition(3), "s", "id", "mcq", 5, 8, 1).collect()
     assert len({r["id"] for r in got}) == 8 and sum(r["mcq"] for r in got) == 3
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 

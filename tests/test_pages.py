@@ -5,6 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from markwright.functions import pages as pg
+from markwright.operators import corpus
 
 
 def val(spark, column):
@@ -15,20 +16,21 @@ def lit_array(*items):
     return F.array(*map(F.lit, items))
 
 
-@pytest.mark.parametrize("line,want", [("1(a) Find", (1, "a")), ("12. State", (12, None)), ("(b) Show", (None, "b")), ("plain", None)])
-def test_anchor(spark, line, want):
-    got = val(spark, pg.anchor(F.lit(line)))
-    assert (tuple(got) if got else None) == want
+def test_anchors_carry_on(spark):
+    lines = ["(b) too early", "1(a) Find", "12. State", "(b) Show [4]", "plain 3 marks", "A2 Section", "7"]
+    rows = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "d string, i int, x string")
+    got = [(r["number"], r["sub"], r["anchored"], r["marks"]) for r in corpus.anchored_lines(rows, "d", "i", "x").orderBy("i").collect()]
+    assert got == [(None, None, False, None), ("1", "(a)", True, None), ("12", None, True, None), ("12", "(b)", True, 4), ("12", None, False, 3), ("2", None, True, None), ("2", None, False, None)]
 
 
 def test_words_and_middle(spark):
     assert val(spark, pg.word_estimate(F.lit("a b c"))) == 3
     assert val(spark, pg.word_estimate(F.lit("x" * 52))) == 10
-    assert val(spark, pg.middle(lit_array(5, 0, -1, 9, 7))) == 7
+    assert val(spark, pg.middle(lit_array(5, 0, -1, 9, 7))) == 7 and val(spark, pg.middle(lit_array(5, 8))) == 6 and val(spark, pg.middle(lit_array(0))) == 0
 
 
 def test_schemes_and_controls(spark):
-    assert val(spark, pg.scheme_usable(F.lit("Page 1 of 4 Question Answer Marks x"))) is False
+    assert val(spark, pg.scheme_usable(F.lit("Any three from: mark scheme x"))) is False
     assert val(spark, pg.scheme_usable(F.lit("photosynthesis needs light"))) is True
     assert val(spark, pg.strip_controls(F.lit('a\x07b\n{"k": "\\u0007x"}'))) == 'ab\n{"k": "x"}'
     assert val(spark, pg.name_slug(F.lit("Zoë O'Brien-Ñandú the third"))) == "zoeobriennanduthethi"
@@ -37,7 +39,7 @@ def test_schemes_and_controls(spark):
 def test_layouts(spark):
     assert val(spark, pg.mcq_layout(F.lit("A x\nB y\nC z\nD w"))) is True
     assert val(spark, pg.mcq_stem(F.lit("Which gas is it"))) is True
-    assert val(spark, pg.mcq_stem(F.lit("State the law."))) is False
+    assert val(spark, pg.mcq_stem(F.lit("the law"))) is False and val(spark, pg.mcq_stem(F.lit("Turn over the page now please"))) is False
 
 
 def test_context_and_anchor(spark):
@@ -49,9 +51,10 @@ def test_context_and_anchor(spark):
 
 
 def test_pages(spark):
-    noise = r"^\s*(\d+|page.*)\s*$"
-    assert val(spark, pg.footer_heavy(lit_array(*map(str, range(9))), noise)) is True
-    assert val(spark, pg.footer_heavy(lit_array("real words", "more words", *map(str, range(6))), noise)) is False
+    assert val(spark, pg.page_excluded(lit_array(*[f"5070/2{i}" for i in range(9)]))) == "footer_heavy_page"
+    assert val(spark, pg.page_excluded(lit_array("real words", "more words", *map(str, range(8))))) is None
+    assert val(spark, pg.page_excluded(lit_array("x", "BLANK PAGE"))) == "blank_page"
+    assert val(spark, pg.header_conflicts(F.lit("Chemistry 5070"), F.lit("Physics"))) is True and val(spark, pg.header_conflicts(F.lit("Mathematics D"), F.lit("Additional Mathematics"))) is False
     assert val(spark, pg.on_page(F.lit("… The CELL wall is rigid …"), F.lit("the cell-wall"))) is True
     assert val(spark, pg.in_any_box(F.lit(5.0), F.lit(5.0), F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(4.0).alias("x1"), F.lit(9.0).alias("y1"))), 1.0)) is True
 
@@ -82,5 +85,3 @@ def test_rules(spark):
     assert val(spark, pg.retry_blocked(at, F.lit(datetime.datetime(2025, 1, 2)))) is False
     assert val(spark, pg.escalate(F.lit(True), F.lit(0.9), lit_array("x"), ["y"])) is False
     assert val(spark, pg.repair_accepted(F.lit(0.5), F.lit(0.6), lit_array(0.7))) is False
-    assert val(spark, pg.math_words(F.lit("x^2 + sqrt(y)"))) == "x to the power 2 + square root of y"
-    assert val(spark, pg.common_log(F.lit("log(x) + log_2(y)"))) == "log10 (x) + log_2(y)"

@@ -45,5 +45,5 @@ def test_feedback(spark):
 
 
 def test_companions(spark):
-    files = spark.createDataFrame([("Bio 2019 p1 qp", "f", "qp"), ("Bio 2019 p1 ms", "f", "ms"), ("Art 2011 ms", "f", "ms")], "name string, folder string, kind string")
-    assert [(r["paper"], r["scheme"]) for r in review.companions(files).collect()] == [("Bio 2019 p1 qp", "Bio 2019 p1 ms")]
+    files = spark.createDataFrame([("eng_2015_qp.pdf", "f"), ("eng_2015_source.pdf", "f"), ("eng_2015_ms.pdf", "f"), ("eng_2015_source.pdf", "g")], "name string, folder string")
+    assert sorted((r["folder"], r["file"], r["companion"], r["score"]) for r in review.companions(files).collect()) == [("f", "eng_2015_ms.pdf", "eng_2015_source.pdf", 13), ("f", "eng_2015_qp.pdf", "eng_2015_source.pdf", 13)]

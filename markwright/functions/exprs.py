@@ -208,3 +208,7 @@ def confusable(bad: Column, good: Column) -> Column:
     unlike = F.filter(letters, lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
     one = (F.length(x) == F.length(y)) & (F.size(unlike) == 1) & F.array_contains(pairs, F.coalesce(F.get(unlike, F.lit(0)), F.lit("")))
     return F.coalesce((x != "") & (y != "") & (one | ((x == "rn") & (y == "m")) | ((x == "m") & (y == "rn"))), F.lit(False))
+
+
+def one_of(x: Column, known: list[str], default: str) -> Column:
+    return F.when(x.isin(known), x).otherwise(default)

@@ -185,3 +185,11 @@ def paper_items(lines: DataFrame, by: str, at: str, page: str, text: str) -> Dat
     bare = F.trim(F.regexp_replace(F.when(own != "", own).otherwise(F.col(text)), r"\[\d{1,3}\]", ""))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), bare.alias("t")))), lambda x: x["t"]), " ")
     return numbered.groupBy(by, "item").agg(texts.alias("text"), F.min(page).alias("page"), F.max(tx.marks_in(F.col(text))).alias("marks"))
+
+
+def dedup_records(rows: DataFrame) -> DataFrame:
+    """``rows(id, type, text, options)``: groups of equal type, normalised text and options, their size and the one to keep."""
+    options = F.array_join(F.transform(F.coalesce("options", F.array().cast("array<string>")), lambda o: tx.normalize(o)), "|")
+    keyed = rows.withColumn("group_key", F.sha1(F.concat_ws("||", F.lower("type"), tx.normalize(F.col("text")), options)))
+    best = F.max_by("id", F.struct(F.length("text"), -F.col("id")))
+    return keyed.groupBy("group_key").agg(F.count("*").alias("n"), best.alias("kept_id"), F.min("id").alias("first_id"))

@@ -84,10 +84,10 @@ def comment_upsert(comments: Column, index: Column, text: Column) -> Column:
     return F.when(F.exists(comments, lambda c: c["index"] == index), swapped).otherwise(F.array_append(comments, fresh))
 
 
-def newest(rows: DataFrame, by: str, at: str, id_: str, most: int) -> DataFrame:
-    """Each id once (its newest row), and of each owner the newest ``most``."""
+def newest(rows: DataFrame, by: str, at: str, id_: str, most: int, by_time: bool = False) -> DataFrame:
+    """Each id once (its newest row), and of each owner the newest ``most``; of equal times the larger id (or all by time alone)."""
     once = rows.withColumn("_u", F.row_number().over(Window.partitionBy(by, id_).orderBy(F.desc(at)))).where("_u = 1").drop("_u")
-    order = Window.partitionBy(by).orderBy(F.desc(at), F.desc(id_))
+    order = Window.partitionBy(by).orderBy(F.desc(at), *([] if by_time else [F.desc(id_)]))
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 

@@ -284,3 +284,60 @@ def tidy_starts(spark: SparkSession, d: str) -> DataFrame:
     start = tx.preview(F.col("text"), 30)
     hurt = F.replace(F.replace(start, F.lit('"'), F.lit("“")), F.lit("'"), F.lit("’"))
     return table(spark, d, "documents").select("doc_id", F.md5(udfs.straight_quotes(hurt)).alias("tidy_md5"))
+
+
+@query("""
+SELECT sha1(lower(role) || '||' || n || '||' || opts) AS group_key, count(*) AS n, arg_max(id, (length(text), -id)) AS kept_id, min(id) AS first_id
+FROM (SELECT role, text, conv_id * 1000 + turn AS id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n, CASE WHEN turn % 2 = 0 THEN 'a|b' ELSE '' END AS opts FROM (SELECT conv_id, turn, role, ['The same Question!', 'the same question', 'Another'][conv_id % 3 + 1] AS text FROM conversations)) GROUP BY 1
+""")
+def dedup_records(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of equal questions: by type, normalised text and options; the longest of each is kept."""
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("type"), pick(F.col("conv_id"), "The same Question!", "the same question", "Another").alias("text"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("A"), F.lit("b "))).alias("options"))
+    return corpus.dedup_records(rows)
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT *, trim(line) = '' OR length(regexp_replace(line, '[^A-Za-z]', '', 'g')) < 2 OR regexp_matches(line, '(?i)\bpage\s+\d+|#{3,}') AS gone FROM l)
+SELECT doc_id, count(*) FILTER (gone) AS n_removed, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_md5, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone), '')) AS removed_md5 FROM f GROUP BY doc_id
+""")
+def artefact_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of texts in two parts: what is content, and what a scan or a printer left there."""
+    kept, removed = tx.artefacts(F.col("text"), r"(?i)\bpage\s+\d+|#{3,}")
+    return table(spark, d, "documents").select("doc_id", F.size(removed).cast("long").alias("n_removed"), F.md5(F.array_join(kept, "\n")).alias("kept_md5"), F.md5(F.array_join(removed, "\n")).alias("removed_md5"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_partkey % 4 = 0 THEN CASE WHEN l_discount >= 0.09 THEN 'The chosen option is right.' ELSE 'The right option is C.' END
+  WHEN l_discount >= 0.09 THEN 'Full marks (' || printf('%.1f', l_quantity * 2) || '%): the key points are there.' WHEN l_discount >= 0.05 THEN 'Partly right (' || printf('%.1f', l_quantity * 2) || '%).' || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN ' Add: one' ELSE ' Add: one; two' END
+  ELSE 'Few points met (' || printf('%.1f', l_quantity * 2) || '%).' || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN ' Main gaps: one' ELSE ' Main gaps: one; two' END END AS feedback FROM lineitem
+""")
+def feedback_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What students read about their answers."""
+    label = F.when(F.col("l_discount") >= 0.09, "fully_correct").when(F.col("l_discount") >= 0.05, "partially_correct").otherwise("weak")
+    missing = F.slice(F.array(*map(F.lit, ("one", "two", "three"))), 1, F.when(F.col("l_linenumber") % 3 == 2, 3).otherwise(F.col("l_linenumber") % 3))
+    text = review.feedback_text(label, F.col("l_quantity") * 2, missing, F.when(F.col("l_partkey") % 4 == 0, "C"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", text.alias("feedback"))
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS student, o_orderkey % 50 AS id, CAST(greatest(0, least(100, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE floor(o_totalprice / 3000) END)) AS BIGINT) AS marks, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE 'other' END AS kind,
+  substr(o_orderstatus || '-a-long-title-' || o_orderkey, 1, 12) AS title, regexp_replace('k|' || o_orderkey || '/x', '[^A-Za-z0-9._-]', '_', 'g') AS file, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 50 ORDER BY o_orderdate DESC, o_orderkey DESC) AS k, o_orderdate, o_orderkey FROM orders)
+SELECT student, id, marks, kind, title, file, place FROM (SELECT *, row_number() OVER (PARTITION BY student ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM a WHERE k = 1) WHERE place <= 8
+""")
+def normalised_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts as they are stored: numbers within bounds, known kinds, short titles, safe keys; each id once, the newest eight."""
+    k = F.col("o_orderkey")
+    marks = ex.clamp_int(F.when(k % 9 == 0, "n/a").otherwise((F.col("o_totalprice") / 3000).cast("string")), 0, 100, 0)
+    kind = ex.one_of(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"], "other")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("student"), (k % 50).alias("id"), marks.alias("marks"), kind.alias("kind"), F.substring(F.concat("o_orderstatus", F.lit("-a-long-title-"), k.cast("string")), 1, 12).alias("title"), ex.safe_key(F.concat(F.lit("k|"), k.cast("string"), F.lit("/x"))).alias("file"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    newest = review.newest(rows, "student", "at", "id", 8, by_time=True)
+    return newest.select("student", "id", "marks", "kind", "title", "file", F.col("place").cast("long").alias("place"))
+
+
+@query()
+def line_matches(spark: SparkSession, d: str) -> DataFrame:
+    """How well a question's first words are found in the answer's first line."""
+    order = relational.ordered("conv_id", "turn")
+    rows = table(spark, d, "conversations").withColumn("next", F.lead("text").over(order)).where("role = 'user' AND next IS NOT NULL")
+    return rows.select("conv_id", "turn", F.round(udfs.line_match(tx.normalize(tx.preview(F.col("text"), 4)), tx.normalize(tx.preview(F.col("next"), 12))), 4).alias("score"))

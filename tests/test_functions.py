@@ -144,3 +144,11 @@ def test_udfs(spark):
     assert one(spark, udfs.repair_mojibake(F.col("a")), a="cafÃ©") == "café"
     assert one(spark, udfs.repair_json(F.col("a")), a='```json\n{"a": [1, 2,], "b": {"c": 3') == '{"a": [1, 2], "b": {"c": 3}}'
     assert [o["label"] for o in one(spark, udfs.inline_options(F.col("a")), a="Pick A red B blue C green D grey")] == list("ABCD")
+
+
+def test_line_match(spark):
+    score = lambda a, b: one(spark, udfs.line_match(F.col("a"), F.col("b")), a=a, b=b)
+    assert score("", "x") == 0.0 and score("water boils", "water boils") == 1.0
+    assert abs(score("water boils", "the water boils at once") - (0.55 + 0.25 + 0.15 * 2 / 5 + 0.05 * 2 * 11 / 34 + 0.10)) < 1e-9
+    assert score("water boils", "a gas") < 0.3
+

@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut the lineage of a job, in a folder of their own below the shared one.
 
-    They survive the loss of executors. A table that is no longer needed can be dropped; what a returned
-    DataFrame still reads stays, for the cluster's own retention rules.
+    They survive the loss of executors. Tables that nothing reads any more are dropped as soon as the next one is
+    written; what a returned DataFrame still reads stays, for the cluster's own retention rules.
     """
 
     def __init__(self, spark: SparkSession, label: str):

@@ -125,7 +125,9 @@ def positions(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WE
     known = sources.select(F.col("source").alias("s2"), "number", "source_size", "target")
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("s2")))
     out = placed.select("doc_id", "source", "size", "number", "source_size", "target", (F.col("offset") + F.col("inner")).cast("long").alias("pos"))
-    return scratch.save(out, "positions")
+    out = scratch.save(out, "positions")
+    scratch.drop("sized")
+    return out
 
 
 def mix(docs: DataFrame, shards: int | None = None, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block_words: int | None = None, seed: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -147,6 +149,7 @@ def mix(docs: DataFrame, shards: int | None = None, weights: tuple[float, ...] =
     slots = tree.select("number", "shard", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("quota") - 1)).alias("slot"))
     slots = slots.join(quotas, "number").select(F.col("number").alias("n2"), "shard", permuted(F.col("slot"), F.col("quota"), F.xxhash64(F.lit(seed), "number")).alias("b2"))
     slots = scratch.save(slots, "slots")
+    scratch.drop("tree1")
     size, whole, turn = F.col("size"), F.col("source_size"), F.col("pass")
     drawn = placed.where("size > 0").withColumn("goal", goal)
     drawn = drawn.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most))))).withColumn("start", turn * whole + F.col("pos")).where(F.col("start") < F.col("goal"))

@@ -432,7 +432,9 @@ def _components(docs: DataFrame, size: int, num: int, den: int, rounds: int) ->
         links = proven if links is None else links.unionByName(proven)
         if new:
             groups = components(links, scratch, f"groups{turn}_")
-        if new * 20 < tried.count():
+        few = new * 20 < tried.count()
+        scratch.drop(f"tried{turn}")
+        if few:
             break
     # a document whose own tokens are too rarely shared can link with nothing outside its group
     live = scratch.save(postings(groups, _live_work).select(F.col("q").alias("id")), "live")
@@ -443,6 +445,7 @@ def _components(docs: DataFrame, size: int, num: int, den: int, rounds: int) ->
     fits = F.col("n").between(F.ceil(F.col("q_n") * num / den), F.floor(F.col("q_n") * den / num))
     pairs = scratch.save(opened.join(members, opened["g"] == members["group"]).where(fits).select(F.col("q").alias("a"), F.col("id").alias("b")), "pairs")
     across = scratch.save(verify(texts, pairs, size, num, den), "across")
+    scratch.drop("live", "opened", "pairs")
     scratch.release()
     links = across if links is None else links.unionByName(across)
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -67,7 +68,9 @@ _PLAIN = {**{b: b + 0xA2 for b in range(0x80, 0xA1)}, 0xAD: 0x143}
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes, for a bounded number of words; more start anew.
+    """word -> its ids as little-endian 32-bit bytes, for a bounded number of words.
+
+    When they are ``LIMIT`` or ``BYTES``, they become the older ones, of which those that come again stay.
 
     By its definition ``WORDWISE``, white space is cut before anything else, so a text's ids are those of its words in
     turn. Letters and the marks after them are separate pieces, as none of the patterns goes on from a letter to a mark
@@ -86,6 +89,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.held = Tokenizer.from_file(path), 0
+        self.older: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as file:
             defined = json.load(file)
         self.by_word = all(defined.get(k) == v for k, v in WORDWISE.items()) and defined["model"]["type"] == "BPE"
@@ -96,16 +100,23 @@ class WordIds(dict):
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _new(self, word: bytes) -> bytes:
+        if not word.isalpha():
+            stem = word.rstrip(MARKS)
+            if len(stem) < len(word) and (stem.isalpha() or LETTERS.fullmatch(stem)):
+                return self[stem] + self[word[len(stem) :]]
+            if not LETTERS.fullmatch(word):
+                return self._ids(word.decode("utf-8", "replace"))
+        text = word.decode("latin-1")
+        ids = [t.id for t in self.piece(text if word.isascii() else text.translate(_PLAIN))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: bytes) -> bytes:
-        stem = word.rstrip(MARKS)
-        if LETTERS.fullmatch(stem):
-            if len(stem) < len(word):
-                value = self[stem] + self[word[len(stem) :]]
-            else:
-                value = np.array([t.id for t in self.piece(stem.decode("latin-1").translate(_PLAIN))], dtype="<u4").tobytes()
-        else:
-            value = self._ids(word.decode("utf-8", "replace"))
+        value = self.older.pop(word, None)
+        if value is None:
+            value = self._new(word)
         if len(self) >= self.LIMIT or self.held > self.BYTES:
+            self.older = dict(self)
             self.clear()
             self.held = 0
         self[word] = value

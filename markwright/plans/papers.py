@@ -207,7 +207,7 @@ def line_anchors(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
 WITH l AS (SELECT l_orderkey AS paper, l_linenumber AS page, l_partkey AS k, l_extendedprice AS o FROM lineitem),
 g AS (SELECT *, sum(CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY paper ORDER BY page, o, k) AS item FROM l WHERE k % 9 <> 8)
-SELECT paper, item, string_agg(CASE k % 4 WHEN 0 THEN 'Why ' || k ELSE 'line ' || k END, ' ' ORDER BY page, o, k) AS text, min(page) AS page, max(CASE WHEN k % 4 = 3 THEN CAST(k % 10 AS INTEGER) END) AS marks FROM g WHERE item > 0 GROUP BY paper, item
+SELECT paper, CAST(item AS BIGINT) AS item, string_agg(CASE k % 4 WHEN 0 THEN 'Why ' || k ELSE 'line ' || k END, ' ' ORDER BY page, o, k) AS text, min(page) AS page, max(CASE WHEN k % 4 = 3 THEN CAST(k % 10 AS INTEGER) END) AS marks FROM g WHERE item > 0 GROUP BY paper, item
 """)
 def paper_items(spark: SparkSession, d: str) -> DataFrame:
     """Lines of papers as items: anchors open one, noise goes, marks are what its lines name."""

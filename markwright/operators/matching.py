@@ -11,36 +11,42 @@ from pyspark.sql import functions as F
 
 from markwright.functions import text as tx
 from markwright.functions.exprs import ANSWER_LABEL, bands, clamp
+from markwright.operators.wordindex import ItemIndex, WordAutomaton, jaccard_score, words_of
+from markwright.sources.written import written
 
 
-INDEX_TOKENS = 2_000_000  # postings of one broadcast block of items
+INDEX_WORDS = 2_000_000  # words of one broadcast block of items
 
 
-class TokenIndex:
-    """Items by token: for each token the items that hold it."""
+def _blocks(items: DataFrame) -> list[DataFrame]:
+    """``items(id, text)`` in blocks of some ``INDEX_WORDS`` words by a measured total."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 + int(total // (6 * INDEX_WORDS))
+    part = F.pmod(F.xxhash64("id"), F.lit(n))
+    return [items.where(part == k) for k in range(n)] if n > 1 else [items]
 
-    def __init__(self, rows: list[tuple]):
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.sizes = np.array([len(r[1]) for r in rows], np.int64)
-        tokens: dict[str, list[int]] = {}
-        for k, (_, held) in enumerate(rows):
-            for t in held:
-                tokens.setdefault(t, []).append(k)
-        self.postings = {t: np.array(v, np.int32) for t, v in tokens.items()}
 
-    def shared(self, tokens: list[str]) -> np.ndarray:
-        """How many of the tokens each item holds."""
-        found = [p for p in map(self.postings.get, tokens) if p is not None]
-        return np.bincount(np.concatenate(found), minlength=len(self.ids)) if found else np.zeros(len(self.ids), np.int64)
+def _past_blocks(items: DataFrame, build, passed, label: str) -> DataFrame:
+    """Texts past the index of each block: ``passed(broadcast)``. With several blocks each one's rows are written, so that
+    one index at a time is held."""
+    blocks, out = _blocks(items), None
+    for block in blocks:
+        index = build([(r["id"], words_of(r["text"])) for r in block.where("id IS NOT NULL").collect()])
+        shared = items.sparkSession.sparkContext.broadcast(index)
+        found = passed(shared)
+        if len(blocks) > 1:
+            found = written(found, label)
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
 
+def _texts(rows: DataFrame, id_: str, text: str) -> DataFrame:
+    return rows.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
 
-def _indexes(items: DataFrame) -> list:
-    """Broadcast indexes over ``items(id, t)``, in blocks of some ``INDEX_TOKENS`` postings by a measured total."""
-    spark = items.sparkSession
-    total = items.agg(F.sum(F.size("t"))).first()[0] or 0
-    blocks = 1 + 2 * int(total // INDEX_TOKENS)
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    return [spark.sparkContext.broadcast(TokenIndex(sorted((r["id"], r["t"]) for r in items.where(part == k).collect()))) for k in range(blocks)]
+
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
 
 
 def ranked_items(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, k: int, by: str, larger_id: bool = False, text: str = "text") -> DataFrame:
@@ -48,68 +54,62 @@ def ranked_items(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, k: int
     document's tokens) or ``jaccard`` (rounded to four places), ties to the smaller or larger id.
 
     ``items`` is the stated side (a question bank): its index is broadcast in blocks, documents pass it where they are,
-    so that frequent tokens make no pairs to shuffle.
+    so that frequent tokens make no pairs to shuffle. Lists of frequent words stay closed once ``k`` items are sure.
+    With several blocks there are ``k`` rows for each.
     """
-    asked = docs.select(F.col(id_q).alias("q"), tx.token_set(F.col(text)).alias("t"))
-    schema = "q long, r long, n_q int, n_r int, shared int"
-    out = None
-    for shared in _indexes(items.select(F.col(id_r).cast("long").alias("id"), tx.token_set(F.col(text)).alias("t"))):
-        found = asked.select(F.col("q").cast("long").alias("q"), "t").mapInArrow(_rank_task(shared, k, by, larger_id), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    names, kinds = ["q", "r", "n_q", "n_r", "shared"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
+    def task(shared):
+        def run(batches):
+            index = shared.value
+            for batch in batches:
+                rows: list[tuple] = []
+                for q, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = set(words_of(x))
+                    found, common = index.best(words, k, by, larger_id)
+                    rows += [(q, r, len(words), n, c) for r, n, c in zip(index.ids[found].tolist(), index.sizes[found].tolist(), common.tolist(), strict=True)]
+                yield _batch(rows, names, kinds)
 
-def _rank_task(shared, k: int, by: str, larger_id: bool):
-    def run(batches):
-        index = shared.value
-        ties = -index.ids if larger_id else index.ids
-        for batch in batches:
-            rows: list[tuple] = []
-            for q, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                common = index.shared(tokens)
-                some = np.flatnonzero(common)
-                score = common[some] / (len(tokens) if by == "overlap" else len(tokens) + index.sizes[some] - common[some])
-                if by == "jaccard":
-                    score = np.floor(score * 10_000 + 0.5) / 10_000
-                for i in some[np.lexsort((ties[some], -score))[:k]].tolist():
-                    rows.append((q, int(index.ids[i]), len(tokens), int(index.sizes[i]), int(common[i])))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["q", "r", "n_q", "n_r", "shared"])
-
-    return run
+        return run
+
+    asked = _texts(docs, id_q, text)
+    return _past_blocks(_texts(items, id_r, text), ItemIndex, lambda shared: asked.mapInArrow(task(shared), "q long, r long, n_q int, n_r int, shared int"), "ranked-items")
 
 
 def ranked_docs(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, k: int, text: str = "text") -> DataFrame:
     """(q, r, score): for each item the ``k`` documents of highest Jaccard (four places), ties to the smaller id.
 
-    Each task keeps the best ``k`` of what it reads; the rest is a merge of some k rows for each item and task.
+    Each task keeps the best ``k`` of what it reads, and skips what can't be among them; the rest is a merge of some k
+    rows for each item and task.
     """
-    asked = docs.select(F.col(id_r).cast("long").alias("r"), tx.token_set(F.col(text)).alias("t"))
-    out = None
-    for shared in _indexes(items.select(F.col(id_q).cast("long").alias("id"), tx.token_set(F.col(text)).alias("t"))):
-        found = asked.mapInArrow(_docs_task(shared, k), "q long, r long, score double")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("p", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("p") <= k).drop("p")
 
-
-def _docs_task(shared, k: int):
-    def run(batches):
-        index = shared.value
-        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # item, document, score
-        for batch in batches:
-            parts = [best]
-            for r, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                common = index.shared(tokens)
-                some = np.flatnonzero(common)
-                score = np.floor(common[some] / (len(tokens) + index.sizes[some] - common[some]) * 10_000 + 0.5) / 10_000
-                parts.append([some, np.full(len(some), r), score])
-                if len(parts) > 500:
-                    best = _best(parts, k)
-                    parts = [best]
+    def task(shared):
+        def run(batches):
+            index = shared.value
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # item, document, score
+            least, parts, held = np.zeros(len(index.ids)), [best], 0
+            for batch in batches:
+                for r, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = set(words_of(x))
+                    found, common = index.reaching(words, least)
+                    if len(found):
+                        parts.append([found, np.full(len(found), r), jaccard_score(common, len(words), index.sizes[found])])
+                        held += len(found)
+                    if held > 4 * k * len(index.ids) + 1000:
+                        best = _best(parts, k)
+                        parts, held = [best], 0
+                        full = np.bincount(best[0], minlength=len(least)) >= k
+                        lowest = np.full(len(least), np.inf)
+                        np.minimum.at(lowest, best[0], best[2])
+                        least = np.where(full, lowest, 0)
             best = _best(parts, k)
-        yield pa.RecordBatch.from_arrays([pa.array(index.ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["q", "r", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(index.ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["q", "r", "score"])
 
-    return run
+        return run
+
+    asked = _texts(docs, id_r, text)
+    found = _past_blocks(_texts(items, id_q, text), ItemIndex, lambda shared: asked.mapInArrow(task(shared), "q long, r long, score double"), "ranked-docs")
+    return found.withColumn("p", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("p") <= k).drop("p")
 
 
 def _best(parts: list, k: int) -> list:
@@ -151,36 +151,36 @@ def two_stage(pairs: DataFrame, shortlist: int = 10, keep: int = 4) -> DataFrame
 def hash_embedding(rows: DataFrame, id_: str, text: str = "text", slots: int = 384) -> DataFrame:
     """Sparse rows (id, slot, value): each token adds a signed one to a hashed slot; values are scaled to length 1.
 
-    Tokens are counted and hashed where their text is read, each distinct one of a task once; nothing is shuffled.
+    Tokens are counted where their text is read, those of many texts in one pass, and each is hashed once for a while;
+    nothing is shuffled.
     """
 
+    class Places(dict):
+        """Slot and sign of a word as one number: slot, or ~slot for minus."""
+
+        def __missing__(self, word: bytes) -> int:
+            h = hashlib.sha256(word).digest()
+            slot = int.from_bytes(h[:4]) % slots
+            self[word] = out = ~slot if h[4] % 2 else slot
+            return out
+
     def run(batches):
-        known: dict[str, tuple[int, int]] = {}
-
-        def place(token: str) -> tuple[int, int]:
-            if token not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                h = hashlib.sha256(token.encode()).digest()
-                known[token] = int.from_bytes(h[:4]) % slots, 1 - 2 * (h[4] % 2)
-            return known[token]
-
-        for batch in batches:
-            ids, columns, values = [], [], []
-            for i, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = np.zeros(slots, np.int64)
-                for token in tokens:
-                    slot, sign = place(token)
-                    raw[slot] += sign
-                some = np.flatnonzero(raw)
-                norm = np.sqrt(float((raw * raw).sum()))
-                ids += [i] * len(some)
-                columns += some.tolist()
-                values += (raw[some] / norm).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(columns, pa.int32()), pa.array(values, pa.float64())], names=["id", "slot", "value"])
+        places = Places()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                if len(places) > 200_000:
+                    places = Places()
+                found = [np.fromiter(map(places.__getitem__, words), np.int64, len(words)) for words in map(words_of, batch.column(1).to_pylist())]
+                flat = np.concatenate(found)
+                key = np.repeat(np.arange(len(found)), [len(x) for x in found]) * slots + np.where(flat < 0, ~flat, flat)
+                raw = np.bincount(key, np.where(flat < 0, -1.0, 1.0), minlength=len(found) * slots).reshape(-1, slots)
+                row, slot = np.nonzero(raw)
+                value = raw[row, slot] / np.sqrt((raw * raw).sum(1))[row]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(value)], names=["id", "slot", "value"])
 
     kind = rows.schema[id_].dataType.simpleString()
-    found = rows.select(F.col(id_), tx.tokens(F.col(text)).alias("tokens")).mapInArrow(run, f"id {kind}, slot int, value double")
+    found = rows.select(F.col(id_), F.col(text)).mapInArrow(run, f"id {kind}, slot int, value double")
     return found.select(F.col("id").alias(id_), "slot", F.round("value", 6).alias("value"))
 
 
@@ -211,23 +211,23 @@ def top_k(queries: DataFrame, records: DataFrame, k: int, block: int = 2048, sli
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("place") <= k).select("q", "r", "score", "place")
 
 
-def exact_hits(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, words: int = 6, text: str = "text") -> DataFrame:
+def exact_hits(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, text: str = "text") -> DataFrame:
     """(q, r): documents that hold an item's whole normalised text, at word edges.
 
-    Such a document holds the item's first words, so candidates come from an equi-join on shingles of that many words;
-    the whole texts decide.
+    All items stand in one automaton over words (in blocks of measured size), which is broadcast; each text is read once
+    where it is. Items without words are in no document.
     """
-    tokens = tx.tokens(F.col(text))
-    heads = items.select(F.col(id_q).alias("q"), tx.normalize(F.col(text)).alias("whole"), tokens.alias("t")).where("size(t) > 0")
-    heads = heads.select("q", "whole", F.least(F.size("t"), F.lit(words)).alias("n"), F.array_join(F.slice("t", 1, words), " ").alias("head"))
-    lengths = [r["n"] for r in heads.select("n").distinct().collect()]  # ``words`` rows at most
-    cut = docs.select(F.col(id_r).alias("r"), tokens.alias("w"))
-    none = F.array().cast("array<string>")
-    shingles = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(none)
-    grams = cut.select("r", F.explode(F.array_distinct(F.concat(none, *[shingles(n) for n in lengths]))).alias("head"))
-    pairs = grams.join(heads, "head").select("q", "r", "whole").distinct()
-    bodies = docs.select(F.col(id_r).alias("r"), F.concat(F.lit(" "), tx.normalize(F.col(text)), F.lit(" ")).alias("body"))
-    return pairs.join(bodies, "r").where(F.col("body").contains(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")))).select("q", "r")
+
+    def task(shared):
+        def run(batches):
+            for batch in batches:
+                rows = [(q, r) for r, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q in shared.value.items_in(words_of(x))]
+                yield _batch(rows, ["q", "r"], [pa.int64(), pa.int64()])
+
+        return run
+
+    asked = _texts(docs, id_r, text)
+    return _past_blocks(_texts(items, id_q, text), WordAutomaton, lambda shared: asked.mapInArrow(task(shared), "q long, r long"), "exact-hits")
 
 
 def hybrid_search(semantic: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -19,13 +19,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.llm.common import Scratch, as_bytes, hash_words, mix64, tidy
 
 BITS = 27  # of the bit set of frequent pairs: 16 MB
-AT_ONCE = 1 << 21  # words that a task counts before it hands rows on
+AT_ONCE = 1 << 20  # words that a task counts before it hands rows on
+ROWS = 1 << 16  # of one batch
 _STOP = b"\xff"  # no byte of UTF-8
 #: A-Z to lower case, stops to one byte, tabs to blanks
 FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -85,30 +87,33 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return hash_words([b" ".join(words)])[0]
 
 
-def _rows(found: list[tuple[str, list, list]]) -> pa.RecordBatch:
-    lang = pa.array([x for x, own, _ in found for _ in own], pa.string())
-    gram = pa.array([g for _, own, _ in found for g in own], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([lang, gram, pa.array([c for *_, own in found for c in own], pa.int64())], names=["lang", "gram", "c"])
+def _rows(lang: str, grams: pa.Array, counts: np.ndarray):
+    """Batches of (lang, gram, c)."""
+    for lo in range(0, len(counts), ROWS):
+        own = counts[lo : lo + ROWS]
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(own)), grams.slice(lo, ROWS).cast(pa.string()), pa.array(own, pa.int64())], names=["lang", "gram", "c"])
 
 
-def _short_counts(texts: Texts) -> pa.RecordBatch:
+def _joined(words: pa.Array, *numbers: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(*[words.take(pa.array(n)) for n in numbers], b" ")
+
+
+def _short_counts(texts: Texts):
     """Counts of words and pairs, and of all words of a language (gram null)."""
-    words, out = texts.words(), []
+    words = pa.array(texts.words(), pa.binary())
     for lang, row in texts.streams():
         own = np.bincount(row, minlength=len(words))
         some = np.flatnonzero(own[1:]) + 1
-        out.append((lang, [words[i] for i in some.tolist()], own[some].tolist()))
-        out.append((lang, [None], [int(own[1:].sum())]))
+        yield from _rows(lang, words.take(pa.array(some)), own[some])
+        yield from _rows(lang, pa.nulls(1, pa.binary()), own[1:].sum(keepdims=True))
         key, count = np.unique(_pairs(row, len(words))[1], return_counts=True)
-        a, b = np.divmod(key, len(words))
-        out.append((lang, [words[i] + b" " + words[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], count.tolist()))
-    return _rows(out)
+        yield from _rows(lang, _joined(words, *np.divmod(key, len(words))), count)
 
 
-def _long_counts(texts: Texts, frequent: np.ndarray, bits: int) -> pa.RecordBatch:
+def _long_counts(texts: Texts, frequent: np.ndarray, bits: int):
     """Counts of the phrases of three words whose two pairs are in the bit set."""
-    words, out = texts.words(), []
-    hashes = word_hashes(words[1:])
+    words = texts.words()
+    hashes, words = word_hashes(words[1:]), pa.array(words, pa.binary())
     for lang, row in texts.streams():
         at, key = _pairs(row, len(words))
         pair, number = np.unique(key, return_inverse=True)
@@ -116,10 +121,8 @@ def _long_counts(texts: Texts, frequent: np.ndarray, bits: int) -> pa.RecordBatc
         good = ((frequent[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)[number]
         first = np.flatnonzero(good[:-1] & good[1:] & (at[1:] == at[:-1] + 1))
         key, count = np.unique(number[first] * len(words) + row[at[first] + 2], return_counts=True)
-        begin, c = np.divmod(key, len(words))
-        a, b = np.divmod(pair[begin], len(words))
-        out.append((lang, [b" ".join((words[i], words[j], words[k])) for i, j, k in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)], count.tolist()))
-    return _rows(out)
+        begin, last = np.divmod(key, len(words))
+        yield from _rows(lang, _joined(words, *np.divmod(pair[begin], len(words)), last), count)
 
 
 def _count_task(shared, bits: int, at_once: int):
@@ -132,10 +135,10 @@ def _count_task(shared, bits: int, at_once: int):
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 texts.add(lang, text)
                 if texts.held >= at_once:
-                    yield counts(texts)
+                    yield from counts(texts)
                     texts.clear()
         if texts.held:
-            yield counts(texts)
+            yield from counts(texts)
 
     return tidy(run)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
@@ -12,18 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-blocks ratio of normalised texts; 1 if one holds the other, 0 if one is empty."""
-
-    def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        return 1.0 if x in y or y in x else difflib.SequenceMatcher(None, x, y).ratio()
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(T.StringType())
 def tidy_prose(x: pd.Series) -> pd.Series:
     """Compatibility forms composed, curly quotes straight, no space before stops, one space between words."""
@@ -106,31 +93,7 @@ def inline_options(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
-@F.pandas_udf(T.DoubleType())
-def plain_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-blocks ratio of two lines."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(T.StringType())
 def straight_quotes(x: pd.Series) -> pd.Series:
     """Typographic quotes and apostrophes as plain ones."""
     return x.str.translate(str.maketrans("‘’“”", "''\"\""))
-
-
-def _line_match(t: str, c: str) -> float:
-    a, b = t.split(), c.split()
-    if not a or not b:
-        return 0.0
-    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
-    coverage, overlap = len(set(a) & set(b)) / len(set(a)), len(set(a) & set(b)) / len(set(a) | set(b))
-    slack = 1 if len(a) <= 3 else max(2, int(len(a) * 0.35))
-    sizes = range(max(1, len(a) - slack), min(len(b), len(a) + slack) + 1)
-    local = max((ratio(" ".join(a), " ".join(b[i : i + n])) for n in sizes for i in range(len(b) - n + 1)), default=0.0)
-    return min(1.0, 0.55 * coverage + 0.25 * local + 0.15 * overlap + 0.05 * ratio(t, c) + (0.10 if coverage >= 0.75 else 0.0))
-
-
-@F.pandas_udf(T.DoubleType())
-def line_match(target: pd.Series, line: pd.Series) -> pd.Series:
-    """How well a short target is found in a line: its words, the window most like it, and both as a whole."""
-    return pd.Series([_line_match(x or "", y or "") for x, y in zip(target, line, strict=True)], dtype="float64")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markwright.functions import pages as pg
 from markwright.functions import text as tx
-from markwright.functions import udfs
+from markwright.functions import sequences
 
 
 def dedup_groups(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def disagreements(left: DataFrame, right: DataFrame, at: float = 0.995) -> DataF
     l, r = left.withColumnRenamed("text", "left_text"), right.withColumnRenamed("text", "right_text")  # noqa: E741
     a, b = tx.one_line(F.lower("left_text")), tx.one_line(F.lower("right_text"))
     both = l.join(r, ["page", "line"]).where((a != "") & (b != "") & (a != b))
-    rows = both.withColumn("similarity", udfs.plain_ratio(a, b)).withColumn("math", F.col("left_text").rlike(MATH_MARKS) | F.col("right_text").rlike(MATH_MARKS))
+    rows = both.withColumn("similarity", sequences.plain_ratio(a, b)).withColumn("math", F.col("left_text").rlike(MATH_MARKS) | F.col("right_text").rlike(MATH_MARKS))
     return rows.where(F.col("math") | (F.col("similarity") < at))
 
 

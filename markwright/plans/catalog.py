@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markwright.functions import exprs as ex
 from markwright.functions import text as tx
-from markwright.functions import udfs
+from markwright.functions import sequences, udfs
 from markwright.operators import analytics, corpus, matching, relational, review
 from markwright.sources import readers
 from markwright.sources.readers import table
@@ -589,7 +589,7 @@ def sequence_match(spark: SparkSession, d: str) -> DataFrame:
     best = matching.ranked_items(asked, items, "id", "item_id", 1, "jaccard").select(F.col("q").alias("id"), F.col("r").alias("item_id"), F.round(F.col("shared") / F.col("n_q"), 4).alias("overlap"))
     best = best.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "item_id"))).where("p = 1").drop("p")
     texts = best.join(asked, "id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
-    ratio = F.round(udfs.sequence_ratio(tx.normalize(F.col("text")), tx.normalize(F.col("item"))), 4)
+    ratio = F.round(sequences.sequence_ratio(tx.normalize(F.col("text")), tx.normalize(F.col("item"))), 4)
     rows = texts.select("id", "item_id", "overlap", ratio.alias("sequence"))
     score = F.round(matching.match_score(F.col("overlap"), F.col("sequence"), F.lit(0.0)), 4)
     return rows.withColumn("score", score).withColumn("status", ex.match_status(score))

@@ -228,14 +228,22 @@ def header_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH a AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> '')[1:8], ' ') AS l, doc_id % 4 AS k FROM documents)
-SELECT doc_id, k = 1 OR regexp_matches(l, 'log|[\^_/=+-]') AS math FROM a WHERE l <> '' AND k IN (1, 2)
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)
+SELECT doc_id, CAST(line AS INTEGER) AS line, line % 4 = 1 OR regexp_matches(t, 'log|[\^_/=+-]') AS math FROM l WHERE trim(regexp_replace(t, '\s+', ' ', 'g')) <> '' AND line % 4 IN (1, 2)
 """)
 def reading_disagreements(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of two readings of a page that differ, or that differ in mathematics."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.lit(0).alias("line"), tx.preview(F.col("text"), 8).alias("text")).where("text <> ''")
-    other = F.when(F.col("page") % 4 == 1, F.concat("text", F.lit(" ="))).when(F.col("page") % 4 == 2, F.concat(F.lit("qqqq qqqq "), F.col("text"))).otherwise(F.concat(F.lit(" "), F.col("text")))
-    return corpus.disagreements(docs, docs.withColumn("text", other)).select(F.col("page").alias("doc_id"), "math")
+    """Lines of two readings of a text that differ, or that differ in mathematics.
+
+    The second reading adds a sign to some lines, reads others twice, and differs in blanks in the rest.
+    """
+    return _disagreements(spark, d).select(F.col("page").alias("doc_id"), "line", "math")
+
+
+def _disagreements(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    k = F.col("line") % 4
+    other = F.when(k == 1, F.concat("text", F.lit(" ="))).when(k == 2, F.concat("text", F.lit(" "), "text")).when(k == 3, F.concat("text", F.lit(" \t "))).otherwise(F.concat(F.lit(" "), F.col("text")))
+    return corpus.disagreements(lines, lines.withColumn("text", other))
 
 
 @query("""

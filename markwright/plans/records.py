@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from markwright.functions import exprs as ex
 from markwright.functions import pages as pg
 from markwright.functions import text as tx
-from markwright.functions import udfs
+from markwright.functions import sequences, udfs
 from markwright.operators import corpus, relational, review
 from markwright.plans.catalog import query
 from markwright.plans.marking import pick
@@ -337,7 +337,10 @@ def normalised_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def line_matches(spark: SparkSession, d: str) -> DataFrame:
-    """How well a question's first words are found in the answer's first line."""
-    order = relational.ordered("conv_id", "turn")
-    rows = table(spark, d, "conversations").withColumn("next", F.lead("text").over(order)).where("role = 'user' AND next IS NOT NULL")
-    return rows.select("conv_id", "turn", F.round(udfs.line_match(tx.normalize(tx.preview(F.col("text"), 4)), tx.normalize(tx.preview(F.col("next"), 12))), 4).alias("score"))
+    """For each question's first sentence the line of the answer that it is found in best, and how well."""
+    asked = table(spark, d, "conversations").withColumn("next", F.lead("text").over(relational.ordered("conv_id", "turn"))).where("role = 'user' AND next IS NOT NULL")
+    lines = asked.select("conv_id", "turn", F.get(F.split("text", "[.?!\n]"), F.lit(0)).alias("target"), F.posexplode(F.split("next", "\n", -1)).alias("line", "text"))
+    lines = lines.repartition(2 * spark.sparkContext.defaultParallelism)  # few bytes, much work
+    scored = lines.withColumn("score", F.round(sequences.line_match(tx.normalize(F.col("target")), tx.normalize(F.col("text"))), 4))
+    best = F.max_by(F.struct("line", "score"), F.struct("score", -F.col("line")))
+    return scored.groupBy("conv_id", "turn").agg(best.alias("best")).select("conv_id", "turn", "best.line", "best.score")

@@ -68,6 +68,40 @@ def test_sequences_match_as_the_library_says(spark):
         assert abs(r["sequence"] - (1.0 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio())) < 1e-4
 
 
+def test_line_matches_by_the_library(spark):
+    plain = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    of = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+
+    def score(t, c):
+        a, b = t.split(), c.split()
+        if not a or not b:
+            return 0.0
+        both, slack = len(set(a) & set(b)), 1 if len(a) <= 3 else max(2, int(len(a) * 0.35))
+        windows = [" ".join(b[i : i + n]) for n in range(max(1, len(a) - slack), min(len(b), len(a) + slack) + 1) for i in range(len(b) - n + 1)]
+        total = 0.55 * both / len(set(a)) + 0.25 * max([of(t, w) for w in windows], default=0.0) + 0.15 * both / len(set(a) | set(b)) + 0.05 * of(t, c)
+        return min(1.0, total + (0.10 if both / len(set(a)) >= 0.75 else 0.0))
+
+    turns = _table("conversations").sort_values(["conv_id", "turn"])
+    turns["next"] = turns.groupby("conv_id")["text"].shift(-1)
+    asked = {(r.conv_id, r.turn): r for r in turns.itertuples() if r.role == "user" and r.next}
+    got = {(r["conv_id"], r["turn"]): (r["line"], r["score"]) for r in _rows(spark, "line_matches")}
+    assert got.keys() == {k for k, r in asked.items() if isinstance(r.next, str)}
+    for key, (line, value) in list(got.items())[::9]:
+        target = plain(re.split(r"[.?!\n]", asked[key].text)[0])
+        every = [round(score(target, plain(x)), 4) for x in asked[key].next.split("\n")]
+        assert abs(value - max(every)) < 2e-4 and abs(every[line] - value) < 2e-4
+
+
+def test_disagreements_by_the_library(spark):
+    from markwright.plans import papers
+
+    plain = lambda x: " ".join(x.lower().split())
+    rows = papers._disagreements(spark, DATA).collect()
+    assert len(rows) > 100
+    for r in rows[::7]:
+        assert abs(r["similarity"] - difflib.SequenceMatcher(None, plain(r["left_text"]), plain(r["right_text"])).ratio()) < 1e-9
+
+
 def test_prose_runs_by_hand(spark):
     def run(lines):
         best = cur = 0

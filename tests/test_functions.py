@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from markwright.functions import exprs as ex
 from markwright.functions import text as tx
-from markwright.functions import udfs
+from markwright.functions import sequences, udfs
 
 
 def one(spark, column, **values):
@@ -139,7 +139,7 @@ def test_mark_range(spark):
 
 
 def test_udfs(spark):
-    assert one(spark, udfs.sequence_ratio(F.col("a"), F.col("b")), a="water", b="the water") == 1.0
+    assert one(spark, sequences.sequence_ratio(F.col("a"), F.col("b")), a="water", b="the water") == 1.0
     assert one(spark, udfs.tidy_prose(F.col("a")), a="“A ﬁne  day” .") == '"A fine day".'
     assert one(spark, udfs.repair_mojibake(F.col("a")), a="cafÃ©") == "café"
     assert one(spark, udfs.repair_json(F.col("a")), a='```json\n{"a": [1, 2,], "b": {"c": 3') == '{"a": [1, 2], "b": {"c": 3}}'
@@ -147,7 +147,7 @@ def test_udfs(spark):
 
 
 def test_line_match(spark):
-    score = lambda a, b: one(spark, udfs.line_match(F.col("a"), F.col("b")), a=a, b=b)
+    score = lambda a, b: one(spark, sequences.line_match(F.col("a"), F.col("b")), a=a, b=b)
     assert score("", "x") == 0.0 and score("water boils", "water boils") == 1.0
     assert abs(score("water boils", "the water boils at once") - (0.55 + 0.25 + 0.15 * 2 / 5 + 0.05 * 2 * 11 / 34 + 0.10)) < 1e-9
     assert score("water boils", "a gas") < 0.3

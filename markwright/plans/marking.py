@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markwright.functions import exprs as ex
+from markwright.functions import formulas
 from markwright.functions import pages as pg
 from markwright.functions import text as tx
 from markwright.operators import analytics, corpus, matching, review
@@ -85,24 +86,42 @@ def optional_filters(spark: SparkSession, d: str) -> DataFrame:
     return some.select("c_custkey", "subject").unionByName(other.select((F.col("c_custkey") + 1000000000).alias("c_custkey"), "subject"))
 
 
-@query(r"""
-SELECT l_orderkey, l_linenumber, CASE l_partkey % 9
-  WHEN 0 THEN 'log base 10 ' || n WHEN 1 THEN 'log base 10 x = ' || n WHEN 2 THEN 'log(base=3,arg=' || n || 'y) + 1' WHEN 3 THEN 'x^2 + ' || n || ' = 0' WHEN 4 THEN 'ln x + logic ' || n
-  WHEN 5 THEN 'log(base=2,arg=x+' || n || ')' WHEN 6 THEN 'log base 10 (x) + ' || n WHEN 7 THEN 'log base 10 ' || n || ' 2' ELSE '(' || n || ' - a) / b^10' END AS matcher,
-  CASE l_partkey % 9 WHEN 0 THEN 'log_10 (' || n || ')' WHEN 1 THEN 'lg x = ' || n WHEN 2 THEN 'log_3 (' || n || ' y) + 1' WHEN 3 THEN 'x^2 + ' || n || ' = 0' WHEN 4 THEN 'ln x + logic ' || n
-  WHEN 5 THEN 'log_2 (x + ' || n || ')' WHEN 6 THEN 'log (x) + ' || n WHEN 7 THEN 'log ' || n || '^2' ELSE '(' || n || ' - a) / b^10' END AS display
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n FROM lineitem) WHERE l_partkey % 9 NOT IN (4, 6, 7)
-UNION ALL SELECT l_orderkey, l_linenumber, CASE l_partkey % 9 WHEN 4 THEN 'ln x logic ' || n WHEN 6 THEN 'log base 10 x ' || n ELSE 'log base 10 ' || n || ' power 2' END,
-  CASE l_partkey % 9 WHEN 4 THEN 'ln x + logic ' || n WHEN 6 THEN 'log (x) + ' || n ELSE 'log ' || n || '^2' END
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n FROM lineitem) WHERE l_partkey % 9 IN (4, 6, 7)
+_FORMULA = """f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_partkey % 4 AS k, CAST(l_suppkey % 17 + 2 AS VARCHAR) AS b, CAST(l_partkey AS VARCHAR) AS p, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS n,
+  CAST(CAST(l_discount * 100 AS BIGINT) + 2 AS VARCHAR) AS e, ['+', '-', '*', '/'][l_linenumber % 4 + 1] AS s, chr(CAST(97 + l_partkey % 3 AS INTEGER)) AS x FROM lineitem)"""
+
+
+@query(rf"""
+WITH {_FORMULA},
+g AS (SELECT *, x || '^' || e || ' ' || s || ' ' || n AS plain, CASE k WHEN 0 THEN 'log_' || b || ' (' || p || ' ' || s || ' ' || x || ')' WHEN 1 THEN 'log_' || b || ' ' || x WHEN 2 THEN 'lg ' || p ELSE 'ln (' || p || x || ')' END AS head FROM f),
+h AS (SELECT *, head || ' = ' || plain AS display, CASE k WHEN 0 THEN 'log(base=' || b || ',arg=' || p || s || x || ') = ' || plain WHEN 1 THEN 'log(base=' || b || ',arg=' || x || ') = ' || plain END AS canonical FROM g)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, display, coalesce(canonical, raw) AS canonical,
+  CASE WHEN k = 2 THEN replace(raw, 'lg', 'log base 10') WHEN k = 3 THEN raw WHEN b = '10' THEN 'log base 10 ' || CASE k WHEN 0 THEN p || s || x ELSE x END || ' = ' || plain ELSE canonical END AS matcher,
+  CASE WHEN k IN (0, 1) AND length(b) > 1 THEN 'merged_log_base_operand' ELSE '' END AS warnings
+FROM (SELECT *, CASE k WHEN 2 THEN 'lg ' || p ELSE 'ln( ' || p || x || ' )' END || '=' || x || translate(e, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') || ' ' || s || n AS raw FROM h)
 """)
 def math_text(spark: SparkSession, d: str) -> DataFrame:
-    """Formulas with raised and lowered digits, as they are shown and as they are matched on."""
-    n = F.col("l_quantity").cast("long").cast("string")
-    forms = [("log₁₀(", ")"), ("lg x=", ""), ("log₃(", " y)+1"), ("x² + ", "=0"), ("ln x+logic ", ""), ("log_2( x+", " )"), ("log(x)+", ""), ("log ", "²"), ("(", "−a)/b¹⁰")]
-    raw = F.element_at(F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in forms]), (F.col("l_partkey") % 9 + 1).cast("int"))
-    plain = F.translate(tx.one_line(raw), tx.HYPHENS + tx.SPACES, "-" * len(tx.HYPHENS) + " " * len(tx.SPACES))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.matcher_math(raw).alias("matcher"), tx.display_math(plain).alias("display"))
+    """Formulas with raised and lowered digits: as they are shown, in canonical form, as they are matched on, and their doubts."""
+    number = lambda c: c.cast("long").cast("string")
+    base, p, n = number(F.col("l_suppkey") % 17 + 2), number(F.col("l_partkey")), number(F.col("l_quantity"))
+    x, s, power = F.chr(97 + F.col("l_partkey") % 3), pick(F.col("l_linenumber"), "+", "-", "*", "/"), F.translate(number(F.round(F.col("l_discount") * 100) + 2), tx.DIGITS, tx.SUPERSCRIPTS)
+    lowered = F.translate(base, tx.DIGITS, tx.SUBSCRIPTS)
+    heads = [F.concat(F.lit("log"), lowered, F.lit("( "), p, s, x, F.lit(")")), F.concat(F.lit("log_"), base, x), F.concat(F.lit("lg "), p), F.concat(F.lit("ln( "), p, x, F.lit(" )"))]
+    raw = F.concat(F.element_at(F.array(*heads), (F.col("l_partkey") % 4 + 1).cast("int")), F.lit("="), x, power, F.lit(" "), s, n)
+    rows = table(spark, d, "lineitem").withColumn("raw", raw).withColumn("f", formulas.math_normalised(F.col("raw")))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "f.display", "f.canonical", formulas.matcher_math(F.col("raw")).alias("matcher"), F.array_join("f.warnings", ",").alias("warnings"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, contains(lower(text), 'log') AS logs FROM documents),
+d AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s*([=+\-*/()])\s*', ' \1 ', 'g'), '\s+\^', '^', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g') AS shown FROM t),
+e AS (SELECT *, trim(regexp_replace(shown, '\s+', ' ', 'g')) AS display FROM d)
+SELECT doc_id, md5(display) AS display_md5, md5(CASE WHEN logs THEN trim(regexp_replace(regexp_replace(regexp_replace(display, '\^(\d+)', ' power \1', 'g'), '[^A-Za-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) ELSE flat END) AS matcher_md5,
+  CASE WHEN logs THEN 'canonical_math_missing' ELSE '' END AS warnings FROM e
+""")
+def math_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents read as mathematics; none of them holds raised or lowered digits, few name a logarithm."""
+    rows = table(spark, d, "documents").withColumn("f", formulas.math_normalised(F.col("text")))
+    return rows.select("doc_id", F.md5("f.display").alias("display_md5"), F.md5("f.matcher").alias("matcher_md5"), F.array_join("f.warnings", ",").alias("warnings"))
 
 
 @query("""

@@ -84,27 +84,6 @@ def test_scheme_option(spark, x, want):
     assert one(spark, tx.scheme_option(F.col("a")), a=x) == want
 
 
-@pytest.mark.parametrize(
-    "x,want",
-    [
-        ("solve log x = 2", "solve log base 10 x = 2"), ("lg 5", "log base 10 5"), ("logic and logarithm", "logic and logarithm"), ("log base 2 x", "log base 2 x"), ("log_3 x", "log_3 x"), ("ln x", "ln x"),
-        ("log base 10 y", "log base 10 y"), ("log(base=10,arg=x)", "log base 10 x"), ("log(base=2,arg=x)", "log(base=2,arg=x)"), ("log(x)", "log base 10(x)"), ("catalog 3", "catalog 3"),
-    ],
-)
-def test_common_log(spark, x, want):
-    assert one(spark, tx.common_log(F.col("a")), a=x) == want
-    assert one(spark, tx.common_log(F.col("a")), a=want) == want
-
-
-@pytest.mark.parametrize(
-    "x,display,canonical",
-    [("log₂(x)", "log_2 (x)", "log(base=2,arg=x)"), ("log₁₀100", "log_10 100", "log(base=10,arg=100)"), ("x² +y³", "x^2 + y^3", "x^2 + y^3"), ("log_2(x + 1)=3", "log_2 (x + 1) = 3", "log(base=2,arg=x+1) = 3"), ("H₂O", "H₂O", "H₂O")],
-)
-def test_math_display_and_canonical_form(spark, x, display, canonical):
-    assert one(spark, tx.display_math(F.col("a")), a=x) == display
-    assert one(spark, tx.canonical_math(F.col("a")), a=display) == canonical
-
-
 @pytest.mark.parametrize(
     "x,subject,kind,family",
     [

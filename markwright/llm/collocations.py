@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from markwright.llm.common import Scratch, as_bytes, hash_words, mix64, tidy
 
 BITS = 27  # of the bit set of frequent pairs: 16 MB
-AT_ONCE = 1 << 20  # words that a task counts before it hands rows on
+AT_ONCE = 1 << 19  # words that a task counts before it hands rows on
 ROWS = 1 << 16  # of one batch
 _STOP = b"\xff"  # no byte of UTF-8
 #: A-Z to lower case, stops to one byte, tabs to blanks

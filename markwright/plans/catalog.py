@@ -734,4 +734,4 @@ def prose_runs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", review.prose_run(F.split("text", "\n", -1)).alias("words"))
 
 
-from markwright.plans import marking, papers, records  # noqa: E402, F401  (they register their queries)
+from markwright.plans import marking, papers, records, streams  # noqa: E402, F401  (they register their queries)

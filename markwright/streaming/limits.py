@@ -95,17 +95,3 @@ def append_once(events: DataFrame, id_: str, at: str, order: str) -> DataFrame:
 def dual_write(rows: DataFrame, accepted) -> tuple[DataFrame, DataFrame]:
     """What a primary store gets (all), and a secondary one that only takes some and never holds up the first."""
     return rows, rows.where(F.coalesce(accepted, F.lit(False)))
-
-
-def write_both(stream: DataFrame, first: str, second: str, accepted, checkpoint: str):
-    """A stream to two stores: a batch is done once the first has it; what the second refuses or fails to take is told."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        main, rest = dual_write(batch, accepted)
-        main.write.mode("append").parquet(first)
-        try:
-            rest.write.mode("append").parquet(second)
-        except Exception as error:  # the second store is best effort
-            print(f"batch {number}: the second store failed: {error}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

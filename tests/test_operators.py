@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from markwright.operators import corpus, relational
 from markwright.sources import readers
-from markwright.streaming import limits
+from markwright.streaming import limits, sinks
 
 
 def test_course_files(spark):
@@ -76,8 +76,12 @@ def test_places_within_buckets(spark):
 def test_both_stores(spark, tmp_path):
     _events(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("event_id long, user_id long, s int, ts timestamp").parquet(str(tmp_path / "in"))
-    limits.write_both(source, str(tmp_path / "a"), str(tmp_path / "b"), F.col("user_id") == 7, str(tmp_path / "c")).awaitTermination(120)
+    sinks.write_both(source, str(tmp_path / "a"), str(tmp_path / "b"), F.col("user_id") == 7, str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "a")).count() == 6 and spark.read.parquet(str(tmp_path / "b")).count() == 5
+    (tmp_path / "full").write_text("no folder")
+    sinks.write_both(source, str(tmp_path / "d"), str(tmp_path / "full"), F.col("user_id") == 7, str(tmp_path / "e")).awaitTermination(120)
+    lost = spark.read.parquet(str(tmp_path / "d-retry"))
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 6 and lost.count() == 5 and lost.where("_reason <> '' AND _batch = 0").count() == 5
 
 
 def test_json_lines_skip_blank_ones(spark, tmp_path):

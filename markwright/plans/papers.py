@@ -9,7 +9,7 @@ from markwright.functions import exprs as ex
 from markwright.functions import pages as pg
 from markwright.functions import text as tx
 from markwright.functions import udfs
-from markwright.operators import corpus, relational, review
+from markwright.operators import corpus, geometry, relational, review
 from markwright.plans.catalog import _T, query
 from markwright.plans.marking import pick
 from markwright.sources import readers
@@ -317,17 +317,48 @@ def foreign_papers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("paper", pg.foreign_paper(F.array(F.lit(1), F.lit(2), F.lit(3)), F.col("seen")).alias("other_paper"))
 
 
-@query(r"""
-WITH s AS (SELECT doc_id, text, CAST(doc_id % 90 AS INTEGER) AS a, CAST(doc_id % 70 AS INTEGER) AS b, CAST(doc_id % 110 AS INTEGER) AS c, CAST(doc_id % 60 AS INTEGER) AS e, CAST(round(length(trim(text)) / 5.2) AS INTEGER) AS est, len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')) AS n FROM documents),
-v AS (SELECT *, list_sort(list_filter([a, b, c, CAST(round_even(e * 0.80, 0) AS INTEGER), CAST(round_even(est * 0.90, 0) AS INTEGER), CAST(round_even(n * 0.75, 0) AS INTEGER)], lambda x: x > 0)) AS g FROM s),
-m AS (SELECT *, CASE WHEN len(g) = 0 THEN 0 WHEN len(g) % 2 = 1 THEN g[len(g) // 2 + 1] ELSE CAST(round_even((g[len(g) // 2] + g[len(g) // 2 + 1]) / 2.0, 0) AS INTEGER) END AS p FROM v)
-SELECT doc_id, CAST(CASE WHEN p < 80 AND est >= 100 THEN greatest(p, round_even(est * 0.85, 0)) ELSE p END AS INTEGER) AS words, CAST(greatest(n, est) AS INTEGER) AS estimate FROM m
+_BOXES = r"""w AS (SELECT doc_id, i, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS j FROM (SELECT doc_id, i, list_filter(string_split_regex(trim(s), '\s+'), lambda x: x <> '') AS ws
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))),
+b AS (SELECT *, 50.0 * j AS x0, 50.0 * j + 40 AS x1, 20.0 * i + j % 3 AS y0, 20.0 * i + 12 + j % 4 AS y1, len(regexp_extract_all(t, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)?')) AS n FROM w), h AS (SELECT doc_id, max(y1) AS h FROM b GROUP BY doc_id),
+l AS (SELECT doc_id, i, string_agg(t, ' ' ORDER BY j) AS s, CAST(sum(n) AS BIGINT) AS n, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM b GROUP BY doc_id, i),
+p AS (SELECT l.*, (y0 + y1) / 2 BETWEEN h * 0.08 AND h * 0.92 AND NOT regexp_matches(lower(s), 'write a precis|suggest a suitable title|suggest title|précis|precis|exercise|question|words|summary') AND (n >= 5 OR (n >= 3 AND regexp_matches(s, '[.,;:]$'))) AS ok FROM l JOIN h USING (doc_id))"""
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the documents' lines as boxes, as a scan would place them: not quite even."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
+    words = lines.select("doc_id", "i", F.posexplode(pg.words(F.col("s"))).alias("j", "text"))
+    j, top = F.col("j"), 20.0 * F.col("i")
+    return words.select("doc_id", "text", (50.0 * j).alias("x0"), (top + j % 3).alias("y0"), (50.0 * j + 40).alias("x1"), (top + 12 + j % 4).alias("y1"))
+
+
+@query(rf"""
+WITH {_BOXES},
+r AS (SELECT b.doc_id, CAST(sum(b.n) AS BIGINT) AS n FROM b WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = b.doc_id AND ok AND (b.x0 + b.x1) / 2 BETWEEN p.x0 - 8 AND p.x1 + 8 AND (b.y0 + b.y1) / 2 BETWEEN p.y0 - 5 AND p.y1 + 5) GROUP BY b.doc_id),
+d AS (SELECT b.doc_id, CAST(coalesce(sum(n) FILTER (length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) > 1 AND (y0 + y1) / 2 BETWEEN h * 0.08 AND h * 0.92), 0) AS BIGINT) AS n FROM b JOIN h USING (doc_id) GROUP BY b.doc_id),
+t AS (SELECT doc_id, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS by_lines, CAST(sum(n) AS BIGINT) AS by_text, length(coalesce(string_agg(s, ' ' ORDER BY i) FILTER (ok), string_agg(s, ' ' ORDER BY i))) AS chars FROM p GROUP BY doc_id),
+e AS (SELECT doc_id, by_lines, coalesce(r.n, 0) AS in_regions, d.n AS in_band, CAST(round_even(chars / 5.2, 0) AS BIGINT) AS by_length, by_text FROM t JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, list_sort(list_filter([by_lines, by_lines, in_regions, CAST(round_even(in_band * 0.80, 0) AS BIGINT), CAST(round_even(by_length * 0.90, 0) AS BIGINT), CAST(round_even(by_text * 0.75, 0) AS BIGINT)], lambda x: x > 0)) AS g FROM e),
+m AS (SELECT *, CASE WHEN len(g) = 0 THEN 0 WHEN len(g) % 2 = 1 THEN g[len(g) // 2 + 1] ELSE CAST(round_even((g[len(g) // 2] + g[len(g) // 2 + 1]) / 2.0, 0) AS BIGINT) END AS k FROM v)
+SELECT doc_id, CAST(CASE WHEN k < 80 AND by_length >= 100 THEN greatest(k, round_even(by_length * 0.85, 0)) ELSE k END AS INTEGER) AS words, CAST(by_lines AS INTEGER) AS by_lines, CAST(in_regions AS INTEGER) AS in_regions, CAST(in_band AS INTEGER) AS in_band,
+  CAST(by_length AS INTEGER) AS by_length, CAST(by_text AS INTEGER) AS by_text FROM m
 """)
 def passage_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a passage by the median of six estimates."""
-    k = lambda n: (F.col("doc_id") % n).cast("int")
-    x = F.col("text")
-    return table(spark, d, "documents").select("doc_id", pg.passage_words(k(90), k(70), k(110), k(60), x).cast("int").alias("words"), pg.word_estimate(x).alias("estimate"))
+    """Words of each document's passage by the middle of six estimates, all from the boxes of its words."""
+    return geometry.passage_words(_boxes(spark, d), "doc_id")
+
+
+@query(rf"""
+WITH {_BOXES}, f AS (SELECT doc_id, x0 + 60 AS x0, y0 + 3 AS y0, x0 + 60 + 40 * (i % 7) AS x1, y0 + 45 AS y1 FROM l WHERE i % 3 = 1)
+SELECT b.doc_id, count(*) AS n, CAST(sum(b.n) AS BIGINT) AS words FROM b WHERE EXISTS (SELECT 1 FROM f WHERE f.doc_id = b.doc_id AND (b.x0 + b.x1) / 2 BETWEEN f.x0 - 2 AND f.x1 + 2 AND (b.y0 + b.y1) / 2 BETWEEN f.y0 - 1 AND f.y1 + 1) GROUP BY b.doc_id
+""")
+def words_in_figures(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of a page lie in marked boxes, each once however many boxes hold it."""
+    boxes = _boxes(spark, d)
+    lines = geometry.line_boxes(boxes.withColumn("line", F.floor(F.col("y0") / 20)), "doc_id").where("line % 3 = 1")
+    figures = lines.select("doc_id", (F.col("x0") + 60).alias("x0"), (F.col("y0") + 3).alias("y0"), (F.col("x0") + 60 + 40 * (F.col("line") % 7)).alias("x1"), (F.col("y0") + 45).alias("y1"))
+    points = boxes.withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2})
+    return geometry.points_in_boxes(points, figures, "doc_id", 2.0, 1.0).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(geometry.word_count(F.col("text"))).cast("long").alias("words"))
 
 
 @query(r"""

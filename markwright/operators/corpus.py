@@ -72,25 +72,37 @@ def _long_chain(line: Column) -> Column:
     return (F.length(F.trim(line)) >= 24) & (F.regexp_count(line, F.lit("=")) >= 2) & (logs >= 3) & ~line.contains("/") & ~F.lower(line).contains("\\frac")
 
 
+#: fixed values: what makes a text one of mathematics
+MATH_SIGNS = r"(?i)(log|=|\^|sqrt|sin|cos|tan|integral|fraction|/)"
+
+
 def validation_flags(rows: DataFrame) -> DataFrame:
     """``rows(whole, question, answer, subject, ocr, split, classification)`` with ``flags`` in a fixed order, ``overall`` (the
-    least of the three confidences) and ``needs_review``."""
-    c, whole = F.col, F.coalesce("whole", F.lit(""))
-    q, a = tx.one_line(F.lower("question")), tx.one_line(F.lower("answer"))
+    least of the three confidences) and ``needs_review``.
+
+    What several flags look at is worked out once, in columns of its own, and only where a cheaper condition holds.
+    """
+    c, given = F.col, rows.columns
+    text = lambda n: F.coalesce(n, F.lit(""))
+    rows = rows.withColumns({"_whole": text("whole"), "_question": text("question"), "_answer": text("answer"), "_subject": F.lower("subject")})
+    whole, subject, math = c("_whole"), c("_subject"), c("_math")
+    named = [c(n).rlike(MATH_SIGNS) for n in ("_whole", "_question", "_answer")]
+    rows = rows.withColumns({"_q": tx.one_line(F.lower("_question")), "_a": tx.one_line(F.lower("_answer")), "_math": F.coalesce(subject == "mathematics", F.lit(False)) | named[0] | named[1] | named[2]})
+    logs = lambda n: F.when(math & F.lower(n).contains("log"), _log_bases(c(n)))
+    rows = rows.withColumns({"_bq": logs("_question"), "_ba": logs("_answer"), "_brackets": F.when(math, F.regexp_replace(whole, r"[^()\[\]{}]+", ""))})
+    q, a, bq, ba = c("_q"), c("_a"), c("_bq"), c("_ba")
     overlap = (q != "") & (a != "") & ((q == a) | ((F.length(q) >= 20) & a.contains(q)) | ((F.length(a) >= 20) & q.contains(a)))
-    subject = F.lower("subject")
-    math = (subject == "mathematics") | F.concat_ws(" ", whole, "question", "answer").rlike(r"(?i)(log|=|\^|sqrt|sin|cos|tan|integral|fraction|/)")
-    bq, ba = _log_bases(F.coalesce("question", F.lit(""))), _log_bases(F.coalesce("answer", F.lit("")))
-    uneven = (tx.excess_of_pair(whole, "(", ")") > 0) | (tx.excess_of_pair(whole, "[", "]") > 0) | (tx.excess_of_pair(whole, "{", "}") > 0)
+    uneven = (tx.excess_of_pair(c("_brackets"), "(", ")") > 0) | (tx.excess_of_pair(c("_brackets"), "[", "]") > 0) | (tx.excess_of_pair(c("_brackets"), "{", "}") > 0)
     odd = lambda mark: (F.length(whole) - F.length(F.replace(whole, F.lit(mark), F.lit("")))) % 2 == 1
+    chained = F.lower("_answer").rlike("log|ln") & c("_answer").contains("=") & F.exists(F.split("_answer", "\n"), _long_chain)
     flags = F.array_compact(F.array(
         F.when(q == "", "missing_question"), F.when(a == "", "missing_answer"), F.when(overlap, "question_answer_overlap"),
         *[F.when(c(n) < least, f"low_{n}_confidence") for n, least in LOW.items()],
-        F.when(math & (F.size(bq) > 0) & (F.size(ba) > 0) & ~F.arrays_overlap(bq, ba), "potential_log_base_mismatch"),
-        F.when(math & whole.rlike(r"\blog[0-9A-Za-z]"), "potential_subscript_loss"), F.when(math & whole.rlike(r"\b[a-zA-Z][0-9]\b"), "potential_superscript_loss"),
+        F.when((F.size(bq) > 0) & (F.size(ba) > 0) & ~F.arrays_overlap(bq, ba), "potential_log_base_mismatch"),
+        F.when(math & whole.contains("log") & whole.rlike(r"\blog[0-9A-Za-z]"), "potential_subscript_loss"), F.when(math & whole.rlike(r"\b[a-zA-Z][0-9]\b"), "potential_superscript_loss"),
         F.when(math & uneven, "potential_equation_structure_loss"),
-        F.when(math & ((whole.contains("0") & whole.contains("O")) | (whole.contains("1") & whole.rlike("[Il]"))), "potential_symbol_ambiguity"),
-        F.when(math & F.exists(F.split(F.coalesce("answer", F.lit("")), "\n"), _long_chain), "potential_fraction_or_chain_ambiguity"),
+        F.when(math & ((whole.contains("0") & whole.contains("O")) | (whole.contains("1") & (whole.contains("I") | whole.contains("l")))), "potential_symbol_ambiguity"),
+        F.when(math & chained, "potential_fraction_or_chain_ambiguity"),
         F.when((subject == "chemistry") & whole.rlike(r"\b[A-Z][a-z]?[0O][A-Za-z0-9()]*\b"), "potential_chemistry_formula_ambiguity"),
         F.when((subject == "physics") & whole.rlike(r"\b\d+\s*(hz|pa|j|v|w|n|c)\b"), "potential_physics_unit_ambiguity"),
         F.when((subject == "biology") & whole.rlike(r"\b(dna|rna|atp)\b"), "potential_biology_term_casing"),
@@ -98,7 +110,7 @@ def validation_flags(rows: DataFrame) -> DataFrame:
     ))
     low = (c("ocr") < LOW["ocr"]) | (c("split") < LOW["split"]) | (c("classification") < LOW["classification"])
     out = rows.withColumn("flags", flags).withColumn("overall", F.least("ocr", "split", "classification"))
-    return out.withColumn("needs_review", low | F.exists("flags", lambda f: f.isin(ERRORS) | f.startswith("potential_")))
+    return out.withColumn("needs_review", low | F.exists("flags", lambda f: f.isin(ERRORS) | f.startswith("potential_"))).select(*given, "flags", "overall", "needs_review")
 
 
 def assemble_lines(lines: DataFrame, by: str, order: str, opens: Column) -> DataFrame:

@@ -379,19 +379,19 @@ def single_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, c, round(least(1.0, len(regexp_extract_all(c, '[=+\-/*^_()\[\]{}|]')) / greatest(length(c), 1) * 20 + CASE WHEN bal THEN 0.1 ELSE 0 END + 0.35), 6) AS symbols,
+SELECT doc_id, md5(c) AS c_md5, round(least(1.0, len(regexp_extract_all(c, '[=+\-/*^_()\[\]{}|]')) / greatest(length(c), 1) * 20 + CASE WHEN bal THEN 0.1 ELSE 0 END + 0.35), 6) AS symbols,
   CASE WHEN len(tok) = 0 THEN 0.5 ELSE round(least(1.0, 0.4 + len(tok) / 10.0), 6) END AS math, CAST(CASE WHEN regexp_matches(c, '(?i)(^|\n)\s*(q[.)]|question[:.]?)') AND regexp_matches(c, '(?i)(^|\n)\s*(a[.)]|answer[:.]?)') THEN 1.0 WHEN regexp_matches(c, '(?i)(^|\n)\s*(q[.)]|question[:.]?)') OR regexp_matches(c, '(?i)(^|\n)\s*(a[.)]|answer[:.]?)') THEN 0.75
   WHEN regexp_matches(c, '(?i)solve|find|prove|show that|explain|state') THEN 0.55 ELSE 0.3 END AS DOUBLE) AS anchors, bal AS balanced
 FROM (SELECT doc_id, c, list_distinct(list_transform(regexp_extract_all(c, '(log|sqrt|sin|cos|tan|[A-Za-z]\^\d+|[A-Za-z]_\d+|\d+[A-Za-z]|[A-Za-z]+\d+)', 1), lambda x: lower(x))) AS tok,
   len(regexp_extract_all(c, '\(')) = len(regexp_extract_all(c, '\)')) AND len(regexp_extract_all(c, '\[')) = len(regexp_extract_all(c, '\]')) AND len(regexp_extract_all(c, '\{')) = len(regexp_extract_all(c, '\}')) AS bal
-  FROM (SELECT doc_id, ['Q. find x^', 'Answer: log(', 'Question', 'Solve: '][doc_id % 4 + 1] || (doc_id % 7) || ' + ' || split_part(text, ' ', 1) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'A. sin 30' ELSE '' END AS c FROM documents))
+  FROM (SELECT doc_id, ['Q. find x^', 'Answer: log(', 'Question', 'Solve: '][doc_id % 4 + 1] || (doc_id % 7) || ' + ' || text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'A. sin 30' ELSE '' END AS c FROM documents))
 """)
 def reading_scores(spark: SparkSession, d: str) -> DataFrame:
     """What a reading of a page preserved: symbols, mathematics, the marks of question and answer."""
     key = F.col("doc_id")
-    c = F.concat(pick(key, "Q. find x^", "Answer: log(", "Question", "Solve: "), (key % 7).cast("string"), F.lit(" + "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\n"), F.when(key % 3 == 0, "A. sin 30").otherwise(""))
+    c = F.concat(pick(key, "Q. find x^", "Answer: log(", "Question", "Solve: "), (key % 7).cast("string"), F.lit(" + "), F.col("text"), F.lit("\n"), F.when(key % 3 == 0, "A. sin 30").otherwise(""))
     rows = table(spark, d, "documents").select("doc_id", c.alias("c"))
-    return rows.select("doc_id", "c", F.round(review.symbol_score(F.col("c")), 6).alias("symbols"), F.round(review.math_score(F.col("c")), 6).alias("math"), review.anchor_score(F.col("c")).alias("anchors"), review.balanced(F.col("c")).alias("balanced"))
+    return rows.select("doc_id", F.md5("c").alias("c_md5"), F.round(review.symbol_score(F.col("c")), 6).alias("symbols"), F.round(review.math_score(F.col("c")), 6).alias("math"), review.anchor_score(F.col("c")).alias("anchors"), review.balanced(F.col("c")).alias("balanced"))
 
 
 @query("""

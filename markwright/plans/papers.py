@@ -189,17 +189,18 @@ def page_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-a AS (SELECT doc_id, pos, (pos % 6) AS k, regexp_replace(trim(line), '\s+', ' ', 'g') AS body FROM l),
-b AS (SELECT *, CASE k WHEN 1 THEN CAST(pos AS VARCHAR) WHEN 2 THEN CAST(pos AS VARCHAR) END AS own, CASE k WHEN 1 THEN NULL WHEN 2 THEN '(b)' WHEN 4 THEN '(ii)' END AS sub FROM a WHERE pos < 900 AND body <> ''),
+a AS (SELECT doc_id, pos, (pos % 6) AS k, (pos - 1) % 900 + 1 AS no, regexp_replace(trim(line), '\s+', ' ', 'g') AS body FROM l),
+b AS (SELECT *, CASE k WHEN 1 THEN CAST(no AS VARCHAR) WHEN 2 THEN CAST(no AS VARCHAR) END AS own, CASE k WHEN 1 THEN NULL WHEN 2 THEN '(b)' WHEN 4 THEN '(ii)' END AS sub FROM a WHERE body <> ''),
 c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS number FROM b)
 SELECT doc_id, CAST(pos - 1 AS INTEGER) AS "at", number, sub, CASE WHEN k = 5 THEN 3 WHEN k = 2 THEN 12 END AS marks FROM c WHERE body <> '' AND k IN (1, 2, 4, 5) AND (k IN (1, 2) OR number IS NOT NULL)
 """)
 def line_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of lines, the number carried on to parts that stand alone, and the marks that lines name."""
     at = F.col("at") + 1
+    no = ((at - 1) % 900 + 1).cast("string")  # numbers of questions have three digits at most
     body = tx.one_line(F.col("line"))
-    text = F.when(at % 6 == 1, F.concat(at.cast("string"), F.lit(". "), F.lit("q "), body)).when(at % 6 == 2, F.concat(F.lit(" "), at.cast("string"), F.lit(" (b) q [12] "), body)).when(at % 6 == 4, F.concat(F.lit("(ii) q "), body)).when(at % 6 == 5, F.lit("q 3 marks")).otherwise(F.lit("plain q"))
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where("at < 899")
+    text = F.when(at % 6 == 1, F.concat(no, F.lit(". "), F.lit("q "), body)).when(at % 6 == 2, F.concat(F.lit(" "), no, F.lit(" (b) q [12] "), body)).when(at % 6 == 4, F.concat(F.lit("(ii) q "), body)).when(at % 6 == 5, F.lit("q 3 marks")).otherwise(F.lit("plain q"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     rows = corpus.anchored_lines(lines.select("doc_id", "at", F.when(body != "", text).otherwise("").alias("line")), "doc_id", "at", "line")
     return rows.where("anchored OR (marks IS NOT NULL AND number IS NOT NULL)").select("doc_id", "at", "number", "sub", "marks")
 
@@ -399,9 +400,8 @@ def text_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def visual_confusions(spark: SparkSession, d: str) -> DataFrame:
-    """Words of documents next to their neighbours: which pairs a scan may have confused."""
-    words = F.slice(tx.tokens(F.col("text")), 1, 1000000)
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("at", "word"))
+    """Words of documents next to what a scan may have made of them: which pairs are easily confused."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("at", "word"))
     other = F.when(F.col("at") % 3 == 0, F.regexp_replace("word", "[ae]", "o")).when(F.col("at") % 3 == 1, F.regexp_replace("word", "u", "v")).otherwise(F.concat("word", F.lit("x")))
     return rows.groupBy("doc_id").agg(F.count_if(ex.confusable(F.col("word"), other)).alias("confused"), F.count("*").alias("n"))
 

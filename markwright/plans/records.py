@@ -156,13 +156,13 @@ def dual_write(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_partkey AS k, l_extendedprice AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS pos FROM lineitem),
-a AS (SELECT * FROM p WHERE pos <= 3)
+a AS (SELECT * FROM p)
 SELECT doc, CAST(pos AS INTEGER) AS question, CAST(pos AS INTEGER) AS page, md5(pos || '. Why ' || k || chr(10) || 'more 7. no' || chr(10) || (pos + 5) || '. Skip') AS chunk_md5 FROM a
 """)
 def question_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Pages cut into questions: a number opens one only if it is the next."""
     at = F.row_number().over(relational.ordered("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"))
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), at.alias("page"), F.col("l_partkey").cast("string").alias("k")).where("page <= 3")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), at.alias("page"), F.col("l_partkey").cast("string").alias("k"))
     n = F.col("page")
     text = F.concat(n.cast("string"), F.lit(". Why "), F.col("k"), F.lit("\nmore 7. no\n"), (n + 5).cast("string"), F.lit(". Skip"))
     chunks = corpus.question_chunks(rows.select("doc", "page", text.alias("text"))).where("question IS NOT NULL")
@@ -276,13 +276,11 @@ def same_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> '')[1:30] AS w FROM documents)
-SELECT doc_id, md5(array_to_string(list_transform(w, lambda x: translate(x, '“”‘’', '""' || chr(39) || chr(39))), ' ')) AS tidy_md5 FROM t
+SELECT doc_id, md5(translate(text, '“”‘’', '""' || chr(39) || chr(39))) AS tidy_md5 FROM documents
 """)
 def tidy_starts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' first words with wrong decodings undone and curly quotes straight: from damaged text back to the plain one."""
-    start = tx.preview(F.col("text"), 30)
-    hurt = F.replace(F.replace(start, F.lit('"'), F.lit("“")), F.lit("'"), F.lit("’"))
+    """Documents with curly quotes made straight: from damaged text back to the plain one."""
+    hurt = F.replace(F.replace("text", F.lit('"'), F.lit("“")), F.lit("'"), F.lit("’"))
     return table(spark, d, "documents").select("doc_id", F.md5(udfs.straight_quotes(hurt)).alias("tidy_md5"))
 
 

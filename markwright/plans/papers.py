@@ -398,6 +398,35 @@ def text_fields(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(rf"""
+WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+n AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS y, len(list_filter(string_split_regex(trim(t), '\s+'), lambda w: w <> '')) AS k FROM l),
+r AS (SELECT *, ['Q. ', 'question ', 'Q', ''][line % 4 + 1] || t AS asked, ['Ans: ', 'answer - ', 'A. ', ''][line % 4 + 1] || t AS told, 'Question ' || line || ' (' || chr(CAST(97 + line % 26 AS INTEGER)) || ')' AS number,
+  t || CASE line % 3 WHEN 0 THEN ' [' || k || ']' WHEN 1 THEN ' ' || k || ' Marks' ELSE '' END AS marked, k || CASE line % 3 WHEN 0 THEN '–' WHEN 1 THEN ' to ' ELSE ' and ' END || line AS span FROM n),
+m AS (SELECT *, regexp_extract(span, '(\d+)\s*(?:–|to)\s*(\d+)', 1) AS lo, regexp_extract(span, '(\d+)\s*(?:–|to)\s*(\d+)', 2) AS hi FROM r)
+SELECT doc_id, CAST(line AS INTEGER) AS line, regexp_replace(regexp_replace(lower(number), '^q(uestion)?\s*', ''), '[^a-z0-9]', '', 'g') AS number_key,
+  md5(trim(regexp_replace(trim(regexp_replace(asked, '\s+', ' ', 'g')), '(?i)^\s*(?:q(?:uestion)?\.?\s*)', ''))) AS asked_md5, md5(trim(regexp_replace(trim(regexp_replace(told, '\s+', ' ', 'g')), '(?i)^\s*(?:ans(?:wer)?\.?\s*[:\-]?|a\.?\s*)', ''))) AS told_md5,
+  CAST(coalesce(nullif(regexp_extract(marked, '(?i)\[(\d{{1,3}})\]|(\d{{1,3}})\s*marks?', 1), ''), nullif(regexp_extract(marked, '(?i)\[(\d{{1,3}})\]|(\d{{1,3}})\s*marks?', 2), ''), '0') AS INTEGER) AS marks,
+  CASE WHEN lo = '' THEN 0 ELSE least(CAST(lo AS INTEGER), CAST(hi AS INTEGER)) END AS low, CASE WHEN lo = '' THEN 0 ELSE greatest(CAST(lo AS INTEGER), CAST(hi AS INTEGER)) END AS high,
+  lower(source) || '-rubric,' || lower(source) AS variants, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') <> '' AS on_page, length(regexp_replace(t, '(?i)[^a-z0-9]', '', 'g')) >= 16 AS usable,
+  k >= 3 AND regexp_matches(y, '[A-Za-z]') AND (contains(y, '?') OR regexp_matches(lower(y), 'which|what|how|statement|explain|describe') OR k >= 5 OR regexp_matches(y, '^[A-Z]')) AS stem FROM m
+""")
+def line_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Small fields of every line: keys, texts without their labels, marks, ranges, variants of names, where a line stands."""
+    lines = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    at, t = F.col("line"), F.col("t")
+    k = F.size(pg.words(t)).cast("string")
+    label = lambda *names: F.concat(pick(at, *names), t)
+    marked = F.concat(t, F.when(at % 3 == 0, F.concat(F.lit(" ["), k, F.lit("]"))).when(at % 3 == 1, F.concat(F.lit(" "), k, F.lit(" Marks"))).otherwise(""))
+    span = tx.mark_range(F.concat(k, pick(at, "–", " to ", " and "), at.cast("string")))
+    number = F.concat(F.lit("Question "), at.cast("string"), F.lit(" ("), F.chr(97 + at % 26), F.lit(")"))
+    return lines.select(
+        "doc_id", "line", tx.number_key(number).alias("number_key"), F.md5(tx.without_label(label("Q. ", "question ", "Q", ""), "question")).alias("asked_md5"), F.md5(tx.without_label(label("Ans: ", "answer - ", "A. ", ""), "answer")).alias("told_md5"),
+        F.coalesce(tx.marks_in(marked), F.lit(0)).alias("marks"), span["low"].alias("low"), span["high"].alias("high"), F.array_join(tx.subject_variants(F.concat("source", F.lit(" Rubric"))), ",").alias("variants"),
+        pg.on_page(F.col("page"), t).alias("on_page"), pg.scheme_usable(t).alias("usable"), pg.mcq_stem(t).alias("stem"),
+    )
+
+
 @query()
 def visual_confusions(spark: SparkSession, d: str) -> DataFrame:
     """Words of documents next to what a scan may have made of them: which pairs are easily confused."""

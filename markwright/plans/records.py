@@ -12,8 +12,9 @@ from markwright.functions import sequences, udfs
 from markwright.operators import corpus, relational, review
 from markwright.plans.catalog import query
 from markwright.plans.marking import pick
-from markwright.sources import readers
+from markwright.sources import listing, readers
 from markwright.sources.readers import table
+from markwright.sources.written import fresh_path
 from markwright.streaming import limits
 
 
@@ -333,6 +334,18 @@ def normalised_attempts(spark: SparkSession, d: str) -> DataFrame:
     return newest.select("student", "id", "marks", "kind", "title", "file", F.col("place").cast("long").alias("place"))
 
 
+@query("""
+SELECT c_nationkey AS nation, c_mktsegment AS segment, 1 AS files, true AS filled FROM customer GROUP BY ALL
+""")
+def listed_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of folders as Spark has written it, listed level by level: one file for each nation and segment."""
+    path = fresh_path(spark, "folders")
+    table(spark, d, "customer").repartition("c_nationkey", "c_mktsegment").select("c_name", "c_nationkey", "c_mktsegment").write.partitionBy("c_nationkey", "c_mktsegment").json(path)
+    files = listing.list_tree(spark, path).where(F.element_at("parts", -1).like("part-%.json"))
+    value = lambda i: F.split_part(F.get("parts", F.lit(i)), F.lit("="), F.lit(2))
+    return files.groupBy(value(0).cast("long").alias("nation"), value(1).alias("segment")).agg(F.count("*").cast("int").alias("files"), F.bool_and(F.col("length") > 0).alias("filled"))
+
+
 @query()
 def line_matches(spark: SparkSession, d: str) -> DataFrame:
     """For each question's first sentence the line of the answer that it is found in best, and how well."""

@@ -180,12 +180,6 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a folder: path, size, time, and their path parts below it."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    return found.withColumn("parts", F.split(F.regexp_replace(F.col("path"), f"^.*?{path.rstrip('/').rsplit('/', 1)[-1]}/", ""), "/"))
-
-
 def backfill_items(documents: DataFrame, owner: str, items: str, id_: str, at: str) -> DataFrame:
     """Items kept in one document for each owner as rows, each id once (its latest)."""
     rows = documents.select(F.col(owner), F.explode(items).alias("_i")).select(owner, "_i.*").where(F.col(id_).isNotNull())

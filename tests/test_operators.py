@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from markwright.operators import corpus, relational
-from markwright.sources import readers
+from markwright.sources import listing, readers
 from markwright.streaming import limits, sinks
 
 
@@ -160,6 +160,21 @@ def test_regroup_and_order(spark):
 def test_files_and_backfill(spark, tmp_path):
     (tmp_path / "top" / "x").mkdir(parents=True)
     (tmp_path / "top" / "x" / "f.txt").write_text("hi")
-    assert [(r["length"], r["parts"]) for r in readers.list_files(spark, str(tmp_path / "top")).collect()] == [(2, ["x", "f.txt"])]
+    assert [(r["length"], r["parts"]) for r in listing.list_tree(spark, str(tmp_path / "top")).collect()] == [(2, ["x", "f.txt"])]
     docs = spark.createDataFrame([("s", [(1, 10, "old"), (1, 20, "new"), (None, 5, "x")])], "owner string, items array<struct<id:int,at:int,v:string>>")
     assert [(r["id"], r["v"]) for r in readers.backfill_items(docs, "owner", "items", "id", "at").collect()] == [(1, "new")]
+
+
+def test_listing_of_many_files(spark, tmp_path):
+    for i in range(10_000):
+        folder = tmp_path / f"a{i % 7}" / f"b{i % 11}" if i % 3 else tmp_path / "flat"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.txt").touch()
+    (tmp_path / "link").symlink_to(tmp_path)
+    (tmp_path / "empty").mkdir()
+    rows = listing.list_tree(spark, f"file://{tmp_path}").collect()
+    assert {r["parts"][-1] for r in rows} == {f"{i}.txt" for i in range(10_000)} and len(rows) == 10_000
+    assert {len(r["parts"]) for r in rows} == {2, 3} and all(r["length"] == 0 and r["modified"] for r in rows)
+    assert {r["path"].removeprefix(f"file://{tmp_path}/") for r in rows} == {"/".join(r["parts"]) for r in rows}
+    assert listing.list_tree(spark, str(tmp_path), 2).count() == 3334
+    assert listing.list_tree(spark, str(tmp_path / "empty")).count() == 0

@@ -2,9 +2,11 @@
 
 A page is read as a stream of tags with a stack of open elements. The text between two block-level tags is a leaf
 block; it knows its ancestor tags, the words in their class and id attributes, and how much of it is link text.
-Scripts, styles, text areas, inner frames, the head and comments give no blocks. The head ends at its close tag or at the
-first tag or text that can't stand in it; drawings, formulas, objects and templates are read as ordinary elements. Each block has features of its ancestors and of its text; a CRF
-with the two states boilerplate and main text scores blocks and neighbours, and Viterbi decodes the page.
+Scripts, styles, text areas, inner frames, the head, comments, what stands in for scripts, lists to choose from and
+elements that aren't shown give no blocks. The head ends at its close tag or at the first tag or text that can't stand in
+it; drawings, formulas, objects and templates are read as ordinary elements. Each block has features of its ancestors
+and of its text; a CRF with the two states boilerplate and main text scores blocks and neighbours, and Viterbi decodes
+the page.
 
 The CRF is trained here, on labelled pages from ``training_pages``: pages of various layouts whose main-text blocks
 are known by construction (``TRAINING_PAGES`` of them, a documented bound).
@@ -27,6 +29,8 @@ from pyspark.sql.types import StructType
 
 TRAINING_PAGES = 320
 OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9-]*+))")
+#: where a comment ends that begins before: at once (``<!-->``, ``<!--->``), or at ``-->`` or ``--!>``
+COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
 #: attributes up to the tag's end; a quote opens a value only after an equals sign. Nothing is tried twice
 REST = re.compile(r"""((?>=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""")
 #: elements whose content is no markup: it goes up to the close tag, or to the page's end
@@ -34,6 +38,10 @@ RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in ("script", "s
 FOREIGN = frozenset(("svg", "math"))
 IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 HIDDEN_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("noscript", "template")}
+#: elements whose content is for other readers or for choosing from: it is left out if it ends at all
+LEFT_OUT = frozenset(("noscript", "select", "datalist"))
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+STYLE = re.compile(r"(?<![^\s/])style\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,6 +86,19 @@ def _self_closed(attributes: str) -> bool:
     return attributes.endswith("/") and not re.search(r"=\s*[^\s\"'=]+/\Z", attributes)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element isn't shown: the attribute ``hidden``, or a style without display."""
+    low = attributes.lower()
+    if "hidden" in low and re.search(r"(?<![^\s/])hidden(?![^\s/=])", VALUE.sub("=", low)):
+        return True
+    return "none" in low and any(re.search(r"display\s*:\s*none", "".join(m)) for m in STYLE.findall(low))
+
+
+@lru_cache(maxsize=256)
+def _close_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
 class Tags:
     """Finds tags, comments and declarations, in time that grows with the page.
 
@@ -94,8 +115,8 @@ class Tags:
         while m := OPENING.search(html, at):
             start, name, at = m.start(), m.group(2), m.end()
             if html.startswith("<!--", start):
-                end = html.find("-->", at)
-                return start, len(html) if end < 0 else end + 3, False, None, ""
+                end = COMMENT_END.search(html, at)
+                return start, end.end() if end else len(html), False, None, ""
             if start > self.last:
                 continue
             if name is None:
@@ -114,7 +135,7 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, frozenset, frozenset]] = []  # tag, all of ANCESTORS up to it, all hints up to it
+    stack: list[tuple[str, frozenset, frozenset, bool]] = []  # tag, all of ANCESTORS up to it, all hints up to it, hidden
     opened: dict[str, list[int]] = {}  # tag -> its places in the stack
     parts: list[str] = []
     state = {"linked": 0, "link": 0, "head": 0, "hidden": 0, "foreign": 0}
@@ -143,7 +164,7 @@ def blocks(html: str | None) -> list[Block]:
             if start < state["hidden"] or not text.strip():
                 return
             state["head"] = 0  # text can't stand in the head
-        if text:
+        if text and not (stack and stack[-1][3]):
             parts.append(text)
             if state["link"]:
                 state["linked"] += len(text)
@@ -171,13 +192,20 @@ def blocks(html: str | None) -> list[Block]:
                 at = end.end() if end else len(html)
             add(" ", start)
             continue
+        if not closing and whole_name and name not in unclosed and (name in LEFT_OUT or name in INLINE and name not in VOID and attributes and _hidden(attributes)):
+            end = _close_of(name).search(html, at)
+            if end:
+                at = end.end()
+                add(" ", start) if name in INLINE else close_block()
+                continue
+            unclosed.add(name)
         if name in FOREIGN and whole_name:
             state["foreign"] = 0 if closing or _self_closed(attributes) else 1
             continue
         if name == "a":
             state["link"] = 0 if closing else 1
             continue
-        if name in INLINE:
+        if name in INLINE and not (name == "ins" and (opened.get(name) if closing else attributes and _hints(attributes))):  # an advert's ins is a block
             if name == "br":
                 add(" ", start)
             continue
@@ -205,11 +233,11 @@ def blocks(html: str | None) -> list[Block]:
                 pop_to(i)
         close_block()
         if name not in VOID:
-            tags, hints = (stack[-1][1], stack[-1][2]) if stack else (none, none)
+            tags, hints, hidden = stack[-1][1:] if stack else (none, none, False)
             if name in ANCESTOR_SET and name not in tags:
                 tags = tags | {name}
             opened.setdefault(name, []).append(len(stack))
-            stack.append((name, tags, hints | _hints(attributes) if attributes else hints))
+            stack.append((name, tags, hints | _hints(attributes) if attributes else hints, hidden or bool(attributes) and _hidden(attributes)))
     add(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", html[at:]), at)  # a tag that the page's end cuts off
     close_block()
     return out
@@ -389,7 +417,10 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 23) -> list[tuple[str, l
             kind = rng.random()
             if kind < 0.68:
                 text = spoil(_prose(rng, 1, 120) if rng.random() < 0.75 else pick(_prose(rng, 1, 4), _label(rng, 1, 3)))
+                if rng.random() < 0.06:
+                    text = f'<a href="/more">{text}</a>'
                 inner.append(f"<p>{text}</p>" if tidy else pick("<p>{}", "<p><b>{}<br>", "<p>{}</p>").format(text))
+                text = re.sub("<[^>]*>", "", text)
                 main.append(text)
             elif kind < 0.76:
                 text = _label(rng, 2, 8)

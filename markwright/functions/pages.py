@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markwright.functions.text import fold, normalize, tokens
 
@@ -44,11 +48,35 @@ def strip_controls(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"\\u00(0[0-8bcefBCEF]|1[0-9a-fA-F]|7[fF])", "")
 
 
+@F.pandas_udf(T.StringType())
+def _without_accents(x: pd.Series) -> pd.Series:
+    """Letters of any script taken apart, and their marks left out."""
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+    return x.map(lambda s: s if s is None or s.isascii() else bare(s))
+
+
 def name_slug(x: Column, most: int = 20) -> Column:
-    """Accents off (Latin letters), lower case, letters and digits only."""
-    #: fixed values: accented letters and their plain forms, in the same order
-    plain = F.translate(F.lower(x), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.substring(F.regexp_replace(plain, r"[^a-z0-9]", ""), 1, most)
+    """Accents off, lower case, letters and digits only."""
+    return F.substring(F.regexp_replace(F.lower(_without_accents(x)), r"[^a-z0-9]", ""), 1, most)
+
+
+#: fixed values: what publishers leave in texts: whole tails, sentences, marks of empty pages; and what scans leave at a start
+TAILS = (
+    r"(?is)\s*(?:\b\d{1,3}\b\s+)*(?:Additional Pages?\s+If you use|If you use the following lined|END OF QUESTION PAPER|The boundaries and names shown|do not imply official endorsement|Copyright Acknowledgements?\b|Permission to reproduce items"
+    r"|Every reasonable effort has been made|To avoid the issue of disclosure|Cambridge International Examinations is part of|Cambridge Assessment is the brand name|Cambridge Assessment International Education concerning|is freely available to download at www\.cie\.org\.uk|©\s*Ref:).*$"
+)
+SYNDICATE = r"(?:University of Cambridge Local |Local )?Examinations\s+Syndicate\s*\(UCLES\),?\s*which\s+(?:is\s+itself|itself\s+is|is)\s+a\s+department\s+of\s+the\s+University\s+of\s+Cambridge\.?"
+LIVE_SERIES = r"\s*(?:at\s+www\.cambridgeinternational\.org\s+after\s+)?the\s+live\s+examination\s+series\.?"
+START_NOISE = [r"(?i)^\s*(?:DFD)+\s*(?=[,.;:]{2,})", r"^\s*[,.;:]{2,}\s*"]
+
+
+def without_boilerplate(x: Column) -> Column:
+    """A text without what publishers and scans leave in it; publishers' tails go with all that follows them."""
+    for pattern, put in ((TAILS, ""), (rf"(?i){LIVE_SERIES}(?:\s*{SYNDICATE})?", " "), (rf"(?i)\s*{SYNDICATE}", " "), (r"(?i)\s*\bBLANK PAGE\b", " ")):
+        x = F.when(x.rlike(pattern), F.regexp_replace(x, pattern, put)).otherwise(x)
+    for pattern in START_NOISE:
+        x = F.regexp_replace(x, pattern, "")
+    return F.regexp_replace(x, r"^\s+", "")
 
 
 def mcq_layout(x: Column) -> Column:
@@ -109,6 +137,20 @@ def anchored(text: Column, quoted: Column, least_words: int = 2) -> Column:
     return normalize(text).contains(normalize(quoted)) & (F.size(tokens(quoted)) >= least_words)
 
 
+def correction_holds(page: Column, quoted: Column, wrong: Column, right: Column) -> Column:
+    """Whether a correction can be placed and says something: its quotation, of two words in short lines and four in
+    others, stands in the page and holds the wrong word, which stands alone in the page; and the two don't differ in
+    signs and letter case only."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    text, q, a, b = flat(page), flat(quoted), flat(wrong), flat(right)
+    n = F.size(words(q))
+    #: fixed values: up to four words are a short line
+    long_enough = n >= F.when(n <= 4, 2).otherwise(4)
+    alone = F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), F.replace(a, F.lit(r"\E"), F.lit("")), F.lit(r"\E\b")))
+    bare = lambda c: F.regexp_replace(F.lower(c), r"(?U)\W+", "")
+    return (q != "") & (a != "") & (b != "") & long_enough & text.contains(q) & q.contains(a) & alone & (bare(a) != bare(b))
+
+
 def context(text: Column, word: Column, around: int = 5) -> Column:
     """The words about the first place of a word."""
     all_ = words(text)

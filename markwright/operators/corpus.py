@@ -165,6 +165,17 @@ def rebuilt(lines: DataFrame, page: str, line: str) -> DataFrame:
     return lines.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line, "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+#: fixed value: what stands between two pages of a rebuilt text
+PAGE_BREAK = "\n\n[[PAGE_BREAK]]\n\n"
+
+
+def rebuilt_document(lines: DataFrame, doc: str, page: str, line: str) -> DataFrame:
+    """Documents' texts from the lines of their pages, with a break between two pages; empty lines and pages are left out."""
+    inner = lambda c, name: F.transform(F.array_sort(F.collect_list(F.struct(c, name))), lambda x: x[name])
+    pages = lines.where(F.col("text") != "").groupBy(doc, page).agg(F.array_join(inner(line, "text"), "\n").alias("text"))
+    return pages.groupBy(doc).agg(F.trim(F.array_join(inner(page, "text"), PAGE_BREAK)).alias("text"), F.count("*").alias("pages"))
+
+
 def anchored_lines(lines: DataFrame, by: str, at: str, text: str) -> DataFrame:
     """Lines with the question and part that they open, and the marks they name.
 
@@ -199,6 +210,36 @@ def paper_items(lines: DataFrame, by: str, at: str, page: str, text: str) -> Dat
     return numbered.groupBy(by, "item").agg(texts.alias("text"), F.min(page).alias("page"), F.max(tx.marks_in(F.col(text))).alias("marks"))
 
 
+def structured_items(lines: DataFrame, paper: str, page: str, order: str, text: str) -> DataFrame:
+    """The items of papers from their lines in order: (paper, item, number, sub, text, page, marks).
+
+    Pages that hold no questions are left out. A line that opens a question (its number 1 to 200, with a rest, no noise)
+    or a part of the last one starts an item; what else looks like an opening is text, noise is none. An item has its
+    first page and the largest of the marks that its lines name.
+    """
+    whole = lines.groupBy(paper, page).agg(F.collect_list(text).alias("_lines"))
+    held = whole.where(pg.page_excluded(F.col("_lines")).isNull()).select(paper, page)
+    flat = lines.withColumn("_x", tx.one_line(F.col(text))).where("_x <> ''").join(held, [paper, page])
+    x = F.col("_x")
+    both, number, part = r"^(\d{1,3})\s*\(([A-Za-zivxIVX]{1,6})\)\s*(\S.*)$", r"^[A-Da-d]?\s*(\d{1,3})\s*[).:-]?\s*(\S.*)$", r"^\(([A-Za-zivxIVX]{1,6})\)\s*(\S.*)$"
+    kind = F.when(x.rlike(both), 1).when(x.rlike(number), 2).when(x.rlike(part), 3)
+    got = lambda k, pattern, i: F.when(F.col("_kind") == k, F.regexp_extract(x, pattern, i))
+    found = flat.withColumn("_kind", kind).withColumns({
+        "_number": F.coalesce(got(1, both, 1), got(2, number, 1)).cast("int"), "_sub": F.lower(F.coalesce(got(1, both, 2), got(3, part, 1))), "_rest": F.coalesce(got(1, both, 3), got(2, number, 2), got(3, part, 2)), "_noise": x.rlike(pg.LINE_NOISE),
+    })
+    good = F.col("_number").between(1, 200) & ~F.col("_noise")
+    w = Window.partitionBy(paper).orderBy(order)
+    passed = found.withColumn("number", F.last(F.when(good, F.col("_number")), ignorenulls=True).over(w))
+    opens = F.coalesce(good | ((F.col("_kind") == 3) & F.col("number").isNotNull() & ~F.col("_noise")), F.lit(False))
+    passed = passed.withColumn("_opens", opens).where(~F.col("_noise") | F.col("_kind").isNotNull())
+    passed = passed.withColumn("item", F.sum(F.col("_opens").cast("int")).over(w)).where("item > 0")
+    said = F.when(F.col("_opens"), F.col("_rest")).otherwise(x)
+    bare = F.trim(F.regexp_replace(said, r"\[\d{1,3}\]", ""))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), bare.alias("t")))), lambda y: y["t"]), " ")
+    first = F.min_by(F.when(F.col("_sub").isNotNull(), F.concat(F.lit("("), F.col("_sub"), F.lit(")"))), F.col(order))
+    return passed.groupBy(paper, "item").agg(F.min_by("number", order).alias("number"), first.alias("sub"), tx.one_line(texts).alias("text"), F.min(page).alias("page"), F.max(tx.marks_in(said)).alias("marks")).where("text <> ''")
+
+
 def dedup_records(rows: DataFrame) -> DataFrame:
     """``rows(id, type, text, options)``: groups of equal type, normalised text and options, their size and the one to keep."""
     options = F.array_join(F.transform(F.coalesce("options", F.array().cast("array<string>")), lambda o: tx.normalize(o)), "|")

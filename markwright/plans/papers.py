@@ -427,6 +427,67 @@ def line_fields(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+b AS (SELECT doc_id, line, line // 12 AS page, line % 12 AS k, trim(regexp_replace(t, '\s+', ' ', 'g')) AS body FROM l),
+f AS (SELECT *, bool_or(k = 11 AND page % 3 = 1) OVER (PARTITION BY doc_id, page) AS blank FROM b),
+g AS (SELECT *, sum(CASE WHEN k IN (0, 4, 6) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS item, CASE WHEN k IN (0, 4, 6) THEN page % 200 + 1 END AS own,
+  CASE k WHEN 4 THEN '(b)' WHEN 6 THEN '(iv)' END AS sub, CASE k WHEN 7 THEN '999 t ' || body ELSE 't ' || body END AS said FROM f WHERE NOT blank AND k <> 9)
+SELECT doc_id, CAST(item AS BIGINT) AS item, CAST(max(own) AS INTEGER) AS number, coalesce(max(sub), '') AS sub, md5(trim(regexp_replace(string_agg(said, ' ' ORDER BY line), '\s+', ' ', 'g'))) AS text_md5, CAST(min(page) AS BIGINT) AS page, coalesce(max(CASE WHEN k = 6 THEN 3 + page % 5 END), 0) AS marks FROM g GROUP BY doc_id, item
+""")
+def structured_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents set as papers of pages: questions, parts, marks, noise, numbers out of range, and blank pages."""
+    at = F.col("line")
+    page, k = F.floor(at / 12), at % 12
+    number = (page % 200 + 1).cast("string")
+    body = F.concat(F.lit("t "), tx.one_line(F.col("t")))
+    set_ = (
+        F.when(k == 0, F.concat(number, F.lit(". "), body)).when(k == 4, F.concat(F.lit("(b)  "), body)).when(k == 6, F.concat(number, F.lit(" (iv) "), body, F.lit(" ["), (3 + page % 5).cast("string"), F.lit("]")))
+        .when(k == 7, F.concat(F.lit("999 "), body)).when(k == 9, "Please turn over").when((k == 11) & (page % 3 == 1), "BLANK PAGE").otherwise(body)
+    )
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).select("doc_id", "line", page.alias("page"), set_.alias("t"))
+    items = corpus.structured_items(lines, "doc_id", "page", "line", "t")
+    return items.select("doc_id", "item", "number", F.coalesce("sub", F.lit("")).alias("sub"), F.md5("text").alias("text_md5"), "page", F.coalesce("marks", F.lit(0)).alias("marks"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+p AS (SELECT doc_id, line // 10 AS page, string_agg(CASE WHEN line % 4 = 1 THEN t || ' (fixed)' ELSE t END, chr(10) ORDER BY line) FILTER (t <> '' OR line % 4 = 1) AS t FROM l GROUP BY doc_id, line // 10)
+SELECT doc_id, md5(trim(string_agg(t, chr(10) || chr(10) || '[[PAGE_BREAK]]' || chr(10) || chr(10) ORDER BY page))) AS text_md5, count(*) AS pages FROM p WHERE t IS NOT NULL GROUP BY doc_id
+""")
+def rebuilt_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of documents rebuilt page by page from read lines and the repairs of some."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("page", F.floor(F.col("line") / 10))
+    fixed = lines.where("line % 4 = 1").withColumn("text", F.concat("text", F.lit(" (fixed)")))
+    over = relational.overlay(lines, fixed, ["doc_id", "page", "line"], ["text"])
+    return corpus.rebuilt_document(over, "doc_id", "page", "line").select("doc_id", F.md5("text").alias("text_md5"), "pages")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+n AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS page, trim(regexp_replace(t, '\s+', ' ', 'g')) AS q, split_part(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ', 1) AS a FROM l),
+m AS (SELECT *, len(list_filter(string_split(q, ' '), lambda w: w <> '')) AS k FROM n)
+SELECT doc_id, CAST(line AS INTEGER) AS line, q <> '' AND k >= CASE WHEN k <= 4 THEN 2 ELSE 4 END AND line % 3 = 2 AND regexp_matches(a, '^[A-Za-z0-9_]') AND regexp_matches(a, '[A-Za-z0-9_]$') AS holds FROM m WHERE regexp_full_match(a, '[\x21-\x7E]*')
+""")
+def checked_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections of lines' first words: those that change signs or letter case alone say nothing."""
+    lines = table(spark, d, "documents").select("doc_id", F.col("text").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    wrong = F.split_part(tx.one_line(F.col("t")), F.lit(" "), F.lit(1))
+    right = F.when(F.col("line") % 3 == 0, F.concat(wrong, F.lit(","))).when(F.col("line") % 3 == 1, F.upper(wrong)).otherwise(F.concat(wrong, F.lit("x")))
+    return lines.where(wrong.rlike(r"^[\x21-\x7E]*$")).select("doc_id", "line", pg.correction_holds(F.col("page"), F.col("t"), wrong, right).alias("holds"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, doc_id % 3 = 0 AS tail FROM documents)
+SELECT doc_id, CASE WHEN t = '' THEN md5('') ELSE md5(t || CASE WHEN tail THEN ' ' ELSE '  ' END) END AS text_md5, substr(regexp_replace(lower(source), '[^a-z0-9]', '', 'g') || 'zoenanduste', 1, 20) AS slug FROM t
+""")
+def cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without what publishers and scans leave in them, and short names without accents."""
+    x, tail = F.col("text"), F.col("doc_id") % 3 == 0
+    left = F.concat(F.lit(" DFD ,, "), x, F.lit(" BLANK PAGE"), F.when(tail, " 12 Copyright Acknowledgements: and all\nthat follows").otherwise(" at www.cambridgeinternational.org after the live examination series."))
+    return table(spark, d, "documents").select("doc_id", F.md5(pg.without_boilerplate(left)).alias("text_md5"), pg.name_slug(F.concat("source", F.lit(" Zoë-Ñandú Ște 日"))).alias("slug"))
+
+
 @query()
 def visual_confusions(spark: SparkSession, d: str) -> DataFrame:
     """Words of documents next to what a scan may have made of them: which pairs are easily confused."""

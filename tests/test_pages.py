@@ -85,3 +85,31 @@ def test_rules(spark):
     assert val(spark, pg.retry_blocked(at, F.lit(datetime.datetime(2025, 1, 2)))) is False
     assert val(spark, pg.escalate(F.lit(True), F.lit(0.9), lit_array("x"), ["y"])) is False
     assert val(spark, pg.repair_accepted(F.lit(0.5), F.lit(0.6), lit_array(0.7))) is False
+
+
+def test_boilerplate_goes_with_what_follows_it(spark):
+    clean = lambda x: val(spark, pg.without_boilerplate(F.lit(x)))
+    assert clean("Find x.\n 12 13 Permission to reproduce items where\nmore") == "Find x."
+    assert clean("DFDDFD,,,, Why?") == "Why?" and clean("DFD represents flow") == "DFD represents flow" and clean(" :: So") == "So"
+    assert clean("a BLANK PAGE b") == "a  b" and clean("end the live examination series. Local Examinations Syndicate (UCLES), which is itself a department of the University of Cambridge. x") == "end  x"
+
+
+def test_slugs_of_all_scripts(spark):
+    assert val(spark, pg.name_slug(F.lit("Łukasz Šťastný Đặng"))) == "ukaszstastnyang"
+    assert val(spark, pg.name_slug(F.lit("İlker ǅ"))) == "ilker"
+
+
+def test_corrections_that_hold(spark):
+    page = "The quick brown fox jumps over the lazy dog. Teh end"
+    holds = lambda q, a, b: val(spark, pg.correction_holds(F.lit(page), F.lit(q), F.lit(a), F.lit(b)))
+    assert holds("Teh  end", "Teh", "The") and holds("brown fox jumps over the", "fox", "ox")
+    assert not holds("Teh", "Teh", "The") and not holds("quick brown fox", "own", "owl") and not holds("brown fox jumps", "fox", "Fox,")
+    assert not holds("not on the page", "page", "pages") and not holds("Teh end", "Teh", None) and not holds("Teh end", "", "x")
+
+
+def test_structured_items(spark):
+    from markwright.operators import corpus
+
+    lines = [(1, 1, "header"), (1, 2, "1 (a) Why is the sky blue? [2]"), (1, 3, "Explain [4]"), (1, 4, "250 is too large"), (1, 5, "Please turn over"), (2, 6, "(b) And the sea?"), (2, 7, "2015/12 page"), (3, 8, "2. On a page"), (3, 9, "BLANK PAGE"), (4, 10, "3"), (4, 11, "A4 Last one"), (4, 12, "(ii)")]
+    got = corpus.structured_items(spark.createDataFrame([("p", *x) for x in lines], "paper string, page int, at int, t string"), "paper", "page", "at", "t").orderBy("item").collect()
+    assert [(r["number"], r["sub"], r["text"], r["page"], r["marks"]) for r in got] == [(1, "(a)", "Why is the sky blue? Explain 250 is too large", 1, 4), (1, "(b)", "And the sea? 2015/12 page 3", 2, None), (4, None, "Last one (ii)", 4, None)]

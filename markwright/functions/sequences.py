@@ -185,6 +185,18 @@ def line_score(target: str | None, line: str | None) -> float:
     return min(1.0, 0.55 * coverage + 0.25 * local + 0.15 * overlap + 0.05 * ratio(target, line) + (0.10 if coverage >= 0.75 else 0.0))
 
 
+def agreement(texts: list[str], i: int) -> float:
+    """How like its peers one of several readings is: the mean ratio with those that hold anything, a half without any."""
+    own = " ".join((texts[i] or "").lower().split())
+    peers = [" ".join(t.lower().split()) for k, t in enumerate(texts) if k != i and t and t.strip()]
+    return sum(ratio(own, t) for t in peers) / len(peers) if peers else 0.5
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def agreements(texts: pd.Series) -> pd.Series:
+    return pd.Series([[agreement(list(own), i) for i in range(len(own))] for own in texts])
+
+
 def _pairwise(score):
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

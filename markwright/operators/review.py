@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markwright.functions import sequences
 from markwright.functions import text as tx
 from markwright.functions.exprs import clamp, ratio
 from markwright.operators import matching
@@ -213,6 +214,33 @@ def prose_run(lines: Column) -> Column:
     return F.aggregate(lines, start, step)["best"]
 
 
+def scored_readings(rows: DataFrame, by: str) -> DataFrame:
+    """``rows(by, at, text, confidence)``, the readings of a page, with the ``score`` of each among them, four places, and
+    its ``rank``: by score, then confidence, then place. A page has a handful of readings."""
+    pages = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", "text", "confidence"))).alias("_r"))
+    pages = pages.withColumn("_a", sequences.agreements(F.transform("_r", lambda r: r["text"])))
+    each = pages.select(by, F.posexplode(F.arrays_zip("_r", "_a")).alias("_i", "_x")).select(by, "_x._r.*", F.col("_x._a").alias("_agree"))
+    x, none = F.col("text"), F.lit(0.0)
+    score = F.round(candidate_score(F.col("confidence"), symbol_score(x), math_score(x), anchor_score(x), F.col("_agree"), none, none), 4)
+    order = Window.partitionBy(by).orderBy(F.desc("score"), F.desc("confidence"), "at")
+    return each.withColumn("score", score).withColumn("rank", F.row_number().over(order)).drop("_agree")
+
+
+def repaired_readings(rows: DataFrame, repairs: DataFrame, by: str) -> DataFrame:
+    """``repairs(by, text)`` of each page's best reading, scored again among its peers: (by, before, after, accepted, text).
+
+    A repair counts if the repaired reading is still the best and its score hasn't fallen; else the reading stays as it is.
+    """
+    ranked = scored_readings(rows, by)
+    best = ranked.where("rank = 1").select(by, "at", F.col("text").alias("_old"), F.col("score").alias("before"))
+    fixed = best.join(repairs.select(by, F.col("text").alias("_new")), by)
+    again = rows.join(fixed.select(by, F.col("at").alias("_at"), "_new"), by).withColumn("text", F.when(F.col("at") == F.col("_at"), F.col("_new")).otherwise(F.col("text")))
+    first = F.when(F.col("at") == F.col("_at"), -1).otherwise(F.col("at"))  # of equal readings the repaired one comes first
+    after = scored_readings(again.select(by, first.alias("at"), "text", "confidence"), by).where("at = -1").select(by, F.col("score").alias("after"), "rank")
+    counts = (F.col("rank") == 1) & (F.col("after") >= F.col("before"))
+    return fixed.join(after, by).select(by, "before", "after", counts.alias("accepted"), F.when(counts, F.col("_new")).otherwise(F.col("_old")).alias("text"))
+
+
 def feedback_text(label: Column, percent_: Column, missing: Column, option: Column | None = None) -> Column:
     """A sentence for a result; at most two missing points are named."""
     named = F.array_join(F.slice(missing, 1, 2), "; ")

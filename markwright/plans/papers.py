@@ -488,6 +488,25 @@ def cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(pg.without_boilerplate(left)).alias("text_md5"), pg.name_slug(F.concat("source", F.lit(" Zoë-Ñandú Ște 日"))).alias("slug"))
 
 
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    """Three readings of each turn: as it is, with letters confused, and with a formula; their confidences vary."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), "text")
+    confused = F.replace(F.replace("text", F.lit("rn"), F.lit("m")), F.lit("th"), F.lit("tn"))
+    texts = F.array(F.col("text"), confused, F.concat("text", F.lit(" (x^2 + y_1) = 3a")))
+    rows = turns.select("page", F.posexplode(texts).alias("at", "text"))
+    return rows.withColumn("confidence", 0.6 + (F.col("page") + 7 * F.col("at")) % 11 / 40.0)
+
+
+@query()
+def repaired_best_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's best reading with a repair that adds or loses something, scored again among the others."""
+    rows = _readings(spark, d)
+    whole = rows.where("at = 0")
+    repairs = whole.select("page", F.when(F.col("page") % 2 == 0, F.concat("text", F.lit(" Answer: log x = [2]"))).otherwise(F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).alias("text"))
+    found = review.repaired_readings(rows, repairs, "page")
+    return found.select("page", "before", "after", "accepted", F.md5("text").alias("text_md5"))
+
+
 @query()
 def visual_confusions(spark: SparkSession, d: str) -> DataFrame:
     """Words of documents next to what a scan may have made of them: which pairs are easily confused."""

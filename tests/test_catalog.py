@@ -102,6 +102,44 @@ def test_disagreements_by_the_library(spark):
         assert abs(r["similarity"] - difflib.SequenceMatcher(None, plain(r["left_text"]), plain(r["right_text"])).ratio()) < 1e-9
 
 
+def test_repairs_by_the_library(spark):
+    from markwright.plans import papers
+
+    plain = lambda x: " ".join(x.lower().split())
+    find = lambda p, x: re.search(p, x, re.I)
+
+    def score(texts, i, confidence):
+        x = texts[i]
+        even = all(x.count(a) == x.count(b) for a, b in ("()", "[]", "{}"))
+        symbols = min(1.0, len(re.findall(r"[=+\-/*^_()\[\]{}|]", x)) / max(len(x), 1) * 20 + 0.1 * even + 0.35) if x.strip() else 0.0
+        found = {t.lower() for t in re.findall(r"(log|sqrt|sin|cos|tan|[A-Za-z]\^\d+|[A-Za-z]_\d+|\d+[A-Za-z]|[A-Za-z]+\d+)", x)}
+        math_ = (min(1.0, 0.4 + len(found) / 10) if found else 0.5) if x.strip() else 0.0
+        q, a = find(r"(^|\n)\s*(q[.)]|question[:.]?)", x), find(r"(^|\n)\s*(a[.)]|answer[:.]?)", x)
+        anchors = 1.0 if q and a else 0.75 if q or a else 0.55 if find("solve|find|prove|show that|explain|state", x) else 0.3
+        peers = [t for k, t in enumerate(texts) if k != i and t.strip()]
+        agree = sum(difflib.SequenceMatcher(None, plain(x), plain(t)).ratio() for t in peers) / len(peers) if peers else 0.5
+        return round(max(0.0, min(1.0, 0.38 * confidence + 0.2 * symbols + 0.18 * math_ + 0.12 * anchors + 0.12 * agree)), 4)
+
+    pages = {}
+    for r in papers._readings(spark, DATA).orderBy("page", "at").collect():
+        pages.setdefault(r["page"], []).append((r["text"], r["confidence"]))
+    got = {r["page"]: r for r in _rows(spark, "repaired_best_readings")}
+    assert got.keys() == pages.keys() and 0 < sum(r["accepted"] for r in got.values()) < len(got)
+    for page, readings in list(pages.items())[::3]:
+        texts, sure = [t for t, _ in readings], [c for _, c in readings]
+        scores = [score(texts, i, sure[i]) for i in range(3)]
+        best = max(range(3), key=lambda i: (scores[i], sure[i], -i))
+        new = texts[0] + " Answer: log x = [2]" if page % 2 == 0 else texts[0][: len(texts[0]) // 2]
+        again = [new if i == best else t for i, t in enumerate(texts)]
+        after = [score(again, i, sure[i]) for i in range(3)]
+        leads = all((after[best], sure[best]) >= (after[i], sure[i]) for i in range(3))
+        r = got[page]
+        assert abs(r["before"] - scores[best]) < 2e-4 and abs(r["after"] - after[best]) < 2e-4, page
+        if abs(after[best] - scores[best]) > 3e-4 and all(abs(after[best] - after[i]) > 3e-4 for i in range(3) if i != best):
+            assert r["accepted"] == (leads and after[best] >= scores[best])
+            assert r["text_md5"] == hashlib.md5((new if r["accepted"] else texts[best]).encode()).hexdigest()
+
+
 def test_prose_runs_by_hand(spark):
     def run(lines):
         best = cur = 0

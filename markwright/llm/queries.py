@@ -80,22 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL: dict[str, str] = {}
-#: right, but minutes long on whole tables, as every byte opens a window: not registered; it was run by hand at sf0.01
-SLOW_SQL: dict[str, str] = {}
-
-SLOW_SQL["op2_suffix_dedup"] = r"""
-WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-wins AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS k FROM t, range(0, greatest(length(x) // 2 - 99, 0)) r(i)),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM wins) WHERE rn > 1),
-opened AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS o FROM later),
-numbered AS (SELECT doc_id, i, sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM opened),
-spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, g),
-gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans),
-cut AS (SELECT s.doc_id, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS head, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM gaps s JOIN t USING (doc_id) GROUP BY s.doc_id)
-SELECT t.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
-FROM t LEFT JOIN cut USING (doc_id)
-"""
 
 SQL["op3_decontamination"] = r"""
 WITH words AS (

@@ -109,15 +109,24 @@ def queue_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT c_custkey AS id, ['Physics_2015_May_June_Paper_2_Variant_1_QP.pdf', 'Computer_Science_2019_Oct_Nov_Paper_1_MS_2.pdf', 'Biology_2020_May_June_ER.pdf', 'Chemistry_5070_Topical_2018_Acids_and_Bases_O_Level_x.pdf', 'History_2147_Syllabus_Reference_2023.pdf', 'Physics/Topicals/Waves.pdf', 'notes.txt'][c_custkey % 7 + 1] AS name FROM customer)
-SELECT id, ['exam_paper', 'exam_paper', 'session_doc', 'topical', 'syllabus', 'topical', NULL][id % 7 + 1] AS category, ['Physics', 'Computer Science', 'Biology', 'Chemistry', 'History', 'Physics', NULL][id % 7 + 1] AS subject, CAST([2015, 2019, 2020, 2018, NULL, NULL, NULL][id % 7 + 1] AS INTEGER) AS year,
-  ['May_June', 'Oct_Nov', 'May_June', NULL, NULL, NULL, NULL][id % 7 + 1] AS session, CAST([2, 1, NULL, NULL, NULL, NULL, NULL][id % 7 + 1] AS INTEGER) AS paper, CAST([1, NULL, NULL, NULL, NULL, NULL, NULL][id % 7 + 1] AS INTEGER) AS variant,
-  ['QP', 'MS', 'ER', NULL, NULL, NULL, NULL][id % 7 + 1] AS doc_type, [NULL, NULL, NULL, 'Acids and Bases', NULL, 'Waves', NULL][id % 7 + 1] AS topic, [5, 5, 5, 8, 5, 1, 1][id % 7 + 1] >= 5 AS has_parts FROM n
+WITH n AS (SELECT p_partkey AS id, p_partkey % 7 AS k, upper(p_name[1]) || p_name[2:] AS subject, 1990 + p_size AS year, CASE WHEN p_size % 2 = 0 THEN 'May_June' ELSE 'Oct_Nov' END AS session, p_partkey % 6 + 1 AS paper, p_size % 3 + 1 AS variant, ['QP', 'MS', 'IN', 'ER', 'GT'][p_partkey % 5 + 1] AS kind, lower(p_type) || ' and ' || p_brand AS topic FROM part)
+SELECT id, CASE WHEN k <= 1 THEN 'exam_paper' WHEN k = 2 THEN 'session_doc' WHEN k = 3 OR k = 5 THEN 'topical' WHEN k = 4 THEN 'syllabus' END AS category, CASE WHEN k = 5 THEN replace(subject, ' ', '_') WHEN k < 5 THEN subject END AS subject, CAST(CASE WHEN k <= 3 THEN year END AS INTEGER) AS year,
+  CASE WHEN k <= 2 THEN session END AS session, CAST(CASE WHEN k <= 1 THEN paper END AS INTEGER) AS paper, CAST(CASE WHEN k = 0 THEN variant END AS INTEGER) AS variant, CASE WHEN k <= 2 THEN kind END AS doc_type, CASE WHEN k IN (3, 5) THEN topic END AS topic,
+  CASE k WHEN 0 THEN 9 WHEN 1 THEN 7 WHEN 2 THEN 5 WHEN 3 THEN 8 WHEN 4 THEN 5 WHEN 5 THEN 3 ELSE 2 END + CASE WHEN k < 5 THEN 1 ELSE 0 END >= 5 AS has_parts FROM n
 """)
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    """What papers' file names say, by five patterns, and by their folders where those fail."""
-    path = pick(F.col("c_custkey"), "Physics_2015_May_June_Paper_2_Variant_1_QP.pdf", "Computer_Science_2019_Oct_Nov_Paper_1_MS_2.pdf", "Biology_2020_May_June_ER.pdf", "Chemistry_5070_Topical_2018_Acids_and_Bases_O_Level_x.pdf", "History_2147_Syllabus_Reference_2023.pdf", "Physics/Topicals/Waves.pdf", "notes.txt")
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), path.alias("path")).withColumn("f", readers.path_fields(F.col("path")))
+    """What papers' file names say, by five patterns, and by their folders where those fail; names are made of the parts' own fields."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    subject = F.translate(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000)), " ", "_")
+    year, session = (1990 + size).cast("string"), F.when(size % 2 == 0, "May_June").otherwise("Oct_Nov")
+    paper, variant, kind = (k % 6 + 1).cast("string"), (size % 3 + 1).cast("string"), pick(k, "qp", "MS", "In", "ER", "gt")
+    topic = F.concat(F.lower("p_type"), F.lit("_and_"), F.col("p_brand"))
+    join = lambda *parts: F.concat_ws("_", *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    names = [
+        F.concat(join(subject, year, session, "Paper", paper, "Variant", variant, kind), F.lit(".pdf")), F.concat(join(subject, year, session, "Paper", paper, kind, variant), F.lit(".PDF")), F.concat(join(subject, year, session, kind), F.lit(".pdf")),
+        F.concat(F.lit("x/"), join(subject, "5070", "Topical", year, topic, "O_Level_2"), F.lit(".pdf")), F.concat(join(subject, "2147", "Syllabus_Reference", year), F.lit(".pdf")), F.concat(subject, F.lit("/Topicals/"), topic, F.lit(".pdf")), F.concat(subject, F.lit(".txt")),
+    ]
+    rows = table(spark, d, "part").select(k.alias("id"), F.element_at(F.array(*names), (k % 7 + 1).cast("int")).alias("path")).withColumn("f", readers.path_fields(F.col("path")))
     return rows.select("id", "f.*", readers.name_parts(F.col("path")).isNotNull().alias("has_parts"))
 
 
@@ -218,14 +227,23 @@ def paper_items(spark: SparkSession, d: str) -> DataFrame:
     return corpus.paper_items(lines, "paper", "at", "page", "line").select("paper", "item", "text", "page", "marks")
 
 
-@query("""
-SELECT c_custkey AS id, c_custkey % 5 IN (1, 2) AS conflict, [NULL, 'chemistry', 'biology', 'physics', 'pakistan studies'][c_custkey % 5 + 1] AS printed FROM customer
+_SUBJECTS = "[" + ", ".join(f"'{x}'" for x in pg.HEADERS) + "]"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS id, {_SUBJECTS} AS s, c_custkey % 20 AS i, c_nationkey % 20 AS j, c_name, c_mktsegment FROM customer),
+h AS (SELECT id, s, 'Paper of ' || c_name || ' ' || coalesce(upper(s[i + 1]), c_mktsegment) || CASE WHEN id % 3 = 0 THEN ' and ' || coalesce(s[(i + 7) % 19 + 1], '') ELSE '' END AS header, CASE WHEN id % 4 = 0 THEN coalesce(s[i + 1], '') ELSE coalesce(s[j + 1], '') END AS chosen FROM c),
+p AS (SELECT id, chosen, list_filter(s, lambda x: contains(lower(header), x))[1] AS printed FROM h)
+SELECT id, coalesce(chosen <> '' AND NOT contains(printed, chosen) AND NOT contains(chosen, printed), false) AS conflict, coalesce(printed, 'none') AS printed FROM p
 """)
 def header_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Papers whose printed header names another subject than the one chosen."""
-    header = pick(F.col("c_custkey"), "", "CHEMISTRY 5070/21", "O Level Biology", "Physics paper", "PAKISTAN STUDIES History")
-    chosen = pick(F.col("c_custkey"), "Physics", "Physics", "Physics", "Physics 1016", "Pakistan Studies")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), pg.header_conflicts(header, chosen).alias("conflict"), pg.subject_from_header(header).alias("printed"))
+    """Papers whose printed header names another subject than the one chosen; headers name one subject, two or none."""
+    subjects, k = F.array(*map(F.lit, pg.HEADERS)), F.col("c_custkey")
+    nth = lambda i: F.get(subjects, i.cast("int"))
+    other = F.when(k % 3 == 0, F.concat(F.lit(" and "), F.coalesce(nth((k % 20 + 7) % 19), F.lit("")))).otherwise("")
+    header = F.concat(F.lit("Paper of "), F.col("c_name"), F.lit(" "), F.coalesce(F.upper(nth(k % 20)), F.col("c_mktsegment")), other)
+    chosen = F.initcap(F.coalesce(nth(F.when(k % 4 == 0, k % 20).otherwise(F.col("c_nationkey") % 20)), F.lit("")))
+    return table(spark, d, "customer").select(k.alias("id"), pg.header_conflicts(header, chosen).alias("conflict"), F.coalesce(pg.subject_from_header(header), F.lit("none")).alias("printed"))
 
 
 @query(r"""

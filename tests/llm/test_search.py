@@ -167,3 +167,17 @@ def test_pivots_skip_most_of_clustered_vectors():
 def test_scores_of_large_numbers_are_exact():
     a, b = np.array([[3e9, 1.0, 7.0]]), np.array([[2e9 + 1, 1.0, 3.0]])
     assert exact_topk.exact_scores(a, b).tolist() == [3 * 10**9 * (2 * 10**9 + 1) + 22]
+
+
+def test_an_id_has_one_vector_in_the_approximate_search(spark):
+    from markwright.llm import ann
+
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (2, [-1.0, 1.0]), (20, [0.3, 0.3])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in ann.nearest(frame, collocations.F.col("id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    kept = {0: [0.5, 0.5], 1: [0.9, 0.1], 2: [-1.0, 1.0], 20: [0.3, 0.3]}
+    want = []
+    for q in (0, 20):
+        best = sorted((-float(np.dot(kept[q], v)), i) for i, v in kept.items() if i != q)[:3]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert [(q, r, i) for q, r, i, _ in got] == [(q, r, i) for q, r, i, _ in want] and np.allclose([g[3] for g in got], [w[3] for w in want])

@@ -42,13 +42,19 @@ def mastery(marks: DataFrame, *by: str) -> DataFrame:
     return sums.select(*by, "topic", percent(F.col("e"), F.col("a"), 0).alias("mastery"), "n_marks")
 
 
+MOST_COLUMNS = 2000
+
+
 def heatmap(marks: DataFrame, topics: list[str] | None = None) -> DataFrame:
     """Students by topics in their order, null where nothing is available, and a row ``average`` of the rounded cells.
 
-    The topics are the table's own, a column each (t1, t2, ...), unless they are given.
+    The topics are the table's own, a column each (t1, t2, ...), unless they are given; more than ``MOST_COLUMNS`` are an
+    error, not cut.
     """
     if topics is None:
-        topics = sorted(r[0] for r in marks.select("topic").where("topic IS NOT NULL").distinct().collect())  # as many as there are columns
+        topics = sorted(r[0] for r in marks.select("topic").where("topic IS NOT NULL").distinct().limit(MOST_COLUMNS + 1).collect())
+    if len(topics) > MOST_COLUMNS:
+        raise ValueError(f"a heatmap of more than {MOST_COLUMNS} topics")
     cells = marks.groupBy("student", "topic").agg(percent(F.sum("earned"), F.sum("available")).alias("cell"))
     names = [f"t{i + 1}" for i in range(len(topics))]
     wide = cells.groupBy("student").pivot("topic", topics).agg(F.first("cell"))

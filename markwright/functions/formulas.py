@@ -73,12 +73,13 @@ def one_blank(x: str) -> str:
 def repaired(x: str) -> str:
     """Text that was decoded wrongly read again, where that leaves fewer of the tell-tale letters."""
     bad = lambda s: sum(map(s.count, _TELLTALES))
-    if bad(x):
-        try:
-            again = x.encode("cp1252").decode("utf-8")
-            x = again if bad(again) < bad(x) else x
-        except UnicodeError:
-            pass
+    if x.isascii() or not bad(x):
+        return x
+    try:
+        again = x.encode("cp1252").decode("utf-8")
+        x = again if bad(again) < bad(x) else x
+    except UnicodeError:
+        pass
     return x.replace("Â²", "²").replace("Â³", "³")
 
 
@@ -127,8 +128,10 @@ def _canonical_log(base: str, arg: str) -> str:
 def _from_written(x: str) -> str | None:
     """A text whose logarithms, if it names any, stand in canonical form, however loosely set."""
     flat = one_blank(repaired(x)).replace("argz", "arg")
+    if "log" not in flat.casefold():
+        return flat or None
     out, found = _WRITTEN_LOG.subn(lambda m: _canonical_log(m[1], m[2]), flat)
-    return (one_blank(out) or None) if found or "log" not in flat.casefold() else None
+    return (one_blank(out) or None) if found else None
 
 
 def _from_display(display: str) -> str | None:
@@ -156,12 +159,16 @@ def common_log(x: str) -> str:
 
 
 def _doubts(source: str, display: str, canonical: str | None, wanted: bool) -> list[str]:
-    found = {code for code, pattern in _DISPLAY_DOUBTS.items() if pattern.search(display)}
-    if any(map(source.__contains__, _SUBSCRIPT_DOUBTS)):
-        found.add("subscript_decoding_uncertain")
-    if any(map(source.__contains__, _SUPERSCRIPT_DOUBTS)):
-        found.add("superscript_decoding_uncertain")
+    found: set[str] = set()
+    if not source.isascii():
+        if any(map(source.__contains__, _SUBSCRIPT_DOUBTS)):
+            found.add("subscript_decoding_uncertain")
+        if any(map(source.__contains__, _SUPERSCRIPT_DOUBTS)):
+            found.add("superscript_decoding_uncertain")
     read = repaired(source)
+    if "log" not in display.casefold() and "log" not in read.casefold():
+        return sorted(found)  # all other doubts are about logarithms
+    found.update(code for code, pattern in _DISPLAY_DOUBTS.items() if pattern.search(display))
     if _MERGED_BASE.search(read):
         found.add("merged_log_base_operand")
     if not canonical and (_UNCLEAR_LOG.search(read) or _UNCLEAR_LOG.search(display)):
@@ -183,7 +190,13 @@ def math_forms(source: str | None, given: str | None = None, canonical: bool = T
 
 def matched_on(source: str | None, given: str | None = None) -> str:
     """What a text of mathematics is matched on: dashes and odd blanks are plain, common logarithms all read the same."""
-    return common_log(math_forms(one_blank(source or "").translate(_PLAIN), given).matcher)
+    flat = one_blank(source or "")
+    flat = flat if flat.isascii() else flat.translate(_PLAIN)
+    form = (_from_written(given) if given else None) or _from_written(flat)
+    if not form:
+        display = displayed(repaired(flat))
+        form = _from_display(display) or spoken(display)
+    return common_log(form)
 
 
 def content_forms(source: str | None, kind: str | None, mathematics: bool) -> Forms:

@@ -166,12 +166,16 @@ def top_k(queries: DataFrame, records: DataFrame, k: int, block_rows: int = BLOC
     pivots = spread_out(sample, PIVOTS)
     centres = np.random.default_rng(3).permutation(sample)[: max(1, min(CENTRES, total // block_rows))]
     nearest, block = _block_task(centres, pivots)
-    placed = written(records.mapInArrow(nearest, "r long, rv array<double>, centre int"), "vectors-placed")
-    parts = placed.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    dealt = placed.join(F.broadcast(parts), F.col("centre") == F.col("c"))  # CENTRES rows at most
+    if len(centres) > 1:
+        placed = written(records.mapInArrow(nearest, "r long, rv array<double>, centre int"), "vectors-placed")
+        parts = placed.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+        dealt = placed.join(F.broadcast(parts), F.col("centre") == F.col("c"))  # CENTRES rows at most
+    else:
+        dealt = records.withColumns({"centre": F.lit(0), "parts": F.lit(1 + total // block_rows)})
     blocks = written(dealt.groupBy("centre", F.pmod(F.xxhash64("r"), F.col("parts")).alias("part")).applyInArrow(_drop_keys(block), BLOCK), "vectors-blocks")
-    asked = written(queries.mapInArrow(_first_scores(sample_ids, sample, k), "q long, qv array<double>, kth double"), "vectors-asked")
-    n = 1 + max(asked.count() * sample.shape[1] * 8 // GROUP_BYTES, asked.count() * k // group_rows)
+    asked, wanted = queries.mapInArrow(_first_scores(sample_ids, sample, k), "q long, qv array<double>, kth double"), queries.count()
+    n = 1 + max(wanted * sample.shape[1] * 8 // GROUP_BYTES, wanted * k // group_rows)
+    asked = written(asked, "vectors-asked") if n > 1 else asked
     out = None
     for g in range(n):
         group = asked.where(F.pmod(F.xxhash64("q"), F.lit(n)) == g).collect()  # some GROUP_BYTES

@@ -24,6 +24,9 @@ def words_of(x: str | None) -> list[bytes]:
     return x.encode("utf-8", "replace").translate(_PLAIN).split()
 
 
+FEW = 1 << 14  # postings of a text that are simply read
+
+
 def rounded(score: np.ndarray) -> np.ndarray:
     return np.floor(score * 10_000 + 0.5) / 10_000
 
@@ -82,6 +85,14 @@ class ItemIndex:
         self.count[met] += many
         return met
 
+    def _all(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every item that holds some of the words, and how many."""
+        postings = np.concatenate([self.items[self.lists[w] : self.lists[w] + self.lengths[w]] for w in words.tolist()]) if len(words) else self.items[:0]
+        self.touched += len(postings)
+        count = np.bincount(postings, minlength=len(self.ids))
+        met = np.flatnonzero(count)
+        return met, count[met]
+
     def _shared(self, at: np.ndarray, known: np.ndarray) -> np.ndarray:
         """How many of the known words each of these items holds, by the items' own words."""
         self.held[known] = True
@@ -93,6 +104,10 @@ class ItemIndex:
     def best(self, words: set[bytes], k: int, by: str, larger_id: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(item, shared) of the k best; ties to the smaller or larger id."""
         known, score, n_q = self.known(words), SCORES[by], len(words)
+        if self.lengths[known].sum() <= FEW and len(self.ids) <= FEW:  # not worth a second look
+            met, shared = self._all(known)
+            order = np.lexsort((-met if larger_id else met, -score(shared, n_q, self.sizes[met])))[:k]
+            return met[order], shared[order]
         met, done, kth, ends = np.zeros(0, np.int64), 0, -1.0, np.cumsum(self.lengths[known])
         while done < len(known):
             left = np.array([len(known) - done])
@@ -120,6 +135,10 @@ class ItemIndex:
         open_ = need <= np.minimum(self.sizes, len(known))
         if not open_.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.lengths[known].sum() <= FEW and len(self.ids) <= FEW:
+            met, shared = self._all(known)
+            some = shared >= need[met]
+            return met[some], shared[some]
         done = len(known) - int(need[open_].min()) + 1  # an item without any of these rarest words has too few
         met = self._meet(known[:done])
         shared = self.count[met]

@@ -13,6 +13,7 @@ from markwright.functions import sequences, udfs
 from markwright.operators import analytics, corpus, matching, relational, review, vectors
 from markwright.sources import readers
 from markwright.sources.readers import table
+from markwright.sources.written import spread
 from markwright.streaming import limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,7 +285,7 @@ p AS (SELECT q, r, n_q, n_r, count(*) AS shared FROM (SELECT q, n_q, unnest(t) A
 
 @query(f"WITH {_PAIRS} SELECT q AS doc_id, r AS item_id, score FROM (SELECT *, round(shared / (n_q + n_r - shared), 4) AS score, row_number() OVER (PARTITION BY q ORDER BY round(shared / (n_q + n_r - shared), 4) DESC, r) AS k FROM p) WHERE k = 1")
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    best = matching.best_jaccard(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
+    best = matching.best_jaccard(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"), "doc_id", "item_id")
     return best.select(F.col("q").alias("doc_id"), F.col("r").alias("item_id"), "score")
 
 
@@ -292,7 +293,7 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT q, r, round(least(1.0, 0.75 * o + 0.20 * j), 4) AS score FROM f WHERE k <= 10), h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, r DESC) AS place FROM g)
 SELECT q AS doc_id, r AS item_id, score, place FROM h WHERE place <= 4""")
 def match_rerank(spark: SparkSession, d: str) -> DataFrame:
-    pairs = matching.ranked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 10, "overlap", larger_id=True)
+    pairs = matching.ranked_items(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"), "doc_id", "item_id", 10, "overlap", larger_id=True)
     return matching.two_stage(pairs).select(F.col("q").alias("doc_id"), F.col("r").alias("item_id"), "score", F.col("place").cast("long").alias("place"))
 
 
@@ -302,7 +303,7 @@ r AS (SELECT doc_id, CAST(CAST(concat('0x', substr(h, 1, 8)) AS UBIGINT) % 384 A
 SELECT doc_id, slot, round(raw / sqrt(sum(CAST(raw * raw AS DOUBLE)) OVER (PARTITION BY doc_id)), 6) AS value FROM r
 """)
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return matching.hash_embedding(table(spark, d, "documents"), "doc_id")
+    return matching.hash_embedding(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query("""
@@ -324,7 +325,7 @@ c AS (SELECT *, count(*) FILTER (verified) OVER (PARTITION BY q) AS nv, row_numb
 SELECT q, r, verified, CAST(score AS DOUBLE) AS score FROM c WHERE verified OR pl <= greatest(0, 8 - nv)
 """)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark")
+    docs, items = spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark")
     near = matching.ranked_docs(docs, items, "item_id", "doc_id", 8)
     return matching.hybrid_search(near, matching.exact_hits(docs, items, "item_id", "doc_id"), 8)
 

@@ -12,6 +12,7 @@ from markwright.functions import text as tx
 from markwright.operators import analytics, corpus, matching, review
 from markwright.plans.catalog import _T, _answers, _ntz, query
 from markwright.sources.readers import table
+from markwright.sources.written import spread
 from markwright.streaming import limits
 
 
@@ -141,7 +142,8 @@ def math_text(spark: SparkSession, d: str) -> DataFrame:
     lowered = F.translate(base, tx.DIGITS, tx.SUBSCRIPTS)
     heads = [F.concat(F.lit("log"), lowered, F.lit("( "), p, s, x, F.lit(")")), F.concat(F.lit("log_"), base, x), F.concat(F.lit("lg "), p), F.concat(F.lit("ln( "), p, x, F.lit(" )"))]
     raw = F.concat(F.element_at(F.array(*heads), (F.col("l_partkey") % 4 + 1).cast("int")), F.lit("="), x, power, F.lit(" "), s, n)
-    rows = table(spark, d, "lineitem").withColumn("raw", raw).withColumn("f", formulas.math_normalised(F.col("raw")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", raw.alias("raw"))
+    rows = spread(lines).withColumn("f", formulas.math_normalised(F.col("raw")))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "f.display", "f.canonical", formulas.matcher_math(F.col("raw")).alias("matcher"), F.array_join("f.warnings", ",").alias("warnings"))
 
 
@@ -154,7 +156,7 @@ SELECT doc_id, md5(display) AS display_md5, md5(CASE WHEN logs THEN trim(regexp_
 """)
 def math_documents(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents read as mathematics; none of them holds raised or lowered digits, few name a logarithm."""
-    rows = table(spark, d, "documents").withColumn("f", formulas.math_normalised(F.col("text")))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("f", formulas.math_normalised(F.col("text")))
     return rows.select("doc_id", F.md5("f.display").alias("display_md5"), F.md5("f.matcher").alias("matcher_md5"), F.array_join("f.warnings", ",").alias("warnings"))
 
 

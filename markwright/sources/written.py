@@ -27,3 +27,10 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     path = fresh_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scanned table in as many partitions as there are cores, if it has fewer: for much work on few bytes. A table of
+    more files or row groups stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -29,7 +29,9 @@ def _brute(index_rows, words, k, by, larger):
 
 @pytest.mark.parametrize("by", ["overlap", "jaccard"])
 @pytest.mark.parametrize("larger", [False, True])
-def test_best_items_are_those_of_scoring_all(by, larger):
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_best_items_are_those_of_scoring_all(monkeypatch, by, larger, few):
+    monkeypatch.setattr(wordindex, "FEW", few)
     rng = np.random.default_rng(1)
     rows = [(i, _bag(rng, int(rng.integers(1, 30)))) for i in range(1, 400)] + [(1000, []), (1001, ["w1"]), (1002, ["w1"])]
     index = wordindex.ItemIndex([(i, [w.encode() for w in own]) for i, own in rows])
@@ -41,7 +43,8 @@ def test_best_items_are_those_of_scoring_all(by, larger):
     assert not index.count.any() and not index.held.any()
 
 
-def test_lists_of_frequent_words_stay_closed():
+def test_lists_of_frequent_words_stay_closed(monkeypatch):
+    monkeypatch.setattr(wordindex, "FEW", 0)
     rows = [(i, [b"the", b"of", b"rare%d" % (i // 4), b"x%d" % i]) for i in range(10_000)]
     index = wordindex.ItemIndex(rows)
     found, shared = index.best({b"the", b"of", b"rare7", b"x29", b"none"}, 1, "overlap")
@@ -56,7 +59,9 @@ def test_lists_of_frequent_words_stay_closed():
     assert shared.tolist() == [4, 4, 4] and index.touched < 12_000  # one of the two long lists: items of both would tie
 
 
-def test_items_that_reach_a_score():
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_items_that_reach_a_score(monkeypatch, few):
+    monkeypatch.setattr(wordindex, "FEW", few)
     rng = np.random.default_rng(2)
     rows = [(i, _bag(rng, int(rng.integers(1, 30)))) for i in range(300)]
     index = wordindex.ItemIndex([(i, [w.encode() for w in own]) for i, own in rows])

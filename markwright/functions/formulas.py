@@ -155,6 +155,8 @@ def spoken(display: str) -> str:
 def common_log(x: str) -> str:
     """log without a base, lg and log(base=10,arg=x) all read log base 10; other bases and ln stay."""
     ten = lambda m: f"log base 10 {''.join(m[2].split())}" if "".join(m[1].split()) == "10" else m[0]
+    if "l" not in x and "L" not in x:
+        return one_blank(x)
     return one_blank(_COMMON_LOG.sub("log base 10", _WRITTEN_LOG.sub(ten, x)))
 
 
@@ -221,14 +223,17 @@ def _frame(rows: list[Forms]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=FORMS.fieldNames())
 
 
-@F.pandas_udf(FORMS)
-def math_normalised(source: pd.Series) -> pd.DataFrame:
-    return _frame([math_forms(x) for x in source])
+def _matched(source: str | None, forms: Forms) -> str:
+    """``matched_on`` of a text whose forms are known."""
+    flat = one_blank(source or "").translate(_PLAIN)
+    return common_log(forms.matcher) if flat == source else matched_on(source)
 
 
-@F.pandas_udf(T.StringType())
-def matcher_math(source: pd.Series) -> pd.Series:
-    return source.map(matched_on)
+@F.pandas_udf(T.StructType([*FORMS.fields, T.StructField("matched", T.StringType())]))
+def math_normalised(source: pd.Series) -> pd.DataFrame:
+    """All forms of formulas, and what they are ``matched`` on."""
+    forms = [math_forms(x) for x in source]
+    return _frame(forms).assign(matched=[_matched(x, f) for x, f in zip(source, forms, strict=True)])
 
 
 @F.pandas_udf(FORMS)

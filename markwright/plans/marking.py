@@ -144,7 +144,7 @@ def math_text(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.element_at(F.array(*heads), (F.col("l_partkey") % 4 + 1).cast("int")), F.lit("="), x, power, F.lit(" "), s, n)
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", raw.alias("raw"))
     rows = spread(lines).withColumn("f", formulas.math_normalised(F.col("raw")))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "f.display", "f.canonical", formulas.matcher_math(F.col("raw")).alias("matcher"), F.array_join("f.warnings", ",").alias("warnings"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "f.display", "f.canonical", F.col("f.matched").alias("matcher"), F.array_join("f.warnings", ",").alias("warnings"))
 
 
 @query(r"""

@@ -64,6 +64,12 @@ def test_common_logarithms_are_matched_alike():
     assert fm.matched_on("x − 1") == "x - 1"
 
 
+def test_forms_and_what_they_are_matched_on(spark):
+    texts = ["Solve log_10(x)  − 2", "lg y", "log y", "x² = 1", None, "", " log₂( a ) "]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fm.math_normalised(F.col("t")).alias("f"))
+    assert [(*r["f"],) for r in frame.collect()] == [(*fm.math_forms(t), fm.matched_on(t)) for t in texts]
+
+
 def test_kinds_of_content(spark):
     rows = [("Co2 is 5ms", "science_notation", "Chemistry 1011"), ("lg t = 3", "symbolic", " Mathematics  1014"), ("lg t = 3", "symbolic", None), ("“Hello” , ﬁne .", "prose", "x"), ("", "prose", None), (None, "prose", None)]
     frame = spark.createDataFrame(rows, "t string, k string, s string").select(fm.content_normalised(F.col("t"), F.col("k"), F.col("s")).alias("f"))

@@ -28,30 +28,30 @@ def lines_of(words: DataFrame, page: str) -> DataFrame:
     return opened.withColumn("line", F.sum("_gap").over(so_far)).drop("_gap")
 
 
-def line_boxes(words: DataFrame, page: str) -> DataFrame:
-    """Lines (page, line, text, x0, y0, x1, y1) of words with their lines."""
+def line_boxes(words: DataFrame, page: str, **more: Column) -> DataFrame:
+    """Lines (page, line, text, x0, y0, x1, y1) of words with their lines; ``more``: other aggregates of a line's words."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    return words.groupBy(page, "line").agg(text.alias("text"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
+    return words.groupBy(page, "line").agg(text.alias("text"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], *[c.alias(n) for n, c in more.items()])
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, page: str, pad_x: float = 0.0, pad_y: float = 0.0) -> DataFrame:
     """``points(page, x, y, ...)`` that lie in some of the ``boxes(page, x0, y0, x1, y1)``, edges included.
 
-    A range join by grids: a box lies in at most four cells of the grid whose cells are as large as it (a power of two),
-    a point in one cell of each grid that a box of its table needs; both meet by cell, and the edges decide.
+    A range join by grids: a page's cells are as wide and as high as its boxes are by root mean square, so that its boxes
+    lie in at most nine cells each on average, and a point in one; points meet the boxes of their cell, and the edges
+    decide. All of it goes by page: what is dealt out by page already isn't shuffled again.
     """
-    spread = boxes.select(F.col(page).alias("_page"), (F.col("x0") - pad_x).alias("_x0"), (F.col("y0") - pad_y).alias("_y0"), (F.col("x1") + pad_x).alias("_x1"), (F.col("y1") + pad_y).alias("_y1"))
-    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-6))
-    spread = spread.withColumn("_level", F.ceil(F.log2(side)).cast("int")).where("_x1 >= _x0 AND _y1 >= _y0")
-    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
-    levels = sorted(r[0] for r in spread.select("_level").distinct().collect())  # one for each power of two: some 2000 at most
-    across = lambda a, b: F.explode(F.sequence(cell(F.col(a), F.col("_level")), cell(F.col(b), F.col("_level"))))
-    held = spread.withColumn("_cx", across("_x0", "_x1")).withColumn("_cy", across("_y0", "_y1"))
-    numbered = points.withColumn("_id", F.struct(page, "x", "y"))
-    asked = numbered.select("_id", F.col(page).alias("_page"), "x", "y").distinct().withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    asked = asked.withColumns({"_cx": cell(F.col("x"), F.col("_level")), "_cy": cell(F.col("y"), F.col("_level"))})
-    met = asked.join(held, ["_page", "_level", "_cx", "_cy"]).where("x BETWEEN _x0 AND _x1 AND y BETWEEN _y0 AND _y1")
-    return numbered.join(met.select("_id").distinct(), "_id", "left_semi").drop("_id")
+    box = F.struct((F.col("x0") - pad_x).alias("x0"), (F.col("y0") - pad_y).alias("y0"), (F.col("x1") + pad_x).alias("x1"), (F.col("y1") + pad_y).alias("y1"))
+    spread = boxes.select(F.col(page).alias("_page"), box.alias("_box")).where("_box.x1 >= _box.x0 AND _box.y1 >= _box.y0")
+    asked = points.select(F.col(page).alias("_page"), F.struct(*points.columns).alias("_point")).where("_page IS NOT NULL AND _point.x IS NOT NULL AND _point.y IS NOT NULL")
+    both = asked.unionByName(spread, allowMissingColumns=True)
+    side = lambda a, b: F.greatest(F.sqrt(F.avg(F.pow(F.col(f"_box.{b}") - F.col(f"_box.{a}"), F.lit(2.0))).over(Window.partitionBy("_page"))), F.lit(1e-6))
+    cell = lambda v, size: F.floor(v / F.col(size)).cast("long")
+    cells = lambda axis, size: F.explode(F.when(F.col("_point").isNull(), F.sequence(cell(F.col(f"_box.{axis}0"), size), cell(F.col(f"_box.{axis}1"), size))).otherwise(F.array(cell(F.col(f"_point.{axis}"), size))))
+    celled = both.withColumns({"_w": side("x0", "x1"), "_h": side("y0", "y1")}).withColumn("_cx", cells("x", "_w")).withColumn("_cy", cells("y", "_h"))
+    near = celled.withColumn("_near", F.collect_list("_box").over(Window.partitionBy("_page", "_cx", "_cy"))).where("_point IS NOT NULL")
+    x, y = F.col("_point.x"), F.col("_point.y")
+    return near.where(F.exists("_near", lambda b: x.between(b["x0"], b["x1"]) & y.between(b["y0"], b["y1"]))).select("_point.*")
 
 
 def is_passage(text: Column) -> Column:
@@ -65,19 +65,17 @@ def passage_words(words: DataFrame, page: str) -> DataFrame:
     """(page, words, by_lines, in_regions, in_band, by_length, by_text): how many words a page's passage has, and the
     estimates it is the middle of: the words of its lines (twice: as runs and as a sum), those within the lines' regions,
     in the page's main band (80 %), by characters (90 %) and by the page's text (75 %)."""
-    placed = lines_of(words, page)
-    height = placed.groupBy(page).agg(F.max("y1").alias("height"))
+    words = words.withColumn("height", F.max("y1").over(Window.partitionBy(page)))
     middle = (F.col("y0") + F.col("y1")) / 2
     in_band = middle.between(F.col("height") * TOP, F.col("height") * BOTTOM)
-    lines = line_boxes(placed, page).join(height, page).withColumn("passage", in_band & is_passage(F.col("text")))
-    points = words.withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": middle})
-    inside = points_in_boxes(points, lines.where("passage"), page, REACH_X, REACH_Y)
-    regions = inside.groupBy(page).agg(F.sum(word_count(F.col("text"))).alias("in_regions"))
     clean = F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) > 1
-    band = words.join(height, page).groupBy(page).agg(F.sum(F.when(clean & in_band, word_count(F.col("text"))).otherwise(0)).alias("in_band"))
+    in_line = F.sum(F.when(clean & in_band, word_count(F.col("text"))).otherwise(0))
+    lines = line_boxes(lines_of(words, page), page, height=F.max("height"), in_band=in_line).withColumn("passage", in_band & is_passage(F.col("text")))
+    points = words.select(page, ((F.col("x0") + F.col("x1")) / 2).alias("x"), middle.alias("y"), word_count(F.col("text")).alias("n"))
+    regions = points_in_boxes(points, lines.where("passage"), page, REACH_X, REACH_Y).groupBy(page).agg(F.sum("n").alias("in_regions"))
     compact = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line", "text")))), lambda x: x["text"]), " ")
-    texts = lines.groupBy(page).agg(F.sum(F.when(F.col("passage"), word_count(F.col("text"))).otherwise(0)).alias("by_lines"), F.sum(word_count(F.col("text"))).alias("by_text"), compact(F.col("passage")).alias("_passage"), compact(F.lit(True)).alias("_all"))
-    rows = texts.join(band, page, "left").join(regions, page, "left")
+    texts = lines.groupBy(page).agg(F.sum(F.when(F.col("passage"), word_count(F.col("text"))).otherwise(0)).alias("by_lines"), F.sum(word_count(F.col("text"))).alias("by_text"), F.sum("in_band").alias("in_band"), compact(F.col("passage")).alias("_passage"), compact(F.lit(True)).alias("_all"))
+    rows = texts.join(regions, page, "left")
     chars = F.length(F.when(F.col("_passage") != "", F.col("_passage")).otherwise(F.col("_all")))
     rows = rows.select(page, *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("by_lines", "in_regions", "in_band", "by_text")], F.bround(chars / 5.2).cast("int").alias("by_length"))
     share = lambda c, part: F.bround(F.col(c) * F.lit(part)).cast("int")

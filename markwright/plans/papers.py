@@ -14,6 +14,7 @@ from markwright.plans.catalog import _T, query
 from markwright.plans.marking import pick
 from markwright.sources import readers
 from markwright.sources.readers import table
+from markwright.sources.written import dealt
 
 _SIDES = """l AS (SELECT l_orderkey % 400 AS paper, CAST(l_linenumber AS VARCHAR) AS number, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE chr(CAST(97 + l_partkey % 2 AS INTEGER)) END AS sub, l_partkey * 100000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS pos, l_returnflag AS f FROM lineitem),
 q AS (SELECT paper, number, sub, pos, row_number() OVER (PARTITION BY paper, number, sub ORDER BY pos) AS n FROM (SELECT DISTINCT paper, number, sub, pos FROM l WHERE f = 'A')), e AS (SELECT paper, number, sub, pos, row_number() OVER (PARTITION BY paper, number, sub ORDER BY pos) AS n FROM (SELECT DISTINCT paper, number, sub, pos FROM l WHERE f = 'R')),
@@ -344,8 +345,11 @@ p AS (SELECT l.*, (y0 + y1) / 2 BETWEEN h * 0.08 AND h * 0.92 AND NOT regexp_mat
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    """The words of the documents' lines as boxes, as a scan would place them: not quite even."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
+    """The words of the documents' lines as boxes, as a scan would place them: not quite even.
+
+    Documents are dealt out whole; their words, many times as large, stay where they are in all that goes by page.
+    """
+    lines = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
     words = lines.select("doc_id", "i", F.posexplode(pg.words(F.col("s"))).alias("j", "text"))
     j, top = F.col("j"), 20.0 * F.col("i")
     return words.select("doc_id", "text", (50.0 * j).alias("x0"), (top + j % 3).alias("y0"), (50.0 * j + 40).alias("x1"), (top + 12 + j % 4).alias("y1"))
@@ -376,8 +380,8 @@ def words_in_figures(spark: SparkSession, d: str) -> DataFrame:
     boxes = _boxes(spark, d)
     lines = geometry.line_boxes(boxes.withColumn("line", F.floor(F.col("y0") / 20)), "doc_id").where("line % 3 = 1")
     figures = lines.select("doc_id", (F.col("x0") + 60).alias("x0"), (F.col("y0") + 3).alias("y0"), (F.col("x0") + 60 + 40 * (F.col("line") % 7)).alias("x1"), (F.col("y0") + 45).alias("y1"))
-    points = boxes.withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2})
-    return geometry.points_in_boxes(points, figures, "doc_id", 2.0, 1.0).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(geometry.word_count(F.col("text"))).cast("long").alias("words"))
+    points = boxes.select("doc_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), geometry.word_count(F.col("text")).alias("k"))
+    return geometry.points_in_boxes(points, figures, "doc_id", 2.0, 1.0).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("words"))
 
 
 @query(r"""

@@ -34,3 +34,10 @@ def spread(rows: DataFrame) -> DataFrame:
     more files or row groups stays where it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A scanned table dealt out by a key before its rows unfold, so that what goes by that key later needs no shuffle: in
+    eight parts for each of the scan's, and as many as there are shuffle partitions at least."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, 8 * rows.rdd.getNumPartitions()), key)

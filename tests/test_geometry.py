@@ -43,3 +43,13 @@ def test_passage_lines(spark):
     cases = [("one two three four five", True), ("one two three.", True), ("one two three", False), ("", False), ("Answer the question in five words now", False)]
     rows = spark.createDataFrame(cases, "t string, want boolean")
     assert all(r["got"] == r["want"] for r in rows.withColumn("got", geometry.is_passage(F.col("t"))).collect())
+
+
+def test_what_is_dealt_by_page_is_not_shuffled_again(spark):
+    points = spark.createDataFrame([(1, 1.0, 1.0)], "page int, x double, y double").repartition(8, "page")
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0)], "page int, x0 double, y0 double, x1 double, y1 double").repartition(8, "page")
+    found = geometry.points_in_boxes(points, boxes, "page")
+    assert found.count() == 1
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 2
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "ENSURE_REQUIREMENTS" not in plan

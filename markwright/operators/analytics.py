@@ -64,8 +64,14 @@ def heatmap(marks: DataFrame, topics: list[str] | None = None) -> DataFrame:
 
 
 def difficulty(marks: DataFrame) -> DataFrame:
-    """Percent earned by question; the hardest come first when sorted by (pct, question)."""
-    return marks.groupBy("question").agg(percent(F.sum("earned"), F.sum("available"), 0).alias("pct"), F.count("*").alias("answers"))
+    """Percent earned by question; the hardest come first when sorted by (pct, question).
+
+    Marks count in millionths, as whole numbers: a sum comes to the same in any order, and halves are halves.
+    """
+    millionths = lambda c: F.sum(F.round(F.col(c) * 1_000_000).cast("decimal(18,0)"))
+    sums = marks.groupBy("question").agg(millionths("earned").alias("_e"), millionths("available").alias("_a"), F.count("*").alias("answers"))
+    pct = F.expr("((_e * 200 + _a) - pmod(_e * 200 + _a, _a * 2)) div (_a * 2)")
+    return sums.select("question", F.when(F.col("_a") > 0, pct).otherwise(F.lit(0)).cast("long").alias("pct"), "answers")
 
 
 def class_pulse(submissions: DataFrame, marks: DataFrame, as_of: Column, days: int = 30, weakest: int = 3) -> DataFrame:

@@ -60,8 +60,12 @@ LOW = {"ocr": 0.85, "split": 0.90, "classification": 0.80}
 ERRORS = ["missing_question", "missing_answer", "question_answer_overlap"]
 
 
+#: fixed value: an edge of a run of ASCII letters, digits and underscores; Java's own takes in other letters, or not, by its version
+EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
 def _log_bases(x: Column) -> Column:
-    found = [F.regexp_extract_all(x, F.lit(p), 1) for p in (r"(?i)log\s*_\s*([A-Za-z0-9]+)", r"(?i)\blog([A-Za-z0-9])(?=[A-Za-z(])", r"(?i)\blog([0-9]+)\b")]
+    found = [F.regexp_extract_all(x, F.lit(p), 1) for p in (r"(?i)log\s*_\s*([A-Za-z0-9]+)", rf"(?i){EDGE}log([A-Za-z0-9])(?=[A-Za-z(])", rf"(?i){EDGE}log([0-9]+){EDGE}")]
     return F.array_distinct(F.transform(F.concat(*found), lambda b: F.lower(b)))
 
 
@@ -99,13 +103,13 @@ def validation_flags(rows: DataFrame) -> DataFrame:
         F.when(q == "", "missing_question"), F.when(a == "", "missing_answer"), F.when(overlap, "question_answer_overlap"),
         *[F.when(c(n) < least, f"low_{n}_confidence") for n, least in LOW.items()],
         F.when((F.size(bq) > 0) & (F.size(ba) > 0) & ~F.arrays_overlap(bq, ba), "potential_log_base_mismatch"),
-        F.when(math & whole.contains("log") & whole.rlike(r"\blog[0-9A-Za-z]"), "potential_subscript_loss"), F.when(math & whole.rlike(r"\b[a-zA-Z][0-9]\b"), "potential_superscript_loss"),
+        F.when(math & whole.contains("log") & whole.rlike(rf"{EDGE}log[0-9A-Za-z]"), "potential_subscript_loss"), F.when(math & whole.rlike(rf"{EDGE}[a-zA-Z][0-9]{EDGE}"), "potential_superscript_loss"),
         F.when(math & uneven, "potential_equation_structure_loss"),
         F.when(math & ((whole.contains("0") & whole.contains("O")) | (whole.contains("1") & (whole.contains("I") | whole.contains("l")))), "potential_symbol_ambiguity"),
         F.when(math & chained, "potential_fraction_or_chain_ambiguity"),
-        F.when((subject == "chemistry") & whole.rlike(r"\b[A-Z][a-z]?[0O][A-Za-z0-9()]*\b"), "potential_chemistry_formula_ambiguity"),
-        F.when((subject == "physics") & whole.rlike(r"\b\d+\s*(hz|pa|j|v|w|n|c)\b"), "potential_physics_unit_ambiguity"),
-        F.when((subject == "biology") & whole.rlike(r"\b(dna|rna|atp)\b"), "potential_biology_term_casing"),
+        F.when((subject == "chemistry") & whole.rlike(rf"{EDGE}[A-Z][a-z]?[0O][A-Za-z0-9()]*{EDGE}"), "potential_chemistry_formula_ambiguity"),
+        F.when((subject == "physics") & whole.rlike(rf"{EDGE}\d+\s*(hz|pa|j|v|w|n|c){EDGE}"), "potential_physics_unit_ambiguity"),
+        F.when((subject == "biology") & whole.rlike(rf"{EDGE}(dna|rna|atp){EDGE}"), "potential_biology_term_casing"),
         F.when((subject == "english") & (odd('"') | odd("'")), "potential_english_punctuation_loss"),
     ))
     low = (c("ocr") < LOW["ocr"]) | (c("split") < LOW["split"]) | (c("classification") < LOW["classification"])

@@ -87,7 +87,8 @@ def heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_partkey AS question, CAST(CASE WHEN sum(l_quantity) > 0 THEN floor(sum(l_quantity * (1 - l_discount)) / sum(l_quantity) * 100 + 0.5) ELSE 0 END AS BIGINT) AS pct, count(*) AS answers FROM lineitem GROUP BY l_partkey
+SELECT question, CAST(CASE WHEN a > 0 THEN (200 * e + a) // (2 * a) ELSE 0 END AS BIGINT) AS pct, answers
+FROM (SELECT l_partkey AS question, sum(CAST(round(l_quantity * (1 - l_discount) * 1000000) AS BIGINT)) AS e, sum(CAST(round(l_quantity * 1000000) AS BIGINT)) AS a, count(*) AS answers FROM lineitem GROUP BY l_partkey)
 """)
 def difficulty(spark: SparkSession, d: str) -> DataFrame:
     return analytics.difficulty(_line_marks(spark, d).withColumnRenamed("l_partkey", "question"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from markwright.operators import corpus, relational
+from markwright.operators import analytics, corpus, relational
 from markwright.sources import listing, readers
 from markwright.streaming import limits, sinks
 
@@ -178,3 +178,17 @@ def test_listing_of_many_files(spark, tmp_path):
     assert {r["path"].removeprefix(f"file://{tmp_path}/") for r in rows} == {"/".join(r["parts"]) for r in rows}
     assert listing.list_tree(spark, str(tmp_path), 2).count() == 3334
     assert listing.list_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_percents_that_end_in_a_half(spark):
+    marks = [(1, 24.0, 24.0 * (1 - 0.07)), (1, 416.0, 397.88), (2, 3.0, 1.0), (3, 0.0, 0.0), (4, 4.0, -0.1)]
+    for rows in (marks, marks[::-1]):
+        got = {r["question"]: (r["pct"], r["answers"]) for r in analytics.difficulty(spark.createDataFrame(rows, "question long, available double, earned double")).collect()}
+        assert got == {1: (96, 2), 2: (33, 1), 3: (0, 1), 4: (-2, 1)}  # 420.2 of 440 is 95.5
+
+
+def test_flags_find_words_beside_accents(spark):
+    rows = spark.createDataFrame([("POURÈ here", "chemistry"), ("éCo2 x", "chemistry"), ("POURA_ È", "chemistry"), ("5 paé", "physics")], "whole string, subject string")
+    rows = rows.select("*", *[F.lit(x).alias(n) for n, x in (("question", "q"), ("answer", "a"), ("ocr", 1.0), ("split", 1.0), ("classification", 1.0))])
+    got = {r["whole"]: r["flags"] for r in corpus.validation_flags(rows).collect()}
+    assert got == {"POURÈ here": ["potential_chemistry_formula_ambiguity"], "éCo2 x": [], "POURA_ È": [], "5 paé": ["potential_physics_unit_ambiguity"]}

@@ -91,9 +91,3 @@ def inline_options(x: pd.Series) -> pd.Series:
         return []
 
     return x.map(one)
-
-
-@F.pandas_udf(T.StringType())
-def straight_quotes(x: pd.Series) -> pd.Series:
-    """Typographic quotes and apostrophes as plain ones."""
-    return x.str.translate(str.maketrans("‘’“”", "''\"\""))

@@ -131,3 +131,12 @@ def test_line_match(spark):
     assert abs(score("water boils", "the water boils at once") - (0.55 + 0.25 + 0.15 * 2 / 5 + 0.05 * 2 * 11 / 34 + 0.10)) < 1e-9
     assert score("water boils", "a gas") < 0.3
 
+
+
+def test_quotes_of_whole_texts_without_python(spark):
+    from markwright.plans.records import tidy_starts
+
+    text = "  “One”\n\n‘two’\tthree " + "word " * 40
+    assert spark.createDataFrame([(text,)], "t string").select(tx.straight_quotes(F.col("t"))).first()[0] == text.replace("“", '"').replace("”", '"').replace("‘", "'").replace("’", "'")
+    plan = tidy_starts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan

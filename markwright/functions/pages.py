@@ -137,18 +137,26 @@ def anchored(text: Column, quoted: Column, least_words: int = 2) -> Column:
     return normalize(text).contains(normalize(quoted)) & (F.size(tokens(quoted)) >= least_words)
 
 
+def flat(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+
+
 def correction_holds(page: Column, quoted: Column, wrong: Column, right: Column) -> Column:
+    """``correction_holds_in`` a page as it is."""
+    return correction_holds_in(flat(page), quoted, wrong, right)
+
+
+def correction_holds_in(text: Column, quoted: Column, wrong: Column, right: Column) -> Column:
     """Whether a correction can be placed and says something: its quotation, of two words in short lines and four in
     others, stands in the page and holds the wrong word, which stands alone in the page; and the two don't differ in
-    signs and letter case only."""
-    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    text, q, a, b = flat(page), flat(quoted), flat(wrong), flat(right)
+    signs and letter case only. ``text``: the page, made ``flat`` once for all its corrections; what is dear comes last."""
+    q, a, b = flat(quoted), flat(wrong), flat(right)
     n = F.size(words(q))
     #: fixed values: up to four words are a short line
     long_enough = n >= F.when(n <= 4, 2).otherwise(4)
     alone = F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), F.replace(a, F.lit(r"\E"), F.lit("")), F.lit(r"\E\b")))
     bare = lambda c: F.regexp_replace(F.lower(c), r"(?U)\W+", "")
-    return (q != "") & (a != "") & (b != "") & long_enough & text.contains(q) & q.contains(a) & alone & (bare(a) != bare(b))
+    return (q != "") & (a != "") & (b != "") & long_enough & q.contains(a) & (bare(a) != bare(b)) & text.contains(q) & alone
 
 
 def context(text: Column, word: Column, around: int = 5) -> Column:
@@ -158,11 +166,21 @@ def context(text: Column, word: Column, around: int = 5) -> Column:
     return F.when(at > 0, F.array_join(F.slice(all_, F.greatest(F.lit(1), at - around), F.least(at - 1, F.lit(around)) + 1 + around), " "))
 
 
-def on_page(page: Column, text: Column, probe: int = 48, short: int = 24) -> Column:
-    """Whether a page holds the start of a text, by letters and digits alone; a shorter start is tried second."""
-    bare = lambda x: F.regexp_replace(F.lower(x), r"[^a-z0-9]", "")
-    p, t = bare(page), bare(text)
-    return (t != "") & (p.contains(F.substring(t, 1, probe)) | p.contains(F.substring(t, 1, short)))
+def bare(x: Column) -> Column:
+    """Letters and digits alone."""
+    return F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "")
+
+
+def on_page(page: Column, text: Column) -> Column:
+    """``on_bare_page`` of a page as it is."""
+    return on_bare_page(bare(page), text)
+
+
+def on_bare_page(page: Column, text: Column, probe: int = 48, short: int = 24) -> Column:
+    """Whether a page holds the start of a text, by letters and digits alone; a shorter start, which the longer one holds,
+    decides. ``page``: made ``bare`` once for all its texts."""
+    t = bare(text)
+    return (t != "") & page.contains(F.substring(t, 1, min(probe, short)))
 
 
 def in_main_band(y: Column, height: Column, top: float = 0.08, bottom: float = 0.92) -> Column:

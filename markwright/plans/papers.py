@@ -435,7 +435,7 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, regexp_replace(regexp_replace(lowe
 """)
 def line_fields(spark: SparkSession, d: str) -> DataFrame:
     """Small fields of every line: keys, texts without their labels, marks, ranges, variants of names, where a line stands."""
-    lines = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    lines = table(spark, d, "documents").select("doc_id", "source", pg.bare(F.col("text")).alias("page"), "text").select("doc_id", "source", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
     at, t = F.col("line"), F.col("t")
     k = F.size(pg.words(t)).cast("string")
     label = lambda *names: F.concat(pick(at, *names), t)
@@ -445,7 +445,7 @@ def line_fields(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(
         "doc_id", "line", tx.number_key(number).alias("number_key"), F.md5(tx.without_label(label("Q. ", "question ", "Q", ""), "question")).alias("asked_md5"), F.md5(tx.without_label(label("Ans: ", "answer - ", "A. ", ""), "answer")).alias("told_md5"),
         F.coalesce(tx.marks_in(marked), F.lit(0)).alias("marks"), span["low"].alias("low"), span["high"].alias("high"), F.array_join(tx.subject_variants(F.concat("source", F.lit(" Rubric"))), ",").alias("variants"),
-        pg.on_page(F.col("page"), t).alias("on_page"), pg.scheme_usable(t).alias("usable"), pg.mcq_stem(t).alias("stem"),
+        pg.on_bare_page(F.col("page"), t).alias("on_page"), pg.scheme_usable(t).alias("usable"), pg.mcq_stem(t).alias("stem"),
     )
 
 
@@ -493,10 +493,10 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, q <> '' AND k >= CASE WHEN k <= 4
 """)
 def checked_corrections(spark: SparkSession, d: str) -> DataFrame:
     """Corrections of lines' first words: those that change signs or letter case alone say nothing."""
-    lines = table(spark, d, "documents").select("doc_id", F.col("text").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    lines = table(spark, d, "documents").select("doc_id", pg.flat(F.col("text")).alias("page"), "text").select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
     wrong = F.split_part(tx.one_line(F.col("t")), F.lit(" "), F.lit(1))
     right = F.when(F.col("line") % 3 == 0, F.concat(wrong, F.lit(","))).when(F.col("line") % 3 == 1, F.upper(wrong)).otherwise(F.concat(wrong, F.lit("x")))
-    return lines.where(wrong.rlike(r"^[\x21-\x7E]*$")).select("doc_id", "line", pg.correction_holds(F.col("page"), F.col("t"), wrong, right).alias("holds"))
+    return lines.where(wrong.rlike(r"^[\x21-\x7E]*$")).select("doc_id", "line", pg.correction_holds_in(F.col("page"), F.col("t"), wrong, right).alias("holds"))
 
 
 @query(r"""

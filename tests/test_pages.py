@@ -113,3 +113,13 @@ def test_structured_items(spark):
     lines = [(1, 1, "header"), (1, 2, "1 (a) Why is the sky blue? [2]"), (1, 3, "Explain [4]"), (1, 4, "250 is too large"), (1, 5, "Please turn over"), (2, 6, "(b) And the sea?"), (2, 7, "2015/12 page"), (3, 8, "2. On a page"), (3, 9, "BLANK PAGE"), (4, 10, "3"), (4, 11, "A4 Last one"), (4, 12, "(ii)")]
     got = corpus.structured_items(spark.createDataFrame([("p", *x) for x in lines], "paper string, page int, at int, t string"), "paper", "page", "at", "t").orderBy("item").collect()
     assert [(r["number"], r["sub"], r["text"], r["page"], r["marks"]) for r in got] == [(1, "(a)", "Why is the sky blue? Explain 250 is too large", 1, 4), (1, "(b)", "And the sea? 2015/12 page 3", 2, None), (4, None, "Last one (ii)", 4, None)]
+
+
+def test_a_page_is_prepared_once_for_all_its_lines(spark):
+    from markwright.plans.papers import checked_corrections, line_fields
+
+    for query in (line_fields, checked_corrections):
+        above = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        assert "lower(page" not in above and "coalesce(page" not in above and "replace(page" not in above
+    page = pg.bare(F.lit("… The CELL wall is rigid …"))
+    assert val(spark, pg.on_bare_page(page, F.lit("the cell-wall"))) is True and val(spark, pg.on_bare_page(page, F.lit("…"))) is False

@@ -34,16 +34,17 @@ class Window(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["t", "id"])
-        opened, n = self.window.get() if self.window.exists() else (None, 0)
-        counts, waits = [], []
+        before, n = self.window.get() if self.window.exists() else (None, 0)
+        opened, counts, waits = before, [], []
         for t in every["t"].tolist():
             if opened is None or t >= opened + self.span:
                 opened, n = t, 0
-                self.handle.registerTimer((t + self.span) // 1000 + 1)
             n += 1
             counts.append(n)
             waits.append(-((t - opened - self.span) // 1_000_000) if n > self.most else None)
         self.window.update((opened, n))
+        if opened != before:  # windows that opened and ended within the batch need no timer: each call is a round trip
+            self.handle.registerTimer((opened + self.span) // 1000 + 1)
         yield pd.DataFrame({"key": key[0], "id": every["id"].to_numpy(), "n": counts, "allowed": [c <= self.most for c in counts], "wait_s": pd.array(waits, "Int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

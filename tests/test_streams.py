@@ -95,3 +95,33 @@ def test_deletes_empty_folders_and_replaced_sets_may_be_empty(spark, tmp_path):
     assert held.ledger().count() == 2
     held.delete(spark.createDataFrame([], "owner long"), 2)
     assert held.rows().count() == 1
+
+
+def test_one_timer_for_a_key_and_batch():
+    import pandas as pd
+
+    class Handle:
+        timers: list[int] = []
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return hasattr(self, "held")
+
+        def get(self):
+            return self.held
+
+        def update(self, row):
+            self.held = row
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    handle, window = Handle(), stateful.Window(60_000_000, 2)
+    window.init(handle)
+    frame = lambda *s: pd.DataFrame({"t": [x * 1_000_000 for x in s], "id": range(len(s))})
+    (out,) = window.handleInputRows((1,), iter([frame(0, 10, 70, 200)]), None)
+    assert out["n"].tolist() == [1, 2, 1, 1] and handle.timers == [260_001]
+    (out,) = window.handleInputRows((1,), iter([frame(210)]), None)
+    assert out["n"].tolist() == [2] and handle.timers == [260_001]

@@ -235,3 +235,21 @@ def paper_order(subject: str, year: str, session: str, paper: str, variant: str)
     """The five keys that papers are sorted by; what is missing comes first."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return [text(subject), F.coalesce(F.col(year), F.lit(0)), text(session), text(paper), text(variant)]
+
+
+def pairs_by_class(rows: DataFrame, by: list[str], id_: str, first: Column) -> DataFrame:
+    """Pairs of rows of one class (``by``), one with ``first`` and one of a larger id, without making them: for each row
+    (id, class_id, links) with the smallest id of its class and the number of pairs that it is in.
+
+    Rows are ranked within buckets of their class by ranges of the id, to which the sums of the buckets before are added.
+    """
+    #: fixed value: rows in a bucket, about
+    size = 1 << 16
+    counted = rows.where(F.concat(*[F.col(c).cast("string") for c in by]).isNotNull()).groupBy(*by, id_).agg(F.count("*").alias("_c"), F.count_if(first).alias("_f")).withColumn("_b", F.floor(F.col(id_) / size))
+    buckets = counted.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"), F.sum("_f").alias("_bf"), F.min(id_).alias("_least"))
+    before, whole = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    sums = buckets.select(*by, "_b", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_pc"), F.coalesce(F.sum("_bf").over(before), F.lit(0)).alias("_pf"), F.sum("_bc").over(whole).alias("_all"), F.min("_least").over(whole).alias("class_id"))
+    upto = Window.partitionBy(*by, "_b").orderBy(id_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumns({"_rc": F.sum("_c").over(upto), "_rf": F.sum("_f").over(upto)}).join(sums, [*by, "_b"])
+    later, earlier = F.col("_all") - F.col("_pc") - F.col("_rc"), F.col("_pf") + F.col("_rf") - F.col("_f")
+    return ranked.select(F.col(id_).alias("id"), "class_id", (F.col("_f") * later + F.col("_c") * earlier).alias("links"))

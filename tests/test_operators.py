@@ -192,3 +192,13 @@ def test_flags_find_words_beside_accents(spark):
     rows = rows.select("*", *[F.lit(x).alias(n) for n, x in (("question", "q"), ("answer", "a"), ("ocr", 1.0), ("split", 1.0), ("classification", 1.0))])
     got = {r["whole"]: r["flags"] for r in corpus.validation_flags(rows).collect()}
     assert got == {"POURÈ here": ["potential_chemistry_formula_ambiguity"], "éCo2 x": [], "POURA_ È": [], "5 paé": ["potential_physics_unit_ambiguity"]}
+
+
+def test_pairs_of_a_place_as_classes(spark):
+    rows = [(k % 2, "a" if k % 3 else "b", k * 30_000) for k in range(1, 40)] + [(1, "a", 1), (0, "b", 7), (0, "a", 2), (0, "a", 2), (None, "a", 4)]
+    found = relational.pairs_by_class(spark.createDataFrame(rows, "n int, s string, id long"), ["n", "s"], "id", F.col("id") % 4 == 0)
+    assert "BroadcastNestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = [r for r in rows if r[0] is not None]
+    pairs = [(x, y) for x in whole for y in whole if x[:2] == y[:2] and x[2] < y[2] and x[2] % 4 == 0]
+    want = {(z[2], min(q[2] for q in whole if q[:2] == z[:2]), sum((x[2] == z[2] and x[:2] == z[:2]) + (y[2] == z[2] and y[:2] == z[:2]) for x, y in pairs)) for z in whole}
+    assert set(map(tuple, found.collect())) == want and found.count() == len(want)

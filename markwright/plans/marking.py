@@ -156,8 +156,8 @@ SELECT doc_id, md5(display) AS display_md5, md5(CASE WHEN logs THEN trim(regexp_
 """)
 def math_documents(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents read as mathematics; none of them holds raised or lowered digits, few name a logarithm."""
-    rows = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("f", formulas.math_normalised(F.col("text")))
-    return rows.select("doc_id", F.md5("f.display").alias("display_md5"), F.md5("f.matcher").alias("matcher_md5"), F.array_join("f.warnings", ",").alias("warnings"))
+    rows = formulas.with_math_forms(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
+    return rows.select("doc_id", F.md5("forms.display").alias("display_md5"), F.md5("forms.matcher").alias("matcher_md5"), F.array_join("forms.warnings", ",").alias("warnings"))
 
 
 @query("""

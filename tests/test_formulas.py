@@ -134,3 +134,15 @@ def test_long_arguments_and_bases_are_read_whole():
     arg = " + ".join(f"x{i}" for i in range(400))
     assert fm.math_forms(f"log_2({arg})").canonical == f"log(base=2,arg={arg.replace(' ', '')})"
     assert fm.displayed("log" + "₁₂" * 40 + "x") == "log_" + "12" * 40 + " x"
+
+
+def test_forms_of_documents_go_in_pieces():
+    import pyarrow as pa
+
+    texts = ["log₂8 = 3", None, "x² + 1", "", "y " * 50, "a=b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["id", "t"])
+    pieces = list(fm._formed(iter([batch]), 1, 10))
+    assert [p.num_rows for p in pieces] == [3, 2, 1] and pa.Table.from_batches(pieces)["id"].to_pylist() == list(range(6))
+    got = pa.Table.from_batches(pieces)["forms"].to_pylist()
+    assert [(g["display"], g["canonical"], g["matcher"], g["warnings"]) for g in got] == [tuple(fm.math_forms(x)) for x in texts]
+    assert [g["matched"] for g in got] == [fm.matched_on(x) for x in texts]

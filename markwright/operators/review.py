@@ -226,19 +226,39 @@ def scored_readings(rows: DataFrame, by: str) -> DataFrame:
     return each.withColumn("score", score).withColumn("rank", F.row_number().over(order)).drop("_agree")
 
 
+def _scores(readings: Column, agree: Column) -> Column:
+    """(score, confidence, -at) of each of a page's readings (at, text, confidence): the largest is the best."""
+    none = F.lit(0.0)
+
+    def one(r: Column, a: Column) -> Column:
+        x = r["text"]
+        score = F.round(candidate_score(r["confidence"], symbol_score(x), math_score(x), anchor_score(x), a, none, none), 4)
+        return F.struct(score.alias("score"), r["confidence"].alias("confidence"), (-r["at"]).alias("before"))
+
+    return F.zip_with(readings, agree, one)
+
+
 def repaired_readings(rows: DataFrame, repairs: DataFrame, by: str) -> DataFrame:
     """``repairs(by, text)`` of each page's best reading, scored again among its peers: (by, before, after, accepted, text).
 
     A repair counts if the repaired reading is still the best and its score hasn't fallen; else the reading stays as it is.
+    A page's readings are one row throughout, so that they meet, and are compared, once before the repair and once after.
     """
-    ranked = scored_readings(rows, by)
-    best = ranked.where("rank = 1").select(by, "at", F.col("text").alias("_old"), F.col("score").alias("before"))
-    fixed = best.join(repairs.select(by, F.col("text").alias("_new")), by)
-    again = rows.join(fixed.select(by, F.col("at").alias("_at"), "_new"), by).withColumn("text", F.when(F.col("at") == F.col("_at"), F.col("_new")).otherwise(F.col("text")))
-    first = F.when(F.col("at") == F.col("_at"), -1).otherwise(F.col("at"))  # of equal readings the repaired one comes first
-    after = scored_readings(again.select(by, first.alias("at"), "text", "confidence"), by).where("at = -1").select(by, F.col("score").alias("after"), "rank")
-    counts = (F.col("rank") == 1) & (F.col("after") >= F.col("before"))
-    return fixed.join(after, by).select(by, "before", "after", counts.alias("accepted"), F.when(counts, F.col("_new")).otherwise(F.col("_old")).alias("text"))
+    texts = lambda c: F.transform(c, lambda r: r["text"])
+    pages = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", "text", "confidence"))).alias("_r"))
+    pages = pages.join(repairs.select(by, F.col("text").alias("_new")), by)
+    pages = pages.withColumn("_agree", sequences.agreements(texts("_r")))
+    # unfolded, so that what is used several times isn't worked out as often
+    pages = pages.select("*", F.explode(F.array(F.array_max(_scores(F.col("_r"), F.col("_agree"))))).alias("_best")).withColumn("_at", -F.col("_best.before"))
+    old = F.get(F.filter("_r", lambda r: r["at"] == F.col("_at")), F.lit(0))["text"]
+    # of equal readings the repaired one comes first
+    again = F.transform("_r", lambda r: F.struct(F.when(r["at"] == F.col("_at"), -1).otherwise(r["at"]).alias("at"), F.when(r["at"] == F.col("_at"), F.col("_new")).otherwise(r["text"]).alias("text"), r["confidence"].alias("confidence")))
+    pages = pages.select(by, F.col("_best.score").alias("before"), old.alias("_old"), "_new", again.alias("_r"))
+    pages = pages.withColumn("_agree", sequences.agreements(texts("_r"))).withColumn("_scores", _scores(F.col("_r"), F.col("_agree")))
+    after = F.get(F.filter("_scores", lambda s: s["before"] == 1), F.lit(0))["score"]
+    pages = pages.select(by, "before", after.alias("after"), "_old", "_new", (F.array_max("_scores")["before"] == 1).alias("_first"))
+    counts = F.col("_first") & (F.col("after") >= F.col("before"))
+    return pages.select(by, "before", "after", counts.alias("accepted"), F.when(counts, F.col("_new")).otherwise(F.col("_old")).alias("text"))
 
 
 def feedback_text(label: Column, percent_: Column, missing: Column, option: Column | None = None) -> Column:

@@ -512,7 +512,7 @@ def cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
     """Three readings of each turn: as it is, with letters confused, and with a formula; their confidences vary."""
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), "text")
+    turns = dealt(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), "text"), "page")
     confused = F.replace(F.replace("text", F.lit("rn"), F.lit("m")), F.lit("th"), F.lit("tn"))
     texts = F.array(F.col("text"), confused, F.concat("text", F.lit(" (x^2 + y_1) = 3a")))
     rows = turns.select("page", F.posexplode(texts).alias("at", "text"))

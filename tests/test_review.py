@@ -47,3 +47,11 @@ def test_feedback(spark):
 def test_companions(spark):
     files = spark.createDataFrame([("eng_2015_qp.pdf", "f"), ("eng_2015_source.pdf", "f"), ("eng_2015_ms.pdf", "f"), ("eng_2015_source.pdf", "g")], "name string, folder string")
     assert sorted((r["folder"], r["file"], r["companion"], r["score"]) for r in review.companions(files).collect()) == [("f", "eng_2015_ms.pdf", "eng_2015_source.pdf", 13), ("f", "eng_2015_qp.pdf", "eng_2015_source.pdf", 13)]
+
+
+def test_readings_are_compared_once_before_and_once_after_a_repair(spark):
+    rows = spark.createDataFrame([(p, at, f"{'log x = 2 ' * at}line {p}", 0.7) for p in range(3) for at in range(3)], "page long, at int, text string, confidence double")
+    repairs = rows.where("at = 0").select("page", F.lit("lost").alias("text"))
+    found = review.repaired_readings(rows, repairs, "page")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    assert [(r["page"], r["accepted"], r["text"]) for r in found.orderBy("page").collect()] == [(p, False, f"{'log x = 2 ' * 2}line {p}") for p in range(3)]

@@ -42,17 +42,21 @@ def question_chunks(pages: DataFrame) -> DataFrame:
     next begins and lies on the page of its first character.
     """
     joined = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("ps"))
-    lines = joined.select("doc", F.posexplode(F.flatten(F.transform("ps", lambda p: F.transform(F.split(p["text"], "\n", -1), lambda s: F.struct(p["page"].alias("page"), s.alias("line")))))).alias("at", "l"))
-    numbered = lines.select("doc", "at", "l.page", "l.line", F.regexp_extract("l.line", r"^\s*(\d{1,2})[.)]?\s+(?=[A-Z(])", 1).try_cast("int").alias("number"))
-    # accept the first line for each number in turn: a fold over the few lines that carry numbers
-    marks = numbered.where("number IS NOT NULL").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("ms"))
+    # a document is one row from here on: its lines (``ls``), those that carry numbers (``ms``), and what opens (``os``)
+    lines = joined.select("doc", F.flatten(F.transform("ps", lambda p: F.transform(F.split(p["text"], "\n", -1), lambda s: F.struct(p["page"].alias("page"), s.alias("line"))))).alias("ls"))
+    lines = lines.where(F.size("ls") > 0)
+    number = lambda x: F.regexp_extract(x, r"^\s*(\d{1,2})[.)]?\s+(?=[A-Z(])", 1).try_cast("int")
+    marks = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("at"), number(x["line"]).alias("number"))), lambda m: m["number"].isNotNull())
+    # accept the first line for each number in turn: a fold over the few lines that carry numbers, of two digits at most
     empty = F.array().cast("array<struct<at:int,number:int>>")
-    accepted = F.aggregate("ms", F.struct(F.lit(1).alias("want"), empty.alias("got")), lambda a, m: F.when(m["number"] == a["want"], F.struct((a["want"] + 1).alias("want"), F.array_append(a["got"], F.struct(m["at"].alias("at"), m["number"].alias("number"))).alias("got"))).otherwise(a))["got"]
-    opens = marks.select("doc", F.explode(accepted).alias("o")).select("doc", F.col("o.at").alias("at"), F.col("o.number").alias("question"))
-    order = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = numbered.drop("number").join(opens, ["doc", "at"], "left").withColumn("question", F.last("question", ignorenulls=True).over(order))
-    sorted_lines = F.array_sort(F.collect_list(F.struct("at", "line")))
-    return owned.groupBy("doc", "question").agg(F.min_by("page", "at").alias("page"), F.array_join(F.transform(sorted_lines, lambda x: x["line"]), "\n").alias("chunk"))
+    accepted = F.aggregate(marks, F.struct(F.lit(1).alias("want"), empty.alias("got")), lambda a, m: F.when(m["number"] == a["want"], F.struct((a["want"] + 1).alias("want"), F.array_append(a["got"], F.struct(m["at"].alias("at"), m["number"].alias("number"))).alias("got"))).otherwise(a))["got"]
+    # what stands before the first question belongs to none
+    before = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("number")))
+    opens = F.explode(F.array(accepted)).alias("got")
+    opened = lines.select("doc", "ls", opens).select("doc", "ls", F.when(F.coalesce(F.get("got", F.lit(0))["at"], F.lit(-1)) == 0, F.col("got")).otherwise(F.concat(before, F.col("got"))).alias("os"))
+    chunk = lambda o, i: F.slice("ls", o["at"] + 1, F.coalesce(F.get("os", i + 1)["at"], F.size("ls")) - o["at"])
+    chunks = F.transform("os", lambda o, i: F.struct(o["number"].alias("question"), F.get("ls", o["at"])["page"].alias("page"), F.array_join(F.transform(chunk(o, i), lambda x: x["line"]), "\n").alias("chunk")))
+    return opened.select("doc", F.inline(chunks))
 
 
 #: fixed values: when a reading's confidences are low

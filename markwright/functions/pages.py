@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,15 @@ def page_excluded(lines: Column) -> Column:
     return reason.when(heavy, "footer_heavy_page")
 
 
+def page_left_out(line: Column, page: WindowSpec) -> Column:
+    """Whether ``page_excluded`` names a reason for a line's page, by counts over its lines: no hint goes over a line's end."""
+    low = F.lower(line)
+    hint = F.coalesce(low.contains(EXCLUDED[0][0]) | low.contains(EXCLUDED[1][0]) | low.contains(EXCLUDED[2][0]) | low.contains(EXCLUDED[3][0]), F.lit(False))
+    full = F.trim(line) != ""
+    n, noisy, letters = F.count(line).over(page), F.count_if(full & line.rlike(LINE_NOISE)).over(page), F.count_if(full & line.rlike("[A-Za-z]")).over(page)
+    return F.max(hint).over(page) | ((n >= 8) & (noisy / F.greatest(n, F.lit(1)) >= 0.85) & (letters <= 2))
+
+
 def ocr_noise(text: Column, width: Column, height: Column, least: float = 10.0) -> Column:
     """Texts of two characters at most, and boxes too small to hold any."""
     return F.coalesce((F.length(F.trim(text)) <= 2) | (width < least) | (height < least), F.lit(True))

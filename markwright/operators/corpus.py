@@ -225,9 +225,8 @@ def structured_items(lines: DataFrame, paper: str, page: str, order: str, text:
     or a part of the last one starts an item; what else looks like an opening is text, noise is none. An item has its
     first page and the largest of the marks that its lines name.
     """
-    whole = lines.groupBy(paper, page).agg(F.collect_list(text).alias("_lines"))
-    held = whole.where(pg.page_excluded(F.col("_lines")).isNull()).select(paper, page)
-    flat = lines.withColumn("_x", tx.one_line(F.col(text))).where("_x <> ''").join(held, [paper, page])
+    held = lines.withColumn("_out", pg.page_left_out(F.col(text), Window.partitionBy(paper, page))).where("NOT _out").drop("_out")
+    flat = held.withColumn("_x", tx.one_line(F.col(text))).where("_x <> ''")
     x = F.col("_x")
     both, number, part = r"^(\d{1,3})\s*\(([A-Za-zivxIVX]{1,6})\)\s*(\S.*)$", r"^[A-Da-d]?\s*(\d{1,3})\s*[).:-]?\s*(\S.*)$", r"^\(([A-Za-zivxIVX]{1,6})\)\s*(\S.*)$"
     kind = F.when(x.rlike(both), 1).when(x.rlike(number), 2).when(x.rlike(part), 3)

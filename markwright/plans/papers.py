@@ -467,7 +467,7 @@ def structured_papers(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 0, F.concat(number, F.lit(". "), body)).when(k == 4, F.concat(F.lit("(b)  "), body)).when(k == 6, F.concat(number, F.lit(" (iv) "), body, F.lit(" ["), (3 + page % 5).cast("string"), F.lit("]")))
         .when(k == 7, F.concat(F.lit("999 "), body)).when(k == 9, "Please turn over").when((k == 11) & (page % 3 == 1), "BLANK PAGE").otherwise(body)
     )
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).select("doc_id", "line", page.alias("page"), set_.alias("t"))
+    lines = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).select("doc_id", "line", page.alias("page"), set_.alias("t"))
     items = corpus.structured_items(lines, "doc_id", "page", "line", "t")
     return items.select("doc_id", "item", "number", F.coalesce("sub", F.lit("")).alias("sub"), F.md5("text").alias("text_md5"), "page", F.coalesce("marks", F.lit(0)).alias("marks"))
 

@@ -22,3 +22,7 @@ def test_question_chunks_join_nothing(spark):
     pages = spark.createDataFrame([(1, 1, "intro\n1. Why"), (1, 2, "more\n3. No\n2) Next"), (2, 1, "nothing"), (3, 1, "1 What")], "doc int, page int, text string")
     got = sorted(map(tuple, corpus.question_chunks(pages).collect()), key=str)
     assert got == sorted([(1, None, 1, "intro"), (1, 1, 1, "1. Why\nmore\n3. No"), (1, 2, 2, "2) Next"), (2, None, 1, "nothing"), (3, 1, 1, "1 What")], key=str)
+
+
+def test_structured_papers_shuffle_documents_once(spark):
+    assert _plan(catalog.QUERIES["structured_papers"](spark, DATA), "executedPlan").count("Exchange") == 1

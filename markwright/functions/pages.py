@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -62,9 +63,12 @@ def name_slug(x: Column, most: int = 20) -> Column:
 
 #: fixed values: what publishers leave in texts: whole tails, sentences, marks of empty pages; and what scans leave at a start
 TAILS = (
-    r"(?is)\s*(?:\b\d{1,3}\b\s+)*(?:Additional Pages?\s+If you use|If you use the following lined|END OF QUESTION PAPER|The boundaries and names shown|do not imply official endorsement|Copyright Acknowledgements?\b|Permission to reproduce items"
-    r"|Every reasonable effort has been made|To avoid the issue of disclosure|Cambridge International Examinations is part of|Cambridge Assessment is the brand name|Cambridge Assessment International Education concerning|is freely available to download at www\.cie\.org\.uk|©\s*Ref:).*$"
+    r"(?i)(?=[aiedtpcf©])(?:Additional Pages?\s+If you use|If you use the following lined|END OF QUESTION PAPER|The boundaries and names shown|do not imply official endorsement|Copyright Acknowledgements?\b|Permission to reproduce items"
+    r"|Every reasonable effort has been made|To avoid the issue of disclosure|Cambridge International Examinations is part of|Cambridge Assessment is the brand name|Cambridge Assessment International Education concerning|is freely available to download at www\.cie\.org\.uk|©\s*Ref:)"
 )
+NUMBERS_BEFORE = r"\s*(?:\b\d{1,3}\b\s+)*\z"
+#: fixed values: words without which a text has no such tail, sentence or mark, in small letters
+TAIL_WORDS = ["if you use", "question paper", "the boundaries", "official endorsement", "copyright ack", "permission to", "every reasonable", "the issue of", "cambridge ", "freely available", "ref:"]
 SYNDICATE = r"(?:University of Cambridge Local |Local )?Examinations\s+Syndicate\s*\(UCLES\),?\s*which\s+(?:is\s+itself|itself\s+is|is)\s+a\s+department\s+of\s+the\s+University\s+of\s+Cambridge\.?"
 LIVE_SERIES = r"\s*(?:at\s+www\.cambridgeinternational\.org\s+after\s+)?the\s+live\s+examination\s+series\.?"
 START_NOISE = [r"(?i)^\s*(?:DFD)+\s*(?=[,.;:]{2,})", r"^\s*[,.;:]{2,}\s*"]
@@ -72,8 +76,11 @@ START_NOISE = [r"(?i)^\s*(?:DFD)+\s*(?=[,.;:]{2,})", r"^\s*[,.;:]{2,}\s*"]
 
 def without_boilerplate(x: Column) -> Column:
     """A text without what publishers and scans leave in it; publishers' tails go with all that follows them."""
-    for pattern, put in ((TAILS, ""), (rf"(?i){LIVE_SERIES}(?:\s*{SYNDICATE})?", " "), (rf"(?i)\s*{SYNDICATE}", " "), (r"(?i)\s*\bBLANK PAGE\b", " ")):
-        x = F.when(x.rlike(pattern), F.regexp_replace(x, pattern, put)).otherwise(x)
+    names = lambda c, words_: functools.reduce(lambda p, q: p | q, [F.lower(c).contains(w) for w in words_])
+    parts = F.split(x, TAILS, 2)  # a text up to its first tail; the page numbers before that go with it
+    x = F.when(names(x, TAIL_WORDS), F.when(F.size(parts) > 1, F.regexp_replace(F.get(parts, F.lit(0)), NUMBERS_BEFORE, "")).otherwise(x)).otherwise(x)
+    for word, pattern in (("examination", rf"(?i){LIVE_SERIES}(?:\s*{SYNDICATE})?"), ("(ucles)", rf"(?i)\s*{SYNDICATE}"), ("blank page", r"(?i)\s*\bBLANK PAGE\b")):
+        x = F.when(names(x, [word]), F.regexp_replace(x, pattern, " ")).otherwise(x)
     for pattern in START_NOISE:
         x = F.regexp_replace(x, pattern, "")
     return F.regexp_replace(x, r"^\s+", "")

@@ -26,3 +26,12 @@ def test_question_chunks_join_nothing(spark):
 
 def test_structured_papers_shuffle_documents_once(spark):
     assert _plan(catalog.QUERIES["structured_papers"](spark, DATA), "executedPlan").count("Exchange") == 1
+
+
+def test_boilerplate_as_by_one_pattern(spark):
+    whole = r"(?is)\s*(?:\b\d{1,3}\b\s+)*(?:if you use the following lined|copyright acknowledgements?\b|©\s*ref:).*$"
+    texts = ["a 12 3 Copyright Acknowledgement: x\ny", "b\n 1234 if YOU use the following lined", "c 7 © \nRef: z", "copyright acknowledgementsx d", "Copyright Acknowledgements", "e 5 Copyright Acknowledgements f © Ref: g", "h 12  ", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", pg.without_boilerplate(F.col("x")).alias("y")).collect()
+    assert [r["y"] for r in rows] == [None if r["x"] is None else re.sub(whole, "", r["x"], count=1).lstrip() for r in rows]
+    wide = spark.range(1).select(pg.without_boilerplate(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b"))).alias("y"))
+    assert wide.select(F.length("y")).first()[0] == 300_002  # blanks were searched from each of them

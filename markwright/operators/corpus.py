@@ -164,8 +164,13 @@ def disagreements(left: DataFrame, right: DataFrame, at: float = 0.995) -> DataF
     l, r = left.withColumnRenamed("text", "left_text"), right.withColumnRenamed("text", "right_text")  # noqa: E741
     a, b = tx.one_line(F.lower("left_text")), tx.one_line(F.lower("right_text"))
     both = l.join(r, ["page", "line"]).where((a != "") & (b != "") & (a != b))
-    rows = both.withColumn("similarity", sequences.plain_ratio(a, b)).withColumn("math", F.col("left_text").rlike(MATH_MARKS) | F.col("right_text").rlike(MATH_MARKS))
-    return rows.where(F.col("math") | (F.col("similarity") < at))
+    math = F.col("left_text").rlike(MATH_MARKS) | F.col("right_text").rlike(MATH_MARKS)
+    # no ratio is above twice the shorter text as a share of both; what is settled needs no blocks to be kept
+    settled = math | (2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)) < at)
+    rows = both.withColumn("math", math).withColumn("_kept", settled)
+    doubt = lambda x: F.when(~F.col("_kept"), x).otherwise("")
+    rows = rows.where(F.col("_kept") | (sequences.plain_ratio(doubt(a), doubt(b)) < at))
+    return rows.withColumn("similarity", sequences.plain_ratio(a, b)).select(*both.columns, "similarity", "math")
 
 
 def rebuilt(lines: DataFrame, page: str, line: str) -> DataFrame:

@@ -35,3 +35,8 @@ def test_boilerplate_as_by_one_pattern(spark):
     assert [r["y"] for r in rows] == [None if r["x"] is None else re.sub(whole, "", r["x"], count=1).lstrip() for r in rows]
     wide = spark.range(1).select(pg.without_boilerplate(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b"))).alias("y"))
     assert wide.select(F.length("y")).first()[0] == 300_002  # blanks were searched from each of them
+
+
+def test_settled_disagreements_need_no_blocks(spark):
+    every = papers._disagreements(spark, DATA)
+    assert _plan(every).count("ArrowEvalPython") == 2 and "CASE WHEN" in _plan(every.select("page", "math"))

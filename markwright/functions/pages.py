@@ -150,7 +150,12 @@ def header_conflicts(header: Column, chosen: Column) -> Column:
 
 def anchored(text: Column, quoted: Column, least_words: int = 2) -> Column:
     """Whether a quotation stands in the text and is long enough to find it again."""
-    return normalize(text).contains(normalize(quoted)) & (F.size(tokens(quoted)) >= least_words)
+    return anchored_in(normalize(text), quoted, least_words)
+
+
+def anchored_in(text: Column, quoted: Column, least_words: int = 2) -> Column:
+    """``anchored`` in a text that is normalised once for all its quotations."""
+    return (F.size(tokens(quoted)) >= least_words) & text.contains(normalize(quoted))
 
 
 def flat(x: Column) -> Column:

@@ -14,7 +14,7 @@ from markwright.plans.catalog import _T, query
 from markwright.plans.marking import pick
 from markwright.sources import readers
 from markwright.sources.readers import table
-from markwright.sources.written import dealt
+from markwright.sources.written import dealt, spread
 
 _SIDES = """l AS (SELECT l_orderkey % 400 AS paper, CAST(l_linenumber AS VARCHAR) AS number, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE chr(CAST(97 + l_partkey % 2 AS INTEGER)) END AS sub, l_partkey * 100000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS pos, l_returnflag AS f FROM lineitem),
 q AS (SELECT paper, number, sub, pos, row_number() OVER (PARTITION BY paper, number, sub ORDER BY pos) AS n FROM (SELECT DISTINCT paper, number, sub, pos FROM l WHERE f = 'A')), e AS (SELECT paper, number, sub, pos, row_number() OVER (PARTITION BY paper, number, sub ORDER BY pos) AS n FROM (SELECT DISTINCT paper, number, sub, pos FROM l WHERE f = 'R')),
@@ -408,12 +408,14 @@ def text_fields(spark: SparkSession, d: str) -> DataFrame:
     n = lambda m: (k % m).cast("string")
     marked = F.when(k % 4 == 0, F.concat(F.lit("Explain ["), n(9), F.lit("]"))).when(k % 4 == 1, F.concat(F.lit("worth "), n(20), F.lit(" Marks"))).otherwise("none")
     span = F.when(k % 4 == 0, F.concat(n(9), F.lit("–"), n(5))).otherwise("many")
-    first = F.array_join(F.slice(tx.tokens(x), 1, 3), " ")
+    first = F.substring_index("plain", " ", 3)
     page = F.when(k % 3 == 0, F.concat(F.lit("Page: "), F.lit("The quick, brown fox jumps over the lazy dog again"))).otherwise("nothing here")
     scheme = pick(k, "three from: photosynthesis needs light", "two from: x", "Award 1 for the correct named process", "working space")
     stem = pick(k, "too short", "Which of these is an acid", "12 34 56 78 90", "Turn over")
-    return table(spark, d, "documents").select(
-        "doc_id", tx.slug(F.col("source")).alias("slug"), pg.anchored(x, first).alias("anchored"), pg.on_page(page, F.lit("the Quick brown fox jumps over the lazy dog")).alias("on_page"),
+    # unfolded, so that a text is normalised once
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("*", F.explode(F.array(tx.normalize(x))).alias("plain"))
+    return docs.select(
+        "doc_id", tx.slug(F.col("source")).alias("slug"), pg.anchored_in(F.col("plain"), first).alias("anchored"), pg.on_page(page, F.lit("the Quick brown fox jumps over the lazy dog")).alias("on_page"),
         ex.is_email(F.trim(F.split_part(x, F.lit("\n"), F.lit(1)))).alias("email"), tx.marks_in(marked).cast("long").alias("marks"), tx.mark_range(span)["low"].cast("long").alias("low"), tx.mark_range(span)["high"].cast("long").alias("high"),
         tx.number_key(pick(k, "Q q7(b)", "Question 12", " a-3", "9.")).alias("number_key"), F.when(k % 4 == 0, tx.without_label(F.lit("Q.  What is  it"), "question")).when(k % 4 == 1, tx.without_label(F.lit("Ans: The reason"), "answer")).when(k % 4 == 2, tx.without_label(F.lit("A. X"), "answer")).otherwise(tx.without_label(F.lit("N/A"), "question")).alias("bare"),
         pg.scheme_usable(scheme).alias("usable"), pg.mcq_stem(stem).alias("mcq_like"), F.array_join(tx.subject_variants(pick(k, "Political Science Rubric", " History ", "A__B!", "?")), ",").alias("variants"),

@@ -202,12 +202,14 @@ CONFUSABLE = ["bk", "ao", "i1", "l1", "0o", "s5", "gq", "uv", "ce", "tf", "aq",
 
 def confusable(bad: Column, good: Column) -> Column:
     """Whether two words differ by one pair of look-alikes only, or are rn and m."""
+    # only words that differ can be confused: most don't, and are done with at once
     x, y = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in (bad, good))
     pairs = F.array(*[F.lit(p) for pair in CONFUSABLE for p in (pair, pair[::-1])])
     letters = F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: F.concat(a, b))
     unlike = F.filter(letters, lambda p: F.substring(p, 1, 1) != F.substring(p, 2, 1))
     one = (F.length(x) == F.length(y)) & (F.size(unlike) == 1) & F.array_contains(pairs, F.coalesce(F.get(unlike, F.lit(0)), F.lit("")))
-    return F.coalesce((x != "") & (y != "") & (one | ((x == "rn") & (y == "m")) | ((x == "m") & (y == "rn"))), F.lit(False))
+    near = (F.length(x) == F.length(y)) & (F.levenshtein(x, y, 1) == 1)
+    return F.coalesce((bad != good) & (x != "") & (y != "") & ((near & one) | ((x == "rn") & (y == "m")) | ((x == "m") & (y == "rn"))), F.lit(False))
 
 
 def one_of(x: Column, known: list[str], default: str) -> Column:

@@ -534,7 +534,7 @@ def repaired_best_readings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def visual_confusions(spark: SparkSession, d: str) -> DataFrame:
     """Words of documents next to what a scan may have made of them: which pairs are easily confused."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("at", "word"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("at", "word"))
     other = F.when(F.col("at") % 3 == 0, F.regexp_replace("word", "[ae]", "o")).when(F.col("at") % 3 == 1, F.regexp_replace("word", "u", "v")).otherwise(F.concat("word", F.lit("x")))
     return rows.groupBy("doc_id").agg(F.count_if(ex.confusable(F.col("word"), other)).alias("confused"), F.count("*").alias("n"))
 

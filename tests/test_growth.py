@@ -46,3 +46,7 @@ def test_text_fields_normalise_a_text_once(spark):
     assert len(re.findall(r"translate\(coalesce\(text#", _plan(catalog.QUERIES["text_fields"](spark, DATA)))) == 1
     folded = spark.range(1).select(tx.fold(F.lit("x² – 3 → H₂·")).alias("a"), tx.fold(F.lit("plain-é")).alias("b"), tx.fold(F.lit(None).cast("string")).alias("c")).first()
     assert tuple(folded) == ("x2 - 3 -> H2.", "plain-é", "")
+
+
+def test_words_that_are_equal_are_not_taken_apart(spark):
+    assert "levenshtein" in _plan(catalog.QUERIES["visual_confusions"](spark, DATA))

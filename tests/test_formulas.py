@@ -130,6 +130,18 @@ def test_generated_formulas():
         assert fm.displayed(fm.displayed(x)) == fm.displayed(x) or "log" in x.lower()
 
 
+def test_many_formulas_are_read_as_one(monkeypatch):
+    rng = np.random.default_rng(9)
+    bits = ["log", "LOG_2", "lg", "ln", "x", "12", " ", "\n", "(", ")", "+", "-", "=", "^", "²", "₁₀", "log₁₀", ",", "log(base=10,arg=x)", "log ( base = 2 , argz =", "base", "Â²", "�", "−", "≤", "ſ"]
+    texts = [None, "", " ", "log", "x\0 log₂(3)", "\0"] + ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 12))) for _ in range(3000)]
+    for some in (texts, texts[6:], [t for t in texts[6:] if not re.search("[Â�−]", t)], ["\0"], []):
+        assert fm.all_forms(some) == [(fm.math_forms(x), fm.matched_on(x)) for x in some]
+    shown, calls = fm.displayed, []
+    monkeypatch.setattr(fm, "displayed", lambda *a: calls.append(1) or shown(*a))
+    fm.all_forms([f"log_2(x) + lg {i} = y²" for i in range(1000)])
+    assert len(calls) == 1  # once it was a pass over the characters of each formula
+
+
 def test_long_arguments_and_bases_are_read_whole():
     arg = " + ".join(f"x{i}" for i in range(400))
     assert fm.math_forms(f"log_2({arg})").canonical == f"log(base=2,arg={arg.replace(' ', '')})"

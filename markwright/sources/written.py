@@ -36,8 +36,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """A scanned table dealt out by a key before its rows unfold, so that what goes by that key later needs no shuffle: in
-    eight parts for each of the scan's, and as many as there are shuffle partitions at least."""
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, 8 * rows.rdd.getNumPartitions()), key)
+def parts_of(scanned: DataFrame, times: int = 8) -> int:
+    """So many parts for each of a scan's, and as many as there are shuffle partitions at least: they grow in number with
+    the table, not in size."""
+    least = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, times * scanned.rdd.getNumPartitions())
+
+
+def dealt(rows: DataFrame, key: str, times: int = 8) -> DataFrame:
+    """A scanned table dealt out by a key before its rows unfold, so that what goes by that key later needs no shuffle."""
+    return rows.repartition(parts_of(rows, times), key)

@@ -50,3 +50,16 @@ def test_text_fields_normalise_a_text_once(spark):
 
 def test_words_that_are_equal_are_not_taken_apart(spark):
     assert "levenshtein" in _plan(catalog.QUERIES["visual_confusions"](spark, DATA))
+
+
+def test_course_files_take_more_parts_not_larger_ones(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # as a larger table, the scan has many parts
+        scanned = records._lines(spark, DATA).rdd.getNumPartitions()
+        for name, keys in (("course_records", ("l_orderkey", "question_id")), ("fallback_records", ("l_orderkey",))):
+            plan = _plan(catalog.QUERIES[name](spark, DATA), "executedPlan")
+            for key in keys:  # once they were as many as the session's shuffles have
+                assert int(re.search(rf"hashpartitioning\({key}#.*?, (\d+)\)", plan)[1]) >= 16 * scanned > 64
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

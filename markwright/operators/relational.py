@@ -253,3 +253,29 @@ def pairs_by_class(rows: DataFrame, by: list[str], id_: str, first: Column) -> D
     ranked = counted.withColumns({"_rc": F.sum("_c").over(upto), "_rf": F.sum("_f").over(upto)}).join(sums, [*by, "_b"])
     later, earlier = F.col("_all") - F.col("_pc") - F.col("_rc"), F.col("_pf") + F.col("_rf") - F.col("_f")
     return ranked.select(F.col(id_).alias("id"), "class_id", (F.col("_f") * later + F.col("_c") * earlier).alias("links"))
+
+
+def pairs_within(rows: DataFrame, by: list[str], id_: str, first: Column, block: int = 2048) -> DataFrame:
+    """Pairs of rows of one class (``by``), one with ``first`` and one of a larger id: (a, b, n) with their ids and of how
+    many pairs of rows they are, over all classes. Every pair is a row, and they grow with the square of a class.
+
+    A class is cut into blocks of some ``block`` ids by hash, and each two blocks meet in a group of their own; a task holds
+    one block at a time, and the number of tasks grows with the pairs. Copies of an id are one row with a count. Two ids
+    can only share several classes if both are in several: only those pairs are added up by a shuffle.
+    """
+    c = [f"_k{i}" for i in range(len(by))]
+    counted = rows.where(F.concat(*[F.col(k).cast("string") for k in by]).isNotNull() & F.col(id_).isNotNull()).groupBy(F.col(id_).alias("_id"), *[F.col(k).alias(n) for k, n in zip(by, c, strict=True)]).agg(F.count("*").alias("_c"), F.count_if(first).alias("_f"))
+    counted = counted.withColumn("_many", F.count("*").over(Window.partitionBy("_id")) > 1)
+    sizes = counted.groupBy(*c).agg(F.ceil(F.count("*") / block).alias("_s"))
+    #: fixed value: groups in a part, about, and parts at most
+    groups, most = 4, 1 << 16
+    met = sizes.agg(F.sum(F.col("_s") * F.col("_s"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, met // groups))
+    placed = counted.join(sizes, c).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_s"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    left = placed.where("_f > 0").select(*c, F.col("_own").alias("_l"), F.col("_other").alias("_r"), F.col("_id").alias("a"), "_f", F.col("_many").alias("_am"))
+    right = placed.select(*c, F.col("_other").alias("_l"), F.col("_own").alias("_r"), F.col("_id").alias("b"), "_c", F.col("_many").alias("_bm"))
+    keys = [*c, "_l", "_r"]
+    meet = lambda x, y: x.repartition(parts, *keys).join(y.repartition(parts, *keys), keys).where("a < b")
+    n = (F.col("_f") * F.col("_c")).alias("n")
+    once = meet(left, right).where("NOT (_am AND _bm)").select("a", "b", n)
+    return once.unionByName(meet(left.where("_am"), right.where("_bm")).groupBy("a", "b").agg(F.sum(n).alias("n")))

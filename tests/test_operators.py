@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from markwright.operators import analytics, corpus, relational
@@ -202,3 +204,22 @@ def test_pairs_of_a_place_as_classes(spark):
     pairs = [(x, y) for x in whole for y in whole if x[:2] == y[:2] and x[2] < y[2] and x[2] % 4 == 0]
     want = {(z[2], min(q[2] for q in whole if q[:2] == z[:2]), sum((x[2] == z[2] and x[:2] == z[:2]) + (y[2] == z[2] and y[:2] == z[:2]) for x, y in pairs)) for z in whole}
     assert set(map(tuple, found.collect())) == want and found.count() == len(want)
+
+
+def test_pairs_of_a_place_are_all_there(spark):
+    rows = [(k % 2, "a" if k % 3 else "b", k * 30_000) for k in range(1, 60)] + [(1, "a", 1), (0, "b", 7), (0, "a", 2), (0, "a", 2), (None, "a", 4), (1, "a", 2), (1, "a", 60_000), (0, "b", 60_000), (1, "a", None)]
+    whole = [r for r in rows if None not in r]
+    want = Counter((x[2], y[2]) for x in whole for y in whole if x[:2] == y[:2] and x[2] < y[2] and x[2] % 2 == 0)
+    for block in (3, 2048):
+        found = relational.pairs_within(spark.createDataFrame(rows, "n int, s string, id long"), ["n", "s"], "id", F.col("id") % 2 == 0, block=block)
+        got = found.collect()
+        assert {(r["a"], r["b"]): r["n"] for r in got} == want and len(got) == len(want) and max(want.values()) > 2
+
+
+def test_same_places_gives_every_pair(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(k, k % 3, "AB"[k % 2]) for k in range(1, 70)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    want = {(a[0] * 1000 + b[0], f"{a[0]},{b[0]}", 1) for a in rows for b in rows if a[1:] == b[1:] and a[0] < b[0] and a[0] % 2 == 0}
+    assert set(map(tuple, queries()["same_places"](spark, str(tmp_path)).collect())) == want

@@ -45,8 +45,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, **options) -> DataFrame:
+        df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.load(name)
 
     def load(self, name: str) -> DataFrame:

@@ -4,11 +4,12 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from markwright.llm import ann, html_extract, langid, mixing, token_output
+from markwright.llm import ann, common, html_extract, langid, mixing, token_output
 
 DATA = "/root/testdata/sf0.001"
 
@@ -509,3 +510,24 @@ def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
     got = [(r["doc_id"], (r["text"] or "")[:2]) for r in corpus_pipeline.ngram_join_stage(spark, docs, DATA).collect()]
     want = [(1, "a0"), (2, "b0"), (None, "c0"), (3, "d0"), (None, "e0"), (5, ""), (5, ""), (None, "")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_neighbours_move_no_vector_for_each_cell(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    table = rng.normal(size=(2000, 64))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>")
+    runs = []
+    for kind, size in (("whole", 1 << 24), ("blocks", 30_000)):
+        monkeypatch.setattr(ann, "QUERY_BYTES", size, raising=False)
+        monkeypatch.setattr(common, "shared_dir", lambda _, kind=kind: f"file://{tmp_path}/{kind}")
+        runs.append(sorted(map(tuple, ann.nearest(docs, F.col("id") % 20 == 0, pack_rows=50).collect())))
+        files = [pq.ParquetFile(p) for p in (tmp_path / kind).rglob("*.parquet")]
+        # once each query's vector was written twice for each of the 40 cells
+        assert sum(f.metadata.num_rows for f in files if "v" in f.schema_arrow.names) == 2100
+    assert runs[0] == runs[1]
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = table @ table[q]
+        s[q] = -np.inf
+        hits += len({r[2] for r in runs[0] if r[0] == q} & set(np.argsort(-s)[:20].tolist()))
+    assert len(runs[0]) == 100 * 20 and hits >= 0.9 * len(runs[0])

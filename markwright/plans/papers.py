@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -355,6 +358,21 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return words.select("doc_id", "text", (50.0 * j).alias("x0"), (top + j % 3).alias("y0"), (50.0 * j + 40).alias("x1"), (top + 12 + j % 4).alias("y1"))
 
 
+_FULL = re.compile(r"[^ \t\n\x0B\f\r]+")
+
+
+def _placed(batch):
+    """``_boxes`` of a batch of documents inside a task: (doc_id, words, their boxes) in turn."""
+    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        lines = [_FULL.findall(s) for s in (text.as_py() or "").split("\n")]
+        sizes = np.array([len(x) for x in lines])
+        if not sizes.sum():
+            continue
+        j = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(float)
+        top = 20.0 * np.repeat(np.arange(len(lines)), sizes)
+        yield doc, [w for x in lines for w in x], np.array([50.0 * j, top + j % 3, 50.0 * j + 40, top + 12 + j % 4])
+
+
 @query(rf"""
 WITH {_BOXES},
 r AS (SELECT b.doc_id, CAST(sum(b.n) AS BIGINT) AS n FROM b WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = b.doc_id AND ok AND (b.x0 + b.x1) / 2 BETWEEN p.x0 - 8 AND p.x1 + 8 AND (b.y0 + b.y1) / 2 BETWEEN p.y0 - 5 AND p.y1 + 5) GROUP BY b.doc_id),
@@ -367,8 +385,9 @@ SELECT doc_id, CAST(CASE WHEN k < 80 AND by_length >= 100 THEN greatest(k, round
   CAST(by_length AS INTEGER) AS by_length, CAST(by_text AS INTEGER) AS by_text FROM m
 """)
 def passage_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each document's passage by the middle of six estimates, all from the boxes of its words."""
-    return geometry.passage_words(_boxes(spark, d), "doc_id")
+    """Words of each document's passage by the middle of six estimates, all from the boxes of its words, which are made a
+    document at a time: as rows they are many times as large as the text."""
+    return geometry.passages_by_page(dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", _placed)
 
 
 @query(rf"""

@@ -2,11 +2,12 @@
 
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from markwright.functions import pages as pg
 from markwright.functions import text as tx
-from markwright.operators import corpus
+from markwright.operators import corpus, geometry
 from markwright.plans import catalog
 from markwright.plans import papers, records  # noqa: F401
 
@@ -63,3 +64,26 @@ def test_course_files_take_more_parts_not_larger_ones(spark):
                 assert int(re.search(rf"hashpartitioning\({key}#.*?, (\d+)\)", plan)[1]) >= 16 * scanned > 64
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_passages_keep_a_page_in_one_row(spark, tmp_path):
+    assert not re.search("Window|Generate|Join", _plan(catalog.QUERIES["passage_lengths"](spark, DATA)))  # each word was a row, sorted several times
+    line, many = "The quick brown fox’s tail jumps-over lazy dogs, a b-c-d 'e'.", " ".join(f"w{i}." for i in range(400))
+    texts = ["\n".join([line] * 30), "\n \n\t" + many + "\nSuggest a  suitable title\n" + line + "\nÀ la carte.\nPRÉCIS of one two three four five", "", "  \n ", None, "one", "é è ê " * 40 + "\n" + "x " * 90, line + "\r\n" + line + " next \n1 2 3;", "\n" * 50 + many + "\n" * 9 + "q"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, line), (1, "\n".join(["no"] * 70))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["passage_lengths"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES['passage_lengths']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 6
+
+
+def test_regions_of_thin_and_lower_lines(spark):
+    words = [("p", f"w{i}a b c d e", 100.0 * (i % 3), 0.5 * i, 100.0 * (i % 3) + 30, 0.5 * i + 0.25) for i in range(400)] + [("q", "a b c d e.", 0.0, 9.0, 5.0, 3.0), ("q", "z", 0.0, 4.0, 5.0, 6.0), ("q", "end", 0.0, 90.0, 5.0, 99.0)]
+    frame = spark.createDataFrame(words, "page string, text string, x0 double, y0 double, x1 double, y1 double").repartition(5)
+    got = {r["page"]: r["in_regions"] for r in geometry.passage_words(frame, "page").collect()}
+    lines = geometry.line_boxes(geometry.lines_of(frame, "page"), "page", height=F.max("y1")).join(frame.groupBy("page").agg(F.max("y1").alias("h")), "page")
+    ok = lines.where(((F.col("y0") + F.col("y1")) / 2).between(F.col("h") * 0.08, F.col("h") * 0.92) & geometry.is_passage(F.col("text"))).collect()
+    inside = lambda p, x, y: any(b["page"] == p and b["x0"] - 8 <= x <= b["x1"] + 8 and b["y0"] - 5 <= y <= b["y1"] + 5 for b in ok)
+    assert got == {page: sum(len(re.findall(r"\w+", t)) for p, t, x0, y0, x1, y1 in words if p == page and inside(p, (x0 + x1) / 2, (y0 + y1) / 2)) for page in "pq"}
